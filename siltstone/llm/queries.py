@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import sentencepiece, token_counts, token_files
+from siltstone.llm import html_text, quality, sentencepiece, shards, token_counts, token_files, warc
 from siltstone.llm.shared import prepare, work_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -23,19 +23,37 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "token-files")
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), folder)
     return token_files.read_token_files(spark, folder, manifest)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path(PIECES)
     return sentencepiece.round_trip(sentencepiece.encode_documents(table(spark, sf_dir, "documents"), model), model)
 
 
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.histogram_shards(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "warc")
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, manifest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_token_files, op7_sentencepiece)}
+    return {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op5_token_files, op6_html_text, op7_sentencepiece, op8_shards, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
