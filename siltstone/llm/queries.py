@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import html_text, quality, sentencepiece, shards, token_counts, token_files, warc
+from siltstone.llm import decontaminate, html_text, lm, near_dups, quality, sentencepiece, shards, token_counts, token_files, warc
 from siltstone.llm.shared import prepare, work_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -23,6 +23,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +54,10 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.histogram_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "warc")
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -53,7 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op5_token_files, op6_html_text, op7_sentencepiece, op8_shards, op10_warc)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_dups, op3_decontaminate, op4_quality_rules, op5_token_files, op6_html_text, op7_sentencepiece, op8_shards, op9_lm_scores, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
