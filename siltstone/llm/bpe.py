@@ -8,15 +8,17 @@ window, with the least count taken out, is the state; what is taken out is the c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 #: States kept before the table is compiled anew; bounds a worker's memory.
-MAX_STATES = 150_000
+MAX_STATES = 200_000
 UNKNOWN = -2
 
 
-def merge(parts: list[str], rank: Callable[[str, str], float | None]) -> list[str]:
-    """Plain byte-pair encoding: join the pair of least rank, leftmost first, until no pair has one."""
+def merge(parts: list[str], rank: Callable[[str, str], float | None], made: dict[str, tuple[str, str]] | None = None) -> list[str]:
+    """Plain byte-pair encoding: join the pair of least rank, leftmost first, until no pair has one. made: gets the
+    halves of what is joined."""
     parts = list(parts)
     ranks = [rank(a, b) for a, b in zip(parts, parts[1:])]
     while True:
@@ -26,6 +28,8 @@ def merge(parts: list[str], rank: Callable[[str, str], float | None]) -> list[st
                 best, at = r, i
         if at < 0:
             return parts
+        if made is not None:
+            made[parts[at] + parts[at + 1]] = (parts[at], parts[at + 1])
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
         del ranks[at]
         if at < len(ranks):
@@ -34,6 +38,10 @@ def merge(parts: list[str], rank: Callable[[str, str], float | None]) -> list[st
             ranks[at - 1] = rank(parts[at - 1], parts[at])
 
 
+def _pack(node: int, before: int, n: int) -> int:
+    return node << 40 | before + 2 << 12 | n
+
+
 class Transducer:
     """tokens: string of symbols -> id. rank: of a pair that may be joined, else None."""
 
@@ -55,30 +63,71 @@ class Transducer:
                 node = nxt
             self.token_at[node] = i
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        self.right: dict[int, list] = {}
+        self.left: dict[int, list] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.windows = [((0, -1, 0),)]
+        #: A window's entries, packed: trie node, token before (from 2 on), tokens so far.
+        self.windows = [(_pack(0, -1, 0),)]
         self.index = {self.windows[0]: 0}
-        self.last = [-1]
-        self.closing = [0]  # tokens still to count where a word ends in this state
-        self.table: dict[tuple[int, str], tuple[int, int]] = {}
+        #: Of each state: symbol -> (row of the next state, emitted count, last token); "" -> (state, tokens that are
+        #: still to count where a word ends here).
+        self.rows: list[dict[str, tuple]] = [{"": (0, 0)}]
+
+    def _halves(self, t: str) -> tuple[str, str] | None:
+        """The two parts whose joining makes t, if encoding t alone gives t; None for a single symbol or another outcome."""
+        if t not in self.halves:
+            made: dict[str, tuple[str, str]] = {}
+            whole = merge(list(t), self.rank, made) == [t]
+            self.halves |= {k: v for k, v in made.items() if k not in self.halves}
+            if not whole or t not in made:
+                self.halves[t] = None
+        return self.halves[t]
+
+    def _edge(self, t: str, side: int) -> list[tuple[str, float, float]]:
+        """The parts that stand at t's left (0) or right (1) edge while it is made: string, rank at which it is made,
+        rank at which it is joined on."""
+        out, until = [], math.inf
+        while True:
+            halves = self._halves(t)
+            since = self.rank(*halves) if halves else -math.inf
+            out.append((t, since, until))
+            if not halves:
+                return out
+            t, until = halves[side], since
 
     def allowed(self, a: int, b: int) -> bool:
-        """Whether token b may follow a (-1: nothing, UNKNOWN: a symbol that no token has)."""
+        """Whether token b may follow a (-1: nothing, UNKNOWN: a symbol that no token has): b is what encoding it alone
+        gives, and no part at a's right edge is joined with one at b's left edge while both stand."""
         got = self.pairs.get((a, b))
-        if got is None:
-            left = self.names[a] if a >= 0 else ""
-            right = self.names[b]
-            got = merge(list(left + right), self.rank) == ([left, right] if a >= 0 else [right])
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            self.pairs[a, b] = got
+        if got is not None:
+            return got
+        got = self._alone(b)
+        if got and a >= 0:
+            if a not in self.right:
+                self.right[a] = self._edge(self.names[a], 1)
+            if b not in self.left:
+                self.left[b] = self._edge(self.names[b], 0)
+            got = self._alone(a)
+            for x, x_since, x_until in self.right[a]:
+                for y, y_since, y_until in self.left[b]:
+                    if x_since <= y_until and y_since < x_until and (r := self.rank(x, y)) is not None and r < x_until and r <= y_until:
+                        got = False
+        if len(self.pairs) > 2_000_000:
+            self.pairs.clear()
+        self.pairs[a, b] = got
         return got
 
-    def _compile(self, state: int, c: str) -> tuple[int, int]:
-        live, found = [], None
-        for node, before, n in self.windows[state]:
+    def _alone(self, t: int) -> bool:
+        return len(self.names[t]) == 1 or self._halves(self.names[t]) is not None
+
+    def _compile(self, row: dict[str, tuple], c: str) -> tuple:
+        state = row[""][0]
+        live, found, n = [], None, 0
+        for entry in self.windows[state]:
+            node, before, n = entry >> 40, (entry >> 12 & 0xFFFFFFF) - 2, entry & 0xFFF
             child = self.trie[node].get(c)
             if child is None:
                 continue
@@ -88,19 +137,18 @@ class Transducer:
             if self.trie[child]:
                 live.append((child, before, n))
         if found is None:  # no token has this symbol
-            found = (UNKNOWN, self.windows[state][-1][2] + 1)
+            found = (UNKNOWN, n + 1)  # the last entry's count is the prefix's
             live = []
         live.append((0, *found))
         least = min(n for _, _, n in live)
-        key = tuple((a, b, n - least) for a, b, n in live)
+        key = tuple([_pack(a, b, n - least) for a, b, n in live])
         to = self.index.get(key)
         if to is None:
             to = self.index[key] = len(self.windows)
             self.windows.append(key)
-            self.last.append(found[0])
-            self.closing.append(found[1] - least)
-        self.table[state, c] = to, least
-        return to, least
+            self.rows.append({"": (to, found[1] - least)})
+        step = row[c] = (self.rows[to], least, found[0])
+        return step
 
     def _fresh(self) -> None:
         if len(self.windows) > MAX_STATES:
@@ -109,19 +157,19 @@ class Transducer:
     def count(self, word: str) -> int:
         """Tokens of one pre-token: the sum of what its transitions emit, and of its last state's rest."""
         self._fresh()
-        table, state, n = self.table, 0, 0
+        row, n = self.rows[0], 0
         for c in word:
-            state, emitted = table.get((state, c)) or self._compile(state, c)
+            row, emitted, _ = row.get(c) or self._compile(row, c)
             n += emitted
-        return n + self.closing[state]
+        return n + row[""][1]
 
     def encode(self, word: str) -> list[tuple[int, str]]:
         """(id or UNKNOWN, its string) of one pre-token: forward pass, then backtrace over last tokens."""
         self._fresh()
-        table, state, last = self.table, 0, []
+        row, last = self.rows[0], []
         for c in word:
-            state = (table.get((state, c)) or self._compile(state, c))[0]
-            last.append(self.last[state])
+            row, _, t = row.get(c) or self._compile(row, c)
+            last.append(t)
         out, at = [], len(word)
         while at:
             t = last[at - 1]

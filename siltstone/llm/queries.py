@@ -46,8 +46,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path(PIECES)
-    return sentencepiece.round_trip(sentencepiece.encode_documents(table(spark, sf_dir, "documents"), model), model)
+    return sentencepiece.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.bpe import UNKNOWN, Transducer
-from siltstone.llm.shared import small_batches, text_of
+from siltstone.llm.shared import Memo, small_batches, text_of
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-MEMO = 300_000
+MEMO = 1_000_000
 BYTE, NORMAL = 6, 1
 
 
@@ -48,7 +48,10 @@ class PieceModel:
         self.piece_of = {i: p.piece for i, p in enumerate(m.pieces) if p.type == NORMAL}
         self.lattice = Transducer({p.piece: i for i, p in enumerate(m.pieces) if p.type == NORMAL}, lambda a, b: -s if (s := score.get(a + b)) is not None else None)
         self.crosses = any(SPACE in p.lstrip(SPACE) for p in score)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO)
+        #: Texts by id, where no byte piece is among them.
+        self.texts = [p.piece.replace(SPACE, " ") if p.type == NORMAL else "" for p in m.pieces]
+        self.is_byte = np.array([p.type == BYTE for p in m.pieces])
 
     def normalize(self, text: str) -> str:
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
@@ -67,23 +70,32 @@ class PieceModel:
         behind it, so that the matrix of a word has one row and one column and words are memoized."""
         whole = self.normalize(text)
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        out = []
-        for u in [whole] if self.crosses else UNIT.findall(whole):
-            got = memo.get(u)
-            if got is None:
-                got = np.array(self.ids(self.lattice.encode(u)), "<u4").tobytes()
-                if len(u) < 64:
-                    memo[u] = got
-            out.append(got)
+        memo.turn()
+        units = [whole] if self.crosses else UNIT.findall(whole)
+        out = list(map(memo.get, units))
+        if None in out:
+            for i, got in enumerate(out):
+                if got is None:
+                    u = units[i]
+                    if (got := memo.recall(u)) is not None:
+                        out[i] = got
+                        continue
+                    out[i] = got = np.array(self.ids(self.lattice.encode(u)), "<u4").tobytes()
+                    if len(u) < 64:
+                        memo[u] = got
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """Pieces joined, byte runs read as UTF-8, the dummy prefix taken off."""
+        ids = np.asarray(ids, np.int64)
+        bytes_in = self.is_byte[ids].any()
+        ids = ids.tolist()
+        if not bytes_in:
+            text = "".join(map(self.texts.__getitem__, ids))
+            return text[1:] if self.prefix and text.startswith(" ") else text
         out, run = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -293,20 +305,33 @@ def _encode_giant(big: DataFrame, model: str, chunk: int) -> DataFrame:
     return big.join(whole, "text_hash", "left").drop("text_hash")
 
 
-def round_trip(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, decoded_crc32, exact (the decoded text equals the text) of each encoded row."""
-    id_type = encoded.schema["doc_id"].dataType.simpleString()
+def _digest(m: PieceModel, text: str | None, packed: bytes) -> tuple:
+    back = m.decode(np.frombuffer(packed, "<u4"))
+    return len(packed) // 4, zlib.crc32(packed), zlib.crc32(back.encode("utf-8", "replace")), back == (text or "")
+
+
+def round_trip(docs: DataFrame, model: str, giant: int = 1 << 20, chunk: int = 1 << 16) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, decoded_crc32, exact (the decoded text equals the text) of each document, encoded as
+    by encode_documents and decoded again."""
+    small_batches(docs.sparkSession, 500)
+    rows = docs.select("doc_id", "text")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    names = ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "exact"]
+    schema = f"doc_id {id_type}, n_pieces bigint, ids_crc32 bigint, decoded_crc32 bigint, exact boolean"
+
+    def both(batches):
+        m = loaded(model)
+        for b in batches:
+            got = [_digest(m, t, m.encode_packed(t or "")) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], names)
 
     def decoded(batches):
         m = loaded(model)
         for b in batches:
-            n, crc, back, same = [], [], [], []
-            for t, p in zip(b.column("text").to_pylist(), b.column("pieces").to_pylist(), strict=True):
-                got = m.decode(np.frombuffer(p, "<u4").tolist())
-                n.append(len(p) // 4)
-                crc.append(zlib.crc32(p))
-                back.append(zlib.crc32(got.encode("utf-8", "replace")))
-                same.append(got == (t or ""))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "decoded_crc32", "exact"])
-
-    return encoded.select("doc_id", "text", "pieces").mapInArrow(decoded, f"doc_id {id_type}, n_pieces bigint, ids_crc32 bigint, decoded_crc32 bigint, exact boolean")
+            got = [_digest(m, t, p) for t, p in zip(b.column("text").to_pylist(), b.column("pieces").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], names)
+
+    length = F.coalesce(F.length("text"), F.lit(0))
+    big = rows.where(length > giant).withColumn("text_hash", F.xxhash64("text"))
+    return rows.where(length <= giant).mapInArrow(both, schema).unionByName(_encode_giant(big, model, chunk).select("doc_id", "text", "pieces").mapInArrow(decoded, schema))

@@ -11,6 +11,8 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.session import prepare
+
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_ONLY = "file:///tmp/checkpoints/siltstone"
 
@@ -69,15 +71,23 @@ def atomic_write(path: str, parts: list) -> int:
     return n
 
 
-def signed64(x: int) -> int:
-    """An unsigned 64-bit number as the long that Spark holds."""
-    return x - (1 << 64) if x >= 1 << 63 else x
+class Memo(dict):
+    """A dictionary of bounded size in two generations: what is asked for again outlives the turn of a generation."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def turn(self) -> None:
+        """Called between texts: a full generation becomes the older one."""
+        if len(self) > self.most // 2:
+            self.older = self.copy()
+            self.clear()
 
+    def recall(self, key):
+        """From the older generation, into this one; None if unknown."""
+        got = self.older.get(key)
+        if got is not None:
+            self[key] = got
+        return got
 
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers of this session find the package that this file is in."""
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if top not in known.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (top, known) if x)
