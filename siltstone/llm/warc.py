@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.shared import materialize, posix_path, small_batches
 
 BLOCK = 500
+#: Repeated digests that are broadcast at most, about 100 bytes each.
+MOST_BROADCAST = 500_000
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^#]*)"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -80,15 +82,18 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
     Of records with equal payloads of at least `least` bytes the one with the smallest page_id is a response, the
     others are revisits. The digests are grouped without the texts, so a payload that a third of all pages share costs
-    a row for each task; its pages meet it in a join whose large partitions Spark splits.
+    a row for each task. Only digests that occur again are joined to the pages: by broadcast up to MOST_BROADCAST of
+    them, beyond that in a shuffle join, whose large partitions Spark splits.
     """
     spark = pages.sparkSession
     small_batches(spark, 500)
     path = posix_path(folder)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     rows = rows.select("*", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("size"), _key("url").alias("key"))
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    typed = rows.join(firsts, "digest").withColumn("revisit", F.col("first").isNotNull() & (F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")))
+    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    firsts = materialize(firsts, f"{folder}/repeated")
+    few = firsts.count() <= MOST_BROADCAST
+    typed = rows.join(F.broadcast(firsts) if few else firsts, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & (F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")))
     typed = typed.withColumn("html", F.when(~F.col("revisit"), F.col("html")))
     ordered = typed.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "digest")
 
