@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.session import prepare
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("retrieval", "evaluation", "serving", "audits", "corpus", "streams")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -23,9 +27,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def queries() -> dict[str, Query]:
+    for m in MODULES:
+        importlib.import_module(f"siltstone.plans.{m}")
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
