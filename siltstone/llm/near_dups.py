@@ -24,54 +24,50 @@ from siltstone.llm.shingles import frequent_shingles, inverse_frequency, mix, sh
 SIMILARITY, BANDS, ROWS, MAX_ROUNDS = 0.8, 14, 4, 12
 #: Ids that are broadcast at most; beyond that the same join shuffles.
 MOST_BROADCAST = 4_000_000
-_BITS = 14
-
-
-def _gamma_quantiles() -> np.ndarray:
-    """Quantiles of the Gamma(2, 1) distribution, by bisection of 1 - (1 + x) exp(-x)."""
-    p = (np.arange(1 << _BITS) + 0.5) / (1 << _BITS)
-    low, high = np.zeros_like(p), np.full_like(p, 40.0)
-    for _ in range(60):
-        mid = (low + high) / 2
-        below = 1 - (1 + mid) * np.exp(-mid) < p
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return high
-
-
-_GAMMA = _gamma_quantiles()
-_R, _INVERSE_R, _LN_C = _GAMMA.astype(np.float32), (1 / _GAMMA).astype(np.float32), np.log(_GAMMA).astype(np.float32)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _ODD = mix(_SEEDS) | np.uint64(1)
-_MASK = np.uint64((1 << _BITS) - 1)
+
+
+def _exponential(z: np.ndarray) -> np.ndarray:
+    """Exp(1) draws that rise with the hashes."""
+    return -np.log1p(-(z >> np.uint64(11)).astype(np.float64) * 2.0**-53)
 
 
 def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     """One 64-bit sample for each of the BANDS * ROWS draws: the chosen shingle and its quantum.
 
-    With r and c drawn from Gamma(2, 1) and b uniform for each draw and shingle, t = floor(ln w / r + b),
-    ln y = r (t - b), and the shingle of least ln c - ln y - r is chosen.
+    Improved consistent weighted sampling draws r and c from Gamma(2, 1) and b uniform for each draw and shingle, takes
+    t = floor(ln w / r + b) and ln y = r (t - b), and chooses the shingle of least ln c - ln y - r. Here the three come
+    from exponential draws a, d and f: c = a + d, r (1 - b) = ln(c / a), r b = f, which have the wanted distributions
+    together; then a shingle of weight 1 has t = 0 and the value ln a, so that of all those the least hash is chosen.
     """
-    out = np.empty(len(_SEEDS), np.uint64)
-    ln_w = np.log(w).astype(np.float32)
-    flat = not ln_w.any()
+    one = w == 1.0
+    plain, rest, ln_w = h[one], h[~one], np.log(w[~one])
+    draws = len(_SEEDS)
+    out = np.empty(draws, np.uint64)
     block = max(1, 400_000 // len(h))
-    for a in range(0, len(_SEEDS), block):
-        z = (h[None, :] ^ _SEEDS[a : a + block, None]) * _ODD[a : a + block, None]
-        z ^= z >> np.uint64(32)
-        i, j = (z >> np.uint64(64 - _BITS)).astype(np.int32), ((z >> np.uint64(64 - 2 * _BITS)) & _MASK).astype(np.int32)
-        b = ((z >> np.uint64(12)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2.0**-24)
-        r = _R[i]
-        t = None
-        if flat:
-            key = _LN_C[j] + r * (b - 1)
-        else:
-            t = np.floor(ln_w[None, :] * _INVERSE_R[i] + b)
-            key = _LN_C[j] - r * (t - b) - r
-        best = key.argmin(1)
-        chosen = h[best]
-        if t is not None:
-            chosen = chosen + t[np.arange(len(best)), best].astype(np.int64).view(np.uint64) * np.uint64(0xA0761D6478BD642F)
-        out[a : a + block] = mix(chosen)
+    for k in range(0, draws, block):
+        seeds, odd = _SEEDS[k : k + block, None], _ODD[k : k + block, None]
+        row = np.arange(len(seeds))
+        least = np.full(len(seeds), np.inf)
+        chosen = np.zeros(len(seeds), np.uint64)
+        if len(plain):
+            z = (plain[None, :] ^ seeds) * odd
+            best = z.argmin(1)
+            least, chosen = np.log(_exponential(z[row, best])), plain[best]
+        if len(rest):
+            z = (rest[None, :] ^ seeds) * odd
+            a, d, f = _exponential(z), _exponential(mix(z ^ np.uint64(0x2545F4914F6CDD1D))), _exponential(mix(z ^ np.uint64(0x5851F42D4C957F2D)))
+            c = a + d
+            r = np.log(c / a) + f
+            b = f / r
+            t = np.floor(ln_w[None, :] / r + b)
+            value = np.log(c) - r * (t - b) - r
+            best = value.argmin(1)
+            wins = value[row, best] < least
+            quantum = t[row, best].astype(np.int64).view(np.uint64) * np.uint64(0xA0761D6478BD642F)
+            chosen = np.where(wins, rest[best] + quantum, chosen)
+        out[k : k + block] = mix(chosen)
     return out
 
 

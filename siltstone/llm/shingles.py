@@ -32,7 +32,7 @@ def shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     ws = text.encode("utf-8", "surrogatepass").lower().split()
     if not ws:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    if len(_MEMO) > 400_000:
+    if len(_MEMO) > 100_000:
         _MEMO.clear()
     get, put, h64 = _MEMO.get, _MEMO.__setitem__, xxhash.xxh64_intdigest
     hashes = []
