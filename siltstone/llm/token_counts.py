@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.bpe import Transducer
-from siltstone.llm.shared import small_batches, text_of
+from siltstone.llm.shared import Memo, small_batches, text_of
 
 #: White space other than blank and line feed, where a chunk isn't cut and units aren't told apart.
 ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
-UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: A word of Latin letters before a blank or a mark ends there whatever follows; else a unit reaches to the next blank.
+ODD = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+UNIT = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n,.;:!?|$%#&*]|\Z)|[ \n]*[^ \n]+|[ \n]+")
 CUT = re.compile(r"(?<=[^ \n])(?=[ \n])")
-MEMO = 300_000
+MEMO = 800_000
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
@@ -59,7 +61,7 @@ class CountingTokenizer:
         self.words = Transducer(tokens, lambda a, b: ranks.get((a, b)))
         self.pre = Tokenizer.from_file(path).pre_tokenizer
         self.kinds: dict[str, str] = {" ": "s", "\n": "s"}
-        self.memo: dict[str, int] = {}
+        self.memo = Memo(MEMO)
         self.splitter = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def kind(self, c: str) -> str:
@@ -109,14 +111,16 @@ class CountingTokenizer:
         """Tokens of a whole text."""
         if self.splitter and any(s in text for s in self.special):
             return sum(self.count(x) if x else 0 for x in self.splitter.split(text)) + len(self.splitter.findall(text))
-        if ODD_SPACE.search(text):
+        if any([c in text for c in ODD]):
             return self.count_piece(text)
-        memo, n = self.memo, 0
-        for unit in UNIT.findall(text):
-            k = memo.get(unit)
-            if k is None:
-                if len(memo) > MEMO:
-                    memo.clear()
+        memo, units = self.memo, UNIT.findall(text)
+        known = list(map(memo.get, units))
+        if None not in known:
+            return sum(known)
+        memo.turn()
+        n = 0
+        for unit, k in zip(units, known, strict=True):
+            if k is None and (k := memo.recall(unit)) is None:
                 k = self.count_piece(unit)
                 if len(unit) < 64:
                     memo[unit] = k
