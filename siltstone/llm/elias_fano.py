@@ -111,6 +111,8 @@ class Sequence:
     def get(self, i: np.ndarray) -> np.ndarray:
         """The i-th values."""
         i = np.asarray(i, np.int64)
+        if len(i) > 1 << 14:
+            return np.concatenate([self.get(i[a : a + (1 << 14)]) for a in range(0, len(i), 1 << 14)])
         ones = np.arange(len(self.high), dtype=np.uint64) * _U(64) - self.zeros[:-1]
         word = np.searchsorted(ones, i.astype(np.uint64), "right") - 1
         left = i - ones[word].astype(np.int64)

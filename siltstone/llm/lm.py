@@ -16,9 +16,11 @@ nothing is trained on, all scores are 0; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from siltstone.llm.shared import atomic_write, materialize, posix_path, small_ba
 
 #: Tokens of a part of level two, on average, and words of a part of level one. At most MOST_PARTS parts: they grow then.
 PART_TOKENS, PART_WORDS, MOST_PARTS = 1_000_000, 500_000, 2_000
-#: Tokens that a counting task holds before it passes their sums on; characters that are scored at once.
-FLUSH, AT_ONCE = 3_000_000, 1 << 21
+#: Tokens that a counting task holds before it passes their sums on; characters that are counted or scored at once.
+FLUSH, AT_ONCE, SCORED = 1_000_000, 1 << 20, 1 << 22
 #: What no word hashes from: it holds a blank.
 END = b" "
 EXACT, STEP = 2000, 1.001
@@ -54,39 +56,41 @@ def counts_of(code: np.ndarray) -> np.ndarray:
     return np.where(c <= EXACT, c, EXACT * STEP ** (c - EXACT - 0.5))
 
 
-class WordHash:
-    """Hashes of words, the frequent ones kept."""
-
-    def __init__(self):
-        self.memo: dict[bytes, int] = {}
-
-    def index(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts: distinct word hashes in order; of each token its place among them; tokens of each text."""
-        local: dict[bytes, int] = {}
-        put = local.setdefault
-        at, sizes = [], []
-        for t in texts:
-            ws = tokens(t)
-            at += [put(w, len(local)) for w in ws]
-            sizes.append(len(ws))
-        if len(self.memo) > 400_000:
-            self.memo.clear()
-        memo, h64 = self.memo, xxhash.xxh64_intdigest
-        hashes = np.array([memo[w] if w in memo else memo.setdefault(w, h64(w)) for w in local], np.uint64)
-        order = np.argsort(hashes)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return hashes[order], rank[np.array(at, np.int64)], np.array(sizes, np.int64)
-
-
-def _groups(batches, columns):
+def _sums(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of runs of (keys, counts) in order, and the sums of their counts. Empties the list."""
+    keys, counts = np.concatenate([k for k, _ in runs]), np.concatenate([c for _, c in runs])
+    runs.clear()
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    del order
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(counts, starts)
+
+
+def index(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts: distinct word hashes in order; of each token its place among them; tokens of each text."""
+    local: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    at: list[int] = []
+    sizes = []
+    for t in texts:
+        ws = tokens(t)
+        at.extend(map(local.__getitem__, ws))
+        sizes.append(len(ws))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))
+    order = np.argsort(hashes)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return hashes[order], rank[np.array(at, np.int64)], np.array(sizes, np.int64)
+
+
+def _groups(batches, columns, at_once):
     """Rows of the batches in runs of bounded length, column-wise."""
     held, size = [], 0
     for b in batches:
         for row in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
             held.append(row)
             size += len(row[-1])
-            if size >= AT_ONCE:
+            if size >= at_once:
                 yield tuple(zip(*held))
                 held, size = [], 0
     if held:
@@ -104,7 +108,7 @@ def _save(path: str, arrays: list[np.ndarray]) -> None:
 
 def _load(path: str, kinds: str) -> list[np.ndarray]:
     """Memory-mapped arrays of a file that _save wrote; kinds: a letter for each, u or f."""
-    words = np.memmap(path, "<u8", "r")
+    words = np.memmap(path, "<u8", "r").view(np.ndarray)  # a plain view of the mapping
     n = int(words[0])
     out = []
     for k in range(n):
@@ -277,20 +281,20 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
     only = texts.select("text")
 
     def unigrams(batches):
-        hasher, held, n = WordHash(), [], 0
+        n = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out():
-            h, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            c = np.bincount(inverse, np.concatenate([y for _, y in held])).astype(np.int64)
+            h, c = _sums(held)
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
-        for (group,) in _groups(batches, ["text"]):
-            h, at, _ = hasher.index(group)
-            held.append((h, np.bincount(at, minlength=len(h)).astype(float)))
+        for (group,) in _groups(batches, ["text"], AT_ONCE):
+            h, at, _ = index(group)
+            held.append((h, np.bincount(at, minlength=len(h))))
             n += len(h)
             if n >= FLUSH:
                 yield out()
-                held, n = [], 0
+                n = 0
         if held:
             yield out()
 
@@ -304,11 +308,11 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
     words.open.clear()
 
     def bigrams(batches):
-        hasher, held, n = WordHash(), [], 0
+        n = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out():
-            keys, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            c = np.bincount(inverse, np.concatenate([y for _, y in held])).astype("<u4")
+            keys, c = _sums(held)
             cuts = np.searchsorted(keys, borders)
             got = [(k, a, z) for k, (a, z) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True)) if a < z]
             # A run of keys is packed as differences and counts.
@@ -316,18 +320,18 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
             sizes = [z - a for _, a, z in got]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in got], pa.int32()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["part", "n", "blob"])
 
-        for (group,) in _groups(batches, ["text"]):
-            h, at, sizes = hasher.index(group)
+        for (group,) in _groups(batches, ["text"], AT_ONCE):
+            h, at, sizes = index(group)
             ids = words.find(h)[0][at]
             before = np.roll(ids, 1)
             before[np.cumsum(sizes)[:-1]] = end_id
             before[0] = end_id
             keys, c = np.unique(before.astype(np.uint64) * np.uint64(v) + ids.astype(np.uint64), return_counts=True)
-            held.append((keys, c.astype(float)))
+            held.append((keys, c.astype(np.uint32)))
             n += len(keys)
             if n >= FLUSH:
                 yield out()
-                held, n = [], 0
+                n = 0
         if held:
             yield out()
 
@@ -339,12 +343,9 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
         for b in batches:
             for k, n, blob in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 keys, c = _unpack(zlib.decompress(blob), n)
-                held.setdefault(k, []).append((np.cumsum(keys, dtype=np.uint64) + borders[k], c))
+                held.setdefault(k, []).append((np.cumsum(keys, dtype=np.uint64) + borders[k], c.astype(np.int64)))
         for k in sorted(held):
-            runs = held.pop(k)
-            keys, inverse = np.unique(np.concatenate([x for x, _ in runs]), return_inverse=True)
-            c = np.bincount(inverse, np.concatenate([y for _, y in runs]).astype(float)).astype(np.int64)
-            del runs, inverse
+            keys, c = _sums(held.pop(k))
             yield _write_pairs(path, k, keys, c, borders, v)
 
     n_parts = len(borders)
@@ -429,13 +430,13 @@ def _write_backoff(path: str, k: int, discounts: tuple[float, float, float]) ->
 
 class Scorer:
     def __init__(self, trie: Trie, total: int, v: int):
-        self.trie, self.total, self.v, self.hasher = trie, total, v, WordHash()
+        self.trie, self.total, self.v = trie, total, v
         self.floor = total + 0.1 * (v + 1)
         self.end = int(trie.words.find(np.array([xxhash.xxh64_intdigest(END)], np.uint64))[0][0])
 
     def score(self, texts: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """n_tokens, n_known, base_score, score of each text."""
-        h, at, sizes = self.hasher.index(texts)
+        h, at, sizes = index(texts)
         ids, counts = self.trie.words.find(h)
         ends = np.cumsum(sizes)
         starts = ends - sizes
@@ -477,7 +478,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def score(batches):
         where, parts, borders, discounts = shared.value
         scorer = Scorer(Trie(where, Words(where, parts, total), borders, max(1, v), tuple(discounts)), total, max(1, v) if total else 0)
-        for ids, held_out, texts in _groups(batches, ["doc_id", "held_out", "text"]):
+        for ids, held_out, texts in _groups(batches, ["doc_id", "held_out", "text"], SCORED):
             n, known, base, got = scorer.score(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(held_out, pa.bool_()), pa.array(n), pa.array(known), pa.array([total] * len(n), pa.int64()), pa.array(base), pa.array(got)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
