@@ -3,9 +3,11 @@
 Equal texts are one text from the start. Each text's five-word shingles are weighted by TF-IDF; samples of them agree
 for two texts with probability equal to their weighted Jaccard similarity, and are banded. In each bucket of each band
 all texts are held against the most central one, and each against its successor in the order of the signatures, so a
-bucket costs a number of pairs in proportion to its texts; those left unmatched meet again, until a round adds no link.
-A pair is a link if its weighted Jaccard similarity is 0.8 or more, with TF-IDF or with term counts alone: IDF fades
-passages that many texts share, and must not part copies that many texts share. Classes are connected components.
+bucket costs a number of pairs in proportion to its texts. Where a bucket's texts then lie in different components, those
+outside its largest one are held against all others, in blocks of bounded size, by a matrix product that bounds the
+similarity from above; only links come out. So every pair with a bucket in common is tested or already connected. A pair
+is a link if its weighted Jaccard similarity is 0.8 or more, with TF-IDF or with term counts alone: IDF fades passages
+that many texts share, and must not part copies that many texts share. Classes are connected components.
 
 Defined cases: null texts and texts without a word are no copies of anything; texts of fewer than five words are one
 shingle; rows without doc_id get no class; an empty table gives no rows; extra columns are ignored or kept as they are.
@@ -15,13 +17,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import materialize, small_batches, text_of, work_dir
 from siltstone.llm.shingles import frequent_shingles, inverse_frequency, mix, shingles, weighted_jaccard, weights
 
-SIMILARITY, BANDS, ROWS, MAX_ROUNDS = 0.8, 14, 4, 12
+SIMILARITY, BANDS, ROWS = 0.8, 14, 4
+#: Texts of a block that are held against those of another, and of the other.
+SIDE, ACROSS = 256, 2048
 #: Ids that are broadcast at most; beyond that the same join shuffles.
 MOST_BROADCAST = 4_000_000
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -80,15 +84,22 @@ def bands(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return acc
 
 
+WORDY = r"[^\x20\x09-\x0D]"
+
+
+def text_key() -> Column:
+    """A text's number: 64 bits of its digest."""
+    return F.xxhash64(F.md5(text_of().cast("binary")))
+
+
 def exact_classes(docs: DataFrame, where: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep) of every row with a doc_id and a word in its text; and (rep, text) of the distinct texts. rep is the
-    smallest doc_id of equal texts. Texts meet in a partial aggregate first, so copies don't gather in a task."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.withColumn("key", F.md5(F.col("text").cast("binary")))
-    one = rows.groupBy("key").agg(F.min(F.struct("doc_id", "text")).alias("x"))
-    texts = materialize(one.select("key", F.col("x.doc_id").alias("rep"), F.col("x.text").alias("text")), f"{where}/texts")
-    ids = rows.select("doc_id", "key").join(texts.select("key", "rep"), "key").select("doc_id", "rep")
-    return ids, texts.select("rep", "text")
+    """(doc_id, rep) of every row with a doc_id and a word in its text; and (rep, first, text) of the distinct texts. rep
+    is the text's number, first the smallest doc_id that has it. Texts meet in a partial aggregate first, so copies don't
+    gather in a task."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where(F.col("text").rlike(WORDY)).withColumn("rep", text_key())
+    one = rows.groupBy("rep").agg(F.min(F.struct("doc_id", "text")).alias("x"))
+    texts = materialize(one.select("rep", F.col("x.doc_id").alias("first"), F.col("x.text").alias("text")), f"{where}/texts")
+    return rows.select("doc_id", "rep"), texts
 
 
 def signatures(texts: DataFrame, frequent: np.ndarray, idf: np.ndarray) -> DataFrame:
@@ -138,8 +149,7 @@ def similar(pairs: DataFrame, texts: DataFrame, frequent: np.ndarray, idf: np.nd
 
 
 def links(texts: DataFrame, where: str) -> DataFrame:
-    """(a, b) of texts found similar."""
-    spark = texts.sparkSession
+    """(a, b) of texts found similar: enough of them to connect all that belong together."""
     n = texts.count()
     frequent, df = frequent_shingles(texts, n)
     idf = inverse_frequency(df, n)
@@ -149,35 +159,88 @@ def links(texts: DataFrame, where: str) -> DataFrame:
     members = materialize(signed.join(sizes, bucket), f"{where}/members")
     # A text is the more central the larger its buckets are.
     central = members.groupBy("rep").agg(F.sum("n").alias("central"))
-    open_ = materialize(members.join(central, "rep").select(*bucket, "rep", "sig", "central"), f"{where}/open-0")
-    ids = open_.select("rep").distinct()
+    members = materialize(members.join(central, "rep"), f"{where}/central")
+    ids = members.select("rep").distinct()
     few = ids.count()
     # The texts that are held against each other: those with a bucket to share.
     some = texts.join(F.broadcast(ids) if few <= MOST_BROADCAST else ids, "rep", "left_semi")
     some = materialize(some, f"{where}/some")
-    found, tested = None, None
-    for i in range(MAX_ROUNDS):
-        leads = open_.groupBy(*bucket).agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        at = open_.join(leads, bucket)
-        star = at.where("rep != lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
-        pairs = star
-        if i == 0:
-            pairs = pairs.unionByName(successors(open_))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        now = materialize(similar(pairs, some, frequent, idf), f"{where}/tested-{i}")
-        tested = now if tested is None else tested.unionByName(now)
-        fresh = now.where("linked").select("a", "b")
-        found = fresh if found is None else found.unionByName(fresh)
-        gained, tried = now.agg(F.count_if("linked"), F.count(F.lit(1))).first()
-        if not tried or i and not gained:
-            break
-        # Left: members that their lead doesn't match. Leads go.
-        known = tested.where("linked").select(F.col("a").alias("x"), F.col("b").alias("y"))
-        left = at.where("rep != lead").withColumns({"x": F.least("rep", "lead"), "y": F.greatest("rep", "lead")}).join(known, ["x", "y"], "left_anti")
-        open_ = materialize(left.select(*bucket, "rep", "sig", "central"), f"{where}/open-{i + 1}")
-    return found if found is not None else spark.createDataFrame([], "a long, b long")
+    leads = members.groupBy(*bucket).agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("lead"))
+    star = members.join(leads, bucket).where("rep != lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
+    pairs = star.unionByName(successors(members)).distinct()
+    found = materialize(similar(pairs, some, frequent, idf).where("linked").select("a", "b"), f"{where}/found")
+    roots = components(found, f"{where}/first")
+    rest = across(members.where("n > 2").select(*bucket, "rep"), roots, some, frequent, idf)
+    return materialize(found.unionByName(rest.distinct()), f"{where}/links")
+
+
+def across(members: DataFrame, roots: DataFrame, texts: DataFrame, frequent: np.ndarray, idf: np.ndarray) -> DataFrame:
+    """(a, b) of similar texts that share a bucket and lie in different components."""
+    bucket = ["band", "bucket"]
+    placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    parts = placed.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    at = placed.join(mixed.select(*bucket, "main", blocks(F.col("n") - F.col("most"), SIDE).alias("n_x"), blocks(F.col("n"), ACROSS).alias("n_y")), bucket)
+    turn = lambda of: F.pmod(F.xxhash64("rep"), of).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    x = at.where("root != main").select(*bucket, turn(F.col("n_x")).alias("x"), every("n_y").alias("y"), F.lit(0).alias("side"), "rep", "root")
+    y = at.select(*bucket, every("n_x").alias("x"), turn(F.col("n_y")).alias("y"), F.lit(1).alias("side"), "rep", "root")
+    key = [*bucket, "x", "y"]
+    rows = x.unionByName(y).join(texts, "rep").repartition(*key).sortWithinPartitions(*key, "side", "rep")
+    shared = texts.sparkSession.sparkContext.broadcast((frequent, idf))
+
+    def compare(batches):
+        frequent, idf = shared.value
+        at, left, right = None, [], []
+
+        def vector(rep: int, root: int, text: str) -> tuple:
+            h, tf = shingles(text)
+            return rep, root, h, weights(h, tf, frequent, idf), tf.astype(np.float64)
+
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(b.column(c).to_pylist() for c in (*key, "side", "rep", "root", "text")), strict=True):
+                if row[:4] != at or len(right) == SIDE:
+                    out += linked_across(left, right)
+                    right = []
+                    if row[:4] != at:
+                        at, left = row[:4], []
+                (right if row[4] else left).append(vector(*row[5:]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        out = linked_across(left, right)
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
+def linked_across(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
+    """(a, b) of similar texts of different roots, one of either list; entries: rep, root, hashes, weights, counts. A sum
+    of roots of products is at least the sum of the smaller weights: what stays under the bound can't be similar."""
+    if not left or not right:
+        return []
+    columns = np.intersect1d(np.concatenate([v[2] for v in left]), np.concatenate([v[2] for v in right]))
+    if not len(columns):
+        return []
+    possible = np.zeros((len(left), len(right)), bool)
+    for k in (3, 4):
+        sides = []
+        for vectors in (left, right):
+            m = np.zeros((len(vectors), len(columns)), np.float32)
+            for i, v in enumerate(vectors):
+                at = np.minimum(np.searchsorted(columns, v[2]), len(columns) - 1)
+                hit = columns[at] == v[2]
+                m[i, at[hit]] = np.sqrt(v[k][hit])
+            sides.append(m)
+        low = sides[0] @ sides[1].T
+        total = np.array([v[k].sum() for v in left])[:, None] + np.array([v[k].sum() for v in right])[None, :]
+        possible |= low * (1 + SIMILARITY) >= SIMILARITY * total * (1 - 1e-4)
+    out = []
+    for i, j in np.argwhere(possible).tolist():
+        p, q = left[i], right[j]
+        if p[1] != q[1] and any(weighted_jaccard((p[2], p[k]), (q[2], q[k])) >= SIMILARITY for k in (3, 4)):
+            out.append((min(p[0], q[0]), max(p[0], q[0])))
+    return out
 
 
 def successors(members: DataFrame) -> DataFrame:
@@ -215,31 +278,39 @@ def components(edges: DataFrame, where: str) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
-def duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class), n_links (links to other texts), kept (the row's id is the
-    class's) of every row."""
-    where = work_dir(docs.sparkSession, "near-dups")
+def _classes(docs: DataFrame, where: str) -> DataFrame:
+    """(doc_id, rep, class_id, chosen) of every row that has a doc_id and words; chosen is the text that stands for its
+    class: of the smallest doc_id, and of its texts the one of smallest number."""
     ids, texts = exact_classes(docs, where)
-    found = links(texts, where)
-    roots = components(found, where)
-    both = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep")))
-    degree = both.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    known = roots.withColumnRenamed("node", "rep").join(degree, "rep")
-    own = ids.join(known, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    alone = docs.where(F.col("doc_id").isNull() | ~text_of().rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return own.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    found = links(texts.select("rep", "text"), where)
+    roots = components(found, where).withColumnRenamed("node", "rep")
+    own = materialize(texts.select("rep", "first").join(roots, "rep", "left").select("rep", "first", F.coalesce("root", "rep").alias("root")), f"{where}/own")
+    chosen = own.groupBy("root").agg(F.min(F.struct("first", "rep")).alias("c"))
+    by_text = own.join(chosen, "root").select("rep", F.col("c.first").alias("class_id"), F.col("c.rep").alias("chosen"))
+    return ids.join(by_text, "rep")
+
+
+def duplicate_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class), kept (the row stands for its class) of every row."""
+    own = _classes(docs, work_dir(docs.sparkSession, "near-dups"))
+    kept = (F.col("doc_id") == F.col("class_id")) & (F.col("rep") == F.col("chosen"))
+    alone = docs.where(F.col("doc_id").isNull() | ~text_of().rlike(WORDY)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"), F.lit(True).alias("kept"))
+    return own.select("doc_id", "class_id", kept.alias("kept")).unionByName(alone)
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each class left, all columns. Rows that repeat a doc_id and its text count as copies."""
     where = work_dir(docs.sparkSession, "near-dups-kept")
-    classes = materialize(duplicate_classes(docs).select("doc_id", "kept"), f"{where}/classes")
-    gone = classes.where("not kept").select("doc_id").distinct()
+    own = _classes(docs, where)
+    rest = (F.col("doc_id") != F.col("class_id")) | (F.col("rep") != F.col("chosen"))
+    gone = materialize(own.where(rest).select(F.col("doc_id").alias("__id"), F.col("rep").alias("__key")).distinct(), f"{where}/gone")
     few = gone.count()
-    left = docs.join(F.broadcast(gone) if few <= MOST_BROADCAST else gone, "doc_id", "left_anti")
-    again = docs.where(F.col("doc_id").isNotNull() & text_of().rlike(r"[^\x20\x09-\x0D]")).groupBy("doc_id", F.md5(text_of().cast("binary")).alias("key")).count().where("count > 1")
+    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": text_key()})
+    left = marked.join(F.broadcast(gone) if few <= MOST_BROADCAST else gone, ["__id", "__key"], "left_anti")
+    again = docs.where(F.col("doc_id").isNotNull() & text_of().rlike(WORDY)).groupBy(F.col("doc_id").cast("long").alias("__id"), text_key().alias("__key")).count().where("count > 1").drop("count")
     if not again.limit(1).count():
-        return left
-    marked = left.withColumn("_key", F.md5(text_of().cast("binary"))).join(again.select("doc_id", F.col("key").alias("_key"), F.lit(True).alias("_again")), ["doc_id", "_key"], "left")
-    first = marked.where("_again").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")]))).where("_n = 1")
-    return marked.where("_again is null").select(docs.columns).unionByName(first.select(docs.columns))
+        return left.select(docs.columns)
+    twice = left.join(again.withColumn("__again", F.lit(True)), ["__id", "__key"], "left")
+    order = Window.partitionBy("__id", "__key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
+    first = twice.where("__again").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return twice.where("__again is null").select(docs.columns).unionByName(first.select(docs.columns))
