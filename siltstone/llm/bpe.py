@@ -9,6 +9,7 @@ window, with the least count taken out, is the state; what is taken out is the c
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Callable
 
 #: States kept before the table is compiled anew; bounds a worker's memory.
@@ -38,8 +39,8 @@ def merge(parts: list[str], rank: Callable[[str, str], float | None], made: dict
             ranks[at - 1] = rank(parts[at - 1], parts[at])
 
 
-def _pack(node: int, before: int, n: int) -> int:
-    return node << 40 | before + 2 << 12 | n
+def _pack(entries: list[tuple[int, int, int]]) -> bytes:
+    return array("Q", [node << 40 | before + 2 << 12 | n for node, before, n in entries]).tobytes()
 
 
 class Transducer:
@@ -62,15 +63,15 @@ class Transducer:
                     self.token_at.append(-1)
                 node = nxt
             self.token_at[node] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.right: dict[int, list] = {}
         self.left: dict[int, list] = {}
         self._reset()
 
     def _reset(self) -> None:
-        #: A window's entries, packed: trie node, token before (from 2 on), tokens so far.
-        self.windows = [(_pack(0, -1, 0),)]
+        #: A window's entries, eight bytes each: trie node, token before (from 2 on), tokens so far.
+        self.windows = [_pack([(0, -1, 0)])]
         self.index = {self.windows[0]: 0}
         #: Of each state: symbol -> (row of the next state, emitted count, last token); "" -> (state, tokens that are
         #: still to count where a word ends here).
@@ -101,7 +102,8 @@ class Transducer:
     def allowed(self, a: int, b: int) -> bool:
         """Whether token b may follow a (-1: nothing, UNKNOWN: a symbol that no token has): b is what encoding it alone
         gives, and no part at a's right edge is joined with one at b's left edge while both stand."""
-        got = self.pairs.get((a, b))
+        key = a << 32 | b
+        got = self.pairs.get(key)
         if got is not None:
             return got
         got = self._alone(b)
@@ -115,9 +117,9 @@ class Transducer:
                 for y, y_since, y_until in self.left[b]:
                     if x_since <= y_until and y_since < x_until and (r := self.rank(x, y)) is not None and r < x_until and r <= y_until:
                         got = False
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > 1_000_000:
             self.pairs.clear()
-        self.pairs[a, b] = got
+        self.pairs[key] = got
         return got
 
     def _alone(self, t: int) -> bool:
@@ -126,7 +128,7 @@ class Transducer:
     def _compile(self, row: dict[str, tuple], c: str) -> tuple:
         state = row[""][0]
         live, found, n = [], None, 0
-        for entry in self.windows[state]:
+        for entry in memoryview(self.windows[state]).cast("Q"):
             node, before, n = entry >> 40, (entry >> 12 & 0xFFFFFFF) - 2, entry & 0xFFF
             child = self.trie[node].get(c)
             if child is None:
@@ -141,7 +143,7 @@ class Transducer:
             live = []
         live.append((0, *found))
         least = min(n for _, _, n in live)
-        key = tuple([_pack(a, b, n - least) for a, b, n in live])
+        key = _pack([(a, b, n - least) for a, b, n in live])
         to = self.index.get(key)
         if to is None:
             to = self.index[key] = len(self.windows)

@@ -25,9 +25,11 @@ from siltstone.llm.bpe import UNKNOWN, Transducer
 from siltstone.llm.shared import Memo, small_batches, text_of
 
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-MEMO = 1_000_000
+UNIT = re.compile(" *[^ ]+| +")
+MEMO = 600_000
 BYTE, NORMAL = 6, 1
+#: Column that a giant text is followed by.
+KEY = "__text_hash"
 
 
 class PieceModel:
@@ -68,10 +70,11 @@ class PieceModel:
     def encode_packed(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers. No piece reaches from a word into the blank
         behind it, so that the matrix of a word has one row and one column and words are memoized."""
-        whole = self.normalize(text)
+        if self.crosses or SPACE in text:  # a space mark of the text itself can't be told from a blank's
+            return np.array(self.ids(self.lattice.encode(self.normalize(text))), "<u4").tobytes()
         memo = self.memo
         memo.turn()
-        units = [whole] if self.crosses else UNIT.findall(whole)
+        units = UNIT.findall(" " + text if self.prefix and text else text)
         out = list(map(memo.get, units))
         if None in out:
             for i, got in enumerate(out):
@@ -80,7 +83,7 @@ class PieceModel:
                     if (got := memo.recall(u)) is not None:
                         out[i] = got
                         continue
-                    out[i] = got = np.array(self.ids(self.lattice.encode(u)), "<u4").tobytes()
+                    out[i] = got = np.array(self.ids(self.lattice.encode(u.replace(" ", SPACE))), "<u4").tobytes()
                     if len(u) < 64:
                         memo[u] = got
         return b"".join(out)
@@ -251,7 +254,7 @@ def encode_documents(docs: DataFrame, model: str, giant: int = 1 << 20, chunk: i
 
     length = F.coalesce(F.length("text"), F.lit(0))
     short = docs.where(length <= giant).mapInArrow(whole, schema)
-    big = docs.where(length > giant).withColumn("text_hash", F.xxhash64("text"))
+    big = docs.where(length > giant).withColumn(KEY, F.xxhash64("text"))
     return short.unionByName(_encode_giant(big, model, chunk).select(short.columns))
 
 
@@ -261,15 +264,15 @@ def _encode_giant(big: DataFrame, model: str, chunk: int) -> DataFrame:
     m0 = loaded(model)
     if m0.lattice.longest > around:
         raise ValueError("pieces are longer than the context of a chunk")
-    texts = big.select("text_hash", F.concat(F.lit(SPACE if m0.prefix else ""), F.replace("text", F.lit(" "), F.lit(SPACE))).alias("t")).dropDuplicates(["text_hash"])
+    texts = big.select(KEY, F.concat(F.lit(SPACE if m0.prefix else ""), F.replace("text", F.lit(" "), F.lit(SPACE))).alias("t")).dropDuplicates([KEY])
     parts = texts.select(
-        "text_hash",
+        KEY,
         F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk).cast("int")), lambda i: F.struct(
-            F.when(i > 0, F.substr("t", i * chunk + 1 - around, F.lit(around))).otherwise("").alias("left"),
+            F.when(i > 0, F.substr("t", F.greatest(i * chunk + 1 - around, F.lit(1)), F.least(i * chunk, F.lit(around)))).otherwise("").alias("left"),
             F.substr("t", i * chunk + 1, F.lit(chunk)).alias("text"),
             F.substr("t", (i + 1) * chunk + 1, F.lit(around)).alias("right"),
         ))).alias("part", "c"),
-    ).select("text_hash", "part", "c.*").repartition("text_hash", "part")
+    ).select(KEY, "part", "c.*").repartition(KEY, "part")
     state = "struct<id:int,piece:string,cut:int>"
 
     def matrices(batches):
@@ -277,32 +280,32 @@ def _encode_giant(big: DataFrame, model: str, chunk: int) -> DataFrame:
         for b in batches:
             rows = [[{"entry": dict(zip(("id", "piece", "cut"), e)), "exits": [dict(zip(("id", "piece", "cut"), x)) for x in xs]} for e, xs in m.matrix(*t).items()] for t in zip(*(b.column(n).to_pylist() for n in ("left", "text", "right")), strict=True)]
             st = pa.struct([("id", pa.int32()), ("piece", pa.string()), ("cut", pa.int32())])
-            yield pa.RecordBatch.from_arrays([b.column("text_hash"), b.column("part"), pa.array(rows, pa.list_(pa.struct([("entry", st), ("exits", pa.list_(st))])))], ["text_hash", "part", "matrix"])
+            yield pa.RecordBatch.from_arrays([b.column(KEY), b.column("part"), pa.array(rows, pa.list_(pa.struct([("entry", st), ("exits", pa.list_(st))])))], [KEY, "part", "matrix"])
 
     def scan(batches):
         m = loaded(model)
         tup = lambda s: (s["id"], s["piece"], s["cut"])
         for b in batches:
-            for h, ms in zip(b.column("text_hash").to_pylist(), b.column("ms").to_pylist(), strict=True):
+            for h, ms in zip(b.column(KEY).to_pylist(), b.column("ms").to_pylist(), strict=True):
                 ms = sorted(ms, key=lambda x: x["part"])
                 cuts = m.boundaries([{tup(r["entry"]): [tup(x) for x in r["exits"]] for r in x["matrix"]} for x in ms])
                 st = pa.struct([("id", pa.int32()), ("piece", pa.string()), ("cut", pa.int32())])
                 as_rows = lambda cs: pa.array([dict(zip(("id", "piece", "cut"), c)) for c in cs], st)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * len(ms), pa.int64()), pa.array([x["part"] for x in ms], pa.int32()), as_rows(cuts[:-1]), as_rows(cuts[1:])], ["text_hash", "part", "entry", "exit"])
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(ms), pa.int64()), pa.array([x["part"] for x in ms], pa.int32()), as_rows(cuts[:-1]), as_rows(cuts[1:])], [KEY, "part", "entry", "exit"])
 
     def traced(batches):
         m = loaded(model)
         tup = lambda s: (s["id"], s["piece"], s["cut"])
         for b in batches:
             got = [m.backtrace(t, r, tup(e), tup(x)) for t, r, e, x in zip(*(b.column(n).to_pylist() for n in ("text", "right", "entry", "exit")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("text_hash"), b.column("part"), pa.array(got, pa.binary())], ["text_hash", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(KEY), b.column("part"), pa.array(got, pa.binary())], [KEY, "part", "ids"])
 
-    made = parts.mapInArrow(matrices, f"text_hash bigint, part int, matrix array<struct<entry:{state},exits:array<{state}>>>")
-    cuts = made.groupBy("text_hash").agg(F.collect_list(F.struct("part", "matrix")).alias("ms")).mapInArrow(scan, f"text_hash bigint, part int, entry {state}, exit {state}")
-    ids = parts.join(cuts, ["text_hash", "part"]).mapInArrow(traced, "text_hash bigint, part int, ids binary")
-    whole = ids.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p"))
-    whole = whole.select("text_hash", F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("pieces"))
-    return big.join(whole, "text_hash", "left").drop("text_hash")
+    made = parts.mapInArrow(matrices, f"{KEY} bigint, part int, matrix array<struct<entry:{state},exits:array<{state}>>>")
+    cuts = made.groupBy(KEY).agg(F.collect_list(F.struct("part", "matrix")).alias("ms")).mapInArrow(scan, f"{KEY} bigint, part int, entry {state}, exit {state}")
+    ids = parts.join(cuts, [KEY, "part"]).mapInArrow(traced, f"{KEY} bigint, part int, ids binary")
+    whole = ids.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p"))
+    whole = whole.select(KEY, F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("pieces"))
+    return big.join(whole, KEY, "left").drop(KEY)
 
 
 def _digest(m: PieceModel, text: str | None, packed: bytes) -> tuple:
@@ -333,5 +336,5 @@ def round_trip(docs: DataFrame, model: str, giant: int = 1 << 20, chunk: int = 1
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], names)
 
     length = F.coalesce(F.length("text"), F.lit(0))
-    big = rows.where(length > giant).withColumn("text_hash", F.xxhash64("text"))
+    big = rows.where(length > giant).withColumn(KEY, F.xxhash64("text"))
     return rows.where(length <= giant).mapInArrow(both, schema).unionByName(_encode_giant(big, model, chunk).select("doc_id", "text", "pieces").mapInArrow(decoded, schema))
