@@ -25,9 +25,15 @@ def estimated(text: str) -> int:
     return int(len(WORDS.findall(text)) * 1.3)
 
 
-def longest_prefix(text: str, fits: Callable[[str], bool]) -> int:
-    """Length of the longest prefix that fits, at least 1; by halves, for counts grow with length."""
-    low, high = 1, len(text)
+def longest_prefix(text: str, fits: Callable[[str], bool], guess: int = 256) -> int:
+    """Length of the longest prefix that fits, at least 1: by doubling from a guess, then by halves, for counts grow with
+    length. What lies far behind the prefix isn't counted."""
+    high = min(guess, len(text))
+    low = 1
+    while fits(text[:high]):
+        if high == len(text):
+            return high
+        low, high = high, min(2 * high, len(text))
     while low < high:
         middle = (low + high + 1) // 2
         low, high = (middle, high) if fits(text[:middle]) else (low, middle - 1)
@@ -43,10 +49,10 @@ def split_recursive(text: str, size: int, overlap: int = 0, count: Counter = est
     out, at = [], 0
     while at < len(rest):
         tail = rest[at:]
-        if count(tail) <= size:
+        fit = longest_prefix(tail, lambda t: count(t) <= size, 4 * size)
+        if fit == len(tail) and count(tail) <= size:
             out.append(tail.strip())
             break
-        fit = longest_prefix(tail, lambda t: count(t) <= size)
         places = ((tail.rfind(s, max(1, fit // 3), fit), len(s)) for s in separators)
         cut = next((p + n for p, n in places if p > 0), fit)
         if not tail[:cut].strip():
@@ -68,9 +74,9 @@ def split_to_fit(text: str, fits: Callable[[str], bool]) -> list[str]:
     """Parts without overlap, cut at the last sentence end that fits, else semicolon, comma, blank, character."""
     out, rest = [], text.strip()
     while rest:
-        if fits(rest):
-            return [*out, rest]
         limit = longest_prefix(rest, fits)
+        if limit == len(rest) and fits(rest):
+            return [*out, rest]
         ends = (max((m.end() for m in p.finditer(rest, 0, limit + 1) if 0 < m.end() <= limit), default=0) for p in BOUNDARIES)
         cut = next((e for e in ends if rest[:e].strip()), limit)
         out.append(rest[:cut].strip())
