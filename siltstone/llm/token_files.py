@@ -6,7 +6,8 @@ counted in ids) and `docs` (little-endian signed 64-bit document ids). A partiti
 before it, is the prefix sum over the manifest.
 
 Defined cases: null and empty texts hold the end id alone; rows that repeat a doc_id keep one entry each, in order of
-their texts; an empty table gives no files and no rows; a null doc_id is an error, for it has no place in the order.
+their texts; an empty table gives no files and no rows; rows without a doc_id come
+first.
 """
 
 from __future__ import annotations
@@ -20,18 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import atomic_write, materialize, posix_path, small_batches, text_of
+from siltstone.llm.shared import Memo, atomic_write, materialize, posix_path, small_batches, text_of
 
-ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
-UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-MEMO = 300_000
+#: White space other than blank and line feed.
+ODD = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+#: A word of Latin letters before a blank or a mark ends there whatever follows; else a unit reaches to the next blank.
+UNIT = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n,.;:!?|$%#&*]|\Z)|[ \n]*[^ \n]+|[ \n]+")
+MEMO = 600_000
 
 
 class IdEncoder:
     """The tokenizers library, asked once for each distinct unit: blanks and line feeds with the word behind them.
 
     Byte-level pre-tokens never reach from a character that isn't white space to a blank, so units are encoded alone.
-    Units that are new in a batch are encoded in one call, parted by the end string, which is a special token.
+    Units that are new in a batch are encoded in one call and told apart by their first token, or, where they don't
+    begin with one blank or line feed, parted by the end string, which is a special token.
     """
 
     def __init__(self, path: str):
@@ -43,19 +47,34 @@ class IdEncoder:
         special = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
         self.mark_id, self.mark = next(iter(special.items()), (None, None))
         self.special = list(special.values())
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO)
+        #: Whether a token begins with a blank or line feed, which byte-level vocabularies write so.
+        first = (self.tok.id_to_token(i) or "?" for i in range(self.tok.get_vocab_size()))
+        self.begins = np.array([t[0] in "ĠĊ" for t in first])
 
     def _raw(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.width)
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed little-endian integers."""
         plain = self.mark is not None
-        units = [None if not plain or ODD_SPACE.search(t) or any(s in t for s in self.special) else UNIT.findall(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        self.memo.turn()
         memo = self.memo
-        new = list({u for us in units if us for u in us if u not in memo})
+        never = (*ODD, *self.special)
+        units = [None if not plain or any([c in t for c in never]) else UNIT.findall(t) for t in texts]
+        known = [us if us is None else list(map(memo.get, us)) for us in units]
+        new = {u for us, ks in zip(units, known, strict=True) if us and None in ks for u, k in zip(us, ks, strict=True) if k is None and memo.recall(u) is None}
+        # A word behind one blank or line feed needs no mark: its first token alone begins with white space.
+        led = [u for u in new if u[0] in " \n" and u[1:2] not in ("", " ", "\n")]
+        for at in range(0, len(led), 512):
+            some = led[at : at + 512]
+            ids = self._raw("".join(some))
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(some):
+                raise AssertionError("a unit didn't begin with one white space token")
+            for u, a, z in zip(some, starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+                memo[u] = ids[a:z].tobytes()
+        new = list(new.difference(led))
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             ids = self._raw(self.mark.join(some))
@@ -64,7 +83,7 @@ class IdEncoder:
             for u, end in zip(some, ends, strict=True):
                 memo[u] = ids[start:end].tobytes()
                 start = end + 1
-        return [self._raw(t).tobytes() if us is None else b"".join([memo[u] for u in us]) for t, us in zip(texts, units, strict=True)]
+        return [self._raw(t).tobytes() if us is None else b"".join(map(memo.__getitem__, us) if None in ks else ks) for t, us, ks in zip(texts, units, known, strict=True)]
 
 
 _LOADED: dict[str, IdEncoder] = {}
@@ -78,7 +97,7 @@ def encoder(path: str) -> IdEncoder:
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
     """Encode all texts, append end_id, write the files into `folder` (a URI on a shared mount); return the manifest:
-    part, base (ids of all parts before), n_ids, n_docs, width.
+    part, base (ids of all parts before), n_ids, n_docs, n_null (documents without an id, which come first), width.
 
     One exchange: texts go by range of doc_id. Files are named by partition and renamed into place, so a task that runs
     again after a lost executor leaves the same files.
@@ -86,7 +105,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     spark = docs.sparkSession
     small_batches(spark, 500)
     path = posix_path(folder)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.raise_error(F.lit("doc_id is null")).cast("long")).alias("doc_id"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches):
@@ -94,12 +113,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
 
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.width).tobytes()
-        part, packed, sizes, ids = TaskContext.get().partitionId(), [], [], []
+        part, packed, sizes, ids, nulls = TaskContext.get().partitionId(), [], [], [], 0
         for b in batches:
-            ids.append(b.column("doc_id").to_numpy(zero_copy_only=False))
+            nulls += b.column("doc_id").null_count
+            ids.append(b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
             texts = b.column("text").to_pylist()
-            for i in range(0, len(texts), 64):
-                got = enc.encode(texts[i : i + 64])
+            for i in range(0, len(texts), 200):
+                got = enc.encode(texts[i : i + 200])
                 sizes += [len(g) // enc.width.itemsize + 1 for g in got]
                 packed.append(end.join(got) + end)
         if not sizes:
@@ -109,9 +129,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         atomic_write(f"{path}/{part:06d}.ids", packed)
         atomic_write(f"{path}/{part:06d}.offsets", [offsets.tobytes()])
         atomic_write(f"{path}/{part:06d}.docs", [np.concatenate(ids).astype("<i8").tobytes()])
-        yield pa.RecordBatch.from_pydict({"part": [part], "n_ids": [int(offsets[-1])], "n_docs": [len(sizes)], "width": [enc.width.itemsize]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "n_ids": [int(offsets[-1])], "n_docs": [len(sizes)], "n_null": [nulls], "width": [enc.width.itemsize]})
 
-    made = materialize(ordered.mapInArrow(write, "part long, n_ids long, n_docs long, width long"), f"{folder}/manifest")
+    made = materialize(ordered.mapInArrow(write, "part long, n_ids long, n_docs long, n_null long, width long"), f"{folder}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return made.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
@@ -122,16 +142,16 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
 
     def read(batches):
         for b in batches:
-            for part, base, width in zip(*(b.column(n).to_pylist() for n in ("part", "base", "width")), strict=True):
+            for part, base, nulls, width in zip(*(b.column(n).to_pylist() for n in ("part", "base", "n_null", "width")), strict=True):
                 ids = np.memmap(f"{path}/{part:06d}.ids", f"<u{width}", "r")
                 offsets = np.memmap(f"{path}/{part:06d}.offsets", "<u8", "r")
                 docs = np.memmap(f"{path}/{part:06d}.docs", "<i8", "r")
                 for at in range(0, len(docs), 1000):
                     ends = offsets[at : at + 1001].astype(np.int64)
                     crcs = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(ends[:-1], ends[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + 1000]), pa.array(ends[:-1] + base), pa.array(np.diff(ends)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + 1000], mask=np.arange(at, at + len(crcs)) < nulls), pa.array(ends[:-1] + base), pa.array(np.diff(ends)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("part", "base", "width").repartition("part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("part", "base", "n_null", "width").repartition("part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(folder: str, part: int, row: int, width: int = 2) -> np.ndarray:
