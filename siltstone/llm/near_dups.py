@@ -219,7 +219,9 @@ def linked_across(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]
     of roots of products is at least the sum of the smaller weights: what stays under the bound can't be similar."""
     if not left or not right:
         return []
-    columns = np.intersect1d(np.concatenate([v[2] for v in left]), np.concatenate([v[2] for v in right]))
+    known = {v[0] for v in left}
+    found, texts = np.unique(np.concatenate([v[2] for v in left] + [v[2] for v in right if v[0] not in known]), return_counts=True)
+    columns = found[texts > 1]  # what one text has alone can't be shared
     if not len(columns):
         return []
     possible = np.zeros((len(left), len(right)), bool)
@@ -233,6 +235,7 @@ def linked_across(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]
                 m[i, at[hit]] = np.sqrt(v[k][hit])
             sides.append(m)
         low = sides[0] @ sides[1].T
+        del sides, m
         total = np.array([v[k].sum() for v in left])[:, None] + np.array([v[k].sum() for v in right])[None, :]
         possible |= low * (1 + SIMILARITY) >= SIMILARITY * total * (1 - 1e-4)
     out = []
