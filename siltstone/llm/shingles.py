@@ -65,25 +65,24 @@ def frequent_shingles(texts: DataFrame, n_texts: int, flush: int = 2_000_000) ->
     only = texts.select("text")
 
     def local(batches) -> Iterator[pa.RecordBatch]:
-        held, n, docs = [], 0, 0
+        # Of two runs the elder is passed on when the younger is full, so that none but a short task's only one is short.
+        elder, run, n = [], [], 0
 
-        def out() -> pa.RecordBatch:
-            got, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(got[c >= share * docs].view(np.int64))], ["h"])
+        def out(run: list[np.ndarray]) -> pa.RecordBatch:
+            got, c = np.unique(np.concatenate(run), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(got[c >= share * len(run)].view(np.int64))], ["h"])
 
         for b in batches:
             for t in b.column("text").to_pylist():
-                h = shingles(t)[0]
-                held.append(h)
-                n += len(h)
-                docs += 1
+                run.append(shingles(t)[0])
+                n += len(run[-1])
                 if n >= flush:
-                    yield out()
-                    held, n, docs = [], 0, 0
-        if held:
-            yield out()
+                    if elder:
+                        yield out(elder)
+                    elder, run, n = run, [], 0
+        if elder or run:
+            yield out(elder + run)
 
-    # In short runs much is frequent by chance; runs that short say nothing, and a text's own count comes in pass two.
     found = only.mapInArrow(local, "h long").groupBy("h").count().drop("count").toPandas()["h"].to_numpy(np.int64)
     some = np.sort(found.view(np.uint64))
     if not len(some):
