@@ -185,3 +185,11 @@ def test_streams(spark, tmp_path, small):
     assert got and all(batch[k] == v for k, v in got.items())
     S.upsert(spark.readStream.schema(events.schema).parquet(src), str(tmp_path / "up"), "event_id", str(tmp_path / "cp2")).awaitTermination(120)
     assert S.newest(spark.read.parquet(str(tmp_path / "up")), "event_id").count() == events.count()
+
+
+def test_url_scores(spark):
+    urls = spark.createDataFrame([("https://x/doc-12-2020-nd-cp-full",), ("https://x/12-2020-nd-cp",), ("https://x/13-2020",)], "url string")
+    assert files.score_urls(urls, "12/2020/ND-CP").first().url == "https://x/12-2020-nd-cp"
+    twice = spark.createDataFrame([("https://x/12-2020a",), ("https://x/12-2020b",)], "url string")
+    with pytest.raises(files.CorpusError):
+        files.score_urls(twice, "12/2020")
