@@ -1,12 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds with a lossless count filter, then Smith-Waterman alignment.
 
-Words are runs of letters and digits in lower case. The texts' own counts say how rare each three-word sequence of a
-test item is; of every few neighbouring ones in the item the rarest is a seed, so each part of an item has one however
-frequent its words are. A text that holds a seed is aligned with the item around it, and is a leak if the local
-alignment scores at least half of what the whole item would.
+Words are runs of letters and digits in lower case. A text leaks an item if their local alignment scores at least half of
+what the whole item would. Every two-word sequence of an item is a seed, however frequent. With these scores an alignment
+of half of an item's L words keeps at least L / 3 - 1 of its two-word sequences unbroken and covers at most 5 / 3 L words
+of the text; so a text is aligned with an item wherever so many seeds stand within so many words, and nothing that would
+reach the score is passed over.
 
 Defined cases: null and empty texts and items match nothing; items of fewer than three words have one seed of all their
-words; repeated rows and items give a row each; a null doc_id or item_id stays null; extra columns are ignored or kept.
+words, those of three have their single words; repeated rows and items give a row each; a null doc_id or item_id stays
+null; extra columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -20,15 +22,17 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.shared import small_batches, text_of
 
-GRAM, WINDOW, THRESHOLD = 3, 6, 0.5
+THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.75
 #: Items that are held in memory at once; more are worked through in blocks.
 BLOCK = 20_000
+#: Pairs of a seed's place and an item that are held at once; longer texts are worked through in overlapping parts.
+PAIRS = 2_000_000
 WORD = re.compile(r"[^\W_]+")
 
 
 class Items:
-    """The test items of a block: word ids of their own vocabulary, and every n-gram by place."""
+    """The test items of a block: word ids of their own vocabulary, and the items of every seed."""
 
     def __init__(self, rows: list[tuple[int | None, str]]):
         self.vocabulary: dict[str, int] = {}
@@ -39,63 +43,73 @@ class Items:
             if len(ws):
                 self.ids.append(i)
                 self.words.append(ws)
-        grams = [(_key(ws[p : p + GRAM]), n, p) for n, ws in enumerate(self.words) for p in range(max(1, len(ws) - GRAM + 1))]
-        self.grams = sorted({g for g, _, _ in grams})
-        self.at = np.array(self.grams, np.uint64)
-        self.lengths = sorted({min(GRAM, len(ws)) for ws in self.words})
-        index = {g: k for k, g in enumerate(self.grams)}
-        self.places = [(index[g], n, p) for g, n, p in grams]
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
-        self.order = np.empty(0, np.uint64)
-
-    def choose(self, df: np.ndarray) -> None:
-        """Seeds, given how many texts have each n-gram: the rarest of any WINDOW neighbouring ones, the first of equals."""
-        by_item: dict[int, list[tuple[int, int]]] = {}
-        for g, n, p in self.places:
-            by_item.setdefault(n, []).append((p, g))
-        for n, line in by_item.items():
-            line.sort()
-            for a in range(max(1, len(line) - WINDOW + 1)):
-                p, g = min(line[a : a + WINDOW], key=lambda x: (df[x[1]], x[0]))
-                if (n, p) not in self.seeds.setdefault(g, []):
-                    self.seeds[g].append((n, p))
-        self.picked = np.array(sorted(self.seeds), np.int64)
-        self.order = self.at[self.picked] if len(self.picked) else np.empty(0, np.uint64)
+        size = np.array([len(ws) for ws in self.words], np.int64)
+        #: Words of a seed; seeds that a leak keeps at least; words of the text that it covers at most.
+        self.gram = np.where((size == 1) | (size == 3), 1, 2)
+        self.need = np.where(size == 3, 2, np.maximum(1, -((3 - size) // 3)))
+        self.span = np.where(size < 3, size, 5 * size // 3)
+        self.grams = sorted(set(self.gram.tolist()))
+        keys = [np.unique(self._keys(ws, np.arange(len(ws) - g + 1), g)) for ws, g in zip(self.words, self.gram.tolist(), strict=True)]
+        every = np.concatenate([*keys, np.empty(0, np.int64)])
+        order = np.argsort(every, kind="stable")
+        self.keys, first = np.unique(every[order], return_index=True)
+        self.begin = np.append(first, len(every))
+        self.items = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order]
+
+    def _keys(self, ws: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+        """A number for each seed at these places: pairs of words come first, single words behind them."""
+        v = len(self.vocabulary)
+        return ws[at] * v + ws[at + 1] if gram == 2 else v * v + ws[at]
 
     def encode(self, text: str) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int64)
 
-    def found(self, ws: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index in the sorted table of n-grams, place in the text) of every n-gram of a text that is in the table."""
-        out_g, out_p = [], []
-        for k in self.lengths:
-            if len(ws) < k:
+    def candidates(self, ws: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Ranges of a text that hold every leak, by item: where enough seeds of it stand close enough together."""
+        places, seeds = [], []
+        for g in self.grams:
+            if len(ws) < g:
                 continue
-            at = np.flatnonzero(np.minimum.reduce([ws[i : len(ws) - k + 1 + i] for i in range(k)]) >= 0)
-            if not len(at):
+            at = np.flatnonzero(ws >= 0) if g == 1 else np.flatnonzero((ws[:-1] >= 0) & (ws[1:] >= 0))
+            keys = self._keys(ws, at, g)
+            pos = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[pos] == keys
+            places.append(at[hit])
+            seeds.append(pos[hit])
+        out: dict[int, list[tuple[int, int]]] = {}
+        if not places:
+            return out
+        at, seed = np.concatenate(places), np.concatenate(seeds)
+        if len(places) > 1:
+            order = np.argsort(at, kind="stable")
+            at, seed = at[order], seed[order]
+        todo = [(at, seed)]
+        while todo:
+            at, seed = todo.pop()
+            begin = self.begin[seed]
+            count = self.begin[seed + 1] - begin
+            total = int(count.sum())
+            if not total:
                 continue
-            keys = _keys(ws, at, k)
-            pos = np.searchsorted(table, keys)
-            pos[pos == len(table)] = 0
-            hit = table[pos] == keys if len(table) else np.zeros(len(keys), bool)
-            out_g.append(pos[hit])
-            out_p.append(at[hit])
-        if not out_g:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(out_g), np.concatenate(out_p)
-
-
-def _keys(ws: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    acc = np.full(len(at), k, np.uint64)
-    for i in range(k):
-        acc = (acc ^ ws[at + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        acc ^= acc >> np.uint64(29)
-    return acc
-
-
-def _key(ws: np.ndarray) -> int:
-    return int(_keys(ws, np.zeros(1, np.int64), len(ws))[0])
+            if total > PAIRS:
+                middle = at[len(at) // 2]
+                left, right = int(np.searchsorted(at, middle + self.span.max())), int(np.searchsorted(at, middle))
+                if left < len(at) and right:
+                    todo += [(at[right:], seed[right:]), (at[:left], seed[:left])]
+                    continue
+            n = self.items[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(total)]
+            line = np.sort(n * len(ws) + np.repeat(at, count))
+            n, p = np.divmod(line, len(ws))
+            last = np.arange(total) + self.need[n] - 1
+            first = np.flatnonzero(last < total)
+            last = last[first]
+            near = (n[first] == n[last]) & (p[last] - p[first] <= self.span[n[first]] - self.gram[n[first]])
+            first, last = first[near], last[near]
+            n, a, z = n[first], np.maximum(p[last] + self.gram[n[first]] - self.span[n[first]], 0), np.minimum(p[first] + self.span[n[first]], len(ws))
+            for k, x, y in zip(n.tolist(), a.tolist(), z.tolist(), strict=True):
+                out.setdefault(k, []).append((x, y))
+        return out
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
@@ -130,17 +144,8 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
 def leaks_in(items: Items, text: str) -> list[tuple[int | None, float, int, int]]:
     """(item_id, score, first word, last word + 1) of each item that a whole text leaks."""
     ws = items.encode(text)
-    g, places = items.found(ws, items.order)
-    if not len(g):
-        return []
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for k, at in zip(g.tolist(), places.tolist(), strict=True):
-        for n, p in items.seeds[int(items.picked[k])]:
-            size = len(items.words[n])
-            slack = size // 2 + 2
-            spans.setdefault(n, []).append((max(0, at - p - slack), min(len(ws), at - p + size + slack)))
     out = []
-    for n, ranges in spans.items():
+    for n, ranges in items.candidates(ws).items():
         item, best = items.words[n], (0.0, 0, 0)
         merged: list[list[int]] = []
         for a, z in sorted(ranges):
@@ -181,7 +186,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in _blocks(benchmark):
         if not items.words:
             continue
-        items.choose(_frequencies(rows, items))
         seeded = spark.sparkContext.broadcast(items)
 
         def find(batches, seeded=seeded):
@@ -203,7 +207,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in _blocks(benchmark):
         if not items.words:
             continue
-        items.choose(_frequencies(docs, items))
         seeded = spark.sparkContext.broadcast(items)
 
         def clean(batches, seeded=seeded):
@@ -214,22 +217,3 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         out = out.mapInArrow(clean, docs.schema)
     return out
-
-
-def _frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    """How many texts have each n-gram of the items; there are as many counts as the items have n-grams."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches):
-        items = shared.value
-        n = np.zeros(len(items.at), np.int64)
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                n[np.unique(items.found(items.encode(t), items.at)[0])] += 1
-        hit = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(n[hit])], ["g", "n"])
-
-    df = np.zeros(len(items.at), np.int64)
-    for r in docs.select(text_of().alias("text")).mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
-        df[r["g"]] = r["n"]
-    return df
