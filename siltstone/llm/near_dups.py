@@ -1,7 +1,9 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 Equal texts are one text from the start. Each text's five-word shingles are weighted by TF-IDF; samples of them agree
-for two texts with probability equal to their weighted Jaccard similarity, and are banded. In each bucket of each band
+for two texts with probability equal to their weighted Jaccard similarity, and are banded. A text with a shingle that
+many texts share is sampled by its term counts too, into the same buckets: where no shingle is frequent both weights are
+one, so such a text also meets those that are sampled once. In each bucket of each band
 all texts are held against the most central one, and each against its successor in the order of the signatures, so a
 bucket costs a number of pairs in proportion to its texts. Where a bucket's texts then lie in different components, those
 outside its largest one are held against all others, in blocks of bounded size, by a matrix product that bounds the
@@ -103,22 +105,34 @@ def exact_classes(docs: DataFrame, where: str) -> tuple[DataFrame, DataFrame]:
 
 
 def signatures(texts: DataFrame, frequent: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """(rep, band, bucket, sig): a row for each band; sig, the hash of the next band, orders a bucket."""
+    """(rep, band, bucket, sig): a row for each band by TF-IDF, and one by term counts where that is another bucket; sig,
+    the hash of the next band, orders a bucket."""
     small_batches(texts.sparkSession, 500)
     shared = texts.sparkSession.sparkContext.broadcast((frequent, idf))
 
     def sign(batches):
         frequent, idf = shared.value
         for b in batches:
-            reps, found = [], []
+            reps, at, buckets, sigs = [], [], [], []
             for rep, t in zip(b.column("rep").to_pylist(), b.column("text").to_pylist(), strict=True):
                 h, tf = shingles(t)
-                if len(h):
-                    reps.append(rep)
-                    found.append(bands(h, weights(h, tf, frequent, idf)))
+                if not len(h):
+                    continue
+                w = weights(h, tf, frequent, idf)
+                s = bands(h, w)
+                reps.append(np.full(BANDS, rep, np.int64))
+                at.append(np.arange(BANDS, dtype=np.int32))
+                buckets.append(s)
+                sigs.append(np.roll(s, -1))
+                if (w != tf).any():
+                    c = bands(h, tf.astype(np.float64))
+                    other = np.flatnonzero(c != s)
+                    reps.append(np.full(len(other), rep, np.int64))
+                    at.append(other.astype(np.int32))
+                    buckets.append(c[other])
+                    sigs.append(np.roll(c, -1)[other])
             if reps:
-                s = np.stack(found).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(reps, np.int64), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(reps))), pa.array(s.ravel()), pa.array(np.roll(s, -1, 1).ravel())], ["rep", "band", "bucket", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps)), pa.array(np.concatenate(at)), pa.array(np.concatenate(buckets).view(np.int64)), pa.array(np.concatenate(sigs).view(np.int64))], ["rep", "band", "bucket", "sig"])
 
     return texts.mapInArrow(sign, "rep long, band int, bucket long, sig long")
 

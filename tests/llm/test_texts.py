@@ -270,3 +270,24 @@ def test_blocks_against_all_pairs():
     want = {(p[0], q[0]) for p in vectors[:30] for q in vectors[30:] if p[1] != q[1] and any(shingles.weighted_jaccard((p[2], p[k]), (q[2], q[k])) >= 0.8 for k in (3, 4))}
     assert want and set(near_dups.linked_across(vectors[:30], vectors[30:])) == want
     assert near_dups.linked_across([], vectors) == []
+
+
+@pytest.mark.parametrize("passages, taken", [(12, 6), (15, 5)])
+def test_copies_made_of_what_many_texts_share(spark, passages, taken):
+    """Half or a third of all texts have each passage; copies are alike by term counts, hardly ever by TF-IDF."""
+    r = random.Random(8)
+    shared = [prose(5000 + i, 20) for i in range(passages)]
+    picks = set()
+    while len(picks) < 700:
+        picks.add(tuple(sorted(r.sample(range(passages), taken))))
+    texts = [f"{' '.join(shared[k] for k in pick)} {prose(6000 + 2 * i + k, 2 * taken)}" for i, pick in enumerate(sorted(picks)) for k in range(2)]
+    found = [shingles.shingles(t) for t in texts]
+    assert all(tf.max() == 1 for _, tf in found)
+    every, n = np.unique(np.concatenate([h for h, _ in found]), return_counts=True)
+    columns = every[n > 1]
+    m = np.stack([np.isin(columns, h) for h, _ in found]).astype(np.float32)
+    low, size = m @ m.T, np.array([len(h) for h, _ in found])
+    pairs = np.argwhere(np.triu(low >= near_dups.SIMILARITY * (size[:, None] + size[None, :] - low), 1))
+    assert [(int(a), int(b)) for a, b in pairs] == [(2 * i, 2 * i + 1) for i in range(700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in near_dups.duplicate_classes(df).collect()} == {i: i - i % 2 for i in range(len(texts))}
