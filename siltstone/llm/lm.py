@@ -6,9 +6,13 @@ range, and the range is searched for the successor, all keys being one monotone
 are quantised to 16-bit codes: exact up to 2,000, then in steps of 0.1 %. Both levels lie in memory-mapped files, cut
 into parts of equal token mass, so that no task builds more than a part and a frequent word may lie in several.
 
-Probability: modified Kneser-Ney discounts (from counts of counts), interpolated with the smoothed unigram
-(c + 0.1) / (N + 0.1 (V + 1)), so every word, known or not, has a positive probability. The context of a text's first
-word is the end of a text.
+In a model of order three, level three holds the words seen behind every pair, as keys place * V + successor of the
+pair's place in its part, cut into the same parts, and how many successors of a pair were seen once, twice and more often,
+from which its backoff mass follows. One pass counts both levels.
+
+Probability: modified Kneser-Ney discounts (from counts of counts), interpolated with the next lower order, at last with
+the smoothed unigram (c + 0.1) / (N + 0.1 (V + 1)), so every word, known or not, has a positive probability. The context
+of a text's first word is the end of a text, and no more than that; a pair that wasn't seen gives no context.
 
 Defined cases: a null or empty text is one end token; a null doc_id counts as held out; repeated rows count each; where
 nothing is trained on, all scores are 0; extra columns are ignored.
@@ -67,6 +71,34 @@ def _sums(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return keys[starts], np.add.reduceat(counts, starts)
 
 
+def _triple_sums(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (pair, next) of runs of (pairs, nexts, counts) in order, and the sums of their counts. Empties the list."""
+    pairs, nexts, counts = (np.concatenate([r[i] for r in runs]) for i in range(3))
+    runs.clear()
+    order = np.lexsort((nexts, pairs))
+    pairs, nexts, counts = pairs[order], nexts[order], counts[order]
+    del order
+    starts = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (nexts[1:] != nexts[:-1])]))
+    return pairs[starts], nexts[starts], np.add.reduceat(counts, starts)
+
+
+def _triples(ids: np.ndarray, at: np.ndarray, sizes: np.ndarray, end_at: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens of texts, by their places `at` among distinct words in order and those words' ids: distinct pairs of
+    words with what follows (v behind a text's end), and how often each occurs."""
+    before = np.roll(at, 1)
+    before[np.cumsum(sizes)[:-1]] = before[0] = end_at
+    after = np.roll(at, -1)
+    n = len(ids) + 1
+    after[np.cumsum(sizes) - 1] = n - 1
+    ids = np.append(ids, v).astype(np.uint64)
+    if n < 1 << 21:
+        key, c = np.unique((before * n + at) * n + after, return_counts=True)
+        pair, after = np.divmod(key, n)
+        before, at = np.divmod(pair, n)
+        return ids[before] * np.uint64(v) + ids[at], ids[after].astype(np.uint32), c.astype(np.uint32)
+    return _triple_sums([(ids[before] * np.uint64(v) + ids[at], ids[after].astype(np.uint32), np.ones(len(at), np.uint32))])
+
+
 def index(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts: distinct word hashes in order; of each token its place among them; tokens of each text."""
     local: dict[bytes, int] = defaultdict(itertools.count().__next__)
@@ -172,11 +204,14 @@ def _borders(words: Words, v: int, parts: int) -> np.ndarray:
 
 
 class Trie:
-    """Both levels; of level two a part is opened when it is asked for."""
+    """All levels; of levels two and three a part is opened when it is asked for. Of order three if it has discounts for
+    triples."""
 
-    def __init__(self, folder: str, words: Words, borders: np.ndarray, v: int, discounts: tuple[float, float, float]):
+    def __init__(self, folder: str, words: Words, borders: np.ndarray, v: int, discounts: tuple[float, float, float], third: tuple[float, float, float] | None = None):
         self.folder, self.words, self.borders, self.v, self.discounts = folder, words, borders, v, np.array([0.0, *discounts])
         self.open: dict[int, tuple | None] = {}
+        self.third = np.array([0.0, *third]) if third else None
+        self.open_third: dict[int, tuple] = {}
 
     def part(self, k: int) -> tuple | None:
         if k not in self.open:
@@ -204,6 +239,40 @@ class Trie:
                 out[a:z][hit] = self.discounted(part[1][at[hit]])
         return out
 
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Part, place in it (-1: not seen) and code of the count of each key of level two, in order."""
+        of, place, code = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.uint16)
+        for k, a, z in self._runs(keys):
+            part = self.part(k)
+            if part:
+                at = part[0].find(keys[a:z] - self.borders[k])
+                of[a:z], place[a:z] = k, at
+                code[a:z][at >= 0] = part[1][at[at >= 0]]
+        return of, place, code
+
+    def third_part(self, k: int) -> tuple:
+        if k not in self.open_third:
+            a = _load(f"{self.folder}/{k:06d}.triples", "uuuuuuuuuu")
+            self.open_third[k] = (elias_fano.Sequence(*a[:4]), a[4], a[5:8], a[8], a[9].reshape(-1, 3))
+        return self.open_third[k]
+
+    def third_backoff(self, k: int, place: np.ndarray) -> np.ndarray:
+        """Mass taken off the counts behind each pair of a part."""
+        _, _, small, large, counts = self.third_part(k)
+        n = np.stack([x[place] for x in small], 1).astype(np.float64)
+        over = np.flatnonzero((n == 255).any(1))
+        n[over] = counts[np.searchsorted(large, place[over].astype(np.uint64))]
+        return n @ self.third[1:]
+
+    def triples(self, k: int, place: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Discounted count of each successor (in order of pair and successor) of pairs of a part, 0 where not seen."""
+        seq, code, *_ = self.third_part(k)
+        at = seq.find(place.astype(np.uint64) * np.uint64(self.v) + successor.astype(np.uint64))
+        out = np.zeros(len(place))
+        got = code[at[at >= 0]]
+        out[at >= 0] = np.maximum(counts_of(got) - self.third[np.minimum(got, 3).astype(np.int64)], 0.0)
+        return out
+
     def backoff(self, ids: np.ndarray) -> np.ndarray:
         """Mass taken off the counts behind each word (ids in order); a frequent word's range lies in several parts."""
         out = np.zeros(len(ids))
@@ -273,8 +342,8 @@ def _write_words(counted: DataFrame, folder: str) -> tuple[Words, int, int]:
     return Words(path, out, mass), ids, mass
 
 
-def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
-    """(trie, N, V) of a frame with a column text; files go below `folder` (a URI on a shared mount)."""
+def train(texts: DataFrame, folder: str, order: int = 2) -> tuple[Trie, int, int]:
+    """(trie, N, V) of a frame with a column text; files go below `folder` (a URI on a shared mount). Order: 2 or 3."""
     spark = texts.sparkSession
     small_batches(spark, 500)
     path = posix_path(folder)
@@ -335,9 +404,44 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
         if held:
             yield out()
 
+    def trigrams(batches):
+        n = 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def out():
+            keys, nexts, c = _triple_sums(held)
+            cuts = np.searchsorted(keys, borders)
+            got = [(k, a, z) for k, (a, z) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True)) if a < z]
+            blobs = [zlib.compress(_varints(np.concatenate([np.diff(keys[a:z], prepend=borders[k]), nexts[a:z].astype(np.uint64), c[a:z].astype(np.uint64)])), 1) for k, a, z in got]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in got], pa.int32()), pa.array([z - a for _, a, z in got], pa.int64()), pa.array(blobs, pa.binary())], ["part", "n", "blob"])
+
+        for (group,) in _groups(batches, ["text"], AT_ONCE):
+            h, at, sizes = index(group)
+            end_at = int(np.searchsorted(h, np.uint64(xxhash.xxh64_intdigest(END))))
+            held.append(_triples(words.find(h)[0], at, sizes, end_at, v))
+            n += len(held[-1][0])
+            if n >= FLUSH:
+                yield out()
+                n = 0
+        if held:
+            yield out()
+
     end_id = int(words.find(np.array([xxhash.xxh64_intdigest(END)], np.uint64))[0][0])
     words.open.clear()
 
+    def build_both(batches):
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for b in batches:
+            for k, n, blob in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                keys, nexts, c = _read_varints(np.frombuffer(zlib.decompress(blob), np.uint8)).reshape(3, n)
+                held.setdefault(k, []).append((np.cumsum(keys, dtype=np.uint64) + borders[k], nexts.astype(np.uint32), c.astype(np.int64)))
+        for k in sorted(held):
+            keys, nexts, c = _triple_sums(held.pop(k))
+            pairs, starts = np.unique(keys, return_index=True)
+            made = _write_pairs(path, k, pairs, np.add.reduceat(c, starts), borders, v)
+            more = _write_triples(path, k, starts, nexts, c, v)
+            yield pa.RecordBatch.from_arrays([*made.columns, *(pa.array([x], pa.int64()) for x in more)], [*made.schema.names, "t1", "t2", "t3", "t4"])
+
     def build(batches):
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for b in batches:
@@ -349,10 +453,12 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
             yield _write_pairs(path, k, keys, c, borders, v)
 
     n_parts = len(borders)
-    packed = only.mapInArrow(bigrams, "part int, n long, blob binary").repartition(n_parts, "part")
-    made = materialize(packed.mapInArrow(build, "part int, n1 long, n2 long, n3 long, n4 long"), f"{folder}/pairs-manifest")
+    packed = only.mapInArrow(trigrams if order == 3 else bigrams, "part int, n long, blob binary").repartition(n_parts, "part")
+    kinds = "part int, n1 long, n2 long, n3 long, n4 long"
+    made = materialize(packed.mapInArrow(build_both, f"{kinds}, t1 long, t2 long, t3 long, t4 long") if order == 3 else packed.mapInArrow(build, kinds), f"{folder}/pairs-manifest")
     n1, n2, n3, n4 = (x or 0 for x in made.agg(*(F.sum(f"n{i}") for i in (1, 2, 3, 4))).first())
     discounts = _discounts(n1, n2, n3, n4)
+    third = _discounts(*(x or 0 for x in made.agg(*(F.sum(f"t{i}") for i in (1, 2, 3, 4))).first())) if order == 3 else None
 
     def weigh(batches):
         for b in batches:
@@ -361,7 +467,7 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
                 yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32())})
 
     materialize(made.select("part").repartition(n_parts, "part").mapInArrow(weigh, "part int"), f"{folder}/backoff-manifest")
-    return Trie(path, words, borders, v, discounts), total, v
+    return Trie(path, words, borders, v, discounts, third), total, v
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -416,6 +522,22 @@ def _write_pairs(path: str, k: int, keys: np.ndarray, c: np.ndarray, borders: np
     return pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), **{f"n{i}": pa.array([int((c == i).sum())], pa.int64()) for i in (1, 2, 3, 4)}})
 
 
+def _write_triples(path: str, k: int, starts: np.ndarray, nexts: np.ndarray, c: np.ndarray, v: int) -> list[int]:
+    """A part of level three, of pairs that begin at `starts`: successor keys, codes of their counts, and each pair's
+    numbers of successors seen once, twice and more often, in a byte each; 255 where one needs more, then they stand in a
+    list. Returns how many triples have each count up to 4."""
+    if len(starts) * v >= 1 << 64:
+        raise ValueError("keys of level three don't fit 64 bits")
+    pair = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(nexts)))
+    real = nexts < v  # not what stands behind the end of a text
+    pair, nexts, c = pair[real], nexts[real], c[real]
+    n = np.stack([np.bincount(pair[some], minlength=len(starts)) for some in (c == 1, c == 2, c > 2)], 1)
+    large = np.flatnonzero((n >= 255).any(1))
+    small = np.minimum(n, 255).astype(np.uint8)
+    _save(f"{path}/{k:06d}.triples", [*elias_fano.encode(pair.astype(np.uint64) * np.uint64(v) + nexts, len(starts) * v), codes(c), *small.T, large.astype("<u8"), n[large].astype("<u8").ravel()])
+    return [int((c == i).sum()) for i in (1, 2, 3, 4)]
+
+
 def _write_backoff(path: str, k: int, discounts: tuple[float, float, float]) -> None:
     """A part's file with the mass that each first word's counts give up. The file without it stays for a task that runs
     again."""
@@ -457,27 +579,56 @@ class Scorer:
             seen = np.zeros(len(some))
             pair = np.flatnonzero(own[some] >= 0)
             keys, back = np.unique(before[some][pair].astype(np.uint64) * np.uint64(self.v) + own[some][pair].astype(np.uint64), return_inverse=True)
-            seen[pair] = self.trie.pairs(keys)[back]
+            if self.trie.third is None:
+                seen[pair] = self.trie.pairs(keys)[back]
+            else:
+                of, place, code = self.trie.places(keys)
+                seen[pair] = np.where(place >= 0, self.trie.discounted(code), 0.0)[back]
             # The counts of a range, being quantised, needn't add up to n: what is missing goes to the unigram.
             p[some] = seen / n + np.minimum(mass / n, 1.0) * p[some]
+            if self.trie.third is not None:
+                # The pair that ends before a token is its context.
+                ends_here = np.full(len(at), -1, np.int64)
+                ends_here[some[pair]] = np.where(place >= 0, np.arange(len(keys)), -1)[back]
+                context = np.roll(ends_here, 1)
+                context[starts] = -1
+                self._third(p, np.flatnonzero(context >= 0), context, at, ids, of, place, counts_of(code))
         return sizes, known, base, np.add.reduceat(np.log10(p), starts)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+    def _third(self, p: np.ndarray, some: np.ndarray, context: np.ndarray, at: np.ndarray, ids: np.ndarray, of: np.ndarray, place: np.ndarray, n: np.ndarray) -> None:
+        """Interpolates p of some tokens at the third level; of, place, n: part, place and count of each pair in order."""
+        if not len(some):
+            return
+        key, back = np.unique(context[some] * len(ids) + at[some], return_inverse=True)
+        pair, word = np.divmod(key, len(ids))
+        own = ids[word]
+        seen, mass = np.zeros(len(key)), np.zeros(len(key))
+        cuts = np.flatnonzero(np.diff(of[pair])) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+            k, where = int(of[pair[a]]), place[pair[a:z]]
+            mass[a:z] = self.trie.third_backoff(k, where)
+            known = np.flatnonzero(own[a:z] >= 0)
+            seen[a + known] = self.trie.triples(k, where[known], own[a:z][known])
+        n = n[pair]
+        p[some] = (seen / n)[back] + np.minimum(mass / n, 1.0)[back] * p[some]
+
+
+def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; learned from those whose
-    crc32(doc_id as text) mod 10 isn't 0."""
+    crc32(doc_id as text) mod 10 isn't 0, by a model of order 2 or 3."""
     spark = docs.sparkSession
     folder = work_dir(spark, "lm")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
     rows = docs.select("doc_id", held.alias("held_out"), text_of().alias("text"))
-    trie, total, v = train(rows.where("not held_out"), folder)
+    trie, total, v = train(rows.where("not held_out"), folder, order)
     trie.open.clear()
     small_batches(spark, 500)
-    shared = spark.sparkContext.broadcast((trie.folder, trie.words.parts, trie.borders, trie.discounts[1:].tolist()))
+    shared = spark.sparkContext.broadcast((trie.folder, trie.words.parts, trie.borders, trie.discounts[1:].tolist(), None if trie.third is None else trie.third[1:].tolist()))
 
     def score(batches):
-        where, parts, borders, discounts = shared.value
-        scorer = Scorer(Trie(where, Words(where, parts, total), borders, max(1, v), tuple(discounts)), total, max(1, v) if total else 0)
+        where, parts, borders, discounts, third = shared.value
+        scorer = Scorer(Trie(where, Words(where, parts, total), borders, max(1, v), tuple(discounts), third), total, max(1, v) if total else 0)
         for ids, held_out, texts in _groups(batches, ["doc_id", "held_out", "text"], SCORED):
             n, known, base, got = scorer.score(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(held_out, pa.bool_()), pa.array(n), pa.array(known), pa.array([total] * len(n), pa.int64()), pa.array(base), pa.array(got)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -54,7 +54,7 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(table(spark, sf_dir, "documents"))
+    return lm.score_documents(table(spark, sf_dir, "documents"), order=3)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

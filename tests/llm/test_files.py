@@ -118,6 +118,54 @@ def test_scores_against_plain_counts(spark, monkeypatch):
     assert by == want
 
 
+def test_scores_of_order_three_against_plain_counts(spark, monkeypatch):
+    """The third level interpolates with the second; a context that wasn't seen falls back to it. op9 has order three."""
+    monkeypatch.setattr(lm, "PART_TOKENS", 300)
+    monkeypatch.setattr(lm, "PART_WORDS", 100)
+    monkeypatch.setattr(lm, "FLUSH", 500)
+    few = lambda i: " ".join(f"v{x % 7}" for x in np.random.default_rng(i).integers(0, 50, 40))
+    rows = [(i, f"The {prose(i % 25, 20)} {few(i)} the The") for i in range(60)] + [(200 + i, f"a b u{i}") for i in range(700)] + [(100, None), (101, ""), (None, "v1 v2 v3 w1"), (102, "unseen v1 v2 words"), (3, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held, total, lower = reference_model(rows)
+    tok = lambda t: [*(t or "").lower().split(), None]
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for i, t in rows:
+        if not held[i]:
+            w = tok(t)
+            uni.update(w)
+            bi.update(zip([None, *w], w, strict=False))
+            tri.update(zip([None, *w], w, w[1:], strict=False))
+    assert max(Counter(x[:2] for x, c in tri.items() if c == 1).values()) > 255
+    counts = lambda x: [Counter(x.values())[k] for k in (1, 2, 3, 4)]
+    d2, d3 = ([0.0, *lm._discounts(*counts(x))] for x in (bi, tri))
+    back2, back3 = Counter(), Counter()
+    for (a, _), c in bi.items():
+        back2[a] += d2[min(c, 3)]
+    for (a, b, _), c in tri.items():
+        back3[a, b] += d3[min(c, 3)]
+
+    def score(t):
+        full, context = 0.0, (None,)
+        for w in tok(t):
+            p, b = (uni[w] + 0.1) / (total + 0.1 * (len(uni) + 1)), context[-1]
+            if uni[b]:
+                p = (bi[b, w] - d2[min(bi[b, w], 3)] + back2[b] * p) / uni[b]
+            if len(context) == 2 and bi[context]:
+                p = (tri[(*context, w)] - d3[min(tri[(*context, w)], 3)] + back3[context] * p) / bi[context]
+            full += math.log10(p)
+            context = (b, w)
+        return full
+
+    got = {(r.doc_id, r.n_tokens): r for r in lm.score_documents(docs, order=3).collect()}
+    for i, t in rows:
+        r = got[i, len(tok(t))]
+        assert abs(r.score - score(t)) < 1e-6 and abs(r.base_score - lower(t)[2]) < 1e-6
+    folder = work_dir(spark, "op9-order")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    for r in queries.op9_lm_scores(spark, folder).collect():
+        assert abs(r.score - got[r.doc_id, r.n_tokens].score) < 1e-9
+
+
 def test_model_of_nothing(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     r = lm.score_documents(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
