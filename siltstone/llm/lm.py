@@ -1,9 +1,9 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 Level one holds the words of the training texts: hashes in order as an Elias-Fano sequence, so that a word's id is its
-rank, and exact counts. Level two holds, for every word, the words seen behind it: monotone pointers bound a word's
-range, and the range is searched for the successor, all keys being one monotone sequence word * V + successor. Counts
-are quantised to 16-bit codes: exact up to 2,000, then in steps of 0.1 %. Both levels lie in memory-mapped files, cut
+rank, and exact counts. Level two holds, for every word, the words seen behind it: all keys are one monotone sequence
+word * V + successor, in which a key is searched whole. Monotone pointers bound a word's range, for its backoff mass and
+its successors. Counts of levels two and three are quantised to 16-bit codes: exact up to 2,000, then in steps of 0.1 %. Both levels lie in memory-mapped files, cut
 into parts of equal token mass, so that no task builds more than a part and a frequent word may lie in several.
 
 In a model of order three, level three holds the words seen behind every pair, as keys place * V + successor of the
@@ -228,8 +228,8 @@ class Trie:
         return np.maximum(c - self.discounts[np.minimum(code, 3).astype(np.int64)], 0.0)
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Discounted count of each key (in order), 0 where it wasn't seen: from the pointers of its first word, the
-        successor is searched in that word's range."""
+        """Discounted count of each key (in order), 0 where it wasn't seen: the whole key is searched in the
+        part's one sequence of keys; the pointers aren't needed for it."""
         out = np.zeros(len(keys))
         for k, a, z in self._runs(keys):
             part = self.part(k)
