@@ -4,7 +4,9 @@ Words are runs of letters and digits in lower case. A text leaks an item if thei
 what the whole item would. Every two-word sequence of an item is a seed, however frequent. With these scores an alignment
 of half of an item's L words keeps at least L / 3 - 1 of its two-word sequences unbroken and covers at most 5 / 3 L words
 of the text; so a text is aligned with an item wherever so many seeds stand within so many words, and nothing that would
-reach the score is passed over.
+reach the score is passed over. A long item is also judged by its parts of LONG words, each of which overlaps the next by
+half: a passage of LONG / 2 words is a leak however long its item is. The score is the largest share, of the item or of a
+part.
 
 Defined cases: null and empty texts and items match nothing; items of fewer than three words have one seed of all their
 words, those of three have their single words; repeated rows and items give a row each; a null doc_id or item_id stays
@@ -24,6 +26,8 @@ from siltstone.llm.shared import small_batches, text_of
 
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.75
+#: Words of the parts of longer items.
+LONG = 100
 #: Items that are held in memory at once; more are worked through in blocks.
 BLOCK = 20_000
 #: Pairs of a seed's place and an item that are held at once; longer texts are worked through in overlapping parts.
@@ -37,12 +41,15 @@ class Items:
     def __init__(self, rows: list[tuple[int | None, str]]):
         self.vocabulary: dict[str, int] = {}
         put = self.vocabulary.setdefault
-        self.ids, self.words = [], []
+        #: Ids of the items; words of the items and of long ones' parts, and which item each is of.
+        self.ids, self.words, self.of = [], [], []
         for i, text in rows:
             ws = np.array([put(w, len(self.vocabulary)) for w in WORD.findall((text or "").lower())], np.int64)
             if len(ws):
+                parts = [*range(0, len(ws) - LONG, LONG // 2), len(ws) - LONG] if len(ws) > LONG else []
+                self.words += [ws, *(ws[a : a + LONG] for a in parts)]
+                self.of += [len(self.ids)] * (1 + len(parts))
                 self.ids.append(i)
-                self.words.append(ws)
         size = np.array([len(ws) for ws in self.words], np.int64)
         #: Words of a seed; seeds that a leak keeps at least; words of the text that it covers at most.
         self.gram = np.where((size == 1) | (size == 3), 1, 2)
@@ -144,7 +151,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
 def leaks_in(items: Items, text: str) -> list[tuple[int | None, float, int, int]]:
     """(item_id, score, first word, last word + 1) of each item that a whole text leaks."""
     ws = items.encode(text)
-    out = []
+    out: dict[int, tuple[float, int, int]] = {}
     for n, ranges in items.candidates(ws).items():
         item, best = items.words[n], (0.0, 0, 0)
         merged: list[list[int]] = []
@@ -158,9 +165,9 @@ def leaks_in(items: Items, text: str) -> list[tuple[int | None, float, int, int]
             if score > best[0]:
                 best = (score, a + b, a + e)
         share = best[0] / (MATCH * len(item))
-        if share >= THRESHOLD:
-            out.append((items.ids[n], share, best[1], best[2]))
-    return out
+        if share >= THRESHOLD and share > out.get(items.of[n], (0.0,))[0]:
+            out[items.of[n]] = (share, best[1], best[2])
+    return [(items.ids[i], *x) for i, x in out.items()]
 
 
 def _blocks(benchmark: DataFrame):

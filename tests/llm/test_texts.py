@@ -177,6 +177,18 @@ def test_leaks_against_the_alignment_of_all_pairs(spark):
         decontaminate.PAIRS = 2_000_000
 
 
+def test_passages_of_long_items_are_leaks():
+    items = decontaminate.Items([(7, prose(70, 500)), (8, prose(71, 130)), (8, prose(71, 130))])
+    for k, n in ((7, 500), (8, 130)):
+        words = prose(63 + k, n).split()
+        for a in range(0, n - 49, 7):
+            got = decontaminate.leaks_in(items, f"{prose(1, 90)} {' '.join(words[a : a + 50])} {prose(2, 90)}")
+            assert [x[0] for x in got] == [k] * (k - 6) and all(x[1] >= 0.5 and x[2] <= 90 and x[3] >= 140 for x in got)
+        assert not decontaminate.leaks_in(items, f"{prose(1, 90)} {' '.join(words[:30])} {prose(2, 90)}")
+    whole = decontaminate.leaks_in(items, prose(70, 500))
+    assert whole == [(7, 1.0, 0, 500)]
+
+
 def test_samples_collide_by_weighted_jaccard():
     rng = np.random.default_rng(1)
     off = []
