@@ -178,8 +178,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 30, rate: float = 0.5, ridg
     """Learn from whole texts labelled good (1) or bad (0). A bad text may hold good lines: its lines are boilerplate
     only where the log odds of their features, counted over the sample, say so."""
     prior = Field(PRIOR, PRIOR_START, PRIOR_STAY)
-    parts = [(lines_of(t)[0], q) for t, q in sample]
-    parts = [(f[:400], q) for f, q in parts if f]  # lines of the bounded sample, not of judged texts
+    parts = [(f, q) for f, q in ((lines_of(t)[0], q) for t, q in sample) if f]
     if len({q for _, q in parts}) < 2:
         return prior
     count = np.ones((2, len(FEATURES)))

@@ -71,6 +71,14 @@ def test_held_out_accuracy(spark):
     assert sum(r.kept for r in got if r.quality == 1) / sum(r.quality == 1 for r in got) > 0.97
 
 
+def test_fit_reads_long_texts_to_their_end():
+    """Boilerplate that stands behind 400 lines of a bad text, and nowhere else, is learned."""
+    body = lambda k: "\n".join(f"It was the {prose(1000 * k + i, 9)} of the time." for i in range(410))
+    junk = "\n".join(f"SALE!! $$$ ### {i}" for i in range(200))
+    field = quality.fit([(body(k), 1) for k in range(4)] + [(f"{body(4 + k)}\n{junk}", 0) for k in range(4)])
+    assert field.content_share(junk) < 0.5 < field.content_share(body(9))
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (None, prose(1)), (4, prose(2)), (4, prose(2)), (5, "x y z " * 100), (6, "SALE!! $$$ ### " * 40)]
     docs = spark.createDataFrame([(*r, True) for r in rows], "doc_id long, text string, kept boolean")
