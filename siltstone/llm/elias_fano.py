@@ -1,28 +1,43 @@
-"""Elias-Fano coding of monotone sequences over memory-mapped words, with searches over many keys at once."""
+"""Elias-Fano coding of monotone sequences over memory-mapped words, with searches over many keys at once.
+
+Selects inside a word are done on whole arrays of words: counts of bits of every byte by additions within the word, the
+byte by a comparison of all eight at once, the bit by a table.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.int64)
 _U = np.uint64
+_STEP, _TOP = _U(0x0101010101010101), _U(0x8080808080808080)
+_PAIRS, _NIBBLES, _BYTES = _U(0x5555555555555555), _U(0x3333333333333333), _U(0x0F0F0F0F0F0F0F0F)
 
 
-def _positions() -> np.ndarray:
-    """Place of the k-th zero of each byte; 8 where there are fewer."""
-    out = np.full((256, 8), 8, np.int64)
+def _places() -> np.ndarray:
+    """Place of the k-th set bit of byte b, at k << 8 | b."""
+    out = np.zeros((8, 256), np.uint8)
     for b in range(256):
-        zeros = [i for i in range(8) if not b >> i & 1]
-        out[b, : len(zeros)] = zeros
-    return out
+        for k, i in enumerate(i for i in range(8) if b >> i & 1):
+            out[k, b] = i
+    return out.ravel()
+
+
+_PLACE = _places()
 
 
-_ZERO_AT = _positions()
+def select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th set bit, from 0, of each word that has so many."""
+    sums = words - (words >> _U(1) & _PAIRS)
+    sums = (sums & _NIBBLES) + (sums >> _U(2) & _NIBBLES)
+    sums = (sums + (sums >> _U(4)) & _BYTES) * _STEP
+    shift = np.bitwise_count(((k * _STEP | _TOP) - sums) & _TOP).astype(np.uint64) << _U(3)
+    left = k - ((sums << _U(8)) >> shift & _U(255))
+    return (shift + _PLACE[words >> shift & _U(255) | left << _U(8)]).astype(np.int64)
 
 
 def encode(values: np.ndarray, universe: int) -> list[np.ndarray]:
-    """Four uint64 arrays for values in order below `universe`: head (count, low bits, universe), low words, high words,
-    and zeros before each high word."""
+    """Four uint64 arrays for values in order below `universe`: head (count, low bits, universe, low words), low words,
+    high words, and zeros before each high word."""
     n = len(values)
     values = values.astype(np.uint64)
     bits = max(0, (max(1, universe) // max(1, n)).bit_length() - 1)
@@ -36,12 +51,10 @@ def encode(values: np.ndarray, universe: int) -> list[np.ndarray]:
         np.bitwise_or.at(low, word[over] + 1, part[over] >> (_U(64) - shift[over]))
     top = (values >> _U(bits)).astype(np.int64)
     size = (int(top[-1]) if n else 0) + n + 2
-    high = np.zeros((size + 63) // 64, np.uint64)
-    if n:
-        at = top + np.arange(n)
-        np.bitwise_or.at(high, at >> 6, _U(1) << (at & 63).astype(np.uint64))
-    ones = _ONES[high.view(np.uint8)].reshape(-1, 8).sum(1)
-    zeros = np.concatenate([[0], np.cumsum(64 - ones)]).astype(np.uint64)
+    marks = np.zeros((size + 63) // 64 * 64, np.uint8)
+    marks[top + np.arange(n)] = 1
+    high = np.packbits(marks, bitorder="little").view(np.uint64)
+    zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))]).astype(np.uint64)
     return [np.array([n, bits, universe & (1 << 64) - 1, len(low)], np.uint64), low, high, zeros]
 
 
@@ -51,7 +64,7 @@ class Sequence:
     def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.bits = int(head[0]), int(head[1])
         self.low_words, self.high, self.zeros = low, high, zeros
-        self.bytes = high.view(np.uint8)
+        self.ones: np.ndarray | None = None
 
     def low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -64,58 +77,58 @@ class Sequence:
 
     def select0(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero of the high bits, from 0; the end where there are fewer."""
-        word = np.searchsorted(self.zeros, k.astype(np.uint64), "right") - 1
-        done = word >= len(self.high)
-        word = np.where(done, len(self.high) - 1, word)
-        left = k.astype(np.int64) - self.zeros[word].astype(np.int64)
-        at = word * 8
-        for _ in range(7):
-            z = 8 - _ONES[self.bytes[np.minimum(at, len(self.bytes) - 1)]]
-            step = (left >= z) & (at % 8 < 7)
-            left = np.where(step, left - z, left)
-            at = np.where(step, at + 1, at)
-            if not step.any():
-                break
-        place = at * 8 + _ZERO_AT[self.bytes[at], np.clip(left, 0, 7)]
-        return np.where(done, len(self.high) * 64, place)
+        k = k.astype(np.uint64)
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        last = len(self.high) - 1
+        if len(word) and word.max() > last:
+            return np.where(word > last, (last + 1) * 64, self.select0(np.minimum(k, self.zeros[-1] - _U(1)))) if self.zeros[-1] else np.full(len(k), (last + 1) * 64)
+        return word * 64 + select(~self.high[word], k - self.zeros[word])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key, or -1. Keys in order are found fastest."""
+        out = np.full(len(keys), -1, np.int64)
         if not self.n or not len(keys):
-            return np.full(len(keys), -1, np.int64)
+            return out
         keys = keys.astype(np.uint64)
         top = (keys >> _U(self.bits)).astype(np.int64)
+        some = np.flatnonzero(top < len(self.high) * 64)
+        if len(some) < len(keys):
+            keys, top = keys[some], top[some]
         low = keys & _U((1 << self.bits) - 1) if self.bits else np.zeros(len(keys), np.uint64)
-        inside = top < len(self.high) * 64
-        top = np.where(inside, top, 0)
-        begin = np.where(top > 0, self.select0(np.maximum(top - 1, 0)) + 1 - top, 0)
-        end = np.minimum(self.select0(top) - top, self.n)
-        out = np.full(len(keys), -1, np.int64)
-        open_ = np.flatnonzero(inside & (begin < end))
-        at = begin[open_]
-        # Successor search inside the few values that share a key's high bits, by halves.
-        lo, hi = at.copy(), end[open_]
-        while True:
-            more = lo < hi
-            if not more.any():
-                break
-            mid = (lo + hi) // 2
-            less = self.low(np.minimum(mid, self.n - 1)) < low[open_]
-            lo = np.where(more & less, mid + 1, lo)
-            hi = np.where(more & ~less, mid, hi)
-        hit = lo < end[open_]
-        hit[hit] = self.low(lo[hit]) == low[open_][hit]
-        out[open_[hit]] = lo[hit]
+        at = np.where(top > 0, self.select0(np.maximum(top - 1, 0)) + 1, 0)  # where the ones of these high bits begin
+        begin = at - top
+        # How many ones follow: from the 64 bits from here on; where they are all ones, by another select.
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        inside = word < len(self.high)
+        word = np.where(inside, word, 0)
+        bits = np.where(inside, self.high[word], _U(0)) >> shift
+        bits |= np.where(word + 1 < len(self.high), self.high[np.minimum(word + 1, len(self.high) - 1)], _U(0)) << _U(1) << (_U(63) - shift)
+        run = np.bitwise_count(bits ^ (bits + _U(1))).astype(np.int64) - 1
+        long = np.flatnonzero(run >= 63)
+        end = begin + run
+        if len(long):
+            end[long] = self.select0(top[long]) - top[long]
+        end = np.minimum(end, self.n)
+        open_ = np.flatnonzero(begin < end)
+        lo, hi, low = begin[open_], end[open_], low[open_]
+        # Successor search among the few values that share a key's high bits, by halves.
+        while len(open_):
+            mid = (lo + hi) >> 1
+            got = self.low(mid)
+            hit = got == low
+            out[some[open_[hit]]] = mid[hit]
+            less = got < low
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            more = np.flatnonzero(~hit & (lo < hi))
+            open_, lo, hi, low = open_[more], lo[more], hi[more], low[more]
         return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The i-th values."""
         i = np.asarray(i, np.int64)
-        if len(i) > 1 << 14:
-            return np.concatenate([self.get(i[a : a + (1 << 14)]) for a in range(0, len(i), 1 << 14)])
-        ones = np.arange(len(self.high), dtype=np.uint64) * _U(64) - self.zeros[:-1]
-        word = np.searchsorted(ones, i.astype(np.uint64), "right") - 1
-        left = i - ones[word].astype(np.int64)
-        bits = np.unpackbits(self.high[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
-        place = (np.cumsum(bits, 1) <= left[:, None]).sum(1) + word * 64
+        if self.ones is None:
+            self.ones = np.arange(len(self.high), dtype=np.uint64) * _U(64) - self.zeros[:-1]
+        k = i.astype(np.uint64)
+        word = np.searchsorted(self.ones, k, "right") - 1
+        place = word * 64 + select(self.high[word], k - self.ones[word])
         return ((place - i).astype(np.uint64) << _U(self.bits)) | self.low(i)

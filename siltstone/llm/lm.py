@@ -1,28 +1,35 @@
-"""Language-model scores from an Elias-Fano n-gram trie.
+"""Language-model scores from an Elias-Fano n-gram trie of order three.
 
 Level one holds the words of the training texts: hashes in order as an Elias-Fano sequence, so that a word's id is its
-rank, and exact counts. Level two holds, for every word, the words seen behind it: all keys are one monotone sequence
-word * V + successor, in which a key is searched whole. Monotone pointers bound a word's range, for its backoff mass and
-its successors. Counts of levels two and three are quantised to 16-bit codes: exact up to 2,000, then in steps of 0.1 %. Both levels lie in memory-mapped files, cut
-into parts of equal token mass, so that no task builds more than a part and a frequent word may lie in several.
-
-In a model of order three, level three holds the words seen behind every pair, as keys place * V + successor of the
-pair's place in its part, cut into the same parts, and how many successors of a pair were seen once, twice and more often,
-from which its backoff mass follows. One pass counts both levels.
-
-Probability: modified Kneser-Ney discounts (from counts of counts), interpolated with the next lower order, at last with
-the smoothed unigram (c + 0.1) / (N + 0.1 (V + 1)), so every word, known or not, has a positive probability. The context
-of a text's first word is the end of a text, and no more than that; a pair that wasn't seen gives no context.
+rank, and exact counts. Level two holds, for every word b, its successors c; level three, for every pair a b, the words c
+seen behind it, each as the place that c has among the successors of b alone (context-relative, so the numbers are small).
+Level three is reached by the word b and its predecessor a, the same kind of list. In each list the numbers of a context,
+raised by what the contexts before it took, are one monotone sequence; monotone pointers give a context's range, and a
+search is for the number raised by the value before the range, within the range. Levels two and three hold smoothed
+probabilities and backoff masses in 16-bit codes, even steps of their logarithms (STEP).
+
+All files are memory-mapped and cut into parts of equal token mass, as many as the tokens need: by (b, c) in level two, by
+(b, a) in level three. A frequent word lies in several parts; what belongs to it as a whole (its backoff mass, how many of
+its successors lie in earlier parts) is a number for each part, held beside the borders of the parts. What a task builds
+is bounded by a part and, beyond it, by the words that follow one pair. Counting tasks add up what they hold before they
+pass it on, and a building task adds up what it has received whenever that grows large.
+
+Probability: interpolated Kneser-Ney with discounts for counts of 1, 2 and more. Level three: the count of a b c less its
+discount over the count of a b, and the mass taken off times level two. Level two: how many words a were seen before b c,
+less a discount, over that number for all c, and the mass taken off times the unigram (c + 0.1) / (N + 0.1 (V + 1)), so
+every word, known or not, has a positive probability. Discounts follow from counts of counts; those of level two are
+counted in each part, where a word in several parts counts once in each. The context of a text's first word is the end of
+a text; a context that wasn't seen gives way to the next lower level.
 
 Defined cases: a null or empty text is one end token; a null doc_id counts as held out; repeated rows count each; where
-nothing is trained on, all scores are 0; extra columns are ignored.
+nothing is trained on, all scores are 0; very long texts are scored whole; an empty table gives no rows; ties don't arise;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-import os
 import zlib
 from collections import defaultdict
 
@@ -35,13 +42,17 @@ from pyspark.sql import functions as F
 from siltstone.llm import elias_fano
 from siltstone.llm.shared import atomic_write, materialize, posix_path, small_batches, text_of, work_dir
 
-#: Tokens of a part of level two, on average, and words of a part of level one. At most MOST_PARTS parts: they grow then.
-PART_TOKENS, PART_WORDS, MOST_PARTS = 1_000_000, 500_000, 2_000
-#: Tokens that a counting task holds before it passes their sums on; characters that are counted or scored at once.
-FLUSH, AT_ONCE, SCORED = 1_000_000, 1 << 20, 1 << 22
+#: Tokens of a part of levels two and three, on average, and words of a part of level one.
+PART_TOKENS, PART_WORDS = 3_000_000, 500_000
+#: Characters that are counted or scored at once; triples that a building task holds before it adds them up.
+AT_ONCE, HELD = 1 << 22, 4_000_000
+#: Parts of each level that a worker keeps open.
+MOST_OPEN = 2_000
 #: What no word hashes from: it holds a blank.
 END = b" "
-EXACT, STEP = 2000, 1.001
+#: Codes of probabilities: 0 is none, each further one a step down from 1 in powers of ten.
+STEP = 0.0002
+_U = np.uint64
 
 
 def tokens(text: str) -> list[bytes]:
@@ -49,57 +60,16 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def codes(counts: np.ndarray) -> np.ndarray:
-    """16-bit codes of counts."""
-    big = np.floor(np.log(np.maximum(counts, 1) / EXACT) / math.log(STEP)).astype(np.int64)
-    return np.where(counts <= EXACT, counts, np.minimum(EXACT + 1 + np.maximum(big, 0), 65535)).astype("<u2")
-
-
-def counts_of(code: np.ndarray) -> np.ndarray:
-    c = code.astype(np.float64)
-    return np.where(c <= EXACT, c, EXACT * STEP ** (c - EXACT - 0.5))
-
-
-def _sums(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of runs of (keys, counts) in order, and the sums of their counts. Empties the list."""
-    keys, counts = np.concatenate([k for k, _ in runs]), np.concatenate([c for _, c in runs])
-    runs.clear()
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    del order
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(counts, starts)
-
-
-def _triple_sums(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (pair, next) of runs of (pairs, nexts, counts) in order, and the sums of their counts. Empties the list."""
-    pairs, nexts, counts = (np.concatenate([r[i] for r in runs]) for i in range(3))
-    runs.clear()
-    order = np.lexsort((nexts, pairs))
-    pairs, nexts, counts = pairs[order], nexts[order], counts[order]
-    del order
-    starts = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (nexts[1:] != nexts[:-1])]))
-    return pairs[starts], nexts[starts], np.add.reduceat(counts, starts)
-
-
-def _triples(ids: np.ndarray, at: np.ndarray, sizes: np.ndarray, end_at: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the tokens of texts, by their places `at` among distinct words in order and those words' ids: distinct pairs of
-    words with what follows (v behind a text's end), and how often each occurs."""
-    before = np.roll(at, 1)
-    before[np.cumsum(sizes)[:-1]] = before[0] = end_at
-    after = np.roll(at, -1)
-    n = len(ids) + 1
-    after[np.cumsum(sizes) - 1] = n - 1
-    ids = np.append(ids, v).astype(np.uint64)
-    if n < 1 << 21:
-        key, c = np.unique((before * n + at) * n + after, return_counts=True)
-        pair, after = np.divmod(key, n)
-        before, at = np.divmod(pair, n)
-        return ids[before] * np.uint64(v) + ids[at], ids[after].astype(np.uint32), c.astype(np.uint32)
-    return _triple_sums([(ids[before] * np.uint64(v) + ids[at], ids[after].astype(np.uint32), np.ones(len(at), np.uint32))])
-
-
-def index(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def codes(p: np.ndarray) -> np.ndarray:
+    """16-bit codes of probabilities."""
+    with np.errstate(divide="ignore"):
+        return np.where(p > 0, np.clip(np.rint(-np.log10(p) / STEP), 0, 65534) + 1, 0).astype("<u2")
+
+
+_DECODED = np.concatenate([[0.0], 10.0 ** (-STEP * np.arange(65535))])
+
+
+def index(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts: distinct word hashes in order; of each token its place among them; tokens of each text."""
     local: dict[bytes, int] = defaultdict(itertools.count().__next__)
     at: list[int] = []
@@ -115,6 +85,23 @@ def index(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes[order], rank[np.array(at, np.int64)], np.array(sizes, np.int64)
 
 
+_END_HASH = np.array([xxhash.xxh64_intdigest(END)], np.uint64)
+
+
+def triples(hashes: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct triples of a run of texts as numbers (b * n + a) * n + c of places among its words, in order, where n - 1
+    stands for what is before the end before a text; and of each token its triple."""
+    n = len(hashes) + 1
+    if n >= 1 << 21:
+        raise ValueError("too many distinct words in a run of texts")
+    starts = np.cumsum(sizes) - sizes
+    b = np.roll(at, 1)
+    b[starts] = np.searchsorted(hashes, _END_HASH)[0]
+    a = np.roll(b, 1)
+    a[starts] = n - 1
+    return np.unique((b * n + a) * n + at, return_inverse=True)
+
+
 def _groups(batches, columns, at_once):
     """Rows of the batches in runs of bounded length, column-wise."""
     held, size = [], 0
@@ -129,6 +116,36 @@ def _groups(batches, columns, at_once):
         yield tuple(zip(*held))
 
 
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = _starts(keys)
+    return keys[starts], np.add.reduceat(counts[order], starts)
+
+
+def _starts(*line: np.ndarray) -> np.ndarray:
+    """Where a value of arrays in order begins."""
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in line])]))
+
+
+def _runs(of: np.ndarray):
+    """(value, begin, end) of the runs of equal values."""
+    if len(of):
+        cuts = (np.flatnonzero(of[1:] != of[:-1]) + 1).tolist()
+        for a, z in zip([0, *cuts], [*cuts, len(of)], strict=True):
+            yield int(of[a]), a, z
+
+
+def _add_up(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, successor) of runs in order, and the sums of their counts. Empties the list."""
+    contexts, nexts, counts = (np.concatenate([r[i] for r in held]) for i in range(3))
+    held.clear()
+    known, place = np.unique(contexts, return_inverse=True)
+    key, counts = _sums(place.astype(np.uint64) << _U(32) | nexts, counts)
+    return known[(key >> _U(32)).astype(np.int64)], (key & _U(0xFFFFFFFF)).astype(np.uint32), counts
+
+
 def _save(path: str, arrays: list[np.ndarray]) -> None:
     """Arrays as 8-byte words in one file, behind a table of their places."""
     packed = [np.ascontiguousarray(a).tobytes() for a in arrays]
@@ -138,31 +155,61 @@ def _save(path: str, arrays: list[np.ndarray]) -> None:
     atomic_write(path, [head.tobytes(), *packed])
 
 
-def _load(path: str, kinds: str) -> list[np.ndarray]:
-    """Memory-mapped arrays of a file that _save wrote; kinds: a letter for each, u or f."""
+def _load(path: str) -> list[np.ndarray]:
+    """Memory-mapped arrays of unsigned integers of a file that _save wrote."""
     words = np.memmap(path, "<u8", "r").view(np.ndarray)  # a plain view of the mapping
     n = int(words[0])
     out = []
     for k in range(n):
         start, size, width = (int(x) for x in words[1 + 3 * k : 4 + 3 * k])
         start += 1 + 3 * n
-        raw = words[start : start + (size * width + 7) // 8]
-        out.append(raw.view(f"<{kinds[k]}{width}")[:size])
+        out.append(words[start : start + (size * width + 7) // 8].view(f"<u{width}")[:size])
     return out
 
 
+def _level(starts: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
+    """Pointers to the ranges that begin at `starts`, and the ranges' numbers, rising in each, as one monotone sequence."""
+    ends = np.append(starts[1:], len(numbers))
+    took = np.cumsum(numbers[ends - 1].astype(np.uint64) + _U(1))
+    raised = numbers.astype(np.uint64) + np.repeat(np.append(_U(0), took[:-1]), ends - starts)
+    return [*elias_fano.encode(np.append(starts, len(numbers)), len(numbers) + 1), *elias_fano.encode(raised, int(took[-1]))]
+
+
+class Level:
+    """What _level() made."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.pointers, self.values = elias_fano.Sequence(*arrays[:4]), elias_fano.Sequence(*arrays[4:8])
+
+    def begin(self, of: np.ndarray) -> np.ndarray:
+        return self.pointers.get(of).astype(np.int64)
+
+    def search(self, of: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each number in its context's range, -1 where it isn't there, and where that range begins. Contexts
+        come in order, and the numbers of each."""
+        first = _starts(of) if len(of) else np.empty(0, np.int64)
+        size = np.diff(first, append=len(of))
+        begin, end = self.begin(of[first]), self.begin(of[first] + 1)
+        base = np.where(begin > 0, self.values.get(np.maximum(begin - 1, 0)) + _U(1), _U(0))
+        at = self.values.find(np.repeat(base, size) + numbers.astype(np.uint64))
+        begin = np.repeat(begin, size)
+        return np.where((at >= begin) & (at < np.repeat(end, size)), at, -1), begin
+
+
 class Words:
     """Level one: parts by range of the hash."""
 
     def __init__(self, folder: str, parts: list[tuple[int, int, int, int]], total: int):
         #: Of each part: number of its file, first hash, first id, tokens before.
         self.folder, self.parts, self.total = folder, parts, total
-        self.first = np.array([p[1] for p in parts], np.uint64)
+        self.first, self.before = np.array([p[1] for p in parts], np.uint64), np.array([p[3] for p in parts], np.float64)
         self.open: dict[int, tuple] = {}
 
     def part(self, k: int) -> tuple[elias_fano.Sequence, np.ndarray, np.ndarray]:
         if k not in self.open:
-            *seq, counts, sums = _load(f"{self.folder}/{self.parts[k][0]:06d}.words", "uuuuuu")
+            if len(self.open) >= MOST_OPEN:
+                self.open.clear()
+            *seq, counts, sums = _load(f"{self.folder}/{self.parts[k][0]:06d}.words")
             self.open[k] = (elias_fano.Sequence(*seq), counts, sums)
         return self.open[k]
 
@@ -171,153 +218,126 @@ class Words:
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         if not len(self.parts):
             return ids, counts
-        of = np.searchsorted(self.first, hashes, "right") - 1
-        cuts = np.flatnonzero(np.diff(of)) + 1
-        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hashes)], strict=True):
-            if a == z or of[a] < 0:
+        for k, a, z in _runs(np.searchsorted(self.first, hashes, "right") - 1):
+            if k < 0:
                 continue
-            seq, count, _ = self.part(int(of[a]))
-            at = seq.find(hashes[a:z] - self.first[of[a]])
+            seq, count, _ = self.part(k)
+            at = seq.find(hashes[a:z] - self.first[k])
             hit = at >= 0
-            ids[a:z][hit] = at[hit] + self.parts[of[a]][2]
+            ids[a:z][hit] = at[hit] + self.parts[k][2]
             counts[a:z][hit] = count[at[hit]]
         return ids, counts
 
     def id_at_mass(self, mass: float) -> tuple[int, float, int]:
         """The id whose tokens hold the given place of all tokens in order of id; the tokens before it, and its own."""
-        k = max(0, int(np.searchsorted([p[3] for p in self.parts], mass, "right")) - 1)
+        k = max(0, int(np.searchsorted(self.before, mass, "right")) - 1)
         _, count, sums = self.part(k)
         i = min(int(np.searchsorted(sums, max(0, mass - self.parts[k][3]), "right")), len(sums) - 1)
         return self.parts[k][2] + i, self.parts[k][3] + int(sums[i]) - int(count[i]), int(count[i])
 
 
-def _borders(words: Words, v: int, parts: int) -> np.ndarray:
-    """Keys that bound the parts of level two: equal token mass by the first word's count; inside one frequent word, by
-    the counts of the second."""
+def _borders(words: Words, width: int, parts: int) -> np.ndarray:
+    """Keys word * width + other that bound the parts: equal token mass by the count of the word; inside a word that is
+    more than a part, by the counts of the other."""
     out = []
     for j in range(1, parts):
         first, before, own = words.id_at_mass(words.total * j / parts)
         rest = (words.total * j / parts - before) / max(1, own)
         second = words.id_at_mass(words.total * min(max(rest, 0.0), 1.0))[0] if own * parts > words.total else 0
-        out.append(first * v + second)
+        out.append(first * width + second)
     return np.unique(np.array([0, *out], np.uint64))
 
 
 class Trie:
-    """All levels; of levels two and three a part is opened when it is asked for. Of order three if it has discounts for
-    triples."""
-
-    def __init__(self, folder: str, words: Words, borders: np.ndarray, v: int, discounts: tuple[float, float, float], third: tuple[float, float, float] | None = None):
-        self.folder, self.words, self.borders, self.v, self.discounts = folder, words, borders, v, np.array([0.0, *discounts])
-        self.open: dict[int, tuple | None] = {}
-        self.third = np.array([0.0, *third]) if third else None
-        self.open_third: dict[int, tuple] = {}
-
-    def part(self, k: int) -> tuple | None:
-        if k not in self.open:
-            path = f"{self.folder}/{k:06d}.pairs"
-            if os.path.exists(path):
-                a = _load(path, "uuuuuuuuuuuuuf")
-                self.open[k] = (elias_fano.Sequence(*a[:4]), a[4], elias_fano.Sequence(*a[5:9]), elias_fano.Sequence(*a[9:13]), a[13])
+    """Levels two and three over the words. A part is opened when it is asked for."""
+
+    def __init__(self, folder: str, words: Words, borders: np.ndarray, v: int, split: dict[int, float] | None = None, skip: np.ndarray | None = None, discounts=()):
+        self.folder, self.words, self.borders, self.v = folder, words, borders, v
+        #: Keys are word * width + other; v stands before the end before a text.
+        self.width = v + 1
+        #: Backoff mass of the words that lie in several parts; of each part, successors of its first word in earlier ones.
+        self.split, self.skip, self.discounts = split or {}, skip if skip is not None else np.zeros(len(borders), np.int64), discounts
+        self.open: dict[tuple[int, str], tuple | None] = {}
+
+    def part(self, k: int, kind: str) -> tuple | None:
+        key = (k, kind)
+        if key not in self.open:
+            if len(self.open) >= 3 * MOST_OPEN:
+                self.open.clear()
+            try:
+                a = _load(f"{self.folder}/{k:06d}.{kind}")
+            except FileNotFoundError:  # no triple has a key in this part
+                a = None
+            if a is None:
+                self.open[key] = None
+            elif kind == "triples":
+                self.open[key] = (Level(a), a[8], a[9])
             else:
-                self.open[k] = None
-        return self.open[k]
-
-    def discounted(self, code: np.ndarray) -> np.ndarray:
-        c = counts_of(code)
-        return np.maximum(c - self.discounts[np.minimum(code, 3).astype(np.int64)], 0.0)
-
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Discounted count of each key (in order), 0 where it wasn't seen: the whole key is searched in the
-        part's one sequence of keys; the pointers aren't needed for it."""
-        out = np.zeros(len(keys))
-        for k, a, z in self._runs(keys):
-            part = self.part(k)
-            if part:
-                at = part[0].find(keys[a:z] - self.borders[k])
-                hit = at >= 0
-                out[a:z][hit] = self.discounted(part[1][at[hit]])
-        return out
-
-    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Part, place in it (-1: not seen) and code of the count of each key of level two, in order."""
-        of, place, code = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.uint16)
-        for k, a, z in self._runs(keys):
-            part = self.part(k)
-            if part:
-                at = part[0].find(keys[a:z] - self.borders[k])
-                of[a:z], place[a:z] = k, at
-                code[a:z][at >= 0] = part[1][at[at >= 0]]
-        return of, place, code
-
-    def third_part(self, k: int) -> tuple:
-        if k not in self.open_third:
-            a = _load(f"{self.folder}/{k:06d}.triples", "uuuuuuuuuu")
-            self.open_third[k] = (elias_fano.Sequence(*a[:4]), a[4], a[5:8], a[8], a[9].reshape(-1, 3))
-        return self.open_third[k]
-
-    def third_backoff(self, k: int, place: np.ndarray) -> np.ndarray:
-        """Mass taken off the counts behind each pair of a part."""
-        _, _, small, large, counts = self.third_part(k)
-        n = np.stack([x[place] for x in small], 1).astype(np.float64)
-        over = np.flatnonzero((n == 255).any(1))
-        n[over] = counts[np.searchsorted(large, place[over].astype(np.uint64))]
-        return n @ self.third[1:]
-
-    def triples(self, k: int, place: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Discounted count of each successor (in order of pair and successor) of pairs of a part, 0 where not seen."""
-        seq, code, *_ = self.third_part(k)
-        at = seq.find(place.astype(np.uint64) * np.uint64(self.v) + successor.astype(np.uint64))
-        out = np.zeros(len(place))
-        got = code[at[at >= 0]]
-        out[at >= 0] = np.maximum(counts_of(got) - self.third[np.minimum(got, 3).astype(np.int64)], 0.0)
+                self.open[key] = (elias_fano.Sequence(*a[:4]), Level(a[4:]), *a[12:])
+        return self.open[key]
+
+    def _parts(self, keys: np.ndarray, kind: str):
+        """(number, opened part, begin, end, word, other) of the runs of keys that share a part."""
+        for k, a, z in _runs(np.searchsorted(self.borders, keys, "right") - 1):
+            if part := self.part(k, kind):
+                word, other = np.divmod(keys[a:z], _U(self.width))
+                yield k, part, a, z, word, other
+
+    def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of keys b * width + c in order: the place of c among the successors of b (-1: not seen), and the discounted
+        probability."""
+        rank, p = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
+        for k, (firsts, level, code, _), a, z, b, c in self._parts(keys, "pairs"):
+            of = firsts.find(b)
+            some = np.flatnonzero(of >= 0)
+            at, begin = level.search(of[some], c[some])
+            hit = at >= 0
+            some, at = some[hit], at[hit]
+            rank[a + some] = at - begin[hit] + np.where(of[some] == 0, self.skip[k], 0)
+            p[a + some] = _DECODED[code[at]]
+        return rank, p
+
+    def backoff(self, words: np.ndarray) -> np.ndarray:
+        """Mass that level two leaves to the unigram behind words in order; all of it behind one that has no successor."""
+        out = np.ones(len(words))
+        for _, (firsts, _, _, mass), a, z, b, _ in self._parts(words.astype(np.uint64) * _U(self.width), "pairs"):
+            of = firsts.find(b)
+            out[a:z][of >= 0] = _DECODED[mass[of[of >= 0]]]
+        if self.split:
+            ids = np.array(sorted(self.split), np.int64)
+            at = np.minimum(np.searchsorted(ids, words), len(ids) - 1)
+            hit = ids[at] == words
+            out[hit] = np.array([self.split[i] for i in ids.tolist()])[at[hit]]
         return out
 
-    def backoff(self, ids: np.ndarray) -> np.ndarray:
-        """Mass taken off the counts behind each word (ids in order); a frequent word's range lies in several parts."""
-        out = np.zeros(len(ids))
-        first = np.searchsorted(self.borders, ids.astype(np.uint64) * np.uint64(self.v), "right") - 1
-        last = np.searchsorted(self.borders, ids.astype(np.uint64) * np.uint64(self.v) + np.uint64(self.v - 1), "right") - 1
-        k = first.copy()
-        while True:
-            here = np.flatnonzero(k <= last)
-            if not len(here):
-                return out
-            of = k[here]
-            cuts = np.flatnonzero(np.diff(of)) + 1
-            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)], strict=True):
-                part = self.part(int(of[a]))
-                if part:
-                    at = part[2].find(ids[here[a:z]])
-                    hit = at >= 0
-                    out[here[a:z][hit]] += part[4][at[hit]]
-            k += 1
-
-    def successors(self, word: int) -> int:
-        """How many different words were seen behind a word, from its pointers."""
-        n = 0
-        for k in range(len(self.borders)):
-            part = self.part(k)
-            if part and (at := int(part[2].find(np.array([word]))[0])) >= 0:
-                a, z = part[3].get(np.array([at, at + 1]))
-                n += int(z) - int(a)
-        return n
-
-    def _runs(self, keys: np.ndarray):
-        of = np.searchsorted(self.borders, keys, "right") - 1
-        cuts = np.flatnonzero(np.diff(of)) + 1
-        if len(keys):
-            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-                yield int(of[a]), a, z
+    def third(self, keys: np.ndarray, of: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of contexts b * width + a in order, and of successors by context and rank: each successor's discounted
+        probability, and the mass that its context leaves to level two (1 where the context wasn't seen)."""
+        p, mass = np.zeros(len(of)), np.ones(len(of))
+        for k, (firsts, level, *_), a, z, b, other in self._parts(keys, "contexts"):
+            word = firsts.find(b)
+            some = np.flatnonzero(word >= 0)
+            at, _ = level.search(word[some], other[some])
+            place = np.full(z - a, -1, np.int64)
+            place[some] = at
+            last, code, left = self.part(k, "triples")
+            begin, end = np.searchsorted(of, [a, z])
+            here = place[of[begin:end] - a]
+            seen = np.flatnonzero(here >= 0)
+            mass[begin + seen] = _DECODED[left[here[seen]]]
+            seen = seen[rank[begin + seen] >= 0]
+            at, _ = last.search(here[seen], rank[begin + seen])
+            hit = at >= 0
+            p[begin + seen[hit]] = _DECODED[code[at[hit]]]
+        return p, mass
 
 
 def _write_words(counted: DataFrame, folder: str) -> tuple[Words, int, int]:
     """Level one from (h, c): parts by range of the unsigned hash; ids by prefix sums over the parts."""
     path = posix_path(folder)
     n = counted.count()
-    parts = max(1, min(MOST_PARTS, -(-n // PART_WORDS)))
     # The order of unsigned hashes is that of signed ones with the top bit turned.
-    line = counted.withColumn("h", F.col("h").bitwiseXOR(F.lit(-(1 << 63)))).repartitionByRange(parts, "h").sortWithinPartitions("h")
+    line = counted.withColumn("h", F.col("h").bitwiseXOR(F.lit(-(1 << 63)))).repartitionByRange(max(1, -(-n // PART_WORDS)), "h").sortWithinPartitions("h")
 
     def write(batches):
         from pyspark import TaskContext
@@ -328,7 +348,7 @@ def _write_words(counted: DataFrame, folder: str) -> tuple[Words, int, int]:
             cs.append(b.column("c").to_numpy(zero_copy_only=False))
         if not hs or not sum(map(len, hs)):
             return
-        h = np.concatenate(hs).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        h = np.concatenate(hs).astype(np.int64).view(np.uint64) ^ _U(1 << 63)
         c = np.concatenate(cs).astype("<u8")
         part = TaskContext.get().partitionId()
         _save(f"{path}/{part:06d}.words", [*elias_fano.encode(h - h[0], int(h[-1] - h[0]) + 1), c, np.cumsum(c, dtype="<u8")])
@@ -342,132 +362,159 @@ def _write_words(counted: DataFrame, folder: str) -> tuple[Words, int, int]:
     return Words(path, out, mass), ids, mass
 
 
-def train(texts: DataFrame, folder: str, order: int = 2) -> tuple[Trie, int, int]:
-    """(trie, N, V) of a frame with a column text; files go below `folder` (a URI on a shared mount). Order: 2 or 3."""
+def _blobs(part: np.ndarray, borders: np.ndarray, keys: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """A row for each part that keys in order fall into: differences of its keys, then the further numbers, packed."""
+    got = list(_runs(part))
+    packed = [zlib.compress(_varints(np.concatenate([np.diff(keys[a:z], prepend=borders[k]), *(x[a:z].astype(np.uint64) for x in more)])), 1) for k, a, z in got]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, *_ in got], pa.int32()), pa.array([z - a for _, a, z in got], pa.int64()), pa.array(packed, pa.binary())], ["part", "n", "blob"])
+
+
+def _by_part(batches, borders: np.ndarray, width: int):
+    """(part, its packed rows' arrays: keys and further numbers, one row at a time) of rows that come in order of part."""
+    rows = ((k, n, blob) for b in batches for k, n, blob in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), b.column("blob").to_pylist(), strict=True))
+    for k, own in itertools.groupby(rows, key=lambda r: r[0]):
+        yield k, ((np.cumsum(x[0], dtype=np.uint64) + borders[k], *x[1:]) for _, n, blob in own for x in [_read_varints(np.frombuffer(zlib.decompress(blob), np.uint8)).reshape(width, n)])
+
+
+def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
+    """(trie, N, V) of a frame with a column text; files go below `folder` (a URI on a shared mount)."""
     spark = texts.sparkSession
-    small_batches(spark, 500)
     path = posix_path(folder)
     only = texts.select("text")
 
     def unigrams(batches):
-        n = 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out():
-            h, c = _sums(held)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
-
         for (group,) in _groups(batches, ["text"], AT_ONCE):
             h, at, _ = index(group)
-            held.append((h, np.bincount(at, minlength=len(h))))
-            n += len(h)
-            if n >= FLUSH:
-                yield out()
-                n = 0
-        if held:
-            yield out()
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(at, minlength=len(h)))], ["h", "c"])
 
+    small_batches(spark)
     counted = materialize(only.mapInArrow(unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), f"{folder}/unigrams")
     words, v, total = _write_words(counted, folder)
     if not total:
-        return Trie(path, words, np.array([0], np.uint64), 1, (0.0, 0.0, 0.0)), 0, 0
-    if v >= 1 << 32:
-        raise ValueError("more than 2^32 distinct words: keys of level two don't fit 64 bits")
-    borders = _borders(words, v, max(1, min(MOST_PARTS, -(-total // PART_TOKENS))))
+        return Trie(path, words, np.array([0], np.uint64), 1), 0, 0
+    if v >= (1 << 32) - 1:
+        raise ValueError("more than 2^32 distinct words: keys don't fit 64 bits")
+    width = v + 1
+    borders = _borders(words, width, max(1, -(-total // PART_TOKENS)))
     words.open.clear()
+    n_parts = len(borders)
+    inside = borders[borders % _U(width) != 0] // _U(width)
+    split = set(inside.astype(np.int64).tolist())
+    shared = spark.sparkContext.broadcast((words, borders))
 
-    def bigrams(batches):
-        n = 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out():
-            keys, c = _sums(held)
-            cuts = np.searchsorted(keys, borders)
-            got = [(k, a, z) for k, (a, z) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True)) if a < z]
-            # A run of keys is packed as differences and counts.
-            blobs = [zlib.compress(_varints(np.diff(keys[a:z], prepend=borders[k])) + b"|" + _varints(c[a:z].astype(np.uint64)), 1) for k, a, z in got]
-            sizes = [z - a for _, a, z in got]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in got], pa.int32()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["part", "n", "blob"])
-
-        for (group,) in _groups(batches, ["text"], AT_ONCE):
-            h, at, sizes = index(group)
-            ids = words.find(h)[0][at]
-            before = np.roll(ids, 1)
-            before[np.cumsum(sizes)[:-1]] = end_id
-            before[0] = end_id
-            keys, c = np.unique(before.astype(np.uint64) * np.uint64(v) + ids.astype(np.uint64), return_counts=True)
-            held.append((keys, c.astype(np.uint32)))
-            n += len(keys)
-            if n >= FLUSH:
-                yield out()
-                n = 0
-        if held:
-            yield out()
-
-    def trigrams(batches):
-        n = 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def out():
-            keys, nexts, c = _triple_sums(held)
-            cuts = np.searchsorted(keys, borders)
-            got = [(k, a, z) for k, (a, z) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True)) if a < z]
-            blobs = [zlib.compress(_varints(np.concatenate([np.diff(keys[a:z], prepend=borders[k]), nexts[a:z].astype(np.uint64), c[a:z].astype(np.uint64)])), 1) for k, a, z in got]
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in got], pa.int32()), pa.array([z - a for _, a, z in got], pa.int64()), pa.array(blobs, pa.binary())], ["part", "n", "blob"])
+    def shares(k: int) -> bool:
+        """Whether a part has a share of a word in several parts."""
+        return bool((shared.value[1][k : k + 2] % _U(width)).any())
 
+    def count(batches):
+        words, borders = shared.value
         for (group,) in _groups(batches, ["text"], AT_ONCE):
             h, at, sizes = index(group)
-            end_at = int(np.searchsorted(h, np.uint64(xxhash.xxh64_intdigest(END))))
-            held.append(_triples(words.find(h)[0], at, sizes, end_at, v))
-            n += len(held[-1][0])
-            if n >= FLUSH:
-                yield out()
-                n = 0
-        if held:
-            yield out()
-
-    end_id = int(words.find(np.array([xxhash.xxh64_intdigest(END)], np.uint64))[0][0])
-    words.open.clear()
-
-    def build_both(batches):
-        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for b in batches:
-            for k, n, blob in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                keys, nexts, c = _read_varints(np.frombuffer(zlib.decompress(blob), np.uint8)).reshape(3, n)
-                held.setdefault(k, []).append((np.cumsum(keys, dtype=np.uint64) + borders[k], nexts.astype(np.uint32), c.astype(np.int64)))
-        for k in sorted(held):
-            keys, nexts, c = _triple_sums(held.pop(k))
-            pairs, starts = np.unique(keys, return_index=True)
-            made = _write_pairs(path, k, pairs, np.add.reduceat(c, starts), borders, v)
-            more = _write_triples(path, k, starts, nexts, c, v)
-            yield pa.RecordBatch.from_arrays([*made.columns, *(pa.array([x], pa.int64()) for x in more)], [*made.schema.names, "t1", "t2", "t3", "t4"])
+            key, place = triples(h, at, sizes)
+            n = len(h) + 1
+            context, c = np.divmod(key, n)
+            b, a = np.divmod(context, n)
+            ids = np.append(words.find(h)[0], v).astype(np.uint64)
+            keys = ids[b] * _U(width) + ids[a]
+            yield _blobs(np.searchsorted(borders, keys, "right") - 1, borders, keys, ids[c], np.bincount(place))
 
     def build(batches):
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for b in batches:
-            for k, n, blob in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                keys, c = _unpack(zlib.decompress(blob), n)
-                held.setdefault(k, []).append((np.cumsum(keys, dtype=np.uint64) + borders[k], c.astype(np.int64)))
-        for k in sorted(held):
-            keys, c = _sums(held.pop(k))
-            yield _write_pairs(path, k, keys, c, borders, v)
-
-    n_parts = len(borders)
-    packed = only.mapInArrow(trigrams if order == 3 else bigrams, "part int, n long, blob binary").repartition(n_parts, "part")
-    kinds = "part int, n1 long, n2 long, n3 long, n4 long"
-    made = materialize(packed.mapInArrow(build_both, f"{kinds}, t1 long, t2 long, t3 long, t4 long") if order == 3 else packed.mapInArrow(build, kinds), f"{folder}/pairs-manifest")
-    n1, n2, n3, n4 = (x or 0 for x in made.agg(*(F.sum(f"n{i}") for i in (1, 2, 3, 4))).first())
-    discounts = _discounts(n1, n2, n3, n4)
-    third = _discounts(*(x or 0 for x in made.agg(*(F.sum(f"t{i}") for i in (1, 2, 3, 4))).first())) if order == 3 else None
-
-    def weigh(batches):
-        for b in batches:
-            for k in b.column("part").to_pylist():
-                _write_backoff(path, k, discounts)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32())})
-
-    materialize(made.select("part").repartition(n_parts, "part").mapInArrow(weigh, "part int"), f"{folder}/backoff-manifest")
-    return Trie(path, words, borders, v, discounts, third), total, v
+        """Contexts, and the raw triples for level three; passes on, of every pair b c, how many words came before it."""
+        borders = shared.value[1]
+        for k, runs in _by_part(batches, borders, 3):
+            held, n = [], 0
+            for keys, c, count in runs:
+                held.append((keys, c.astype(np.uint32), count.astype(np.int64)))
+                n += len(keys)
+                if n > HELD:
+                    held = [_add_up(held)]
+                    n = 0 if len(held[0][0]) > HELD // 2 else len(held[0][0])
+            keys, c, count = _add_up(held)
+            starts = _starts(keys)
+            b, a = np.divmod(keys[starts], _U(width))
+            first = _starts(b)
+            _save(f"{path}/{k:06d}.contexts", [*elias_fano.encode(b[first], int(b[-1]) + 1), *_level(first, a)])
+            raw = np.concatenate([np.diff(starts, append=len(c)).astype(np.uint64), c.astype(np.uint64), count.astype(np.uint64)])
+            atomic_write(f"{path}/{k:06d}.raw", [np.array([len(starts), len(c)], "<u8").tobytes(), zlib.compress(_varints(raw), 1)])
+            word = keys // _U(width)
+            pair, before = np.unique(word * _U(width) + c, return_counts=True)
+            out = _blobs(np.searchsorted(borders, pair, "right") - 1, borders, pair, before)
+            edge = (int(word[0]), int((word == word[0]).sum()), int(word[-1]), int((word == word[-1]).sum()))
+            stats = [*edge, *(int((count == i).sum()) for i in (1, 2, 3, 4)), *(int((before == i).sum()) for i in (1, 2, 3, 4))]
+            only_first = lambda x: pa.array([x] + [None] * (out.num_rows - 1), pa.int64())  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([*out.columns, *map(only_first, [k, int(shares(k)), *stats])], [*out.schema.names, *MADE])
+
+    def second(batches):
+        """Level two of a part."""
+        words, borders = shared.value
+        d, totals = weights.value
+        for k, runs in _by_part(batches, borders, 2):
+            keys, before = _sums(*map(np.concatenate, zip(*runs)))
+            b, c = np.divmod(keys, _U(width))
+            first = _starts(b)
+            given = d[np.minimum(before, 3).astype(np.int64)]
+            all_ = np.add.reduceat(before.astype(np.float64), first)
+            own = b[first].astype(np.int64)
+            for i in {0, len(own) - 1}:
+                all_[i] = totals.get(int(own[i]), all_[i])
+            mass = np.add.reduceat(given, first)
+            size = np.diff(first, append=len(b))
+            _save(f"{path}/{k:06d}.pairs", [*elias_fano.encode(b[first], int(b[-1]) + 1), *_level(first, c), codes((before - given) / np.repeat(all_, size)), codes(np.minimum(mass / all_, 1.0))])
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int64()), "edge": pa.array([int(shares(k))], pa.int64()), **{n: pa.array([x], t) for n, x, t in (("w1", int(own[0]), pa.int64()), ("n1", int(size[0]), pa.int64()), ("m1", float(mass[0] / all_[0]), pa.float64()), ("w2", int(own[-1]), pa.int64()), ("n2", int(size[-1]), pa.int64()), ("m2", float(mass[-1] / all_[-1]), pa.float64()))}})
+
+    def third(batches):
+        """Level three of a part, from its raw triples."""
+        where, borders, split_mass, skip, d = last.value
+        trie = Trie(where, shared.value[0], borders, v, split_mass, skip)
+        for batch in batches:
+            for k in batch.column("k").to_pylist():
+                firsts, level = trie.part(k, "contexts")
+                with open(f"{path}/{k:06d}.raw", "rb") as f:
+                    n_contexts, n = np.frombuffer(f.read(16), "<u8").astype(int).tolist()
+                    raw = _read_varints(np.frombuffer(zlib.decompress(f.read()), np.uint8))
+                size, c, count = raw[:n_contexts].astype(np.int64), raw[n_contexts : n_contexts + n], raw[n_contexts + n :].astype(np.float64)
+                starts = np.cumsum(size) - size
+                b = np.repeat(firsts.get(np.arange(firsts.n)), np.diff(level.begin(np.arange(firsts.n + 1))))
+                pair, place = np.unique(np.repeat(b, size) * _U(width) + c, return_inverse=True)
+                rank = trie.pairs(pair)[0]
+                if (rank < 0).any():
+                    raise AssertionError("a pair of a triple isn't in level two")
+                given = d[np.minimum(count, 3).astype(np.int64)]
+                whole = np.add.reduceat(count, starts)
+                _save(f"{path}/{k:06d}.triples", [*_level(starts, rank[place]), codes((count - given) / np.repeat(whole, size)), codes(np.minimum(np.add.reduceat(given, starts) / whole, 1.0))])
+                trie.open.clear()
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64())})
+
+    dealt = only.mapInArrow(count, BLOB).repartition(n_parts, "part").sortWithinPartitions("part")
+    made = materialize(dealt.mapInArrow(build, f"{BLOB}, {', '.join(f'{x} long' for x in MADE)}"), f"{folder}/built")
+    own = made.where("k is not null")
+    sums = own.agg(*(F.sum(x).alias(x) for x in MADE[6:])).first()
+    d3, d2 = (np.array([0.0, *_discounts(*(sums[f"{x}{i}"] for i in (1, 2, 3, 4)))]) for x in "tp")
+    # Of the parts that hold a share of a word in several parts: a few numbers each.
+    totals: dict[int, int] = defaultdict(int)
+    for r in own.where("edge = 1").select("w1", "x1", "w2", "x2").toLocalIterator():
+        for w, x in {(r["w1"], r["x1"]), (r["w2"], r["x2"])}:
+            if w in split:
+                totals[w] += x
+    weights = spark.sparkContext.broadcast((d2, dict(totals)))
+    paired = materialize(made.select("part", "n", "blob").repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(second, "part long, edge long, w1 long, n1 long, m1 double, w2 long, n2 long, m2 double"), f"{folder}/paired")
+    mass: dict[int, float] = defaultdict(float)
+    skip, so_far = np.zeros(n_parts, np.int64), {}
+    for r in sorted(paired.where("edge = 1").collect(), key=lambda r: r["part"]):
+        skip[r["part"]] = so_far.get(r["w1"], 0)
+        for w, n, m in {(r["w1"], r["n1"], r["m1"]), (r["w2"], r["n2"], r["m2"])}:
+            if w in split:
+                so_far[w] = so_far.get(w, 0) + n
+                mass[w] += m
+    last = spark.sparkContext.broadcast((path, borders, dict(mass), skip, d3))
+    materialize(own.select("k").repartition(n_parts, "k").mapInArrow(third, "k long"), f"{folder}/third")
+    return Trie(path, words, borders, v, {w: min(m, 1.0) for w, m in mass.items()}, skip, (d2[1:].tolist(), d3[1:].tolist())), total, v
+
+
+BLOB = "part int, n long, blob binary"
+#: Of a part: its number, whether it has a share of a word in several parts, its first and last word with their triples,
+#: counts of counts of triples and pairs.
+MADE = ("k", "edge", "w1", "x1", "w2", "x2", *(f"{x}{i}" for x in "tp" for i in (1, 2, 3, 4)))
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -483,156 +530,96 @@ def _varints(x: np.ndarray) -> bytes:
     """Seven bits a byte, the top bit where more follow."""
     x = x.astype(np.uint64)
     size = np.ones(len(x), np.int64)
-    for k in range(1, 10):
-        size += (x >> np.uint64(7 * k)) > 0
+    top = int(x.max()) if len(x) else 0
+    for k in range(1, -(-top.bit_length() // 7)):
+        size += x >= _U(1 << 7 * k)
     ends = np.cumsum(size)
     out = np.zeros(int(ends[-1]) if len(x) else 0, np.uint8)
     start = ends - size
     for k in range(int(size.max()) if len(x) else 0):
-        some = size > k
-        out[start[some] + k] = ((x[some] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | np.where(size[some] > k + 1, 128, 0).astype(np.uint8)
+        if k:
+            some = np.flatnonzero(size > k)
+            start, size, x = start[some], size[some], x[some]
+        out[start + k] = (x >> _U(7 * k) & _U(127)).astype(np.uint8) | (size > k + 1).astype(np.uint8) << 7
     return out.tobytes()
 
 
-def _unpack(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Differences and counts of a run of n keys."""
-    data = np.frombuffer(raw, np.uint8)
-    last = np.flatnonzero(data < 128)
-    middle = int(last[n - 1]) + 1
-    return _read_varints(data[:middle]), _read_varints(data[middle + 1 :])
-
-
 def _read_varints(data: np.ndarray) -> np.ndarray:
     ends = np.flatnonzero(data < 128)
     starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
     size = ends - starts + 1
-    out = np.zeros(len(ends), np.uint64)
-    for k in range(int(size.max()) if len(ends) else 0):
-        some = size > k
-        out[some] |= (data[starts[some] + k].astype(np.uint64) & np.uint64(127)) << np.uint64(7 * k)
+    out = (data[starts] & 127).astype(np.uint64)
+    some = np.arange(len(ends))
+    for k in range(1, int(size.max()) if len(ends) else 0):
+        some = some[size[some] > k]
+        out[some] |= (data[starts[some] + k] & 127).astype(np.uint64) << _U(7 * k)
     return out
 
 
-def _write_pairs(path: str, k: int, keys: np.ndarray, c: np.ndarray, borders: np.ndarray, v: int) -> pa.RecordBatch:
-    """A part of level two: successor keys, codes of their counts, first words, pointers to their ranges."""
-    universe = int(keys[-1] - borders[k]) + 1
-    first, starts = np.unique(keys // np.uint64(v), return_index=True)
-    pointers = np.concatenate([starts, [len(keys)]]).astype(np.uint64)
-    _save(f"{path}/{k:06d}.raw", [*elias_fano.encode(keys - borders[k], universe), codes(c), *elias_fano.encode(first, int(first[-1]) + 1), *elias_fano.encode(pointers, len(keys) + 1)])
-    return pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), **{f"n{i}": pa.array([int((c == i).sum())], pa.int64()) for i in (1, 2, 3, 4)}})
-
-
-def _write_triples(path: str, k: int, starts: np.ndarray, nexts: np.ndarray, c: np.ndarray, v: int) -> list[int]:
-    """A part of level three, of pairs that begin at `starts`: successor keys, codes of their counts, and each pair's
-    numbers of successors seen once, twice and more often, in a byte each; 255 where one needs more, then they stand in a
-    list. Returns how many triples have each count up to 4."""
-    if len(starts) * v >= 1 << 64:
-        raise ValueError("keys of level three don't fit 64 bits")
-    pair = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(nexts)))
-    real = nexts < v  # not what stands behind the end of a text
-    pair, nexts, c = pair[real], nexts[real], c[real]
-    n = np.stack([np.bincount(pair[some], minlength=len(starts)) for some in (c == 1, c == 2, c > 2)], 1)
-    large = np.flatnonzero((n >= 255).any(1))
-    small = np.minimum(n, 255).astype(np.uint8)
-    _save(f"{path}/{k:06d}.triples", [*elias_fano.encode(pair.astype(np.uint64) * np.uint64(v) + nexts, len(starts) * v), codes(c), *small.T, large.astype("<u8"), n[large].astype("<u8").ravel()])
-    return [int((c == i).sum()) for i in (1, 2, 3, 4)]
-
-
-def _write_backoff(path: str, k: int, discounts: tuple[float, float, float]) -> None:
-    """A part's file with the mass that each first word's counts give up. The file without it stays for a task that runs
-    again."""
-    a = _load(f"{path}/{k:06d}.raw", "uuuuuuuuuuuuu")
-    d = np.array([0.0, *discounts])
-    code = np.asarray(a[4])
-    given = counts_of(code) - np.maximum(counts_of(code) - d[np.minimum(code, 3).astype(np.int64)], 0.0)
-    pointers = elias_fano.Sequence(*a[9:13])
-    at = pointers.get(np.arange(pointers.n - 1)).astype(np.int64)
-    _save(f"{path}/{k:06d}.pairs", [*(np.asarray(x) for x in a), np.add.reduceat(given, at).astype("<f8")])
-
-
 class Scorer:
     def __init__(self, trie: Trie, total: int, v: int):
-        self.trie, self.total, self.v = trie, total, v
+        self.trie, self.total = trie, total
         self.floor = total + 0.1 * (v + 1)
-        self.end = int(trie.words.find(np.array([xxhash.xxh64_intdigest(END)], np.uint64))[0][0])
 
     def score(self, texts: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """n_tokens, n_known, base_score, score of each text."""
+        trie, width = self.trie, _U(self.trie.width)
         h, at, sizes = index(texts)
-        ids, counts = self.trie.words.find(h)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
+        ids, counts = trie.words.find(h)
+        starts = np.cumsum(sizes) - sizes
         uni = (counts + 0.1) / self.floor
         base = np.add.reduceat(np.log10(uni)[at], starts)
         known = np.add.reduceat((counts > 0).astype(np.int64)[at], starts)
-        # Contexts: the word before, or the end of a text.
-        own, before = ids[at], np.roll(ids[at], 1)
-        before[starts] = self.end
-        count_before = np.roll(counts[at], 1)
-        count_before[starts] = self.trie.words.find(np.array([xxhash.xxh64_intdigest(END)], np.uint64))[1][0]
-        p = uni[at]
-        some = np.flatnonzero((before >= 0) & (count_before > 0))
-        if len(some):
-            contexts, back = np.unique(before[some], return_inverse=True)
-            mass = self.trie.backoff(contexts)[back]
-            n = count_before[some].astype(np.float64)
-            seen = np.zeros(len(some))
-            pair = np.flatnonzero(own[some] >= 0)
-            keys, back = np.unique(before[some][pair].astype(np.uint64) * np.uint64(self.v) + own[some][pair].astype(np.uint64), return_inverse=True)
-            if self.trie.third is None:
-                seen[pair] = self.trie.pairs(keys)[back]
-            else:
-                of, place, code = self.trie.places(keys)
-                seen[pair] = np.where(place >= 0, self.trie.discounted(code), 0.0)[back]
-            # The counts of a range, being quantised, needn't add up to n: what is missing goes to the unigram.
-            p[some] = seen / n + np.minimum(mass / n, 1.0) * p[some]
-            if self.trie.third is not None:
-                # The pair that ends before a token is its context.
-                ends_here = np.full(len(at), -1, np.int64)
-                ends_here[some[pair]] = np.where(place >= 0, np.arange(len(keys)), -1)[back]
-                context = np.roll(ends_here, 1)
-                context[starts] = -1
-                self._third(p, np.flatnonzero(context >= 0), context, at, ids, of, place, counts_of(code))
-        return sizes, known, base, np.add.reduceat(np.log10(p), starts)
-
-
-    def _third(self, p: np.ndarray, some: np.ndarray, context: np.ndarray, at: np.ndarray, ids: np.ndarray, of: np.ndarray, place: np.ndarray, n: np.ndarray) -> None:
-        """Interpolates p of some tokens at the third level; of, place, n: part, place and count of each pair in order."""
-        if not len(some):
-            return
-        key, back = np.unique(context[some] * len(ids) + at[some], return_inverse=True)
-        pair, word = np.divmod(key, len(ids))
-        own = ids[word]
-        seen, mass = np.zeros(len(key)), np.zeros(len(key))
-        cuts = np.flatnonzero(np.diff(of[pair])) + 1
-        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-            k, where = int(of[pair[a]]), place[pair[a:z]]
-            mass[a:z] = self.trie.third_backoff(k, where)
-            known = np.flatnonzero(own[a:z] >= 0)
-            seen[a + known] = self.trie.triples(k, where[known], own[a:z][known])
-        n = n[pair]
-        p[some] = (seen / n)[back] + np.minimum(mass / n, 1.0)[back] * p[some]
-
-
-def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
+        n = len(h) + 1
+        key, token = triples(h, at, sizes)
+        context, c = np.divmod(key, n)
+        ids = np.append(ids, trie.v)
+        # Level two, of the distinct pairs.
+        pair, of_pair = np.unique(context // n * n + c, return_inverse=True)
+        b, second = np.divmod(pair, n)
+        first = _starts(b)
+        size = np.diff(first, append=len(b))
+        mass, seen = np.ones(len(first)), ids[b[first]] >= 0
+        mass[seen] = trie.backoff(ids[b[first][seen]])
+        some = np.flatnonzero((ids[b] >= 0) & (ids[second] >= 0))
+        rank, p = np.full(len(pair), -1, np.int64), np.zeros(len(pair))
+        rank[some], p[some] = trie.pairs(ids[b[some]].astype(np.uint64) * width + ids[second[some]].astype(np.uint64))
+        p += np.repeat(mass, size) * uni[second]
+        # Level three, of the distinct triples.
+        p, rank = p[of_pair], rank[of_pair]
+        begin = _starts(context)
+        word, other = np.divmod(context[begin], n)
+        seen = (ids[word] >= 0) & (ids[other] >= 0)
+        place = np.cumsum(seen) - 1
+        of = np.repeat(np.where(seen, place, -1), np.diff(begin, append=len(context)))
+        some = np.flatnonzero(of >= 0)
+        own, left = trie.third(ids[word[seen]].astype(np.uint64) * width + ids[other[seen]].astype(np.uint64), of[some], rank[some])
+        p[some] = own + left * p[some]
+        return sizes, known, base, np.add.reduceat(np.log10(p)[token], starts)
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; learned from those whose
-    crc32(doc_id as text) mod 10 isn't 0, by a model of order 2 or 3."""
+    crc32(doc_id as text) mod 10 isn't 0."""
     spark = docs.sparkSession
     folder = work_dir(spark, "lm")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
     rows = docs.select("doc_id", held.alias("held_out"), text_of().alias("text"))
-    trie, total, v = train(rows.where("not held_out"), folder, order)
-    trie.open.clear()
-    small_batches(spark, 500)
-    shared = spark.sparkContext.broadcast((trie.folder, trie.words.parts, trie.borders, trie.discounts[1:].tolist(), None if trie.third is None else trie.third[1:].tolist()))
+    trie, total, v = train(rows.where("not held_out"), folder)
+    trie.words.open.clear()
+    shared = spark.sparkContext.broadcast((trie, total, v))
 
     def score(batches):
-        where, parts, borders, discounts, third = shared.value
-        scorer = Scorer(Trie(where, Words(where, parts, total), borders, max(1, v), tuple(discounts), third), total, max(1, v) if total else 0)
-        for ids, held_out, texts in _groups(batches, ["doc_id", "held_out", "text"], SCORED):
-            n, known, base, got = scorer.score(texts)
+        scorer = Scorer(*shared.value)
+        for ids, held_out, texts in _groups(batches, ["doc_id", "held_out", "text"], AT_ONCE):
+            if total:
+                n, known, base, got = scorer.score(texts)
+            else:
+                n = np.array([len(tokens(t)) for t in texts], np.int64)
+                known, base, got = np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n))
             yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(held_out, pa.bool_()), pa.array(n), pa.array(known), pa.array([total] * len(n), pa.int64()), pa.array(base), pa.array(got)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
+    small_batches(spark)
     return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -72,98 +72,91 @@ def test_large_sequences():
     assert (lm._read_varints(np.frombuffer(lm._varints(v), np.uint8)) == v).all()
 
 
-def reference_model(rows):
-    """The same model from plain counts."""
+def plain_model(rows, discounts):
+    """The same model from plain counts: which rows are held out, and (n_tokens, n_known, base, score) of a text."""
     tok = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
     held = {i: i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
-    uni, bi = Counter(), Counter()
+    uni, tri = Counter(), Counter()
     for i, t in rows:
         if not held[i]:
             w = tok(t)
             uni.update(w)
-            bi.update(zip([None, *w], w, strict=False))
+            tri.update(zip(["start", None, *w], [None, *w], w, strict=False))
+    d2, d3 = ([0.0, *d] for d in discounts)
+    bi = Counter((b, c) for _, b, c in tri)
+    whole2, back2, whole3, back3 = Counter(), Counter(), Counter(), Counter()
+    for (b, _), n in bi.items():
+        whole2[b] += n
+        back2[b] += d2[min(n, 3)]
+    for (a, b, _), n in tri.items():
+        whole3[a, b] += n
+        back3[a, b] += d3[min(n, 3)]
     total, v = sum(uni.values()), len(uni)
-    n = Counter(bi.values())
-    d = [0.0, *lm._discounts(n[1], n[2], n[3], n[4])]
-    back = Counter()
-    for (a, _), c in bi.items():
-        back[a] += d[min(c, 3)]
 
     def score(t):
         base = full = 0.0
-        before = None
-        for w in tok(t):
-            p = (uni[w] + 0.1) / (total + 0.1 * (v + 1))
+        a, b = "start", None
+        for c in tok(t):
+            p = (uni[c] + 0.1) / (total + 0.1 * (v + 1))
             base += math.log10(p)
-            if uni[before]:
-                p = max(bi[before, w] - d[min(bi[before, w], 3)], 0) / uni[before] + back[before] / uni[before] * p
+            if whole2[b]:
+                p = (bi[b, c] - d2[min(bi[b, c], 3)] + back2[b] * p) / whole2[b]
+            if whole3[a, b]:
+                p = (tri[a, b, c] - d3[min(tri[a, b, c], 3)] + back3[a, b] * p) / whole3[a, b]
             full += math.log10(p)
-            before = w
+            a, b = b, c
         return len(tok(t)), sum(uni[w] > 0 for w in tok(t)), base, full
 
-    return held, total, score
+    return held, total, score, tri
 
 
-def test_scores_against_plain_counts(spark, monkeypatch):
-    monkeypatch.setattr(lm, "PART_TOKENS", 300)  # several parts, a frequent word in more than one
+@pytest.mark.parametrize("part", [300, 3_000_000])
+def test_scores_against_plain_counts(spark, monkeypatch, part):
+    """Several parts, a frequent word and a frequent second word in more than one of them; and one part."""
+    monkeypatch.setattr(lm, "PART_TOKENS", part)
     monkeypatch.setattr(lm, "PART_WORDS", 100)
-    monkeypatch.setattr(lm, "FLUSH", 500)
-    rows = [(i, f"The {prose(i % 25, 40)} the the The ÉA\x0bb") for i in range(60)] + [(100, None), (101, ""), (None, "w1 w2"), (102, "unseen words here"), (3, "twice")]
+    monkeypatch.setattr(lm, "AT_ONCE", 5000)
+    monkeypatch.setattr(lm, "HELD", 200)
+    few = lambda i: " ".join(f"v{x % 7}" for x in np.random.default_rng(i).integers(0, 50, 40))
+    rows = [(i, f"The {prose(i % 25, 20)} {few(i)} the The ÉA\x0bb") for i in range(60)] + [(200 + i, f"a b u{i}") for i in range(700)]
+    rows += [(100, None), (101, ""), (None, "v1 v2 v3 w1"), (102, "unseen v1 v2 words"), (3, "twice"), (3, "the " * 3000)]
     docs = spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id long, text string, score double").repartition(3)
-    held, total, score = reference_model(rows)
+    held = plain_model(rows, [(0.5,) * 3] * 2)[0]
+    trie, n, v = lm.train(spark.createDataFrame([(t or "",) for i, t in rows if not held[i]], "text string"), work_dir(spark, "lm-test"))
+    assert (len(trie.borders) > 20 and len(trie.split) > 2) == (part == 300)
+    held, total, score, tri = plain_model(rows, trie.discounts)
+    assert total == n
+    counts = [Counter(tri.values())[k] for k in (1, 2, 3, 4)]
+    assert np.allclose(trie.discounts[1], lm._discounts(*counts))
     got = lm.score_documents(docs).collect()
-    assert len(got) == len(rows)
-    by = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got)
-    want = Counter((i, held[i], s[0], s[1], total, round(s[2], 6), round(s[3], 6)) for i, t in rows for s in [score(t)])
-    assert by == want
-
-
-def test_scores_of_order_three_against_plain_counts(spark, monkeypatch):
-    """The third level interpolates with the second; a context that wasn't seen falls back to it. op9 has order three."""
-    monkeypatch.setattr(lm, "PART_TOKENS", 300)
-    monkeypatch.setattr(lm, "PART_WORDS", 100)
-    monkeypatch.setattr(lm, "FLUSH", 500)
-    few = lambda i: " ".join(f"v{x % 7}" for x in np.random.default_rng(i).integers(0, 50, 40))
-    rows = [(i, f"The {prose(i % 25, 20)} {few(i)} the The") for i in range(60)] + [(200 + i, f"a b u{i}") for i in range(700)] + [(100, None), (101, ""), (None, "v1 v2 v3 w1"), (102, "unseen v1 v2 words"), (3, "twice")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    held, total, lower = reference_model(rows)
-    tok = lambda t: [*(t or "").lower().split(), None]
-    uni, bi, tri = Counter(), Counter(), Counter()
-    for i, t in rows:
-        if not held[i]:
-            w = tok(t)
-            uni.update(w)
-            bi.update(zip([None, *w], w, strict=False))
-            tri.update(zip([None, *w], w, w[1:], strict=False))
-    assert max(Counter(x[:2] for x, c in tri.items() if c == 1).values()) > 255
-    counts = lambda x: [Counter(x.values())[k] for k in (1, 2, 3, 4)]
-    d2, d3 = ([0.0, *lm._discounts(*counts(x))] for x in (bi, tri))
-    back2, back3 = Counter(), Counter()
-    for (a, _), c in bi.items():
-        back2[a] += d2[min(c, 3)]
-    for (a, b, _), c in tri.items():
-        back3[a, b] += d3[min(c, 3)]
-
-    def score(t):
-        full, context = 0.0, (None,)
-        for w in tok(t):
-            p, b = (uni[w] + 0.1) / (total + 0.1 * (len(uni) + 1)), context[-1]
-            if uni[b]:
-                p = (bi[b, w] - d2[min(bi[b, w], 3)] + back2[b] * p) / uni[b]
-            if len(context) == 2 and bi[context]:
-                p = (tri[(*context, w)] - d3[min(tri[(*context, w)], 3)] + back3[context] * p) / bi[context]
-            full += math.log10(p)
-            context = (b, w)
-        return full
-
-    got = {(r.doc_id, r.n_tokens): r for r in lm.score_documents(docs, order=3).collect()}
+    want = {(i, t or ""): score(t) for i, t in rows}
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == Counter((i, held[i], *want[i, t or ""][:2], total) for i, t in rows)
+    by = {(r.doc_id, r.n_tokens): r for r in got}
     for i, t in rows:
-        r = got[i, len(tok(t))]
-        assert abs(r.score - score(t)) < 1e-6 and abs(r.base_score - lower(t)[2]) < 1e-6
-    folder = work_dir(spark, "op9-order")
+        k, _, base, full = want[i, t or ""]
+        r = by[i, k]
+        assert abs(r.base_score - base) < 1e-6 and abs(r.score - full) < k * 2 * lm.STEP  # a code is off by half a step
+    folder = work_dir(spark, "op9-query")
     docs.write.parquet(f"{folder}/documents.parquet")
     for r in queries.op9_lm_scores(spark, folder).collect():
-        assert abs(r.score - got[r.doc_id, r.n_tokens].score) < 1e-9
+        assert abs(r.score - by[r.doc_id, r.n_tokens].score) < 1e-9
+
+
+def test_probabilities_sum_to_one(spark):
+    """Over all known words, the end, and one unknown word, behind contexts that were seen and that weren't."""
+    texts = [f"{prose(i, 30)} x y" for i in range(40)]
+    trie, n, v = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), work_dir(spark, "lm-test"))
+    words = sorted({w.encode() for t in texts for w in t.lower().split()} | {lm.END})
+    ids, counts = trie.words.find(np.sort(np.array([lm.xxhash.xxh64_intdigest(w) for w in words], np.uint64)))
+    uni = (counts + 0.1) / (n + 0.1 * (v + 1))
+    one = lambda w: int(trie.words.find(np.array([lm.xxhash.xxh64_intdigest(w)], np.uint64))[0][0])
+    for a, b in ((b"x", b"y"), (b"y", b"x"), (lm.END, b"x")):
+        keys = np.uint64(one(b) * trie.width) + ids.astype(np.uint64)
+        rank, p = trie.pairs(keys)
+        p = p + trie.backoff(np.array([one(b)])) * uni
+        own, left = trie.third(np.array([one(b) * trie.width + one(a)], np.uint64), np.zeros(len(ids), np.int64), rank)
+        assert abs(p.sum() + (1 - uni.sum()) * trie.backoff(np.array([one(b)]))[0] - 1) < 1e-3
+        assert abs(own.sum() + left[0] - 1) < 1e-3 and (left < 1 if a == b"x" else left == 1).all()
 
 
 def test_model_of_nothing(spark):
