@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from siltstone.llm.shared import atomic_write
+
 _U = np.uint64
 _STEP, _TOP = _U(0x0101010101010101), _U(0x8080808080808080)
 _PAIRS, _NIBBLES, _BYTES = _U(0x5555555555555555), _U(0x3333333333333333), _U(0x0F0F0F0F0F0F0F0F)
@@ -132,3 +134,32 @@ class Sequence:
         word = np.searchsorted(self.ones, k, "right") - 1
         place = word * 64 + select(self.high[word], k - self.ones[word])
         return ((place - i).astype(np.uint64) << _U(self.bits)) | self.low(i)
+
+
+def sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(counts[order], starts)
+
+
+def save(path: str, arrays: list[np.ndarray]) -> None:
+    """Arrays as 8-byte words in one file, behind a table of their places."""
+    packed = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    packed = [p + bytes(-len(p) % 8) for p in packed]
+    starts = np.cumsum([0, *(len(p) for p in packed)])[:-1] // 8
+    head = np.array([len(arrays), *(x for s, a in zip(starts, arrays, strict=True) for x in (s, a.size, a.dtype.itemsize))], "<u8")
+    atomic_write(path, [head.tobytes(), *packed])
+
+
+def load(path: str) -> list[np.ndarray]:
+    """Memory-mapped arrays of unsigned integers of a file that save() wrote."""
+    words = np.memmap(path, "<u8", "r").view(np.ndarray)  # a plain view of the mapping
+    n = int(words[0])
+    out = []
+    for k in range(n):
+        start, size, width = (int(x) for x in words[1 + 3 * k : 4 + 3 * k])
+        start += 1 + 3 * n
+        out.append(words[start : start + (size * width + 7) // 8].view(f"<u{width}")[:size])
+    return out

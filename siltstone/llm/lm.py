@@ -116,14 +116,6 @@ def _groups(batches, columns, at_once):
         yield tuple(zip(*held))
 
 
-def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sums of their counts."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    starts = _starts(keys)
-    return keys[starts], np.add.reduceat(counts[order], starts)
-
-
 def _starts(*line: np.ndarray) -> np.ndarray:
     """Where a value of arrays in order begins."""
     return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in line])]))
@@ -142,31 +134,10 @@ def _add_up(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     contexts, nexts, counts = (np.concatenate([r[i] for r in held]) for i in range(3))
     held.clear()
     known, place = np.unique(contexts, return_inverse=True)
-    key, counts = _sums(place.astype(np.uint64) << _U(32) | nexts, counts)
+    key, counts = elias_fano.sums(place.astype(np.uint64) << _U(32) | nexts, counts)
     return known[(key >> _U(32)).astype(np.int64)], (key & _U(0xFFFFFFFF)).astype(np.uint32), counts
 
 
-def _save(path: str, arrays: list[np.ndarray]) -> None:
-    """Arrays as 8-byte words in one file, behind a table of their places."""
-    packed = [np.ascontiguousarray(a).tobytes() for a in arrays]
-    packed = [p + bytes(-len(p) % 8) for p in packed]
-    starts = np.cumsum([0, *(len(p) for p in packed)])[:-1] // 8
-    head = np.array([len(arrays), *(x for s, a in zip(starts, arrays, strict=True) for x in (s, a.size, a.dtype.itemsize))], "<u8")
-    atomic_write(path, [head.tobytes(), *packed])
-
-
-def _load(path: str) -> list[np.ndarray]:
-    """Memory-mapped arrays of unsigned integers of a file that _save wrote."""
-    words = np.memmap(path, "<u8", "r").view(np.ndarray)  # a plain view of the mapping
-    n = int(words[0])
-    out = []
-    for k in range(n):
-        start, size, width = (int(x) for x in words[1 + 3 * k : 4 + 3 * k])
-        start += 1 + 3 * n
-        out.append(words[start : start + (size * width + 7) // 8].view(f"<u{width}")[:size])
-    return out
-
-
 def _level(starts: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
     """Pointers to the ranges that begin at `starts`, and the ranges' numbers, rising in each, as one monotone sequence."""
     ends = np.append(starts[1:], len(numbers))
@@ -209,7 +180,7 @@ class Words:
         if k not in self.open:
             if len(self.open) >= MOST_OPEN:
                 self.open.clear()
-            *seq, counts, sums = _load(f"{self.folder}/{self.parts[k][0]:06d}.words")
+            *seq, counts, sums = elias_fano.load(f"{self.folder}/{self.parts[k][0]:06d}.words")
             self.open[k] = (elias_fano.Sequence(*seq), counts, sums)
         return self.open[k]
 
@@ -265,7 +236,7 @@ class Trie:
             if len(self.open) >= 3 * MOST_OPEN:
                 self.open.clear()
             try:
-                a = _load(f"{self.folder}/{k:06d}.{kind}")
+                a = elias_fano.load(f"{self.folder}/{k:06d}.{kind}")
             except FileNotFoundError:  # no triple has a key in this part
                 a = None
             if a is None:
@@ -351,7 +322,7 @@ def _write_words(counted: DataFrame, folder: str) -> tuple[Words, int, int]:
         h = np.concatenate(hs).astype(np.int64).view(np.uint64) ^ _U(1 << 63)
         c = np.concatenate(cs).astype("<u8")
         part = TaskContext.get().partitionId()
-        _save(f"{path}/{part:06d}.words", [*elias_fano.encode(h - h[0], int(h[-1] - h[0]) + 1), c, np.cumsum(c, dtype="<u8")])
+        elias_fano.save(f"{path}/{part:06d}.words", [*elias_fano.encode(h - h[0], int(h[-1] - h[0]) + 1), c, np.cumsum(c, dtype="<u8")])
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "first": pa.array([int(h[:1].view(np.int64)[0])], pa.int64()), "n": pa.array([len(h)], pa.int64()), "mass": pa.array([int(c.sum())], pa.int64())})
 
     rows = sorted(materialize(line.mapInArrow(write, "part long, first long, n long, mass long"), f"{folder}/words-manifest").collect(), key=lambda r: r["part"])
@@ -433,7 +404,7 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
             starts = _starts(keys)
             b, a = np.divmod(keys[starts], _U(width))
             first = _starts(b)
-            _save(f"{path}/{k:06d}.contexts", [*elias_fano.encode(b[first], int(b[-1]) + 1), *_level(first, a)])
+            elias_fano.save(f"{path}/{k:06d}.contexts", [*elias_fano.encode(b[first], int(b[-1]) + 1), *_level(first, a)])
             raw = np.concatenate([np.diff(starts, append=len(c)).astype(np.uint64), c.astype(np.uint64), count.astype(np.uint64)])
             atomic_write(f"{path}/{k:06d}.raw", [np.array([len(starts), len(c)], "<u8").tobytes(), zlib.compress(_varints(raw), 1)])
             word = keys // _U(width)
@@ -449,7 +420,7 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
         words, borders = shared.value
         d, totals = weights.value
         for k, runs in _by_part(batches, borders, 2):
-            keys, before = _sums(*map(np.concatenate, zip(*runs)))
+            keys, before = elias_fano.sums(*map(np.concatenate, zip(*runs)))
             b, c = np.divmod(keys, _U(width))
             first = _starts(b)
             given = d[np.minimum(before, 3).astype(np.int64)]
@@ -459,7 +430,7 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
                 all_[i] = totals.get(int(own[i]), all_[i])
             mass = np.add.reduceat(given, first)
             size = np.diff(first, append=len(b))
-            _save(f"{path}/{k:06d}.pairs", [*elias_fano.encode(b[first], int(b[-1]) + 1), *_level(first, c), codes((before - given) / np.repeat(all_, size)), codes(np.minimum(mass / all_, 1.0))])
+            elias_fano.save(f"{path}/{k:06d}.pairs", [*elias_fano.encode(b[first], int(b[-1]) + 1), *_level(first, c), codes((before - given) / np.repeat(all_, size)), codes(np.minimum(mass / all_, 1.0))])
             yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int64()), "edge": pa.array([int(shares(k))], pa.int64()), **{n: pa.array([x], t) for n, x, t in (("w1", int(own[0]), pa.int64()), ("n1", int(size[0]), pa.int64()), ("m1", float(mass[0] / all_[0]), pa.float64()), ("w2", int(own[-1]), pa.int64()), ("n2", int(size[-1]), pa.int64()), ("m2", float(mass[-1] / all_[-1]), pa.float64()))}})
 
     def third(batches):
@@ -481,7 +452,7 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
                     raise AssertionError("a pair of a triple isn't in level two")
                 given = d[np.minimum(count, 3).astype(np.int64)]
                 whole = np.add.reduceat(count, starts)
-                _save(f"{path}/{k:06d}.triples", [*_level(starts, rank[place]), codes((count - given) / np.repeat(whole, size)), codes(np.minimum(np.add.reduceat(given, starts) / whole, 1.0))])
+                elias_fano.save(f"{path}/{k:06d}.triples", [*_level(starts, rank[place]), codes((count - given) / np.repeat(whole, size)), codes(np.minimum(np.add.reduceat(given, starts) / whole, 1.0))])
                 trie.open.clear()
                 yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64())})
 

@@ -1,18 +1,23 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-Equal texts are one text from the start. Each text's five-word shingles are weighted by TF-IDF; samples of them agree
-for two texts with probability equal to their weighted Jaccard similarity, and are banded. A text with a shingle that
-many texts share is sampled by its term counts too, into the same buckets: where no shingle is frequent both weights are
-one, so such a text also meets those that are sampled once. In each bucket of each band
-all texts are held against the most central one, and each against its successor in the order of the signatures, so a
-bucket costs a number of pairs in proportion to its texts. Where a bucket's texts then lie in different components, those
-outside its largest one are held against all others, in blocks of bounded size, by a matrix product that bounds the
-similarity from above; only links come out. So every pair with a bucket in common is tested or already connected. A pair
-is a link if its weighted Jaccard similarity is 0.8 or more, with TF-IDF or with term counts alone: IDF fades passages
-that many texts share, and must not part copies that many texts share. Classes are connected components.
+Equal texts are one text from the start. Each text's five-word shingles are weighted by TF-IDF, by exact document
+frequencies of all shingles; samples of them agree for two texts with probability equal to their weighted Jaccard
+similarity, and are banded. A text whose mean inverse frequency is under COMMON is sampled by its term counts too, into
+the same buckets: what many texts share weighs little, and copies that many texts share must meet nevertheless. In each
+bucket of each band all texts are held against the most central one, and each against its successor in the order of the
+signatures, so a bucket costs a number of pairs in proportion to its texts. Where a bucket's texts then lie in different
+components, those outside its largest one are held against all others, in blocks of bounded size, by a matrix product
+that bounds the similarity from above; only links come out. So every pair with a bucket in common is tested or already
+connected. A pair is a link if its weighted Jaccard similarity is 0.8 or more, with TF-IDF or with term counts. Classes
+are connected components.
+
+Texts are told apart by their 128-bit digest and then numbered. Buckets and texts that many rows have are joined by a
+broadcast of bounded size, all others by a shuffle.
 
 Defined cases: null texts and texts without a word are no copies of anything; texts of fewer than five words are one
-shingle; rows without doc_id get no class; an empty table gives no rows; extra columns are ignored or kept as they are.
+shingle; very long texts are read whole; rows without doc_id get no class; of rows that repeat a doc_id and a text one is
+kept, of texts that repeat the smallest doc_id one (the one of smallest digest) stands for the class; an empty table gives
+no rows; extra columns are ignored or kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,16 +27,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import materialize, small_batches, text_of, work_dir
-from siltstone.llm.shingles import frequent_shingles, inverse_frequency, mix, shingles, weighted_jaccard, weights
+from siltstone.llm.shared import columns_of, free_name, materialize, small_batches, text_of, work_dir
+from siltstone.llm.shingles import Frequencies, count_frequencies, mix, shingle_rows, weighted_jaccard
 
 SIMILARITY, BANDS, ROWS = 0.8, 14, 4
-#: Texts of a block that are held against those of another, and of the other.
-SIDE, ACROSS = 256, 2048
-#: Ids that are broadcast at most; beyond that the same join shuffles.
-MOST_BROADCAST = 4_000_000
+#: Texts whose mean inverse frequency is lower are sampled by term counts too.
+COMMON = 0.85
+#: Texts of a block that are held against those of another; how many of either at once; columns of a product.
+BLOCK, SIDE, COLUMNS = 2048, 256, 8192
+#: Rows that are broadcast at most, and rows of a key that are many.
+MOST_BROADCAST, MANY = 1_000_000, 1_000
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _ODD = mix(_SEEDS) | np.uint64(1)
+_INVERSE = np.array([pow(int(x), -1, 1 << 64) for x in _ODD], np.uint64)
 
 
 def _exponential(z: np.ndarray) -> np.ndarray:
@@ -39,50 +47,59 @@ def _exponential(z: np.ndarray) -> np.ndarray:
     return -np.log1p(-(z >> np.uint64(11)).astype(np.float64) * 2.0**-53)
 
 
-def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One 64-bit sample for each of the BANDS * ROWS draws: the chosen shingle and its quantum.
+def sample_rows(begin: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of each text (its shingles from begin[i] to begin[i + 1], one at least) one 64-bit sample for each of the
+    BANDS * ROWS draws: the chosen shingle and its quantum.
 
     Improved consistent weighted sampling draws r and c from Gamma(2, 1) and b uniform for each draw and shingle, takes
     t = floor(ln w / r + b) and ln y = r (t - b), and chooses the shingle of least ln c - ln y - r. Here the three come
     from exponential draws a, d and f: c = a + d, r (1 - b) = ln(c / a), r b = f, which have the wanted distributions
     together; then a shingle of weight 1 has t = 0 and the value ln a, so that of all those the least hash is chosen.
     """
+    n = len(begin) - 1
+    of = np.repeat(np.arange(n), np.diff(begin))
     one = w == 1.0
     plain, rest, ln_w = h[one], h[~one], np.log(w[~one])
-    draws = len(_SEEDS)
-    out = np.empty(draws, np.uint64)
-    block = max(1, 400_000 // len(h))
-    for k in range(0, draws, block):
-        seeds, odd = _SEEDS[k : k + block, None], _ODD[k : k + block, None]
-        row = np.arange(len(seeds))
-        least = np.full(len(seeds), np.inf)
-        chosen = np.zeros(len(seeds), np.uint64)
+    plain_of, rest_of = of[one], of[~one]
+    plain_texts, rest_texts = _firsts(plain_of), _firsts(rest_of)
+    out = np.empty((n, len(_SEEDS)), np.uint64)
+    for k, (seed, odd) in enumerate(zip(_SEEDS, _ODD, strict=True)):
+        least, chosen = np.full(n, np.inf), np.zeros(n, np.uint64)
         if len(plain):
-            z = (plain[None, :] ^ seeds) * odd
-            best = z.argmin(1)
-            least, chosen = np.log(_exponential(z[row, best])), plain[best]
+            z = np.minimum.reduceat((plain ^ seed) * odd, plain_texts)
+            texts = plain_of[plain_texts]
+            least[texts] = np.log(_exponential(z) + 1e-300)
+            chosen[texts] = z * _INVERSE[k] ^ seed
         if len(rest):
-            z = (rest[None, :] ^ seeds) * odd
-            a, d, f = _exponential(z), _exponential(mix(z ^ np.uint64(0x2545F4914F6CDD1D))), _exponential(mix(z ^ np.uint64(0x5851F42D4C957F2D)))
+            z = (rest ^ seed) * odd
+            a, d, f = _exponential(z) + 1e-300, _exponential(mix(z ^ np.uint64(0x2545F4914F6CDD1D))), _exponential(mix(z ^ np.uint64(0x5851F42D4C957F2D)))
             c = a + d
-            r = np.log(c / a) + f
+            r = np.log(c / a) + f + 1e-300
             b = f / r
-            t = np.floor(ln_w[None, :] / r + b)
+            t = np.floor(ln_w / r + b)
             value = np.log(c) - r * (t - b) - r
-            best = value.argmin(1)
-            wins = value[row, best] < least
-            quantum = t[row, best].astype(np.int64).view(np.uint64) * np.uint64(0xA0761D6478BD642F)
-            chosen = np.where(wins, rest[best] + quantum, chosen)
-        out[k : k + block] = mix(chosen)
+            low = np.minimum.reduceat(value, rest_texts)
+            texts = rest_of[rest_texts]
+            best = np.flatnonzero(value == np.repeat(low, np.diff(rest_texts, append=len(rest))))
+            best = best[_firsts(rest_of[best])]
+            wins = low < least[texts]
+            quantum = t[best].astype(np.int64).view(np.uint64) * np.uint64(0xA0761D6478BD642F)
+            chosen[texts[wins]] = (rest[best] + quantum)[wins]
+        out[:, k] = mix(chosen)
     return out
 
 
-def bands(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One hash for each band."""
-    s = samples(h, w).reshape(BANDS, ROWS)
-    acc = np.arange(1, BANDS + 1, dtype=np.uint64)
+def _firsts(of: np.ndarray) -> np.ndarray:
+    """Where the values of an array in order begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), bool), of[1:] != of[:-1]]))
+
+
+def band_rows(begin: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of each text one hash for each band."""
+    s = sample_rows(begin, h, w).reshape(-1, BANDS, ROWS)
+    acc = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(s), 1))
     for k in range(ROWS):
-        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + s[:, k])
+        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + s[:, :, k])
     return acc
 
 
@@ -90,87 +107,114 @@ WORDY = r"[^\x20\x09-\x0D]"
 
 
 def text_key() -> Column:
-    """A text's number: 64 bits of its digest."""
-    return F.xxhash64(F.md5(text_of().cast("binary")))
+    """A text's digest."""
+    return F.md5(text_of().cast("binary"))
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """Inner join with a frame of distinct keys that says in column n how many rows of the left one each has. Keys of many
+    rows are broadcast, so that they don't meet in a task; there are at most MOST_BROADCAST of them."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    many = max(MANY, -(-total // MOST_BROADCAST))
+    heavy = right.where(F.col(n) > many)
+    if not heavy.limit(1).count():
+        return left.join(right, on)
+    hot = F.broadcast(heavy)
+    return left.join(hot, on).unionByName(left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right.where(F.col(n) <= many), on))
 
 
 def exact_classes(docs: DataFrame, where: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep) of every row with a doc_id and a word in its text; and (rep, first, text) of the distinct texts. rep
-    is the text's number, first the smallest doc_id that has it. Texts meet in a partial aggregate first, so copies don't
-    gather in a task."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where(F.col("text").rlike(WORDY)).withColumn("rep", text_key())
-    one = rows.groupBy("rep").agg(F.min(F.struct("doc_id", "text")).alias("x"))
-    texts = materialize(one.select("rep", F.col("x.doc_id").alias("first"), F.col("x.text").alias("text")), f"{where}/texts")
-    return rows.select("doc_id", "rep"), texts
+    """(doc_id, digest) of every row with a doc_id and a word in its text; and (rep, digest, first, n, bytes, text) of the
+    distinct texts. rep is the text's number, first the smallest doc_id that has it, n how many rows. Texts meet in a
+    partial aggregate first, so copies don't gather in a task."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = rows.where(F.col("text").rlike(WORDY)).withColumn("digest", text_key())
+    one = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+    one = one.select(F.monotonically_increasing_id().alias("rep"), "digest", "first", "n", F.octet_length("text").cast("long").alias("bytes"), "text")
+    return rows.select("doc_id", "digest"), materialize(one, f"{where}/texts")
 
 
-def signatures(texts: DataFrame, frequent: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """(rep, band, bucket, sig): a row for each band by TF-IDF, and one by term counts where that is another bucket; sig,
-    the hash of the next band, orders a bucket."""
-    small_batches(texts.sparkSession, 500)
-    shared = texts.sparkSession.sparkContext.broadcast((frequent, idf))
+def signatures(texts: DataFrame, df: Frequencies) -> DataFrame:
+    """(rep, band, bucket, sig): a row for each band by TF-IDF, and one by term counts where the text needs it and that is
+    another bucket; sig, the hash of the next band, orders a bucket."""
+    small_batches(texts.sparkSession)
 
     def sign(batches):
-        frequent, idf = shared.value
         for b in batches:
-            reps, at, buckets, sigs = [], [], [], []
-            for rep, t in zip(b.column("rep").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h, tf = shingles(t)
-                if not len(h):
-                    continue
-                w = weights(h, tf, frequent, idf)
-                s = bands(h, w)
-                reps.append(np.full(BANDS, rep, np.int64))
-                at.append(np.arange(BANDS, dtype=np.int32))
-                buckets.append(s)
-                sigs.append(np.roll(s, -1))
-                if (w != tf).any():
-                    c = bands(h, tf.astype(np.float64))
-                    other = np.flatnonzero(c != s)
-                    reps.append(np.full(len(other), rep, np.int64))
-                    at.append(other.astype(np.int32))
-                    buckets.append(c[other])
-                    sigs.append(np.roll(c, -1)[other])
-            if reps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps)), pa.array(np.concatenate(at)), pa.array(np.concatenate(buckets).view(np.int64)), pa.array(np.concatenate(sigs).view(np.int64))], ["rep", "band", "bucket", "sig"])
-
-    return texts.mapInArrow(sign, "rep long, band int, bucket long, sig long")
-
-
-def similar(pairs: DataFrame, texts: DataFrame, frequent: np.ndarray, idf: np.ndarray) -> DataFrame:
-    """(a, b, linked) of pairs (a, b) by their whole texts. Pairs come sorted by a, whose vector is kept meanwhile."""
-    shared = texts.sparkSession.sparkContext.broadcast((frequent, idf))
-    both = pairs.join(texts.withColumnsRenamed({"rep": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"rep": "a", "text": "text_a"}), "a")
+            begin, h, tf = shingle_rows(b.column("text").to_pylist())
+            some = np.flatnonzero(np.diff(begin))
+            if not len(some):
+                continue
+            reps, begin = b.column("rep").to_numpy(zero_copy_only=False)[some], np.append(begin[some], len(h))
+            w = df.weights(h, tf)
+            s = band_rows(begin, h, w)
+            every, at = np.repeat(reps, BANDS), np.tile(np.arange(BANDS, dtype=np.int32), len(reps))
+            rows = [(every, at, s.ravel(), np.roll(s, -1, 1).ravel())]
+            common = np.flatnonzero(np.add.reduceat(w, begin[:-1]) < COMMON * np.add.reduceat(tf, begin[:-1]))
+            if len(common):
+                size = np.diff(begin)[common]
+                own = np.concatenate([[0], np.cumsum(size)])
+                place = np.arange(own[-1]) + np.repeat(begin[common] - own[:-1], size)
+                c = band_rows(own, h[place], tf[place].astype(np.float64))
+                other = np.flatnonzero((c != s[common]).ravel())
+                rows.append((np.repeat(reps[common], BANDS)[other], np.tile(np.arange(BANDS, dtype=np.int32), len(common))[other], c.ravel()[other], np.roll(c, -1, 1).ravel()[other]))
+            reps, at, buckets, sigs = (np.concatenate([r[i] for r in rows]) for i in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(at), pa.array(buckets.view(np.int64)), pa.array(sigs.view(np.int64))], ["rep", "band", "bucket", "sig"])
+
+    return texts.select("rep", "text").mapInArrow(sign, "rep long, band int, bucket long, sig long")
+
+
+def vectors(texts: DataFrame, df: Frequencies) -> DataFrame:
+    """(rep, vector): a text's shingle hashes, TF-IDF weights and counts, packed one after the other."""
+    small_batches(texts.sparkSession)
+
+    def pack(batches):
+        for b in batches:
+            begin, h, tf = shingle_rows(b.column("text").to_pylist())
+            w = df.weights(h, tf)
+            packed = [h[a:z].tobytes() + w[a:z].astype("<f4").tobytes() + tf[a:z].astype("<u4").tobytes() for a, z in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(packed, pa.binary())], ["rep", "vector"])
+
+    return texts.select("rep", "text").mapInArrow(pack, "rep long, vector binary")
+
+
+def unpacked(vector: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, weights and counts."""
+    n = len(vector) // 16
+    return np.frombuffer(vector, "<u8", n), np.frombuffer(vector, "<f4", n, 8 * n).astype(np.float64), np.frombuffer(vector, "<u4", n, 12 * n).astype(np.float64)
 
-    def judge(batches):
-        frequent, idf = shared.value
-        kept: tuple = (None, None, None)
 
-        def vectors(t: str) -> tuple:
-            h, tf = shingles(t)
-            return (h, weights(h, tf, frequent, idf)), (h, tf.astype(np.float64))
+def alike(a: tuple, b: tuple) -> bool:
+    """Whether two unpacked vectors make a link."""
+    return any(weighted_jaccard((a[0], a[k]), (b[0], b[k])) >= SIMILARITY for k in (1, 2))
 
+
+def similar(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """(a, b, linked) of pairs (a, b). The text that more pairs hold is named a; pairs come sorted by a, whose vector is
+    kept meanwhile."""
+    both = pairs.join(packed.withColumnsRenamed({"rep": "b", "vector": "vector_b"}), "b").join(packed.withColumnsRenamed({"rep": "a", "vector": "vector_a"}), "a")
+
+    def judge(batches):
+        kept: tuple = (None, None)
         for x in batches:
             out = []
-            for a, ta, tb in zip(x.column("a").to_pylist(), x.column("text_a").to_pylist(), x.column("text_b").to_pylist(), strict=True):
+            for a, va, vb in zip(x.column("a").to_pylist(), x.column("vector_a").to_pylist(), x.column("vector_b").to_pylist(), strict=True):
                 if kept[0] != a:
-                    kept = (a, *vectors(ta))
-                wb, cb = vectors(tb)
-                out.append(weighted_jaccard(kept[1], wb) >= SIMILARITY or weighted_jaccard(kept[2], cb) >= SIMILARITY)
+                    kept = (a, unpacked(va))
+                out.append(alike(kept[1], unpacked(vb)))
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
     return both.mapInArrow(judge, "a long, b long, linked boolean")
 
 
 def links(texts: DataFrame, where: str) -> DataFrame:
-    """(a, b) of texts found similar: enough of them to connect all that belong together."""
-    n = texts.count()
-    frequent, df = frequent_shingles(texts, n)
-    idf = inverse_frequency(df, n)
-    signed = materialize(signatures(texts, frequent, idf), f"{where}/bands")
+    """(a, b) of texts (rep, text, bytes) found similar: enough of them to connect all that belong together."""
+    n, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    df = count_frequencies(texts, f"{where}/df", n, size)
+    signed = materialize(signatures(texts, df), f"{where}/bands")
     bucket = ["band", "bucket"]
-    sizes = signed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(signed.join(sizes, bucket), f"{where}/members")
+    sizes = materialize(signed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{where}/sizes")
+    members = materialize(joined(signed, sizes, bucket), f"{where}/members")
     # A text is the more central the larger its buckets are.
     central = members.groupBy("rep").agg(F.sum("n").alias("central"))
     members = materialize(members.join(central, "rep"), f"{where}/central")
@@ -178,49 +222,43 @@ def links(texts: DataFrame, where: str) -> DataFrame:
     few = ids.count()
     # The texts that are held against each other: those with a bucket to share.
     some = texts.join(F.broadcast(ids) if few <= MOST_BROADCAST else ids, "rep", "left_semi")
-    some = materialize(some, f"{where}/some")
-    leads = members.groupBy(*bucket).agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("lead"))
-    star = members.join(leads, bucket).where("rep != lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
+    packed = materialize(vectors(some, df), f"{where}/vectors")
+    leads = materialize(members.groupBy(*bucket).agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("lead"), F.count(F.lit(1)).alias("rows")), f"{where}/leads")
+    star = joined(members, leads, bucket, "rows").where("rep != lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
     pairs = star.unionByName(successors(members)).distinct()
-    found = materialize(similar(pairs, some, frequent, idf).where("linked").select("a", "b"), f"{where}/found")
+    found = materialize(similar(pairs, packed).where("linked").select("a", "b"), f"{where}/found")
     roots = components(found, f"{where}/first")
-    rest = across(members.where("n > 2").select(*bucket, "rep"), roots, some, frequent, idf)
+    rest = across(members.where("n > 2").select(*bucket, "rep"), roots, packed, f"{where}/across")
     return materialize(found.unionByName(rest.distinct()), f"{where}/links")
 
 
-def across(members: DataFrame, roots: DataFrame, texts: DataFrame, frequent: np.ndarray, idf: np.ndarray) -> DataFrame:
+def across(members: DataFrame, roots: DataFrame, packed: DataFrame, where: str) -> DataFrame:
     """(a, b) of similar texts that share a bucket and lie in different components."""
     bucket = ["band", "bucket"]
-    placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    placed = materialize(members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), f"{where}/placed")
     parts = placed.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    blocks = lambda n, size: F.ceil(n / size).cast("int")
-    at = placed.join(mixed.select(*bucket, "main", blocks(F.col("n") - F.col("most"), SIDE).alias("n_x"), blocks(F.col("n"), ACROSS).alias("n_y")), bucket)
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = materialize(mixed.select(*bucket, "main", "n", blocks(F.col("n") - F.col("most")).alias("n_x"), blocks(F.col("n")).alias("n_y")), f"{where}/mixed")
+    at = joined(placed, mixed, bucket)
     turn = lambda of: F.pmod(F.xxhash64("rep"), of).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     x = at.where("root != main").select(*bucket, turn(F.col("n_x")).alias("x"), every("n_y").alias("y"), F.lit(0).alias("side"), "rep", "root")
     y = at.select(*bucket, every("n_x").alias("x"), turn(F.col("n_y")).alias("y"), F.lit(1).alias("side"), "rep", "root")
     key = [*bucket, "x", "y"]
-    rows = x.unionByName(y).join(texts, "rep").repartition(*key).sortWithinPartitions(*key, "side", "rep")
-    shared = texts.sparkSession.sparkContext.broadcast((frequent, idf))
+    rows = x.unionByName(y).join(packed, "rep").repartition(*key).sortWithinPartitions(*key, "side", "rep")
 
     def compare(batches):
-        frequent, idf = shared.value
         at, left, right = None, [], []
-
-        def vector(rep: int, root: int, text: str) -> tuple:
-            h, tf = shingles(text)
-            return rep, root, h, weights(h, tf, frequent, idf), tf.astype(np.float64)
-
         for b in batches:
             out: list[tuple[int, int]] = []
-            for row in zip(*(b.column(c).to_pylist() for c in (*key, "side", "rep", "root", "text")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in (*key, "side", "rep", "root", "vector")), strict=True):
                 if row[:4] != at or len(right) == SIDE:
                     out += linked_across(left, right)
                     right = []
                     if row[:4] != at:
                         at, left = row[:4], []
-                (right if row[4] else left).append(vector(*row[5:]))
+                (right if row[4] else left).append((*row[5:7], *unpacked(row[7])))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
         out = linked_across(left, right)
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -238,28 +276,35 @@ def linked_across(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]
     columns = found[texts > 1]  # what one text has alone can't be shared
     if not len(columns):
         return []
-    possible = np.zeros((len(left), len(right)), bool)
-    for k in (3, 4):
-        sides = []
-        for vectors in (left, right):
-            m = np.zeros((len(vectors), len(columns)), np.float32)
-            for i, v in enumerate(vectors):
-                at = np.minimum(np.searchsorted(columns, v[2]), len(columns) - 1)
-                hit = columns[at] == v[2]
-                m[i, at[hit]] = np.sqrt(v[k][hit])
-            sides.append(m)
-        low = sides[0] @ sides[1].T
-        del sides, m
-        total = np.array([v[k].sum() for v in left])[:, None] + np.array([v[k].sum() for v in right])[None, :]
-        possible |= low * (1 + SIMILARITY) >= SIMILARITY * total * (1 - 1e-4)
     out = []
-    for i, j in np.argwhere(possible).tolist():
-        p, q = left[i], right[j]
-        if p[1] != q[1] and any(weighted_jaccard((p[2], p[k]), (q[2], q[k])) >= SIMILARITY for k in (3, 4)):
-            out.append((min(p[0], q[0]), max(p[0], q[0])))
+    for first in range(0, len(left), SIDE):
+        some = left[first : first + SIDE]
+        possible = np.zeros((len(some), len(right)), bool)
+        for k in (3, 4):
+            low = np.zeros((len(some), len(right)), np.float32)
+            for c in range(0, len(columns), COLUMNS):
+                low += _roots(some, columns[c : c + COLUMNS], k) @ _roots(right, columns[c : c + COLUMNS], k).T
+            total = np.array([v[k].sum() for v in some])[:, None] + np.array([v[k].sum() for v in right])[None, :]
+            possible |= low * (1 + SIMILARITY) >= SIMILARITY * total * (1 - 1e-4)
+        for i, j in np.argwhere(possible).tolist():
+            p, q = some[i], right[j]
+            if p[1] != q[1] and alike(p[2:], q[2:]):
+                out.append((min(p[0], q[0]), max(p[0], q[0])))
     return out
 
 
+def _roots(texts: list[tuple], columns: np.ndarray, k: int) -> np.ndarray:
+    """A row for each text: the roots of its weights (k = 3) or counts (4) of the shingles in these columns."""
+    m = np.zeros((len(texts), len(columns)), np.float32)
+    for i, v in enumerate(texts):
+        a, z = np.searchsorted(v[2], columns[[0, -1]])
+        h = v[2][a : z + 1]
+        at = np.minimum(np.searchsorted(columns, h), len(columns) - 1)
+        hit = columns[at] == h
+        m[i, at[hit]] = np.sqrt(v[k][a : z + 1][hit])
+    return m
+
+
 def successors(members: DataFrame) -> DataFrame:
     """(a, b) of members next to each other in their bucket by signature. The order is dealt out by range, so a large
     bucket lies in many tasks; where a range ends, the star holds the pair together."""
@@ -296,38 +341,50 @@ def components(edges: DataFrame, where: str) -> DataFrame:
 
 
 def _classes(docs: DataFrame, where: str) -> DataFrame:
-    """(doc_id, rep, class_id, chosen) of every row that has a doc_id and words; chosen is the text that stands for its
-    class: of the smallest doc_id, and of its texts the one of smallest number."""
-    ids, texts = exact_classes(docs, where)
-    found = links(texts.select("rep", "text"), where)
+    """(digest, n, class_id, chosen, alone) of every distinct text of rows that have a doc_id and words: chosen says that it
+    stands for its class, as the text of the smallest doc_id (of its texts the one of smallest digest) does; alone that one
+    row has it and it has no near copy."""
+    _, texts = exact_classes(docs, where)
+    found = links(texts.select("rep", "bytes", "text"), where)
     roots = components(found, where).withColumnRenamed("node", "rep")
-    own = materialize(texts.select("rep", "first").join(roots, "rep", "left").select("rep", "first", F.coalesce("root", "rep").alias("root")), f"{where}/own")
-    chosen = own.groupBy("root").agg(F.min(F.struct("first", "rep")).alias("c"))
-    by_text = own.join(chosen, "root").select("rep", F.col("c.first").alias("class_id"), F.col("c.rep").alias("chosen"))
-    return ids.join(by_text, "rep")
+    own = texts.select("rep", "digest", "first", "n").join(roots, "rep", "left")
+    near = materialize(own.where("root is not null"), f"{where}/near")
+    chosen = near.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("c"), F.count(F.lit(1)).alias("texts"))
+    near = joined(near, chosen, ["root"], "texts").select("digest", "n", F.col("c.first").alias("class_id"), (F.col("digest") == F.col("c.digest")).alias("chosen"), F.lit(False).alias("alone"))
+    single = own.where("root is null").select("digest", "n", F.col("first").alias("class_id"), F.lit(True).alias("chosen"), (F.col("n") == 1).alias("alone"))
+    return materialize(near.unionByName(single), f"{where}/classes")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull() & text_of().rlike(WORDY)).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("digest"))
 
 
 def duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), kept (the row stands for its class) of every row."""
-    own = _classes(docs, work_dir(docs.sparkSession, "near-dups"))
-    kept = (F.col("doc_id") == F.col("class_id")) & (F.col("rep") == F.col("chosen"))
-    alone = docs.where(F.col("doc_id").isNull() | ~text_of().rlike(WORDY)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"), F.lit(True).alias("kept"))
-    return own.select("doc_id", "class_id", kept.alias("kept")).unionByName(alone)
+    own = joined(_keyed(docs), _classes(docs, work_dir(docs.sparkSession, "near-dups")), ["digest"])
+    wordless = docs.where(F.col("doc_id").isNull() | ~text_of().rlike(WORDY)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"), F.lit(True).alias("kept"))
+    return own.select("doc_id", "class_id", ((F.col("doc_id") == F.col("class_id")) & F.col("chosen")).alias("kept")).unionByName(wordless)
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each class left, all columns. Rows that repeat a doc_id and its text count as copies."""
     where = work_dir(docs.sparkSession, "near-dups-kept")
-    own = _classes(docs, where)
-    rest = (F.col("doc_id") != F.col("class_id")) | (F.col("rep") != F.col("chosen"))
-    gone = materialize(own.where(rest).select(F.col("doc_id").alias("__id"), F.col("rep").alias("__key")).distinct(), f"{where}/gone")
+    own = columns_of(docs)
+    classes = _classes(docs, where)
+    # Rows that go, by doc_id and digest; a text of one row without near copies has none.
+    some = joined(_keyed(docs), classes.where("not alone"), ["digest"])
+    gone = materialize(some.where("not chosen or doc_id != class_id").select("doc_id", "digest").distinct(), f"{where}/gone")
     few = gone.count()
-    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": text_key()})
-    left = marked.join(F.broadcast(gone) if few <= MOST_BROADCAST else gone, ["__id", "__key"], "left_anti")
-    again = docs.where(F.col("doc_id").isNotNull() & text_of().rlike(WORDY)).groupBy(F.col("doc_id").cast("long").alias("__id"), text_key().alias("__key")).count().where("count > 1").drop("count")
+    key, text = free_name(docs, "key"), free_name(docs, "text_key")
+    marked = docs.withColumns({key: F.col("doc_id").cast("long"), text: text_key()})
+    gone = gone.withColumnsRenamed({"doc_id": key, "digest": text})
+    left = marked.join(F.broadcast(gone) if few <= MOST_BROADCAST else gone, [key, text], "left_anti")
+    again = some.where("chosen and doc_id = class_id").groupBy("doc_id", "digest").count().where("count > 1").drop("count")
+    again = materialize(again.withColumnsRenamed({"doc_id": key, "digest": text}), f"{where}/again")
     if not again.limit(1).count():
-        return left.select(docs.columns)
-    twice = left.join(again.withColumn("__again", F.lit(True)), ["__id", "__key"], "left")
-    order = Window.partitionBy("__id", "__key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
-    first = twice.where("__again").withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return twice.where("__again is null").select(docs.columns).unionByName(first.select(docs.columns))
+        return left.select(*own)
+    twice, number = free_name(docs, "again"), free_name(docs, "number")
+    left = left.join(again.withColumn(twice, F.lit(True)), [key, text], "left")
+    order = Window.partitionBy(key, text).orderBy(*[F.to_json(F.struct(c)) for c, name in zip(own, docs.columns) if name not in ("doc_id", "text")] or [F.lit(0)])
+    first = left.where(F.col(twice)).withColumn(number, F.row_number().over(order)).where(F.col(number) == 1)
+    return left.where(F.col(twice).isNull()).select(*own).unionByName(first.select(*own))

@@ -19,11 +19,13 @@ LOCAL_ONLY = "file:///tmp/checkpoints/siltstone"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir, as a URI."""
+    """The shared folder that the cluster names in spark.checkpoint.dir, as a URI. Where none is named, a local folder does
+    for a session of one machine; any other is refused, for executors wouldn't see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        spark.sparkContext.setCheckpointDir(LOCAL_ONLY)
-        return LOCAL_ONLY
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        named = LOCAL_ONLY
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -56,6 +58,20 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = f"__{name}"
+    while out in taken:
+        out += "_"
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of bounded size, for texts are long. Frames are lazy, so the session keeps the setting; smaller bounds
     of its own stay."""

@@ -1,21 +1,27 @@
-"""Word shingles as 64-bit hashes, and the document frequency of the frequent ones."""
+"""Word shingles as 64-bit hashes, and the document frequency of every shingle.
+
+Document frequencies lie in files: parts by range of the hash, each an Elias-Fano sequence of the shingles that two texts
+or more have, with exact counts. What isn't there has a frequency of 1. Parts are as many as the texts' bytes need, and
+a worker maps those that it asks for.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from siltstone.llm.shared import small_batches
+from siltstone.llm import elias_fano
+from siltstone.llm.shared import materialize, posix_path, small_batches
 
 WORDS = 5
-#: A shingle is frequent if this share of all texts has it, and at least LEAST_DF texts.
-FREQUENT, LEAST_DF = 0.01, 50
-LOWEST_WEIGHT = 0.05
-_MEMO: dict[bytes, int] = {}
+#: Bytes of text for each part of the document frequencies; bytes that are counted at once; parts that stay open.
+PART_BYTES, AT_ONCE, MOST_OPEN = 24 << 20, 4 << 20, 5_000
 _ROTATE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -26,104 +32,149 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes in order, and how often each occurs. A text of fewer words has one shingle of all its
-    words; one without words has none. ASCII case and white space don't count."""
-    ws = text.encode("utf-8", "surrogatepass").lower().split()
-    if not ws:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    if len(_MEMO) > 100_000:
-        _MEMO.clear()
-    get, put, h64 = _MEMO.get, _MEMO.__setitem__, xxhash.xxh64_intdigest
-    hashes = []
-    for w in ws:
-        h = get(w)
-        if h is None:
-            h = h64(w)
-            put(w, h)
-        hashes.append(h)
-    at = np.array(hashes, np.uint64)
-    k = min(words, len(ws))
-    acc = at[: len(at) - k + 1].copy()
-    for i in range(1, k):
-        acc = mix(acc * _ROTATE + at[i : len(at) - k + 1 + i])
-    return np.unique(mix(acc), return_counts=True)
-
-
-def frequent_shingles(texts: DataFrame, n_texts: int, flush: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Every shingle that at least max(FREQUENT * n_texts, LEAST_DF) of the texts have, with its exact number of texts.
-
-    Two passes over all texts: a shingle that is frequent overall is as frequent in at least one run of texts, so the
-    first pass returns those of each run, the second counts them. There are at most 1 / FREQUENT times as many as the
-    mean text has shingles.
-    """
-    least = max(FREQUENT * n_texts, LEAST_DF)
-    if n_texts < least:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    share = least / n_texts
-    small_batches(texts.sparkSession, 500)
-    only = texts.select("text")
-
-    def local(batches) -> Iterator[pa.RecordBatch]:
-        # Of two runs the elder is passed on when the younger is full, so that none but a short task's only one is short.
-        elder, run, n = [], [], 0
-
-        def out(run: list[np.ndarray]) -> pa.RecordBatch:
-            got, c = np.unique(np.concatenate(run), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(got[c >= share * len(run)].view(np.int64))], ["h"])
-
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                run.append(shingles(t)[0])
-                n += len(run[-1])
-                if n >= flush:
-                    if elder:
-                        yield out(elder)
-                    elder, run, n = run, [], 0
-        if elder or run:
-            yield out(elder + run)
-
-    found = only.mapInArrow(local, "h long").groupBy("h").count().drop("count").toPandas()["h"].to_numpy(np.int64)
-    some = np.sort(found.view(np.uint64))
-    if not len(some):
-        return some, np.empty(0, np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast(some)
-
-    def count(batches) -> Iterator[pa.RecordBatch]:
-        some = shared.value
-        n = np.zeros(len(some), np.int64)
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                h = shingles(t)[0]
-                at = np.searchsorted(some, h)
-                at[at == len(some)] = 0
-                n[at[some[at] == h]] += 1
-        hit = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some[hit].view(np.int64)), pa.array(n[hit])], ["h", "n"])
-
-    df = only.mapInArrow(count, "h long, n long").groupBy("h").sum("n").where(f"`sum(n)` >= {least}").toPandas()
-    h, n = df["h"].to_numpy(np.int64).view(np.uint64), df["sum(n)"].to_numpy(np.int64)
+def shingle_rows(texts: Iterable[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text its distinct shingle hashes in order, and how often each occurs: where each text's begin (and the end
+    of all), hashes, counts. A text of fewer words has one shingle of all its words; one without words has none. ASCII
+    case and white space don't count."""
+    local: dict[bytes, int] = defaultdict(itertools.count().__next__)
+    at: list[int] = []
+    sizes = []
+    for t in texts:
+        ws = t.encode("utf-8", "surrogatepass").lower().split()
+        at.extend(map(local.__getitem__, ws))
+        sizes.append(len(ws))
+    size = np.array(sizes, np.int64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))[np.array(at, np.int64)]
+    of = np.repeat(np.arange(len(size)), size)
+    begin = np.cumsum(size) - size
+    found, texts_of = [], []
+    for k in range(1, words + 1):
+        # Windows of k words: of all texts that are long enough, or of those that have just k.
+        if k == words:
+            first = np.flatnonzero(of[: max(0, len(of) - k + 1)] == of[k - 1 :])
+        else:
+            first = begin[size == k]
+        if not len(first):
+            continue
+        acc = w[first].copy()
+        for i in range(1, k):
+            acc = mix(acc * _ROTATE + w[first + i])
+        found.append(mix(acc))
+        texts_of.append(of[first])
+    if not found:
+        return np.zeros(len(size) + 1, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    h, t = np.concatenate(found), np.concatenate(texts_of)
     order = np.argsort(h)
-    return h[order], n[order]
-
+    order = order[np.argsort(t[order].astype(np.uint16 if len(size) < 1 << 16 else np.int64), kind="stable")]
+    h, t = h[order], t[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])]))
+    return np.searchsorted(t[new], np.arange(len(size) + 1)), h[new], np.diff(new, append=len(h))
 
-def inverse_frequency(n: np.ndarray, n_texts: int) -> np.ndarray:
-    """1 up to the frequent ones' bound, then falling with the log of the frequency."""
-    least = max(FREQUENT * n_texts, LEAST_DF)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        w = np.log(n_texts / n) / np.log(n_texts / least)
-    return np.clip(np.nan_to_num(w, nan=1.0, posinf=1.0), LOWEST_WEIGHT, 1.0)
 
+def shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of a text in order, and how often each occurs."""
+    return shingle_rows([text], words)[1:]
+
+
+class Frequencies:
+    """In how many of all texts a shingle occurs."""
+
+    def __init__(self, folder: str, parts: int, texts: int):
+        self.folder, self.parts, self.texts = folder, parts, texts
+        self.open: dict[int, tuple | None] = {}
+
+    def part_of(self, h: np.ndarray) -> np.ndarray:
+        """Parts by the top 32 bits; in order of the hash."""
+        return ((h >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
+
+    def __getstate__(self):
+        return self.__dict__ | {"open": {}}
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Of distinct hashes in order."""
+        out = np.ones(len(h), np.int64)
+        of = self.part_of(h)
+        cuts = (np.flatnonzero(of[1:] != of[:-1]) + 1).tolist()
+        for a, z in zip([0, *cuts], [*cuts, len(h)], strict=True):
+            if a == z:
+                continue
+            k = int(of[a])
+            if k not in self.open:
+                if len(self.open) >= MOST_OPEN:
+                    self.open.clear()
+                try:
+                    *seq, n = elias_fano.load(f"{self.folder}/{k:06d}.df")
+                    self.open[k] = (elias_fano.Sequence(*seq), n)
+                except FileNotFoundError:  # none of its shingles is in two texts
+                    self.open[k] = None
+            if self.open[k]:
+                seq, n = self.open[k]
+                at = seq.find(h[a:z])
+                out[a:z][at >= 0] = n[at[at >= 0]]
+        return out
+
+    def weights(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """TF-IDF of shingles, in any order: the count times log((N + 1) / df) over log(N + 1), which is 1 for a shingle of
+        one text and still over 0 for one of all texts."""
+        known, back = np.unique(h, return_inverse=True)
+        df = self.counts(known)
+        idf = np.where(df == 1, 1.0, np.log((self.texts + 1) / df) / np.log(self.texts + 1))
+        return tf * idf[back]
+
+
+def count_frequencies(texts: DataFrame, folder: str, n_texts: int, n_bytes: int) -> Frequencies:
+    """Document frequencies of all shingles of a frame with a column text, in files below `folder` (a URI on a shared
+    mount). Tasks add up what they have read at a time; sums meet by range of the hash."""
+    path = posix_path(folder)
+    small_batches(texts.sparkSession)
+    out = Frequencies(path, max(1, -(-n_bytes // PART_BYTES)), n_texts)
+
+    def count(batches):
+        held, size = [], 0
+
+        def sums():
+            h, n = np.unique(shingle_rows(held)[1], return_counts=True)
+            of = out.part_of(h)
+            cuts = (np.flatnonzero(of[1:] != of[:-1]) + 1).tolist()
+            runs = [(a, z) for a, z in zip([0, *cuts], [*cuts, len(h)], strict=True) if a < z]
+            # A run of hashes is an Elias-Fano sequence above its first; counts are mostly 1.
+            blobs = [b"".join(x.tobytes() for x in (h[a : a + 1], *elias_fano.encode(h[a:z] - h[a], int(h[z - 1] - h[a]) + 1)[:3])) for a, z in runs]
+            more = [np.stack([np.flatnonzero(n[a:z] > 1), n[a:z][n[a:z] > 1]]).astype("<u4").tobytes() for a, z in runs]
+            return pa.RecordBatch.from_arrays([pa.array([int(of[a]) for a, _ in runs], pa.int32()), pa.array(blobs, pa.binary()), pa.array(more, pa.binary())], ["part", "hashes", "more"])
 
-def weights(h: np.ndarray, tf: np.ndarray, frequent: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF weight of each shingle."""
-    w = tf.astype(np.float64)
-    if len(frequent) and len(h):
-        at = np.searchsorted(frequent, h)
-        at[at == len(frequent)] = 0
-        hit = frequent[at] == h
-        w[hit] *= idf[at[hit]]
-    return w
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                held.append(t)
+                size += len(t)
+                if size >= AT_ONCE:
+                    yield sums()
+                    held, size = [], 0
+        if held:
+            yield sums()
+
+    def build(batches):
+        rows = (r for b in batches for r in zip(b.column("part").to_pylist(), b.column("hashes").to_pylist(), b.column("more").to_pylist(), strict=True))
+        for k, own in itertools.groupby(rows, key=lambda r: r[0]):
+            hs, ns = [], []
+            for _, blob, more in own:
+                x = np.frombuffer(blob, np.uint64)
+                low = int(x[4])
+                high = x[5 + low :]
+                zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))]).astype(np.uint64)
+                hs.append(elias_fano.Sequence(x[1:5], x[5 : 5 + low], high, zeros).get(np.arange(int(x[1]))) + x[0])
+                n = np.ones(len(hs[-1]), np.int64)
+                places, counts = np.frombuffer(more, "<u4").reshape(2, -1)
+                n[places] = counts
+                ns.append(n)
+            h, n = elias_fano.sums(np.concatenate(hs), np.concatenate(ns))
+            h, n = h[n > 1], n[n > 1]
+            if len(h):
+                elias_fano.save(f"{path}/{k:06d}.df", [*elias_fano.encode(h, int(h[-1]) + 1), n.astype("<u8")])
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32())})
+
+    dealt = texts.select("text").mapInArrow(count, "part int, hashes binary, more binary").repartition(out.parts, "part").sortWithinPartitions("part")
+    materialize(dealt.mapInArrow(build, "part int"), f"{folder}/df-manifest")
+    return out
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -132,6 +183,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     total = float(wa.sum() + wb.sum())
     if not total:
         return 0.0
-    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    low = float(np.minimum(wa[i], wb[j]).sum())
+    at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
+    hit = hb[at] == ha
+    low = float(np.minimum(wa[hit], wb[at[hit]]).sum())
     return low / (total - low)

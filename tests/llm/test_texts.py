@@ -200,12 +200,13 @@ def test_passages_of_long_items_are_leaks():
 def test_samples_collide_by_weighted_jaccard():
     rng = np.random.default_rng(1)
     off = []
+    sample = lambda h, w: near_dups.sample_rows(np.array([0, len(h)]), h, w)
     for _ in range(25):
         u = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
         wa, wb = (np.where(rng.random(len(u)) < 0.5, 1.0, rng.choice([0.2, 0.5, 1, 2, 3], len(u))) for _ in range(2))
         a, b = rng.random(len(u)) < 0.85, rng.random(len(u)) < 0.85
         j = shingles.weighted_jaccard((u[a], wa[a]), (u[b], wb[b]))
-        m = np.mean([np.mean(near_dups.samples(v[a], wa[a]) == near_dups.samples(v[b], wb[b])) for v in (u * np.uint64(2 * r + 1) for r in range(20))])
+        m = np.mean([np.mean(sample(v[a], wa[a]) == sample(v[b], wb[b])) for v in (u * np.uint64(2 * r + 1) for r in range(20))])
         off.append(m - j)
     assert abs(np.mean(off)) < 0.01 and np.max(np.abs(off)) < 0.06
 
@@ -267,12 +268,41 @@ def test_repeated_rows_and_nothing(spark):
     assert near_dups.duplicate_classes(df.where(F.lit(False))).count() == 0
 
 
-def test_frequent_shingles_are_exact(spark):
+def test_shingles_of_many_texts():
+    texts = ["", "a b", "A  b\n", "a b c d e", "a b c d e f a b c d e", None or " ", prose(1, 300), "x", "a b c d", "é " * 9]
+    begin, h, n = shingles.shingle_rows(texts)
+    for i, t in enumerate(texts):
+        w = t.lower().split()
+        want = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+        assert sorted(n[begin[i] : begin[i + 1]].tolist()) == sorted(want.values())
+        alone = shingles.shingles(t)
+        assert (alone[0] == h[begin[i] : begin[i + 1]]).all() and (np.diff(alone[0].astype(object)) > 0).all()
+    assert shingles.shingle_rows([])[0].tolist() == [0]
+
+
+@pytest.mark.parametrize("part", [2_000, 1 << 30])
+def test_frequencies_are_exact(spark, monkeypatch, part):
+    monkeypatch.setattr(shingles, "PART_BYTES", part)
+    monkeypatch.setattr(shingles, "AT_ONCE", 3000)
     texts = [f"{prose(3, 12)} {prose(i, 20)}" if i % 3 == 0 else prose(i, 20) for i in range(400)]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    h, n = shingles.frequent_shingles(df, len(texts), flush=500)
+    found = shingles.count_frequencies(df, near_dups.work_dir(spark, "test-df"), len(texts), sum(map(len, texts)))
     count = Counter(x for t in texts for x in shingles.shingles(t)[0].tolist())
-    assert dict(zip(h.tolist(), n.tolist(), strict=True)) == {x: c for x, c in count.items() if c >= 50}
+    h = np.array(sorted(count), np.uint64)
+    assert found.counts(h).tolist() == [count[x] for x in h.tolist()] and (found.parts > 5) == (part == 2_000)
+    idf = found.weights(h, np.full(len(h), 2))
+    assert np.allclose(idf, [2 * np.log(401 / count[x]) / np.log(401) if count[x] > 1 else 2 for x in h.tolist()])
+    assert found.counts(np.array([0, 5, 1 << 63], np.uint64)).tolist() == [1, 1, 1]
+
+
+@pytest.mark.parametrize("many", [3, 1_000])
+def test_clashing_columns_and_hot_keys(spark, monkeypatch, many):
+    monkeypatch.setattr(near_dups, "MANY", many)
+    rows = [(i, prose(1), i) for i in range(40)] + [(50, prose(2), 50), (50, prose(2), 51), (60, None, 60), (None, prose(1), 70)]
+    df = spark.createDataFrame([(*r, *r[2:] * 6) for r in rows], "doc_id long, text string, __key long, __text_key long, __again long, __number long, digest long, rep long, `a.b` long")
+    got = near_dups.drop_duplicates(df)
+    assert got.schema == df.schema and sorted(str(tuple(r)) for r in got.collect()) == sorted(str((*r, *r[2:] * 6)) for r in (rows[0], rows[40], rows[42], rows[43]))
+    assert sum(r.kept for r in near_dups.duplicate_classes(df).collect()) == 5
 
 
 def test_components(spark):
