@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import shutil
@@ -91,6 +92,29 @@ def atomic_write(path: str, parts: list) -> int:
     return n
 
 
+@contextlib.contextmanager
+def written_whole(*paths: str):
+    """Files to write bytes to, under temporary names; renamed at the end, or removed where nothing was written to the
+    first, or after an error."""
+    os.makedirs(os.path.dirname(paths[0]), exist_ok=True)
+    own = [f"{p}.{uuid.uuid4().hex}.tmp" for p in paths]
+    files = [open(p, "wb") for p in own]  # noqa: SIM115
+    try:
+        yield files
+        some = files[0].tell() > 0
+    except BaseException:
+        some = False
+        raise
+    finally:
+        for f in files:
+            f.close()
+        for p, to in zip(own, paths, strict=True):
+            if some:
+                os.replace(p, to)
+            else:
+                os.remove(p)
+
+
 class Memo(dict):
     """A dictionary of bounded size in two generations: what is asked for again outlives the turn of a generation."""
 

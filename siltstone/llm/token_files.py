@@ -5,9 +5,9 @@ bytes each where the vocabulary fits, else four), `offsets` (little-endian unsig
 counted in ids) and `docs` (little-endian signed 64-bit document ids). A partition's base, the ids of all partitions
 before it, is the prefix sum over the manifest.
 
-Defined cases: null and empty texts hold the end id alone; rows that repeat a doc_id keep one entry each, in order of
-their texts; an empty table gives no files and no rows; rows without a doc_id come
-first.
+Defined cases: null and empty texts hold the end id alone; very long texts are encoded whole; rows that repeat a doc_id
+keep one entry each, in order of their texts; an empty table gives no files and no rows; rows without a doc_id come first;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import Memo, atomic_write, materialize, posix_path, small_batches, text_of
+from siltstone.llm.shared import Memo, materialize, posix_path, small_batches, text_of, written_whole
 
 #: White space other than blank and line feed.
 ODD = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: A word of Latin letters before a blank or a mark ends there whatever follows; else a unit reaches to the next blank.
 UNIT = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n,.;:!?|$%#&*]|\Z)|[ \n]*[^ \n]+|[ \n]+")
 MEMO = 600_000
+#: Documents of a block that is read back at once; ids that a task reads back, about.
+BLOCK, TASK_IDS = 50_000, 8_000_000
 
 
 class IdEncoder:
@@ -99,11 +101,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     """Encode all texts, append end_id, write the files into `folder` (a URI on a shared mount); return the manifest:
     part, base (ids of all parts before), n_ids, n_docs, n_null (documents without an id, which come first), width.
 
-    One exchange: texts go by range of doc_id. Files are named by partition and renamed into place, so a task that runs
-    again after a lost executor leaves the same files.
+    One exchange: texts go by range of doc_id. Ids are written as they come, so a partition may be of any size. Files are
+    named by partition and renamed into place, so a task that runs again after a lost executor leaves the same files.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     path = posix_path(folder)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -113,23 +115,22 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
 
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.width).tobytes()
-        part, packed, sizes, ids, nulls = TaskContext.get().partitionId(), [], [], [], 0
-        for b in batches:
-            nulls += b.column("doc_id").null_count
-            ids.append(b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
-            texts = b.column("text").to_pylist()
-            for i in range(0, len(texts), 200):
-                got = enc.encode(texts[i : i + 200])
-                sizes += [len(g) // enc.width.itemsize + 1 for g in got]
-                packed.append(end.join(got) + end)
-        if not sizes:
-            return
-        offsets = np.zeros(len(sizes) + 1, "<u8")
-        np.cumsum(sizes, out=offsets[1:])
-        atomic_write(f"{path}/{part:06d}.ids", packed)
-        atomic_write(f"{path}/{part:06d}.offsets", [offsets.tobytes()])
-        atomic_write(f"{path}/{part:06d}.docs", [np.concatenate(ids).astype("<i8").tobytes()])
-        yield pa.RecordBatch.from_pydict({"part": [part], "n_ids": [int(offsets[-1])], "n_docs": [len(sizes)], "n_null": [nulls], "width": [enc.width.itemsize]})
+        part, n_ids, n_docs, nulls = TaskContext.get().partitionId(), 0, 0, 0
+        with written_whole(*(f"{path}/{part:06d}.{kind}" for kind in ("ids", "offsets", "docs"))) as (ids, offsets, names):
+            offsets.write(bytes(8))
+            for b in batches:
+                nulls += b.column("doc_id").null_count
+                names.write(b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                texts = b.column("text").to_pylist()
+                n_docs += len(texts)
+                for i in range(0, len(texts), 200):
+                    got = enc.encode(texts[i : i + 200])
+                    ends = n_ids + np.cumsum([len(g) // enc.width.itemsize + 1 for g in got])
+                    offsets.write(ends.astype("<u8").tobytes())
+                    ids.write(end.join(got) + end)
+                    n_ids = int(ends[-1])
+        if n_docs:
+            yield pa.RecordBatch.from_pydict({"part": [part], "n_ids": [n_ids], "n_docs": [n_docs], "n_null": [nulls], "width": [enc.width.itemsize]})
 
     made = materialize(ordered.mapInArrow(write, "part long, n_ids long, n_docs long, n_null long, width long"), f"{folder}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
@@ -137,21 +138,25 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the mapped files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the mapped files. Blocks of documents are dealt out to
+    as many tasks as their ids need."""
     path = posix_path(folder)
+    small_batches(spark)
 
     def read(batches):
         for b in batches:
-            for part, base, nulls, width in zip(*(b.column(n).to_pylist() for n in ("part", "base", "n_null", "width")), strict=True):
+            for part, base, nulls, width, block in zip(*(b.column(n).to_pylist() for n in ("part", "base", "n_null", "width", "block")), strict=True):
                 ids = np.memmap(f"{path}/{part:06d}.ids", f"<u{width}", "r")
                 offsets = np.memmap(f"{path}/{part:06d}.offsets", "<u8", "r")
                 docs = np.memmap(f"{path}/{part:06d}.docs", "<i8", "r")
-                for at in range(0, len(docs), 1000):
+                for at in range(block * BLOCK, min(len(docs), (block + 1) * BLOCK), 1000):
                     ends = offsets[at : at + 1001].astype(np.int64)
                     crcs = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(ends[:-1], ends[1:])]
                     yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + 1000], mask=np.arange(at, at + len(crcs)) < nulls), pa.array(ends[:-1] + base), pa.array(np.diff(ends)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("part", "base", "n_null", "width").repartition("part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    total, files = manifest.agg(F.coalesce(F.sum("n_ids"), F.lit(0)), F.count(F.lit(1))).first()
+    blocks = manifest.select("part", "base", "n_null", "width", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_docs") - 1) / BLOCK).cast("int"))).alias("block"))
+    return blocks.repartition(max(1, files, -(-total // TASK_IDS)), "part", "block").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(folder: str, part: int, row: int, width: int = 2) -> np.ndarray:
