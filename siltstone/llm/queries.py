@@ -59,8 +59,8 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "warc")
-    manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    return warc.read_archives(spark, folder, manifest)
+    pages = table(spark, sf_dir, "pages")
+    return warc.read_archives(spark, folder, warc.write_archives(pages, folder), pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,10 +2,14 @@
 
 Captures go by range of their key (host reversed, then path) into parts. A part is three files: `.warc.gz`, one gzip
 member for each record; `.cdx.gz`, sorted index lines in compressed blocks; `.dir`, a line for each block with its first
-key and place. A look-up searches the directory by halves, unpacks one block, searches it, and reads the record's range.
+key and place. A look-up searches the directory by halves, unpacks one block, searches it by halves, and reads the
+record's range. Archives are read back by such look-ups of every key; a key that many captures share lies in many parts,
+each of which is searched by a task of its own.
 
 Defined cases: null html is an empty payload; a null url has an empty key; a null page_id never stands for others and
-has an empty field; records whose page_id repeats are kept each; an empty table gives no files.
+has an empty field; very long pages are one record; of records with equal payloads and equal page_id one is the response,
+that of the smallest key and url; records whose page_id repeats are kept each; an empty table gives no files and no rows;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,13 +21,15 @@ import hashlib
 import mmap
 import os
 import re
+import string
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import materialize, posix_path, small_batches
+from siltstone.llm.shared import materialize, posix_path, small_batches, written_whole
 
 BLOCK = 500
 #: Repeated digests that are broadcast at most, about 100 bytes each.
@@ -31,6 +37,10 @@ MOST_BROADCAST = 500_000
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^#]*)"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+CONTROLS = "".join(map(chr, [*range(0x21), 0x7F]))
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+#: Bytes of archives that a task reads back, about.
+TASK_BYTES = 8 << 20
 
 
 def surt(url: str | None) -> str:
@@ -38,7 +48,7 @@ def surt(url: str | None) -> str:
     m = re.match(URL, url or "")
     if not m:
         return _line_safe(url or "")
-    host = re.sub(r":[0-9]*$", "", re.sub(r"^.*@", "", m[1])).lower()
+    host = re.sub(r":[0-9]*$", "", re.sub(r"^.*@", "", m[1])).translate(_LOWER)
     return _line_safe(",".join(reversed(host.split("."))) + ")" + (m[2] or "/"))
 
 
@@ -70,15 +80,17 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _key(url: str) -> Column:
-    """surt() as a column, to deal out by range; control characters are mapped where the index is written."""
-    host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(url, URL, 1), "^.*@", ""), ":[0-9]*$", ""))
+    """surt() as a column."""
+    host = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_extract(url, URL, 1), "^.*@", ""), ":[0-9]*$", ""), string.ascii_uppercase, string.ascii_lowercase)
     path = F.regexp_extract(url, URL, 2)
-    return F.coalesce(F.when(F.col(url).rlike(URL), F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(path == "", "/").otherwise(path))).otherwise(F.col(url)), F.lit(""))
+    key = F.coalesce(F.when(F.col(url).rlike(URL), F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(path == "", "/").otherwise(path))).otherwise(F.col(url)), F.lit(""))
+    safe = F.array_join(F.transform(F.split(key, ""), lambda c: F.when((F.length(c) > 0) & F.contains(F.lit(CONTROLS), c), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)), "")
+    return F.when(key.rlike(r"[\x00-\x20\x7f]"), safe).otherwise(key)
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write every page (page_id, url, html) into archives below `folder` (a URI on a shared mount); return the manifest:
-    part, first_key, last_key, n_records, n_blocks.
+    part, first_key, last_key, n_records, n_blocks, n_bytes.
 
     Of records with equal payloads of at least `least` bytes the one with the smallest page_id is a response, the
     others are revisits. The digests are grouped without the texts, so a payload that a third of all pages share costs
@@ -86,60 +98,57 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     them, beyond that in a shuffle join, whose large partitions Spark splits.
     """
     spark = pages.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     path = posix_path(folder)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     rows = rows.select("*", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("size"), _key("url").alias("key"))
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    own = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "key", "url"))
+    firsts = rows.groupBy("digest").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     firsts = materialize(firsts, f"{folder}/repeated")
     few = firsts.count() <= MOST_BROADCAST
-    typed = rows.join(F.broadcast(firsts) if few else firsts, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & (F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")))
-    typed = typed.withColumn("html", F.when(~F.col("revisit"), F.col("html")))
-    ordered = typed.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "digest")
+    typed = rows.join(F.broadcast(firsts) if few else firsts, "digest", "left")
+    # Where equal rows are all first, the writer takes the first of them.
+    first = F.col("first").isNull() | (F.col("size") < least) | own.eqNullSafe(F.col("first"))
+    typed = typed.withColumn("tied", F.col("first").isNotNull() & (F.col("size") >= least) & first).withColumn("revisit", ~first).withColumn("first", F.col("first.page_id"))
+    ordered = typed.withColumn("html", F.when(~F.col("revisit"), F.col("html"))).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "digest", "url")
 
     def write(batches):
         from pyspark import TaskContext
 
-        base = f"{path}/{TaskContext.get().partitionId():06d}"
-        own = f"{base}.{uuid.uuid4().hex}"
-        os.makedirs(path, exist_ok=True)
+        part = TaskContext.get().partitionId()
         lines: list[str] = []
-        keys: list[str] = []
+        edges: list[str] = []
         n = blocks = at = 0
-
-        with open(f"{own}.warc", "wb") as warc, open(f"{own}.cdx", "wb") as cdx, open(f"{own}.dir", "w", encoding="utf-8") as directory:
+        last = None
+        with written_whole(*(f"{path}/{part:06d}.{kind}" for kind in ("warc.gz", "cdx.gz", "dir"))) as (warc, cdx, directory):
 
             def flush() -> None:
                 nonlocal blocks
                 if lines:
                     packed = gzip.compress("".join(lines).encode(), 6, mtime=0)
-                    directory.write(f"{lines[0].split(chr(9), 1)[0]}\t{cdx.tell()}\t{len(packed)}\n")
+                    directory.write(f"{lines[0].split(chr(9), 1)[0]}\t{cdx.tell()}\t{len(packed)}\n".encode())
                     cdx.write(packed)
                     blocks += 1
                     lines.clear()
 
             for b in batches:
-                for page_id, url, html, size, digest, first, revisit in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "size", "digest", "first", "revisit")), strict=True):
+                for page_id, url, html, size, digest, first, revisit, tied, key in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "size", "digest", "first", "revisit", "tied", "key")), strict=True):
+                    if tied:
+                        revisit, last = last == (page_id, digest), (page_id, digest)
                     code = base64.b32encode(bytes.fromhex(digest)).decode()
                     packed = gzip.compress(record(page_id, url, html or b"", size, code, first, revisit), 6, mtime=0)
-                    key = surt(url)
                     warc.write(packed)
                     lines.append(f"{key}\t{'' if page_id is None else page_id}\t{at}\t{len(packed)}\t{code}\t{'revisit' if revisit else 'response'}\n")
                     at += len(packed)
-                    keys = [keys[0] if keys else key, key]
+                    edges = [edges[0] if edges else key, key]
                     n += 1
                     if len(lines) == BLOCK:
                         flush()
             flush()
-        for kind, to in (("warc", "warc.gz"), ("cdx", "cdx.gz"), ("dir", "dir")):
-            if n:
-                os.replace(f"{own}.{kind}", f"{base}.{to}")
-            else:
-                os.remove(f"{own}.{kind}")
         if n:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([int(os.path.basename(base))], pa.int64()), "first_key": [keys[0]], "last_key": [keys[-1]], "n_records": pa.array([n], pa.int64()), "n_blocks": pa.array([blocks], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "first_key": [edges[0]], "last_key": [edges[1]], "n_records": pa.array([n], pa.int64()), "n_blocks": pa.array([blocks], pa.int64()), "n_bytes": pa.array([at], pa.int64())})
 
-    return materialize(ordered.mapInArrow(write, "part long, first_key string, last_key string, n_records long, n_blocks long"), f"{folder}/manifest")
+    return materialize(ordered.mapInArrow(write, "part long, first_key string, last_key string, n_records long, n_blocks long, n_bytes long"), f"{folder}/manifest")
 
 
 class Part:
@@ -150,6 +159,7 @@ class Part:
         with open(f"{base}.dir", "rb") as f:
             self.directory = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         self.cdx, self.warc = open(f"{base}.cdx.gz", "rb"), open(f"{base}.warc.gz", "rb")  # noqa: SIM115
+        self.block: tuple[int, list[list[str]]] = (-1, [])
 
     def _line(self, at: int) -> tuple[int, list[str]]:
         """Start and fields of the directory line that holds byte `at`."""
@@ -165,8 +175,9 @@ class Part:
         self.warc.seek(int(line[2]))
         return parse(gzip.decompress(self.warc.read(int(line[3]))))
 
-    def find(self, key: str) -> list[list[str]]:
-        """Index lines of a key: by halves over the directory's bytes to the last block that begins before it."""
+    def find(self, key: str) -> Iterator[list[str]]:
+        """Index lines of a key: by halves over the directory's bytes to the last block that begins before it, then by
+        halves in the block."""
         low, high = 0, len(self.directory)
         while low < high:
             mid = (low + high) // 2
@@ -176,18 +187,18 @@ class Part:
             else:
                 high = start
         at = self._line(low - 1)[0] if low else 0
-        out = []
         while at < len(self.directory):
             _, entry = self._line(at)
             if entry[0] > key:
                 break
-            lines = self.lines(entry)
+            if self.block[0] != at:  # keys that are asked for in order mostly lie in the block before
+                self.block = (at, self.lines(entry))
+            lines = self.block[1]
             i = bisect.bisect_left(lines, key, key=lambda x: x[0])
             while i < len(lines) and lines[i][0] == key:
-                out.append(lines[i])
+                yield lines[i]
                 i += 1
             at = self.directory.find(b"\n", at) + 1
-        return out
 
     def close(self) -> None:
         for f in (self.directory, self.cdx, self.warc):
@@ -205,26 +216,56 @@ def look_up(manifest: list, folder: str, url: str) -> list[tuple[dict[str, str],
     return out
 
 
-def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, by its index line. A payload whose
-    digest isn't the recorded one is an error."""
+def read_archives(spark: SparkSession, folder: str, manifest: DataFrame, urls: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the urls (a frame with a column
+    url), by look-ups in the index. A payload whose digest isn't the recorded one is an error."""
     path = posix_path(folder)
+    small_batches(spark)
+    parts = sorted((r["first_key"], r["last_key"], r["part"]) for r in manifest.select("first_key", "last_key", "part").toLocalIterator())  # a row for each part
+    total = manifest.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    shared = spark.sparkContext.broadcast(parts)
+
+    def place(batches):
+        """The parts that may hold each key: they are in order, and only a part's last key may be the next one's first."""
+        parts = shared.value
+        lasts = [x[1] for x in parts]
+        for b in batches:
+            keys, at = [], []
+            for key in b.column("key").to_pylist():
+                k = bisect.bisect_left(lasts, key)
+                while k < len(parts) and parts[k][0] <= key:
+                    keys.append(key)
+                    at.append(parts[k][2])
+                    k += 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(at, pa.int64())], ["key", "part"])
 
     def read(batches):
+        part, no = None, None
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        rows: list[tuple] = []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        whole = lambda v: int(v) if v else None
         for b in batches:
-            for no, block in zip(b.column("part").to_pylist(), b.column("block").to_pylist(), strict=True):
-                part = Part(path, no)
-                entry = part.directory[:].split(b"\n")[block].decode().split("\t")
-                rows = []
-                for line in part.lines(entry):
+            for key, k in zip(b.column("key").to_pylist(), b.column("part").to_pylist(), strict=True):
+                if k != no:
+                    if part:
+                        part.close()
+                    part, no = Part(path, k), k
+                for line in part.find(key):
                     head, payload = part.read(line)
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if head["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                         raise ValueError(f"damaged record at {line[2]} of part {no}")
-                    whole = lambda k: int(v) if (v := head.get(k)) else None  # noqa: E731, B023
-                    rows.append((whole("X-Page-ID"), int(head["X-Payload-Bytes"]), digest, head["WARC-Type"], whole("X-Refers-To-Page-ID")))
-                part.close()
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    rows.append((whole(head.get("X-Page-ID")), int(head["X-Payload-Bytes"]), digest, head["WARC-Type"], whole(head.get("X-Refers-To-Page-ID"))))
+                    if len(rows) == 1000:
+                        yield out()
+                        rows.clear()
+        if rows:
+            yield out()
+        if part:
+            part.close()
 
-    blocks = manifest.select("part", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))).alias("block"))
-    return blocks.repartition("part", "block").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    asked = urls.select(_key("url").alias("key")).distinct().mapInArrow(place, "key string, part long")
+    dealt = asked.repartitionByRange(max(1, -(-total // TASK_BYTES)), "part", "key").sortWithinPartitions("part", "key")
+    return dealt.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

@@ -176,7 +176,7 @@ def test_archives(spark):
     pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, first int").repartition(4)
     where = work_dir(spark, "test-warc")
     manifest = warc.write_archives(pages, where)
-    got = warc.read_archives(spark, where, manifest).collect()
+    got = warc.read_archives(spark, where, manifest, pages).collect()
     first = {}
     for i, _, h in rows:
         if i is not None:
@@ -189,14 +189,33 @@ def test_archives(spark):
     assert Counter(map(tuple, got)) == want
     parts = manifest.collect()
     for i, u, h in rows[:12]:
-        found = warc.look_up(parts, where, u)
+        found = list(warc.look_up(parts, where, u))
         assert [(x["X-Page-ID"], x["WARC-Type"]) for x, _ in found][0][0] == str(i)
         assert all(p.decode() == h for x, p in found if x["WARC-Type"] == "response" and x["X-Page-ID"] == str(i))
     assert len(warc.look_up(parts, where, rows[1][1])) == 2 and warc.look_up(parts, where, "http://nowhere/") == []
 
 
+def test_one_response_of_repeated_pages(spark):
+    """Rows of one page_id and payload under several urls, equal rows, and many captures of one key in many parts."""
+    pages = [(1, "http://b/", "x"), (1, "http://a/", "x"), (2, "http://a/", "x"), (7, "u", "y"), (7, "u", "y"), (7, "u", "z"), (None, "v", "n"), (None, "v", "n")]
+    pages += [(100 + i, "http://hot/", f"p{i % 900}") for i in range(2000)]
+    df = spark.createDataFrame([(*p, "k") for p in pages], "page_id long, url string, html string, key string").repartition(3)
+    where = work_dir(spark, "test-warc")
+    manifest = warc.write_archives(df, where)
+    got = warc.read_archives(spark, where, manifest, df).collect()
+    assert Counter(r.page_id for r in got) == Counter(p[0] for p in pages)
+    assert sorted((r.record_type, r.refers_to) for r in got if r.page_id == 1) == [("response", None), ("revisit", 1)]
+    assert sorted((r.record_type, r.refers_to) for r in got if r.page_id == 7) == [("response", None), ("response", None), ("revisit", 7)]
+    assert [(r.record_type, r.refers_to) for r in got if r.page_id is None] == [("response", None)] * 2
+    first = {}
+    for i, _, h in sorted(p for p in pages if p[0] is not None):
+        first.setdefault(h, i)
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got if (r.page_id or 0) >= 100} == {(i, "response" if first[h] == i else "revisit", None if first[h] == i else first[h]) for i, _, h in pages if (i or 0) >= 100}
+    assert len(warc.look_up(manifest.collect(), where, "http://hot/")) == 2000
+
+
 def test_keys_agree(spark):
-    urls = ["http://A.b.C:81/x?y#z", "x", "https://u:p@h.org", "", None, "http://h.org?q"]
+    urls = ["http://A.b.C:81/x?y#z", "x", "http://É.Ab/\x00a b\t\x7f~", " é\x1f", "https://u:p@h.org", "", None, "http://h.org?q"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert [r[0] for r in df.select(warc._key("url")).collect()] == [warc.surt(u) for u in urls]
 
@@ -204,10 +223,10 @@ def test_keys_agree(spark):
 def test_small_payloads_stand_alone(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     where = work_dir(spark, "test-warc")
-    got = warc.read_archives(spark, where, warc.write_archives(pages, where, least=3)).collect()
+    got = warc.read_archives(spark, where, warc.write_archives(pages, where, least=3), pages).collect()
     assert {(r.page_id, r.record_type) for r in got} == {(1, "response"), (2, "response"), (3, "response"), (4, "revisit")}
     empty = work_dir(spark, "test-warc")
-    assert warc.read_archives(spark, empty, warc.write_archives(pages.where(F.lit(False)), empty)).count() == 0
+    assert warc.read_archives(spark, empty, warc.write_archives(pages.where(F.lit(False)), empty), pages).count() == 0
 
 
 def test_pipeline_stages(spark, tmp_path):
