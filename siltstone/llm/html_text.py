@@ -1,18 +1,23 @@
 """Main text of web pages by two passes of block rules.
 
-First pass: a block is boilerplate in a container that says so, or where most of it is links; content where it is long
-enough and dense enough in function words, or long inside the article element. The rest, short blocks, is open. Second
-pass: an open block takes the label of its nearest decided neighbours.
+First pass: a block is boilerplate in an element that says so, or where most of it is links; content where it is long
+enough and dense enough in function words. The rest, short and sparse blocks, is open. Second pass: an open block takes
+the label of its nearest decided neighbours. Elements and class names are features beside these densities: they mark what
+can't be told by density (comments, notices and adverts are prose too), and an article element that holds most of the
+dense text frames the main text.
 
-Defined cases: null or empty html gives an empty text; an end cut off inside a tag or comment is dropped; repeated pages
-give a row each; extra columns are ignored.
+The parser is linear in a page's length, however deep and unbalanced its elements are.
+
+Defined cases: null or empty html gives an empty text; an end cut off inside a tag or comment is dropped; very long pages
+are read whole; between equally near neighbours of different labels, articles, headings and long blocks are content;
+repeated pages give a row each; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +39,15 @@ NAMES = frozenset(
     "widget widgets pagination pager paging toolbar skip copyright legal hidden".split()
 )
 WEAK_NAMES = frozenset("header top topbar hero".split())
-BODY_NAMES = frozenset("article post entry content story main".split())
+BODY_NAMES = frozenset("article articles body content entry main post posts story stories text".split())
+#: Words of class names that say nothing about what an element holds.
+PLAIN = frozenset(
+    "area articles article bar block body bottom box btn button buttons center col column container content count desktop element elements entry fixed float full global group head heading holder icon icons inline inner item items js label layout left "
+    "link links list main mini mobile module news outer page panel part placement post posts primary region right row secondary section side site slot small sticky stories story tertiary text tile title tool tools top unit view wide wrap wrapper zone".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Whose end tags don't reach across a scope.
+SCOPED = frozenset("li dt dd td th tr p".split())
 AUTO_CLOSED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 #: What an implied end tag doesn't reach across.
 SCOPES = frozenset("ul ol dl table td th div article section main body html aside nav footer header form blockquote".split())
@@ -43,6 +56,7 @@ TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[^\W\d_]+")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 LONG, SHORT, DENSE, SPARSE, LINKS = 200, 70, 0.30, 0.12, 0.5
 
@@ -56,33 +70,39 @@ class Block:
     heading: bool
 
 
-@dataclass
 class _Open:
-    name: str
-    skipped: bool
-    article: bool
-    link: bool
-    heading: bool
+    """An element that hasn't ended: what it adds for the text inside."""
+
+    __slots__ = ("name", "block", "adds", "ended")
+
+    def __init__(self, name: str, adds: tuple[bool, bool, bool, bool]):
+        self.name, self.block, self.adds, self.ended = name, name in BLOCKS, adds, False
 
 
-@dataclass
 class _Parser:
-    blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, False, False, False)])
-    run: list[tuple[str, bool]] = field(default_factory=list)
+    """Open elements in a stack, and of each name where they lie in it, so that no tag needs a walk over all of them."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.run: list[tuple[str, bool]] = []
+        self.stack: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.block_places: list[int] = []
+        #: Open elements that are skipped, an article, a link, a heading.
+        self.depth = [0, 0, 0, 0]
 
     def text(self, raw: str) -> None:
         if raw:
-            self.run.append((html.unescape(raw) if "&" in raw else raw, self.stack[-1].link))
+            self.run.append((html.unescape(raw) if "&" in raw else raw, self.depth[2] > 0))
 
     def end_block(self) -> None:
         """What has been read since the last boundary is a block."""
         if self.run:
             text = " ".join("".join(t for t, _ in self.run).split())
             if text:
-                top = self.stack[-1]
                 links = sum(len("".join(t.split())) for t, linked in self.run if linked)
-                self.blocks.append(Block(text, links, top.skipped, top.article, top.heading))
+                self.blocks.append(Block(text, links, self.depth[0] > 0, self.depth[1] > 0, self.depth[3] > 0))
             self.run = []
 
     def start(self, name: str, raw: str) -> None:
@@ -92,34 +112,55 @@ class _Parser:
         if name in BLOCKS:
             self.end_block()
             self._close_implied(name)
+        elif name == "a" and self.places.get("a"):
+            self.end("a")
         if name in VOID:
             return
-        top = self.stack[-1]
         attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
-        article = top.article or name in ARTICLE or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
-        self.stack.append(_Open(name, top.skipped or self._skips(name, attributes, top.article), article, top.link or name == "a", top.heading or name in ("h1", "h2", "h3", "h4", "h5", "h6")))
+        article = name in ARTICLE or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
+        adds = (_skips(name, attributes, self.depth[1] > 0), article, name == "a", name in HEADINGS)
+        if name not in BLOCKS and not any(adds) and not self.places.get(name):
+            return  # an inline element that changes nothing
+        at = len(self.stack)
+        self.stack.append(_Open(name, adds))
+        self.places.setdefault(name, []).append(at)
+        if name in SCOPES:
+            self.scopes.append(at)
+        if name in BLOCKS:
+            self.block_places.append(at)
+        for i, x in enumerate(adds):
+            self.depth[i] += x
 
-    def _skips(self, name: str, attributes: dict[str, str], in_article: bool) -> bool:
-        if name in ("html", "body", "article", "main"):
-            return False
-        if name in SKIPPED or name == "header" and not in_article:
-            return True
-        if not attributes:
-            return False
-        if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-            return True
-        words = {w.lower() for w in PARTS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
-        return bool(words & NAMES) or bool(words & WEAK_NAMES) and not in_article and not words & BODY_NAMES
+    def _ended(self, e: _Open) -> None:
+        e.ended = True
+        self.places[e.name].pop()
+        for i, x in enumerate(e.adds):
+            self.depth[i] -= x
+
+    def _cut(self, at: int) -> None:
+        """End everything from a place of the stack on."""
+        while len(self.stack) > at:
+            e = self.stack.pop()
+            if not e.ended:
+                self._ended(e)
+            for places in (self.scopes, self.block_places):
+                if places and places[-1] == len(self.stack):
+                    places.pop()
+
+    def _last(self, name: str) -> int:
+        return places[-1] if (places := self.places.get(name)) else -1
 
     def _close_implied(self, name: str) -> None:
+        """End what a block's start tag ends: an open paragraph, and of lists and tables what may not hold it; nothing
+        outside the innermost scope."""
         ends = AUTO_CLOSED.get(name, frozenset())
-        for i in range(len(self.stack) - 1, 0, -1):
-            at = self.stack[i].name
-            if at == "p" or at in ends:
-                del self.stack[i:]
-                if at == "p" and not ends or at != "p" and at == name:
-                    return
-            elif at in SCOPES:
+        while True:
+            at = max(self._last("p"), *(self._last(x) for x in ends)) if ends else self._last("p")
+            if at < 0 or self.scopes and self.scopes[-1] > at:
+                return
+            found = self.stack[at].name
+            self._cut(at)
+            if found == name or not ends:
                 return
 
     def end(self, name: str) -> None:
@@ -128,18 +169,36 @@ class _Parser:
             return
         if name in BLOCKS:
             self.end_block()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name == name:
-                if name not in BLOCKS and any(x.name in BLOCKS for x in self.stack[i + 1 :]):
-                    # An inline element that is closed behind a block: only its own entry goes.
-                    for x in self.stack[i + 1 :]:
-                        x.link = x.link and name != "a"
-                    del self.stack[i]
-                else:
-                    del self.stack[i:]
-                return
-            if name in ("li", "dt", "dd", "td", "th", "tr", "p") and self.stack[i].name in SCOPES - {name}:
-                return
+        at = self._last(name)
+        if at < 0 or name in SCOPED and self.scopes and self.scopes[-1] > at:
+            return
+        if name not in BLOCKS and self.block_places and self.block_places[-1] > at:
+            self._ended(self.stack[at])  # an inline element that is closed behind a block's start: only its own effect ends
+        else:
+            self._cut(at)
+
+
+def _named(attributes: dict[str, str], names: frozenset[str]) -> bool:
+    """Whether a class or id is made of such names: one of them, and else only words that say nothing, so that
+    "share-buttons" is and "share-price" isn't."""
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = {w.lower() for w in PARTS.findall(token)}
+        if words & names and words <= names | PLAIN and not (names is WEAK_NAMES and words & BODY_NAMES):
+            return True
+    return False
+
+
+def _skips(name: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether an element says that it isn't the article's text."""
+    if name in ("html", "body", "article", "main"):
+        return False
+    if name in SKIPPED or name == "header" and not in_article:
+        return True
+    if not attributes:
+        return False
+    if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or HIDDEN.search(attributes.get("style", "")):
+        return True
+    return _named(attributes, NAMES) or not in_article and _named(attributes, WEAK_NAMES)
 
 
 def parse_blocks(page: str) -> list[Block]:
@@ -197,41 +256,60 @@ def parse_blocks(page: str) -> list[Block]:
     return p.blocks
 
 
+def density(text: str) -> float:
+    """Share of function words among the words."""
+    words = WORD.findall(text.lower())
+    return sum(w in ALL for w in words) / max(1, len(words))
+
+
 def classify(blocks: list[Block]) -> list[bool]:
-    """Whether each block is content."""
-    framed = any(b.article and not b.skipped for b in blocks)
+    """Whether each block is content.
+
+    First pass: boilerplate in an element that says so, or where most characters are links (but for an article's heading);
+    content where it is dense in function words, or long and not sparse in them; boilerplate where it is long and sparse
+    outside an article; else open. Second pass: an open block takes the label of the nearest decided blocks before and
+    behind it: content if both are, or if one is and it is a heading, or stands in an article, or isn't short.
+
+    An article element frames the text where at least half of the dense characters stand in one; then blocks outside are
+    boilerplate. Where no block of such a frame is dense, the language has no function words here: its blocks without
+    links are content.
+    """
+    free = [not b.skipped and b.link_chars <= LINKS * len(b.text.replace(" ", "")) for b in blocks]
+    dense = [density(b.text) if x and len(b.text) >= SHORT else 0.0 for b, x in zip(blocks, free, strict=True)]
+    inside, outside = (sum(len(b.text) for b, d in zip(blocks, dense, strict=True) if d >= SPARSE and b.article == side) for side in (True, False))
+    framed = any(b.article and not b.skipped for b in blocks) and inside >= outside
     labels: list[bool | None] = []
-    for b in blocks:
+    for b, x, d in zip(blocks, free, dense, strict=True):
         size = len(b.text)
         if b.skipped or framed and not b.article:
             labels.append(False)
-        elif b.link_chars > LINKS * len(b.text.replace(" ", "")) and not (b.heading and b.article):
+        elif not x:
+            labels.append(None if b.heading and b.article else False)
+        elif "©" in b.text and size < LONG and not b.article:
             labels.append(False)
-        elif b.article and size >= SHORT:
-            labels.append(True)
         elif size < SHORT:
             labels.append(None)
-        elif "©" in b.text and size < LONG:
-            labels.append(False)
+        elif d >= DENSE or size >= LONG and d >= SPARSE or b.article and d >= SPARSE:
+            labels.append(True)
         else:
-            words = WORD.findall(b.text.lower())
-            density = sum(w in ALL for w in words) / max(1, len(words))
-            labels.append(True if density >= DENSE or size >= LONG and density >= SPARSE else None if density >= SPARSE else False)
-    if True not in labels and framed:
-        return [b.article and x is None for b, x in zip(blocks, labels, strict=True)]
-    decided = [i for i, x in enumerate(labels) if x is not None]
-    out = []
-    k = 0
-    for i, x in enumerate(labels):
-        while k < len(decided) and decided[k] < i:
-            k += 1
-        if x is None:
-            b = blocks[i]
-            # Labels of the nearest decided blocks of the same frame, before and behind.
-            sides = [labels[j] for j in (next((j for j in reversed(decided[:k]) if blocks[j].skipped is False and blocks[j].article == b.article), None), next((j for j in decided[k:] if blocks[j].skipped is False and blocks[j].article == b.article), None)) if j is not None]
-            x = bool(sides) and (all(sides) or (b.article or b.heading or len(b.text) >= SHORT) and any(sides))
-        out.append(bool(x))
-    return out
+            labels.append(None if d >= SPARSE or b.article else False)
+    if framed and True not in labels:
+        return [b.article and label is None for b, label in zip(blocks, labels, strict=True)]
+    # The nearest decided block, that isn't in an element of its own kind, before and behind each.
+    before, behind = ([None] * len(blocks) for _ in range(2))
+    for out, order in ((before, range(len(blocks))), (behind, reversed(range(len(blocks))))):
+        last: list[bool | None] = [None, None]
+        for i in order:
+            out[i] = last[blocks[i].article]
+            if labels[i] is not None and not blocks[i].skipped:
+                last[blocks[i].article] = labels[i]
+    result = []
+    for b, label, *sides in zip(blocks, labels, before, behind, strict=True):
+        if label is None:
+            near = [x for x in sides if x is not None]
+            label = bool(near) and (all(near) or any(near) and (b.article or b.heading or len(b.text) >= SHORT))
+        result.append(label)
+    return result
 
 
 def main_text(page: str | None) -> str:
@@ -241,7 +319,7 @@ def main_text(page: str | None) -> str:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
 
     def extract(batches):

@@ -109,6 +109,97 @@ def test_any_page_is_read(page):
     html_text.main_text(page)
 
 
+SENTENCES = [
+    "It was a long winter for the people of the valley, and the snow lay on the roofs until the end of March.", "The council said that it would look at the plans again, but there was no date for the vote.",
+    "In the old days the ferry had crossed the river twice a day, and it was the only way to the market.", "Most of them had never been to the coast, so the first sight of the sea was a surprise to all.",
+    "She wrote to her brother that the house was too large for one person and that she would sell it.", "There is not much to be done about the weather, as the farmers like to say when it rains.",
+]
+
+
+def labelled_page(seed):
+    """A page of one of several layouts, and the text of its article."""
+    r = random.Random(seed)
+    prose_ = lambda k: " ".join(r.choice(SENTENCES) for _ in range(k))
+    links = lambda n: "".join(f'<li><a href="/{i}">{r.choice(["Home", "World news", "Sport", "Letters to the editor"])}</a></li>' for i in range(n))
+    title = f"The story number {seed} of the valley"
+    body, want = [f"<h1>{title}</h1>"], [title]
+    for k in range(r.randint(2, 6)):
+        text = prose_(r.randint(2, 5))
+        marked = text.replace("winter", "<b>winter</b>").replace("ferry", '<a href="/f">ferry</a>').replace(", and", ",\n  and")
+        body.append(r.choice(['<p class="lead">{}</p>', "<p>{}", "<div class='share-price'><p>{}</p></div>", "<blockquote>{}</blockquote>"]).format(marked.replace("people", "p&#101;ople")))
+        want.append(text)
+        if k and r.random() < 0.4:
+            body.append("<h2>A short heading</h2>")
+            want.append("A short heading")
+        if k and r.random() < 0.3:
+            body.append("<ul><li>first of all</li><li>and the last</li></ul>")
+            want += ["first of all", "and the last"]
+        if r.random() < 0.3:
+            body.append(r.choice([f'<aside><p>{prose_(2)}</p></aside>', f'<div class="related-posts"><p>{prose_(2)}</p></div>', f'<div class="ad">{prose_(1)}</div>', "<script>if (a < b) { x = '</p>'; }</script>", f"<form><p>{prose_(1)}</p></form>"]))
+    body.append(f"<p>{SENTENCES[0]} {SENTENCES[1]}</p>")
+    want.append(f"{SENTENCES[0]} {SENTENCES[1]}")
+    frame = r.choice(["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="x17">{}</div>', "{}"])
+    around = [f"<nav><ul>{links(5)}</ul></nav>", f'<div class="menu">{links(3)}</div>', f'<div class="cookie-banner"><p>{prose_(2)}</p></div>', f'<div><ul>{links(4)}</ul></div>', f"<header><p>{prose_(1)}</p></header>"]
+    below = [f'<section id="comments"><p>{prose_(2)}</p></section>', f"<footer><p>{prose_(1)}</p></footer>", f'<div class="newsletter-signup"><p>{prose_(2)}</p></div>', "<p>© 2020 The Valley Paper. All rights are reserved by the owners of it.</p>", f"<ul>{links(6)}</ul>"]
+    top, end = (r.sample(x, r.randint(1, 3)) for x in (around, below))
+    return f"<html><head><title>{title}</title><style>p {{ margin: 0 }}</style></head><body>{''.join(top)}{frame.format(''.join(body))}{''.join(end)}</body></html>", " ".join(want)
+
+
+def test_labelled_pages():
+    """Every layout, with and without an article element, is read exactly."""
+    got = [(html_text.main_text(page), want) for page, want in map(labelled_page, range(300))]
+    assert [g for g, w in got] == [w for g, w in got]
+
+
+def test_density_decides():
+    linked = "<p>" + " ".join(f'<a href="/{i}">the people of the town</a>' for i in range(20)) + "</p>"
+    dense, rare = f"<p>{' '.join(SENTENCES[:3])}</p>", f"<p>{'zxcv qwrt plmk ' * 30}</p>"
+    text = lambda *parts: html_text.main_text(f"<body>{''.join(parts)}</body>")
+    assert text(dense, linked) == text(dense) == " ".join(SENTENCES[:3])
+    assert text(dense, rare) == text(dense) and "zxcv" in text(f"<article>{rare}</article>")
+    # A sparse block inside takes its neighbours' label; an article that holds less than the page's text is no frame.
+    assert "zxcv" in text(f"<article>{dense}{rare}{dense}</article>")
+    assert text(f"<article><p>{SENTENCES[4]}</p></article>", dense, dense) == " ".join([SENTENCES[4], *SENTENCES[:3] * 2])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.recursive(st.text("ab <&é", max_size=8), lambda x: st.tuples(st.sampled_from(["div", "p", "b", "a", "span"]), st.lists(x, max_size=4)), max_leaves=25))
+def test_blocks_of_balanced_trees(tree):
+    """Blocks and their link characters against a walk over the tree."""
+    import html
+
+    runs = [[]]
+
+    def write(node, link, above):
+        if isinstance(node, str):
+            runs[-1].append((node, link))
+            return html.escape(node)
+        name, inner = node
+        if name == "p" and "p" in above or name == "div" and "p" in above or name == "a" and "a" in above:
+            name = "span"  # what html closes by itself isn't a tree
+        if name == "span" and any(not isinstance(x, str) and x[0] in ("div", "p") for x in inner) or name in ("a", "b"):
+            inner = [x if isinstance(x, str) else "" for x in inner]
+        if name in ("div", "p"):
+            runs.append([])
+        out = "".join(write(x, link or name == "a", [*above, name]) for x in inner)
+        if name in ("div", "p"):
+            runs.append([])
+        return f"<{name}>{out}</{name}>"
+
+    page = write(tree, False, [])
+    want = [(t, sum(len("".join(x.split())) for x, linked in run if linked)) for run in runs if (t := " ".join("".join(x for x, _ in run).split()))]
+    assert [(b.text, b.link_chars) for b in html_text.parse_blocks(page)] == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x" + "</span>" * 50_000, "<b>" * 30_000 + "<div>" * 30_000 + "</b>" * 30_000, "<li><span hidden>" * 20_000, "<h2>a</h2>" * 30_000, "<table><tr><td>" * 20_000])
+def test_odd_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 3
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     got = html_text.extract_pages(pages).collect()
