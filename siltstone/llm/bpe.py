@@ -165,17 +165,13 @@ class Transducer:
             n += emitted
         return n + row[""][1]
 
-    def encode(self, word: str) -> list[tuple[int, str]]:
-        """(id or UNKNOWN, its string) of one pre-token: forward pass, then backtrace over last tokens."""
+    def last_tokens(self, word: str) -> list[int]:
+        """The last token (or UNKNOWN) of each prefix of one pre-token: the forward pass."""
         self._fresh()
         row, last = self.rows[0], []
+        put = last.append
         for c in word:
-            row, _, t = row.get(c) or self._compile(row, c)
-            last.append(t)
-        out, at = [], len(word)
-        while at:
-            t = last[at - 1]
-            k = self.size[t] if t >= 0 else 1
-            out.append((t, word[at - k : at]))
-            at -= k
-        return out[::-1]
+            step = row.get(c) or self._compile(row, c)
+            row = step[0]
+            put(step[2])
+        return last

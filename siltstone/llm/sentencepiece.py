@@ -2,18 +2,24 @@
 
 A path's score is 0 if every two neighbouring pieces may stand together in the model's byte-pair encoding, else minus
 infinity; exactly one path has score 0, and it is the library's encoding. A word's forward pass runs on a transducer
-whose states are the live lattice nodes. Of a giant document each chunk gives a matrix over boundary states, which are
-the pieces that reach across or end at a cut: (piece, characters before the cut). Matrices combine by the max-plus
-product; then the boundary states are known and every chunk is backtraced on its own.
-
-Defined cases: null and empty texts have no pieces and decode to the empty text; repeated rows and further columns are
-kept as they are.
+whose states are the live lattice nodes. A text of over GIANT characters is dealt out in chunks, each of which gives a
+matrix over boundary states, which are the pieces that reach across or end at a cut: (piece, characters before the cut).
+Matrices combine by the max-plus product; then the boundary states are known and every chunk is backtraced on its own.
+A cut is made before a blank where one is near: no piece reaches across, so there is one state, and a chunk between two
+such cuts has a matrix of one row and one column. Elsewhere (a long run without blanks) only the run's ends matter: the
+words between a chunk's first and last blank are again matrices of one number.
+
+Defined cases: null and empty texts have no pieces and decode to the empty text; very long texts are encoded whole;
+repeated rows and further columns, whatever their names, are kept as they are (a column that has the name of the result
+is replaced); ties don't arise, for one path has score 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +28,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.bpe import UNKNOWN, Transducer
-from siltstone.llm.shared import Memo, small_batches, text_of
+from siltstone.llm.shared import Memo, columns_of, free_name, small_batches
 
 SPACE = "▁"
 UNIT = re.compile(" *[^ ]+| +")
+#: A character before which no cut is made, and a blank behind it.
+BLANK = re.compile(f"[^{SPACE}]{SPACE}")
 MEMO = 600_000
 BYTE, NORMAL = 6, 1
-#: Column that a giant text is followed by.
-KEY = "__text_hash"
+#: Characters of a text that is dealt out, of its chunks, and within which a blank is sought for a cut.
+GIANT, CHUNK, NEAR = 1 << 15, 1 << 14, 1 << 12
+#: Characters around a chunk that a piece may reach.
+AROUND = 64
 
 
 class PieceModel:
@@ -67,25 +77,45 @@ class PieceModel:
                 out.append(i)
         return out
 
+    def _word(self, word: str) -> bytes:
+        """Packed ids of a normalized word: the forward pass, then the backtrace over last pieces."""
+        last, at = self.lattice.last_tokens(word), len(word)
+        size, out = self.lattice.size, []
+        while at:
+            t = last[at - 1]
+            if t >= 0:
+                out.append(t)
+                at -= size[t]
+            else:
+                at -= 1
+                out += [self.bytes[b] for b in reversed(word[at].encode("utf-8", "surrogatepass"))]
+        out.reverse()
+        return array("I", out).tobytes()
+
     def encode_packed(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers. No piece reaches from a word into the blank
-        behind it, so that the matrix of a word has one row and one column and words are memoized."""
-        if self.crosses or SPACE in text:  # a space mark of the text itself can't be told from a blank's
-            return np.array(self.ids(self.lattice.encode(self.normalize(text))), "<u4").tobytes()
+        """Ids of a whole text as little-endian unsigned 32-bit integers."""
+        return self.encode_part(" " + text if self.prefix and text else text)
+
+    def encode_part(self, text: str) -> bytes:
+        """Ids of what stands between a text's edge or a cut before a blank, and another. No piece reaches from a word into
+        the blank behind it, so that the matrix of a word has one row and one column and words are memoized."""
+        if self.crosses:
+            return self._word(text.replace(" ", SPACE))
+        if SPACE in text:  # a space mark of the text itself can't be told from a blank's
+            text = text.replace(SPACE, " ")
         memo = self.memo
         memo.turn()
-        units = UNIT.findall(" " + text if self.prefix and text else text)
+        units = UNIT.findall(text)
         out = list(map(memo.get, units))
         if None in out:
             for i, got in enumerate(out):
                 if got is None:
                     u = units[i]
-                    if (got := memo.recall(u)) is not None:
-                        out[i] = got
-                        continue
-                    out[i] = got = np.array(self.ids(self.lattice.encode(u.replace(" ", SPACE))), "<u4").tobytes()
-                    if len(u) < 64:
-                        memo[u] = got
+                    if (got := memo.get(u) or memo.recall(u)) is None:
+                        got = self._word(u.replace(" ", SPACE))
+                        if len(u) < 64:
+                            memo[u] = got
+                    out[i] = got
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
@@ -135,6 +165,25 @@ class PieceModel:
             out.append((UNKNOWN, left[-1], 1))
         return out
 
+    def chunks(self, text: str, size: int) -> Iterator[tuple[str, str, str]]:
+        """(left, chunk, right) of the chunks of a normalized text, with what is around them; nothing beside a cut before
+        a blank, where there is one boundary state."""
+        at, left = 0, ""
+        while at < len(text):
+            cut = at + size
+            if cut >= len(text):
+                yield left, text[at:], ""
+                return
+            near = cut if self.crosses else text.find(SPACE, cut, cut + NEAR)
+            while near > 0 and text[near - 1] == SPACE and not self.crosses:  # a blank that follows another isn't a cut
+                near = text.find(SPACE, near + 1, cut + NEAR)
+            if near > 0 and not self.crosses:
+                yield left, text[at:near], ""
+                at, left = near, ""
+            else:
+                yield left, text[at:cut], text[cut : cut + AROUND]
+                at, left = cut, text[max(0, cut - AROUND) : cut]
+
     def _forward(self, text: str, right: str, entry: tuple[int, str, int]) -> tuple[list[dict], list]:
         """Lattice nodes by position reached from an entry: {piece: (start, piece before)}; and the exits it reaches."""
         lat = self.lattice
@@ -166,8 +215,30 @@ class PieceModel:
             exits.append(((t, name, len(name)), t))
         return nodes, exits
 
+    def _inner(self, left: str, text: str, right: str) -> tuple[int, int] | None:
+        """Where the words of a chunk begin and end that no boundary state reaches: at its edge where that is a cut before
+        a blank, else at its first or last blank; None where it has none."""
+        first = BLANK.search(text)
+        if self.crosses or not first:
+            return None if left or right else (0, len(text))
+        last = text.rfind(SPACE)
+        while text[last - 1] == SPACE:  # where the last run of blanks begins
+            last -= 1
+        return first.start() + 1 if left else 0, max(last, first.start() + 1) if right else len(text)
+
     def matrix(self, left: str, text: str, right: str) -> dict[tuple, list[tuple]]:
-        """Transfer matrix of a chunk, its finite entries only: entry state -> exit states of score 0."""
+        """Transfer matrix of a chunk, its finite entries only: entry state -> exit states of score 0. The words inside
+        have one state before and behind them."""
+        inner = self._inner(left, text, right)
+        if not inner:
+            return self._reached(left, text, right)
+        edge = (-1, "", 0)
+        out = {edge: [edge]}
+        if left:
+            out = self._reached(left, text[: inner[0]], "")
+        return self.product(out, self._reached("", text[inner[1] :], right)) if right else out
+
+    def _reached(self, left: str, text: str, right: str) -> dict[tuple, list[tuple]]:
         out = {}
         for e in self.entries(left, text + right):
             exits = {x for x, _ in self._forward(text, right, e)[1]}
@@ -201,8 +272,18 @@ class PieceModel:
             out.append(at)
         return [*out, (-1, "", 0)]
 
-    def backtrace(self, text: str, right: str, entry: tuple, exit_: tuple) -> bytes:
+    def backtrace(self, left: str, text: str, right: str, entry: tuple, exit_: tuple) -> bytes:
         """Ids of the pieces that begin in a chunk, given its boundary states."""
+        inner = self._inner(left, text, right)
+        if not inner:
+            return self._traced(text, right, entry, exit_)
+        a, z = inner
+        edge = (-1, "", 0)
+        head = self._traced(text[:a], "", entry, edge) if left else b""
+        tail = self._traced(text[z:], right, edge, exit_) if right else b""
+        return head + self.encode_part(text[a:z]) + tail
+
+    def _traced(self, text: str, right: str, entry: tuple, exit_: tuple) -> bytes:
         nodes, exits = self._forward(text, right, entry)
         path: list[tuple[int, str]] = []
         n = len(text)
@@ -234,78 +315,89 @@ def loaded(path: str) -> PieceModel:
     return _LOADED[path]
 
 
-def encode_documents(docs: DataFrame, model: str, giant: int = 1 << 20, chunk: int = 1 << 16) -> DataFrame:
-    """All columns of docs and `pieces`, the packed ids (unsigned 32-bit, little-endian) of its text. A column of docs
-    named pieces is replaced.
+def encode_documents(docs: DataFrame, model: str, into: str = "pieces", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """All columns of docs and `into`, the packed ids (unsigned 32-bit, little-endian) of its text. A column of docs of
+    that name is replaced.
 
     Texts of up to `giant` characters are encoded where they are read. Longer ones are dealt out in chunks.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
-    docs = docs.drop("pieces")
-    schema = T.StructType([*docs.schema.fields, T.StructField("pieces", T.BinaryType())])
+    small_batches(spark)
+    docs = docs.drop(into)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.BinaryType())])
 
     def whole(batches):
         m = loaded(model)
         for b in batches:
             col = b.schema.names.index("text")
             packed = [m.encode_packed(t or "") for t in b.column(col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packed, pa.binary())], [*b.schema.names, "pieces"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packed, pa.binary())], [*b.schema.names, into])
 
     length = F.coalesce(F.length("text"), F.lit(0))
     short = docs.where(length <= giant).mapInArrow(whole, schema)
-    big = docs.where(length > giant).withColumn(KEY, F.xxhash64("text"))
-    return short.unionByName(_encode_giant(big, model, chunk).select(short.columns))
+    key = free_name(docs, "digest")
+    big = docs.where(length > giant).withColumn(key, F.md5(F.col("text").cast("binary")))
+    traced = _encode_giant(big.select(F.col(key).alias("digest"), "text"), model, chunk).withColumnsRenamed({"digest": key, "ids": into})
+    return short.unionByName(big.join(traced, key).select(*columns_of(short)))
+
+
+STATE = "struct<id:int,piece:string,cut:int>"
+_FIELDS = ("id", "piece", "cut")
+_STATE = pa.struct([("id", pa.int32()), ("piece", pa.string()), ("cut", pa.int32())])
 
 
 def _encode_giant(big: DataFrame, model: str, chunk: int) -> DataFrame:
-    """Chunks carry the characters around them that a piece may reach; matrices meet, chunk texts don't."""
-    around = 64
-    m0 = loaded(model)
-    if m0.lattice.longest > around:
-        raise ValueError("pieces are longer than the context of a chunk")
-    texts = big.select(KEY, F.concat(F.lit(SPACE if m0.prefix else ""), F.replace("text", F.lit(" "), F.lit(SPACE))).alias("t")).dropDuplicates([KEY])
-    parts = texts.select(
-        KEY,
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / chunk).cast("int")), lambda i: F.struct(
-            F.when(i > 0, F.substr("t", F.greatest(i * chunk + 1 - around, F.lit(1)), F.least(i * chunk, F.lit(around)))).otherwise("").alias("left"),
-            F.substr("t", i * chunk + 1, F.lit(chunk)).alias("text"),
-            F.substr("t", (i + 1) * chunk + 1, F.lit(around)).alias("right"),
-        ))).alias("part", "c"),
-    ).select(KEY, "part", "c.*").repartition(KEY, "part")
-    state = "struct<id:int,piece:string,cut:int>"
+    """(digest, ids) of the distinct texts of (digest, text). Chunks carry the characters around them that a piece may
+    reach; matrices meet, chunk texts don't."""
+    texts = big.groupBy("digest").agg(F.first("text").alias("text"))
+    row = lambda s: dict(zip(_FIELDS, s, strict=True))
+    tup = lambda s: tuple(s[k] for k in _FIELDS)
+
+    def dealt(batches):
+        m = loaded(model)
+        if m.lattice.longest > AROUND:
+            raise ValueError("pieces are longer than the context of a chunk")
+        for b in batches:
+            for h, t in zip(b.column("digest").to_pylist(), b.column("text").to_pylist(), strict=True):
+                some: list[tuple] = []
+                for k, c in enumerate(m.chunks(m.normalize(t), chunk)):
+                    some.append((h, k, *c))
+                    if len(some) == 64:
+                        yield _columns(some)
+                        some = []
+                if some:
+                    yield _columns(some)
+
+    def _columns(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], ["digest", "part", "before", "chunk", "behind"])
 
     def matrices(batches):
         m = loaded(model)
         for b in batches:
-            rows = [[{"entry": dict(zip(("id", "piece", "cut"), e)), "exits": [dict(zip(("id", "piece", "cut"), x)) for x in xs]} for e, xs in m.matrix(*t).items()] for t in zip(*(b.column(n).to_pylist() for n in ("left", "text", "right")), strict=True)]
-            st = pa.struct([("id", pa.int32()), ("piece", pa.string()), ("cut", pa.int32())])
-            yield pa.RecordBatch.from_arrays([b.column(KEY), b.column("part"), pa.array(rows, pa.list_(pa.struct([("entry", st), ("exits", pa.list_(st))])))], [KEY, "part", "matrix"])
+            rows = [[{"entry": row(e), "exits": [row(x) for x in xs]} for e, xs in m.matrix(*t).items()] for t in zip(*(b.column(n).to_pylist() for n in ("before", "chunk", "behind")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("part"), pa.array(rows, pa.list_(pa.struct([("entry", _STATE), ("exits", pa.list_(_STATE))])))], ["digest", "part", "matrix"])
 
     def scan(batches):
         m = loaded(model)
-        tup = lambda s: (s["id"], s["piece"], s["cut"])
         for b in batches:
-            for h, ms in zip(b.column(KEY).to_pylist(), b.column("ms").to_pylist(), strict=True):
+            for h, ms in zip(b.column("digest").to_pylist(), b.column("ms").to_pylist(), strict=True):
                 ms = sorted(ms, key=lambda x: x["part"])
                 cuts = m.boundaries([{tup(r["entry"]): [tup(x) for x in r["exits"]] for r in x["matrix"]} for x in ms])
-                st = pa.struct([("id", pa.int32()), ("piece", pa.string()), ("cut", pa.int32())])
-                as_rows = lambda cs: pa.array([dict(zip(("id", "piece", "cut"), c)) for c in cs], st)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * len(ms), pa.int64()), pa.array([x["part"] for x in ms], pa.int32()), as_rows(cuts[:-1]), as_rows(cuts[1:])], [KEY, "part", "entry", "exit"])
+                as_rows = lambda cs: pa.array([row(c) for c in cs], _STATE)
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(ms), pa.string()), pa.array([x["part"] for x in ms], pa.int32()), as_rows(cuts[:-1]), as_rows(cuts[1:])], ["digest", "part", "entry", "exit"])
 
     def traced(batches):
         m = loaded(model)
-        tup = lambda s: (s["id"], s["piece"], s["cut"])
         for b in batches:
-            got = [m.backtrace(t, r, tup(e), tup(x)) for t, r, e, x in zip(*(b.column(n).to_pylist() for n in ("text", "right", "entry", "exit")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(KEY), b.column("part"), pa.array(got, pa.binary())], [KEY, "part", "ids"])
+            got = [m.backtrace(*t, tup(e), tup(x)) for *t, e, x in zip(*(b.column(n).to_pylist() for n in ("before", "chunk", "behind", "entry", "exit")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("part"), pa.array(got, pa.binary())], ["digest", "part", "ids"])
 
-    made = parts.mapInArrow(matrices, f"{KEY} bigint, part int, matrix array<struct<entry:{state},exits:array<{state}>>>")
-    cuts = made.groupBy(KEY).agg(F.collect_list(F.struct("part", "matrix")).alias("ms")).mapInArrow(scan, f"{KEY} bigint, part int, entry {state}, exit {state}")
-    ids = parts.join(cuts, [KEY, "part"]).mapInArrow(traced, f"{KEY} bigint, part int, ids binary")
-    whole = ids.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p"))
-    whole = whole.select(KEY, F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("pieces"))
-    return big.join(whole, KEY, "left").drop(KEY)
+    parts = texts.mapInArrow(dealt, "digest string, part int, before string, chunk string, behind string").repartition("digest", "part")
+    made = parts.mapInArrow(matrices, f"digest string, part int, matrix array<struct<entry:{STATE},exits:array<{STATE}>>>")
+    cuts = made.groupBy("digest").agg(F.collect_list(F.struct("part", "matrix")).alias("ms")).mapInArrow(scan, f"digest string, part int, entry {STATE}, exit {STATE}")
+    ids = parts.join(cuts, ["digest", "part"]).mapInArrow(traced, "digest string, part int, ids binary")
+    whole = ids.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p"))
+    return whole.select("digest", F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
 
 
 def _digest(m: PieceModel, text: str | None, packed: bytes) -> tuple:
@@ -313,10 +405,10 @@ def _digest(m: PieceModel, text: str | None, packed: bytes) -> tuple:
     return len(packed) // 4, zlib.crc32(packed), zlib.crc32(back.encode("utf-8", "replace")), back == (text or "")
 
 
-def round_trip(docs: DataFrame, model: str, giant: int = 1 << 20, chunk: int = 1 << 16) -> DataFrame:
+def round_trip(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, decoded_crc32, exact (the decoded text equals the text) of each document, encoded as
     by encode_documents and decoded again."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
@@ -332,9 +424,9 @@ def round_trip(docs: DataFrame, model: str, giant: int = 1 << 20, chunk: int = 1
     def decoded(batches):
         m = loaded(model)
         for b in batches:
-            got = [_digest(m, t, p) for t, p in zip(b.column("text").to_pylist(), b.column("pieces").to_pylist(), strict=True)]
+            got = [_digest(m, t, p) for t, p in zip(b.column("text").to_pylist(), b.column("ids").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], names)
 
     length = F.coalesce(F.length("text"), F.lit(0))
-    big = rows.where(length > giant).withColumn(KEY, F.xxhash64("text"))
-    return rows.where(length <= giant).mapInArrow(both, schema).unionByName(_encode_giant(big, model, chunk).select("doc_id", "text", "pieces").mapInArrow(decoded, schema))
+    big = rows.where(length > giant).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    return rows.where(length <= giant).mapInArrow(both, schema).unionByName(big.join(_encode_giant(big.select("digest", "text"), model, chunk), "digest").select("doc_id", "text", "ids").mapInArrow(decoded, schema))

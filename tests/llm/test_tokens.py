@@ -17,7 +17,7 @@ from siltstone.llm.shared import work_dir
 
 BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", "  ", "a  b", "don't can't 's 'll 're'x", "abc <|endoftext|> def<|endoftext|>", "\t\n x", "x\t y　z q", "１２3 ½ न्म 😀😀 ́a", "aaaaaaaaaaaaaaaaaaaa" * 9, "\x1c a\x1fb \x85 d", "the<|endoftext|", "   \n\n  x  \n ", "word" * 60 + " , the end", "a", "a", "▁ b ▁▁"]
-PARTS = st.lists(st.sampled_from(["the", "ing", " ", "  ", "\n", "'s", "'", "é", "中", "😀", "1", ".", "%", "\t", "x", "▁", "<|endoftext|>", "ſ", "aaaa"]), max_size=25).map("".join)
+PARTS = st.lists(st.sampled_from(["the", "ing", " ", "  ", "\n", "'s", "'", "é", "中", "😀", "1", ".", "%", "\t", "x", "▁", ",", "½", "<|endoftext|>", "ſ", "aaaa"]), max_size=25).map("".join)
 
 
 @pytest.fixture(scope="module")
@@ -94,7 +94,12 @@ def test_pieces_and_matrices(model, text, size):
     left, mid, right = [n[max(0, i - 64) : i] for i in cuts], [n[i : i + size] for i in cuts], [n[i + size : i + size + 64] for i in cuts]
     matrices = [model.matrix(*x) for x in zip(left, mid, right, strict=True)]
     ends = model.boundaries(matrices)
-    got = b"".join(model.backtrace(m, r, a, z) for m, r, a, z in zip(mid, right, ends, ends[1:], strict=False))
+    got = b"".join(model.backtrace(l, m, r, a, z) for l, m, r, a, z in zip(left, mid, right, ends, ends[1:], strict=False))
+    assert np.frombuffer(got, "<u4").tolist() == want
+    parts = list(model.chunks(n, size))
+    assert "".join(c for _, c, _ in parts) == n
+    ends = model.boundaries([model.matrix(*x) for x in parts])
+    got = b"".join(model.backtrace(*x, a, z) for x, a, z in zip(parts, ends, ends[1:], strict=False))
     assert np.frombuffer(got, "<u4").tolist() == want
 
 
@@ -102,9 +107,27 @@ def test_encode_documents(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)] + [(None, None, "x")], "doc_id long, text string, pieces string")
     for giant in (1 << 20, 5):
-        rows = pieces.encode_documents(docs, PIECE_BPE, giant, 7).collect()
+        rows = pieces.encode_documents(docs, PIECE_BPE, giant=giant, chunk=7).collect()
         assert len(rows) == len(ODD) + 1
         assert all(np.frombuffer(r.pieces, "<u4").tolist() == lib.encode(r.text or "") for r in rows)
         back = {r.doc_id: r.exact for r in pieces.round_trip(docs, PIECE_BPE, giant, 7).collect()}
         assert all(back[i] for i, t in enumerate(ODD) if "▁" not in (t or ""))
     assert pieces.encode_documents(docs.where(F.lit(False)), PIECE_BPE).count() == 0
+
+
+def test_giant_texts_in_production(spark, library):
+    """Texts over the thresholds of the queries, with blanks and without, twice; and columns of awkward names."""
+    r = np.random.default_rng(3)
+    words = ["the", "ing", "house", "é", "中文", "x1", "''", "ſ", "😀", "don't", "\t", "end.", "<|endoftext|>"]
+    long = " ".join(r.choice(words, 12_000))
+    solid = "".join(r.choice(["a", "b", "the", "中", "9"], 20_000))
+    texts = [long, solid, long[:40_000] + solid[:3] + " " + solid, "." * 70_000, "a" * 33_000, long, " " * 40_000, "short"]
+    docs = spark.createDataFrame([(i, t, "k", b"p") for i, t in enumerate(texts)], "doc_id long, text string, digest string, `__digest` binary")
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    got = {x.doc_id: x for x in pieces.encode_documents(docs, PIECE_BPE, "x.y").collect()}
+    assert all(np.frombuffer(got[i]["x.y"], "<u4").tolist() == lib.encode(t) and got[i].digest == "k" for i, t in enumerate(texts))
+    assert {x.doc_id: (x.n_pieces, x.exact) for x in pieces.round_trip(docs, PIECE_BPE).collect()} == {i: (len(lib.encode(t)), True) for i, t in enumerate(texts)}
+    assert {x.doc_id: x.n_tokens for x in token_counts.count_tokens(docs, BYTE_BPE).collect()} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    where = work_dir(spark, "test-files")
+    n = {x.doc_id: x.n_tokens for x in token_files.read_token_files(spark, where, token_files.write_token_files(docs, BYTE_BPE, where)).collect()}
+    assert n == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
