@@ -33,7 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text that is left: all columns, pieces (packed ids), n_pieces."""
     prepare(spark)
-    return sentencepiece.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).selectExpr("*", "cast(octet_length(pieces) div 4 as bigint) as n_pieces")
+    encoded = sentencepiece.encode_documents(docs.drop("n_pieces"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.selectExpr("*", "cast(octet_length(pieces) div 4 as bigint) as n_pieces")
 
 
 STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("decontamination", decontamination), ("sentencepiece", encode)]
