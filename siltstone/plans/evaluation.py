@@ -9,6 +9,7 @@ from siltstone.operators import metrics as M
 from siltstone.operators import ranking as R
 from siltstone.plans.registry import query, table
 from siltstone.plans.retrieval import LISTS_SQL, two_lists
+from siltstone.session import spread
 
 GOLD_SQL = r"""gw AS (SELECT doc_id, source, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM documents),
 gg AS (SELECT DISTINCT doc_id, source, unnest(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i+4], ' '))) AS g FROM gw),
@@ -17,13 +18,22 @@ gold AS (SELECT DISTINCT item_id, doc_id, source FROM gi JOIN gg USING (g)),
 want AS (SELECT b.item_id, count(DISTINCT gold.source) AS es, count(DISTINCT gold.doc_id) AS ed FROM benchmark b LEFT JOIN gold USING (item_id) GROUP BY b.item_id)"""
 
 
+#: Items whose first words are looked for while documents are scanned; beyond that all sequences are compared.
+MOST_ITEMS = 5_000
+
+
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """(item_id, doc_id, source): five-word sequences of all documents meet the first one of each item in an equi-join."""
+    """(item_id, doc_id, source): five-word sequences of all documents meet the first one of each item in an equi-join.
+    Only sequences that begin as an item does are cut out."""
     split = lambda c: F.regexp_extract_all(c, F.lit(r"[^ \t\n\r]+"), F.lit(0))
-    docs = table(spark, sf, "documents").select("doc_id", "source", split(F.col("text")).alias("l")).where(F.size("l") >= 5)
-    grams = docs.select("doc_id", "source", F.explode(F.transform(F.sequence(F.lit(1), F.size("l") - 4), lambda i: F.array_join(F.slice("l", i, 5), " "))).alias("g"))
-    items = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(split(F.col("text")), 1, 5), " ").alias("g"))
-    return grams.join(items, "g").select("item_id", "doc_id", "source").distinct()
+    items = table(spark, sf, "benchmark").select("item_id", F.slice(split(F.col("text")), 1, 5).alias("w"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "source", split(F.col("text")).alias("l")).where(F.size("l") >= 5)
+    starts = F.sequence(F.lit(1), F.size("l") - 4)
+    first = sorted({r[0][0] for r in items.select("w").limit(MOST_ITEMS + 1).collect() if r[0]}) if items.count() <= MOST_ITEMS else []
+    if first:
+        starts = F.filter(starts, lambda i: F.get("l", i - 1).isin(first))
+    grams = docs.select("doc_id", "source", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("l", i, 5), " "))).alias("g"))
+    return grams.join(items.select("item_id", F.array_join("w", " ").alias("g")), "g").select("item_id", "doc_id", "source").distinct()
 
 
 def expected(spark: SparkSession, sf: str) -> DataFrame:

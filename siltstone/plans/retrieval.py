@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import cosine
 from siltstone.operators import ranking as R
+from siltstone.operators.postings import index_of
 from siltstone.plans.registry import query, table
 
 WORD = r"[\p{L}\p{N}]+(?:_[\p{L}\p{N}]+)*"
@@ -31,7 +32,7 @@ def _top_sql(source: str, k: int) -> str:
 
 
 def _bm25(spark: SparkSession, sf: str, how: R.Bm25) -> DataFrame:
-    return R.bm25(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), how)
+    return R.bm25(index_of(table(spark, sf, "documents")), table(spark, sf, "benchmark"), how)
 
 
 def _long(df: DataFrame, *names: str) -> DataFrame:
@@ -114,7 +115,11 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _long(_dense(spark, sf, 10), "rank").select("query_id", "vec_id", "score", "rank")
 
 
-LISTS_SQL = f"{bm25_sql(1.2, True, '1.0', name='a')}, {bm25_sql(1.2, False, 'qf', '[a-z0-9]+', True, name='b')}, la AS ({_top_sql('a', 30)}), lb AS ({_top_sql('b', 30)}), lists AS (SELECT 'dense' AS component, * FROM lb UNION ALL SELECT 'sparse', * FROM la)"
+LISTS_SQL = f"""{bm25_sql(1.2, True, "1.0", name="a")}, la AS ({_top_sql("a", 30)}),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+near AS (SELECT item_id, doc_id, round(list_cosine_similarity(q.e, d.e), 6) AS score FROM benchmark JOIN v q ON q.vec_id = item_id, documents JOIN v d ON d.vec_id = doc_id),
+lb AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS rank FROM near QUALIFY rank <= 30),
+lists AS (SELECT 'dense' AS component, * FROM lb UNION ALL SELECT 'sparse', * FROM la)"""
 
 
 def _fused_sql(dense: float, sparse: float) -> str:
@@ -122,11 +127,19 @@ def _fused_sql(dense: float, sparse: float) -> str:
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, least_rank, CAST(doc_id AS VARCHAR)) AS fused_rank FROM fused)"""
 
 
+def dense_list(spark: SparkSession, sf: str, k: int = 30) -> DataFrame:
+    """Documents by the cosine of their vectors with the questions'. A document's vector, and a question's, is the one of
+    its number."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    docs = vectors.join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "doc_id")
+    asked = vectors.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "item_id")
+    return R.dense_top(docs, asked, k, "doc_id", "item_id")
+
+
 def two_lists(spark: SparkSession, sf: str, k: int = 30) -> DataFrame:
-    """Two component rankings of each question: word and folded BM25 take the places of sparse and dense."""
+    """The sparse and the dense ranking of each question."""
     a = _sparse(spark, sf, k).withColumn("component", F.lit("sparse"))
-    b = R.top_by_score(_bm25(spark, sf, R.CONTRACT), k).withColumn("component", F.lit("dense"))
-    return a.unionByName(b)
+    return a.unionByName(dense_list(spark, sf, k).withColumn("component", F.lit("dense")))
 
 
 @query("rrf_weighted", f"WITH {LISTS_SQL}, {_fused_sql(0.9, 0.1)} SELECT item_id, doc_id, score, least_rank, fused_rank FROM ranked WHERE fused_rank <= 20")
@@ -203,8 +216,7 @@ SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM e GROUP BY term""
 )
 def term_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Collection and document frequency of every term."""
-    tf = R.terms(table(spark, sf, "documents"), "doc_id", "text", R.RUNTIME)
-    return tf.groupBy("term").agg(F.sum("tf").cast("long").alias("cf"), F.count(F.lit(1)).alias("df"))
+    return index_of(table(spark, sf, "documents")).kind("words").terms.select("term", "cf", "df")
 
 
 @query("self_cosine", "SELECT vec_id, round(list_cosine_similarity(e, list_reverse(e)), 6) AS mirror FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)")
