@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import decontaminate, html_text, lm, near_dups, quality, sentencepiece, shards, token_counts, token_files, warc
-from siltstone.llm.shared import prepare, work_dir
+from siltstone.llm.shared import prepare, spread, work_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return token_counts.count_tokens(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(BYTE_BPE))
 
 
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +28,11 @@ def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.judge_documents(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +42,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+    return html_text.extract_pages(spread(table(spark, sf_dir, "pages")))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return sentencepiece.round_trip(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(PIECES))
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(table(spark, sf_dir, "documents"))
+    return lm.score_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

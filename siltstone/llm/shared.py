@@ -1,44 +1,19 @@
-"""What the operators of this package have in common: shared folders, null-safe texts, Arrow batches."""
+"""What the operators of this package have in common: files in shared folders, null-safe texts, Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import os
 import re
-import shutil
 import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.session import prepare
+from siltstone.session import materialize, prepare, spread, work_dir
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_ONLY = "file:///tmp/checkpoints/siltstone"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir, as a URI. Where none is named, a local folder does
-    for a session of one machine; any other is refused, for executors wouldn't see each other's files."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        named = LOCAL_ONLY
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder (URI) in the shared root; on one machine it goes when the process ends."""
-    root = shared_root(spark)
-    out = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    if root == LOCAL_ONLY:
-        atexit.register(shutil.rmtree, posix_path(out), ignore_errors=True)
-    return out
+__all__ = ["atomic_write", "columns_of", "free_name", "materialize", "Memo", "posix_path", "prepare", "small_batches", "spread", "text_of", "work_dir", "written_whole"]
 
 
 def posix_path(uri: str) -> str:
@@ -49,12 +24,6 @@ def posix_path(uri: str) -> str:
     return parts.path
 
 
-def materialize(df: DataFrame, where: str) -> DataFrame:
-    """Write df as Parquet into a shared folder and read it back: cuts the lineage, survives lost executors."""
-    df.write.mode("overwrite").parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
-
-
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
