@@ -9,6 +9,7 @@ from siltstone.functions import text as T
 from siltstone.operators import chunking as C
 from siltstone.operators import review, units
 from siltstone.plans.registry import query, table
+from siltstone.session import spread
 from siltstone.sources import html as H
 
 
@@ -43,7 +44,8 @@ def citation_extract(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)"), F.lit(1)))).cast("long").alias("n_names"))
 
 
-@query("chunk_ids_uuid5")
+@query("chunk_ids_uuid5", f"""WITH k AS (SELECT doc_id, concat_ws('|', source, 'clause=' || doc_id) AS key FROM documents), h AS (SELECT doc_id, key, sha1(from_hex('{C.NAMESPACE.hex}') || encode(key)) AS h FROM k)
+SELECT doc_id, key AS chunk_key, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab', CAST((('0x' || h[17:17])::INTEGER % 4) AS INTEGER) + 1, 1) || h[18:20], h[21:32]) AS chunk_id FROM h""")
 def chunk_ids_uuid5(spark: SparkSession, sf: str) -> DataFrame:
     """Stable ids from keys, derived in the JVM."""
     key = F.concat_ws("|", "source", F.concat(F.lit("clause="), F.col("doc_id").cast("string")))
@@ -66,25 +68,46 @@ def text_units(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("recursive_split")
 def recursive_split(spark: SparkSession, sf: str) -> DataFrame:
-    return C.split_documents(table(spark, sf, "documents"), 200, 20)
+    return C.split_documents(spread(table(spark, sf, "documents").select("doc_id", "text")), 200, 20)
 
 
 @query("structural_chunks")
 def structural_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return C.chunk_documents(table(spark, sf, "documents"))
+    return C.chunk_documents(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
-@query("chunk_violations", "SELECT doc_id, text AS problem FROM documents WHERE false")
+@query("chunk_violations", f"""WITH c AS (SELECT doc_id, doc_id % 11 AS k, trim(text, chr(32) || chr(10)) AS t FROM documents),
+u AS (SELECT doc_id, k, t, CASE WHEN k = 3 THEN concat(doc_id, '|None') ELSE concat(doc_id, '|article') END AS key, CAST(floor(len(regexp_extract_all(CASE WHEN k = 1 THEN '' ELSE t END, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')) * 1.3) AS BIGINT) AS n FROM c)
+SELECT doc_id, 'blank' AS problem FROM u WHERE k = 1 UNION ALL SELECT doc_id, 'text_lost' FROM u WHERE k = 1 UNION ALL SELECT doc_id, 'none_in_key' FROM u WHERE k = 3
+UNION ALL SELECT doc_id, 'too_long' FROM u WHERE n + CASE WHEN k = 2 THEN 7 ELSE 0 END > 400 UNION ALL SELECT doc_id, 'too_long' FROM u WHERE k = 7 AND n > 400 UNION ALL SELECT doc_id, 'wrong_token_count' FROM u WHERE k = 2
+UNION ALL SELECT doc_id, 'changed_id' FROM u WHERE k = 4 UNION ALL SELECT doc_id, 'unknown_type' FROM u WHERE k = 5 UNION ALL SELECT doc_id, 'number_gap' FROM u WHERE k = 6
+UNION ALL SELECT doc_id, x FROM u, (SELECT unnest(['repeated_id', 'repeated_id', 'repeated_key', 'repeated_key', 'article_not_alone', 'text_lost']) AS x) WHERE k = 7
+UNION ALL SELECT doc_id, 'padded' FROM u WHERE k = 8""")
 def chunk_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks that break a rule: none."""
+    """Whole texts as chunks into which violations are planted by the number of the document."""
     docs = table(spark, sf, "documents")
+    k, t = F.col("doc_id") % 11, F.expr("trim(BOTH ' \\n' FROM text)")
+    text = F.when(k == 1, F.lit("")).when(k == 8, F.concat(t, F.lit(" "))).otherwise(t)
+    key = F.concat(F.col("doc_id").cast("string"), F.when(k == 3, F.lit("|None")).otherwise(F.lit("|article")))
+    chunks = docs.select(
+        "doc_id", F.when(k == 6, 1).otherwise(0).cast("long").alias("chunk_no"), key.alias("chunk_key"), T.uuid5(str(C.NAMESPACE), F.when(k == 4, F.concat(key, F.lit("x"))).otherwise(key)).alias("chunk_id"),
+        F.when(k == 5, "page").otherwise("article").alias("chunk_type"), text.alias("content"), (T.estimated_tokens(text) + F.when(k == 2, 7).otherwise(0)).alias("token_count"), F.when(k == 7, 2).otherwise(1).alias("copies"),
+    )
+    chunks = chunks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("chunk_no", F.col("chunk_no") + F.col("copy")).drop("copy", "copies")
+    return C.violations(chunks, docs, 400)
+
+
+@query("own_chunks_hold", "SELECT doc_id, 'x' AS problem FROM documents WHERE text IS NULL AND doc_id IS NULL")
+def own_chunks_hold(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules over the chunker's own chunks, which break none of them."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return C.violations(C.chunk_documents(docs), docs, 400)
 
 
 @query("chunking_summary")
 def chunking_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and token statistics by chunk type, and of all."""
-    c = C.chunk_documents(table(spark, sf, "documents"))
+    c = C.chunk_documents(spread(table(spark, sf, "documents").select("doc_id", "text")))
     stats = [F.count(F.lit(1)).alias("chunks"), F.min("token_count").alias("least"), F.max("token_count").alias("most"), F.round(F.avg("token_count"), 6).alias("mean"), F.median("token_count").alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY token_count)").alias("p95"), F.sum("token_count").alias("total")]
     return c.groupingSets([[], ["chunk_type"]], "chunk_type").agg(*stats)
 
@@ -94,10 +117,30 @@ def estimated_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query("review_findings")
+def contracts(orders: DataFrame) -> DataFrame:
+    """(doc_id, text): a contract for every order; its paragraphs name numbers that follow from the order's, some are left
+    out, some say that there is no probation."""
+    n = F.col("o_orderkey")
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    lines = F.array_compact(F.array(
+        F.when(n % 13 != 0, say("Hợp đồng xác định thời hạn ", n % 48, " tháng kể từ ngày ký.")),
+        F.when(n % 7 == 0, F.lit("Hai bên không thỏa thuận về thử việc trong hợp đồng này.")).otherwise(say("Thời gian thử việc là ", n % 250, " ngày kể từ ngày ký.")),
+        say("Mức lương cơ bản là ", n % 90 + 10, ".000.000 đồng", F.when(n % 3 == 0, F.lit(", trả vào ngày mười hằng tháng.")).otherwise(F.lit("."))),
+        F.when(n % 5 == 0, say("Thời giờ làm việc: ", n % 14, " giờ/ngày, từ thứ hai đến thứ sáu.")).when(n % 5 == 1, say("Thời giờ làm việc theo tuần: mỗi tuần làm ", n % 60, " giờ.")).when(n % 5 == 2, say("Thời giờ làm việc: mỗi ngày người lao động làm ", n % 14, " giờ.")),
+        F.when(n % 11 != 0, say("Bên đơn phương chấm dứt phải báo trước ", n % 60, " ngày.")),
+    ))
+    return orders.select(n.alias("doc_id"), F.array_join(lines, "\n").alias("text"))
+
+
+@query("review_findings", """WITH o AS (SELECT o_orderkey AS n FROM orders),
+f AS (SELECT n, 'probation' AS category, n % 7 <> 0 AS found, n % 250 AS value, CASE WHEN n % 250 > 180 THEN 'warning' WHEN n % 250 > 60 THEN 'attention' ELSE 'info' END AS severity FROM o
+UNION ALL SELECT n, 'salary', true, NULL, CASE WHEN n % 3 = 0 THEN 'info' ELSE 'attention' END FROM o
+UNION ALL SELECT n, 'working_time', n % 5 < 3, CASE WHEN n % 5 = 1 THEN n % 60 ELSE n % 14 END, CASE WHEN n % 5 = 1 THEN CASE WHEN n % 60 > 48 THEN 'warning' ELSE 'info' END WHEN n % 14 > 10 OR n % 5 = 0 AND n % 14 * 5 > 48 THEN 'warning' WHEN n % 14 > 8 THEN 'attention' ELSE 'info' END FROM o
+UNION ALL SELECT n, 'termination', n % 11 <> 0, n % 60, CASE WHEN n % 60 < 30 AND n % 13 <> 0 AND n % 48 BETWEEN 1 AND 36 THEN 'warning' ELSE 'attention' END FROM o)
+SELECT n AS doc_id, category, CASE WHEN found THEN severity ELSE 'attention' END AS severity, CASE WHEN found THEN 'supported' ELSE 'insufficient_evidence' END AS evidence, CASE WHEN found THEN CAST(value AS BIGINT) END AS value FROM f""")
 def review_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """The review rules over all documents."""
-    return review.findings(table(spark, sf, "documents"))
+    """The review rules over a contract for every order, whose terms follow from its number."""
+    return review.findings(contracts(table(spark, sf, "orders"))).withColumn("value", F.col("value").cast("long")).drop("excerpt")
 
 
 @query("folded_keys", r"SELECT source, lang, upper(regexp_replace(lower(source || '-' || lang), '[^a-z0-9]', '', 'g')) AS key, count(*) AS n FROM documents GROUP BY ALL")
@@ -120,8 +163,11 @@ def coverage_classes(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(d, "lang", "left").select("page_id", F.when(F.col("lang") == "", "no_note").when(F.col("known").isNull(), "unknown_document").otherwise("covered").alias("class"))
 
 
-@query("sample_controls")
+@query("sample_controls", """WITH s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('20260801:', doc_id)), doc_id) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+SELECT doc_id, lang, n FROM s WHERE n <= CASE lang WHEN 'en' THEN 20 ELSE 10 END""")
 def sample_controls(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten rows of each stratum by the hash of a seed and the id."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(20260801), "doc_id"), "doc_id")
-    return table(spark, sf, "documents").withColumn("n", F.row_number().over(w)).where("n <= 10").select("doc_id", "lang", "n")
+    """Controls by the hash of a seed and the id: so many for each stratum, none that is labelled already."""
+    targets = F.when(F.col("lang") == "en", 20).otherwise(10)
+    rest = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    w = Window.partitionBy("lang").orderBy(F.md5(F.concat(F.lit("20260801:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id")
+    return rest.withColumn("n", F.row_number().over(w).cast("long")).where(F.col("n") <= targets).select("doc_id", "lang", "n")

@@ -57,12 +57,78 @@ def test_splitter_loses_nothing(text, size):
     parts = C.split_recursive(text, size)
     assert "".join("".join(parts).split()) == "".join(text.split())
     assert all(C.estimated(p) <= size for p in parts)
-    fit = C.split_to_fit(text, lambda t: C.estimated(t) <= size)
+    fit = C.split_to_fit(text, size)
     assert "".join("".join(fit).split()) == "".join(text.split())
+    plain = lambda t: int(len(C.WORDS.findall(t)) * 1.3)  # noqa: E731  the same count, but without a ruler of its own
+    assert C.split_recursive(text, size, size // 3, plain) == C.split_recursive(text, size, size // 3) and C.split_to_fit(text, size, plain) == fit
+
+
+def plain_split(text, size, overlap):
+    """The splitter's rule on counts of every prefix."""
+    rest, out, at = text.strip(), [], 0
+    n = C.estimated
+    while at < len(rest):
+        end = max([k for k in range(at + 1, len(rest) + 1) if n(rest[at:k]) <= size], default=at + 1)
+        cut = end
+        if end < len(rest):
+            for s in C.SEPARATORS:
+                found = [k for k in range(at + max(1, (end - at) // 3), end - len(s) + 1) if rest.startswith(s, k)]
+                if found and rest[at : found[-1] + len(s)].strip():
+                    cut = found[-1] + len(s)
+                    break
+        out.append(rest[at:cut].strip())
+        if cut == len(rest):
+            break
+        again = min([k for k in range(cut + 1) if n(rest[k:cut]) <= overlap], default=cut) if overlap else cut
+        at = again if again > at else cut
+    return [x for x in out if x]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab .,;\n1", max_size=120), st.integers(2, 20))
+def test_splitter_against_its_rule(text, size):
+    for overlap in (0, size // 2):
+        assert C.split_recursive(text, size, overlap) == plain_split(text, size, overlap)
+
+
+def test_marks_lead_their_text():
+    """A mark that opens a part isn't cut off as a sentence, and marks don't open a part."""
+    assert C.split_to_fit("1. alpha beta gamma delta", 4) == ["1. alpha", "beta gamma delta"]
+    assert C.split_to_fit("One two three. Four five six; seven eight", 6) == ["One two three.", "Four five six;", "seven eight"]
+    assert C.split_to_fit("abc", 0) == ["abc"] and C.tidy(["a", ", b"]) == ["a,", "b"]
+    assert C.point_context("a) Các trường hợp sau: x y") == "a) Các trường hợp sau:" and C.point_context("w " * 300).endswith("w …")
+
+
+def test_tables_and_subpoints():
+    got = C.table_chunks(["Name", "Value"], [[f"row {i}", str(i)] for i in range(6)], 18, 40)
+    assert all(t.startswith("Name | Value\n") and C.estimated(t) <= 18 for t, _ in got) and len(got) == 3
+    assert [line for t, _ in got for line in t.split("\n")[1:]] == [f"row {i} | {i}" for i in range(6)]
+    long = C.table_chunks(["H"], [["w " * 40]], 15, 40)
+    assert len(long) > 3 and all(w == ("oversized_table_row_split",) for _, w in long)
+    wide = C.table_chunks(["h " * 12], [["a"], ["b"]], 10, 30)
+    assert [w for _, w in wide] == [("oversized_table_header_context",)] * 2 and C.table_chunks(["H"], [], 5, 9) == [("H", ())]
+    with pytest.raises(ValueError):
+        C.table_chunks(["h " * 50], [["a"]], 10, 30)
+    text = "1. Clause of it\na) the point says:\na1) one two three four five six\na2) seven eight nine ten eleven twelve"
+    chunks = list(C.chunk_text("k", text, 19))
+    assert [c for _, _, c in chunks if "twelve" in c] == ["a) the point says:\na2) seven eight nine ten eleven twelve"]
+    led = list(C.chunk_text("k", "1. " + "word " * 60, 20, lead="Law: of 2020"))
+    assert len(led) > 2 and all(c.startswith("Law: of 2020\n\n") and C.estimated(c) <= 20 for _, _, c in led)
+    joined = list(C.chunk_text("k", "Preamble\n1. first clause\n2. " + "second " * 12, 18))
+    assert joined[0] == ("k|clause=1", "clause", "Preamble\n1. first clause")
+
+
+def test_planted_violations(spark):
+    docs = spark.createDataFrame([(1, "a b. " * 30), (2, "x")], "doc_id long, text string")
+    chunks = C.chunk_documents(docs, 20)
+    bad = chunks.where("not (doc_id = 1 and chunk_no = 1)").unionByName(chunks.where("doc_id = 2").withColumn("doc_id", F.lit(9).cast("long")))
+    assert {(r.doc_id, r.problem) for r in C.violations(bad, docs, 20).collect()} == {(1, "segment_gap"), (1, "number_gap"), (1, "text_lost"), (9, "no_document"), (9, "foreign_key"), (9, "repeated_id"), (2, "repeated_id"), (9, "repeated_key"), (2, "repeated_key")}
+    led = C.chunk_documents(docs.withColumn("top", F.lit("Law: A")), 20, lead="top")
+    assert C.violations(led, docs.withColumn("top", F.lit("Law: A")), 20, lead="top").count() == 0
 
 
 def test_ranges_and_subpoints():
-    assert C.label_ranges(["a", "b", "c", "e"]) == "a-c,e" and C.subpoints("a) x a1) y a2) z") == ["a) x", "a1) y", "a2) z"]
+    assert C.label_ranges(["a", "b", "c", "e"]) == "a-c,e" and C.subpoints("a) x see a1) of:\na1) y; a2) z") == ["a) x see a1) of:", "a1) y;", "a2) z"]
     with pytest.raises(ValueError):
         C.chunk_id(" ")
 
@@ -71,7 +137,7 @@ CONTRACT = """Điều 2. Thử việc
 Thời gian thử việc là 200 ngày kể từ ngày ký hợp đồng lao động.
 Mức lương cơ bản là 10.000.000 đồng, trả vào ngày 05 hằng tháng.
 Thời giờ làm việc là 9 giờ mỗi ngày từ thứ hai đến thứ sáu.
-Một bên chấm dứt hợp đồng có thời hạn 12 tháng phải báo trước 15 ngày."""
+Hợp đồng này xác định thời hạn 12 tháng; một bên chấm dứt phải báo trước 15 ngày."""
 
 
 def test_review_rules(spark):
@@ -83,6 +149,19 @@ def test_review_rules(spark):
     assert got[2, "probation"].evidence == "insufficient_evidence" and len(got) == 12
 
 
+def test_review_wordings(spark):
+    """The term is sought in the whole contract; notice alone needs attention; hours in either wording; a number must be near
+    its phrase, and the nearest counts."""
+    texts = [
+        "Hợp đồng xác định thời hạn 24 tháng từ ngày ký.\nBên chấm dứt phải báo trước 20 ngày.", "Bên chấm dứt phải báo trước 45 ngày cho bên kia.", "Thời giờ làm việc: mỗi ngày nhân viên làm 11 giờ.",
+        "Thời giờ làm việc mỗi tuần không quá 50 giờ.", "Sau 90 ngày thì thời gian thử việc 30 ngày kết thúc.", f"Thử việc theo quy định. {'x ' * 80} Trong 200 ngày.", "Hợp đồng xác định thời hạn 48 tháng.\nBên chấm dứt phải báo trước 20 ngày.", "Thời giờ làm việc theo ca của công ty.",
+    ]
+    got = {(r.doc_id, r.category): (r.severity, r.value) for r in review.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.evidence == "supported"}
+    assert got[0, "termination"] == ("warning", 20) and got[1, "termination"] == ("attention", 45) and got[6, "termination"] == ("attention", 20)
+    assert got[2, "working_time"] == ("warning", 11) and got[3, "working_time"] == ("warning", 50) and got[7, "working_time"] == ("info", None)
+    assert got[4, "probation"] == ("info", 30) and got[5, "probation"] == ("attention", None)
+
+
 def test_metrics_of_empty_expectation(spark):
     hits = spark.createDataFrame([("m", 1, 7, "A", 1), ("m", 1, 8, "B", 2)], "method string, item_id long, doc_id long, article string, rank int")
     want = spark.createDataFrame([(1, ["B", "C"], [8]), (2, [], [])], "item_id long, articles array<string>, documents array<bigint>")
