@@ -4,8 +4,12 @@ Each line gives a few binary features; Viterbi decoding over all lines of a text
 if the lines labelled content hold enough of its characters. The field's weights are learned from a bounded sample of
 labelled documents, or are the ones below where no labels of both kinds are there.
 
-Defined cases: null and empty texts have no words and fail the base rules; repeated rows are judged each; extra columns
-are kept by keep_documents and ignored by judge_documents.
+The sample: SAMPLE documents at most, and SAMPLE_LINES lines of whole texts at most, both by order of a hash of the id and
+the text, so that a rerun takes the same ones. Only the features of their lines reach the driver.
+
+Defined cases: null and empty texts have no words and fail the base rules; very long texts are judged whole; repeated rows
+are judged each; ties between labels go to content; an empty table gives no rows, and no labels leave the prior weights;
+extra columns, whatever their names, are kept by keep_documents and ignored by judge_documents.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.shared import small_batches, text_of
@@ -24,8 +28,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 NOTICE = re.compile(r"licen[sc]ed|copyright|©|all rights reserved|cookie|subscribe|sign up|log in|click here|terms of|privacy policy", re.IGNORECASE)
 LEAST_WORDS, MOST_REPEATED, CONTENT_SHARE = 50, 50, 0.5
-#: Most labelled documents that the field is fitted on, by order of the hash of their id.
-SAMPLE = 2000
+#: Most labelled documents, and lines of them, that the field is fitted on.
+SAMPLE, SAMPLE_LINES = 2000, 400_000
 
 FEATURES = (
     "symbols over 2 %", "symbols over 8 %", "upper case over half", "upper case over 90 %", "few distinct words", "very few distinct words", "lone symbols among words", "exclamation marks", "no function word", "function words under 8 %",
@@ -149,75 +153,118 @@ class Field:
         return sum(s for s, x in zip(sizes, self.viterbi(feats), strict=True) if x) / total if total else 0.0
 
     def gradient(self, feats: list[tuple[int, ...]], labels: list[int]) -> tuple[np.ndarray, float, float, float]:
-        """Of the log likelihood, by the forward-backward pass."""
-        s = np.array(self.scores(feats))
-        n = len(s)
-        own = np.stack([-s / 2, s / 2], 1)
-        own[0] += (-self.start / 2, self.start / 2)
-        step = np.array([[self.stay, 0.0], [0.0, self.stay]])
-        a = np.empty((n, 2))
-        b = np.zeros((n, 2))
-        a[0] = own[0]
-        for i in range(1, n):
-            a[i] = own[i] + np.logaddexp(a[i - 1, 0] + step[0], a[i - 1, 1] + step[1])
-        for i in range(n - 2, -1, -1):
-            nxt = own[i + 1] + b[i + 1]
-            b[i] = np.logaddexp(step[:, 0] + nxt[0], step[:, 1] + nxt[1])
-        z = np.logaddexp(*a[-1])
-        p = np.exp(a + b - z)[:, 1]
-        same = sum(float(np.exp(a[i, k] + self.stay + own[i + 1, k] + b[i + 1, k] - z)) for i in range(n - 1) for k in (0, 1))
-        d = np.zeros(len(self.weights))
-        for f, x, q in zip(feats, labels, p, strict=True):
-            for i in f:
-                d[i] += x - q
-        y = np.array(labels, float)
-        return d, float(y[0] - p[0]), sum(labels[i] == labels[i + 1] for i in range(n - 1)) - same, float((y - p).sum())
+        """Of the log likelihood of one text."""
+        batch = Batch([(_matrix(feats), np.array(labels))])
+        g = batch.gradient(self)[0]
+        return g[:-3], float(g[-3]), float(g[-2]), float(g[-1])
+
+
+def _matrix(feats: list[tuple[int, ...]]) -> np.ndarray:
+    out = np.zeros((len(feats), len(FEATURES)))
+    for i, f in enumerate(feats):
+        out[i, list(f)] = 1
+    return out
+
+
+class Batch:
+    """Texts whose lines are worked through side by side: line t of all texts that have so many, the longest texts first,
+    in one step of the forward-backward pass."""
+
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]]):
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i][0]))
+        size = np.array([len(texts[i][0]) for i in order])
+        self.n = len(texts)
+        #: How many texts have a line t; where step t's lines begin among all lines, which are dealt out by step.
+        self.live = np.array([int((size > t).sum()) for t in range(size.max(initial=0))])
+        self.begin = np.concatenate([[0], np.cumsum(self.live)]).astype(np.int64)
+        self.features = np.concatenate([np.stack([texts[i][0][t] for i in order[:k]]) for t, k in enumerate(self.live)])
+        self.labels = np.concatenate([np.array([texts[i][1][t] for i in order[:k]]) for t, k in enumerate(self.live)]).astype(float)
+        self.of = np.concatenate([np.array(order[:k]) for k in self.live])
+        self.steps = [slice(a, z) for a, z in zip(self.begin[:-1], self.begin[1:], strict=True)]
+
+    def gradient(self, field: Field) -> np.ndarray:
+        """Of each text: weights, start, stay and lean."""
+        half = (self.features @ field.weights + field.lean) / 2
+        own = np.stack([-half, half], 1)
+        own[self.steps[0]] += (-field.start / 2, field.start / 2)
+        a, b = own.copy(), np.zeros_like(own)
+        for t, k in enumerate(self.live[1:], 1):
+            before = a[self.steps[t - 1]][:k]
+            a[self.steps[t]] += np.stack([np.logaddexp(before[:, 0] + field.stay, before[:, 1]), np.logaddexp(before[:, 0], before[:, 1] + field.stay)], 1)
+        for t in range(len(self.live) - 2, -1, -1):
+            k = self.live[t + 1]
+            nxt = own[self.steps[t + 1]] + b[self.steps[t + 1]]
+            at = b[self.steps[t]]
+            at[:k] = np.stack([np.logaddexp(field.stay + nxt[:, 0], nxt[:, 1]), np.logaddexp(nxt[:, 0], field.stay + nxt[:, 1])], 1)
+        z = np.logaddexp(*(a + b).T)
+        p = np.exp((a + b)[:, 1] - z)
+        out = np.zeros((self.n, len(FEATURES) + 3))
+        rest = self.labels - p
+        np.add.at(out[:, : len(FEATURES)], self.of, rest[:, None] * self.features)
+        np.add.at(out[:, -1], self.of, rest)
+        first = self.steps[0]
+        out[self.of[first], -3] = rest[first]
+        for t, k in enumerate(self.live[1:], 1):
+            left, right = self.steps[t - 1], self.steps[t]
+            same = np.exp(a[left][:k] + field.stay + own[right] + b[right] - z[right][:, None]).sum(1)
+            out[self.of[right], -2] += (self.labels[left][:k] == self.labels[right]) - same
+        return out
 
 
 def fit(sample: list[tuple[str, int]], rounds: int = 30, rate: float = 0.5, ridge: float = 1e-3) -> Field:
-    """Learn from whole texts labelled good (1) or bad (0). A bad text may hold good lines: its lines are boilerplate
-    only where the log odds of their features, counted over the sample, say so."""
-    prior = Field(PRIOR, PRIOR_START, PRIOR_STAY)
-    parts = [(f, q) for f, q in ((lines_of(t)[0], q) for t, q in sample) if f]
+    """Learn from whole texts labelled good (1) or bad (0)."""
+    return fit_lines([(lines_of(t)[0], q) for t, q in sample], rounds, rate, ridge)
+
+
+def fit_lines(sample: list[tuple[list[tuple[int, ...]], int]], rounds: int = 30, rate: float = 0.5, ridge: float = 1e-3) -> Field:
+    """Learn from the lines' features of texts labelled good (1) or bad (0). A bad text may hold good lines: its lines are
+    boilerplate only where the log odds of their features, counted over the sample, say so."""
+    parts = [(_matrix(f), q) for f, q in sample if f]
     if len({q for _, q in parts}) < 2:
-        return prior
-    count = np.ones((2, len(FEATURES)))
-    lines = np.full(2, 2.0)
-    for feats, q in parts:
-        lines[q] += len(feats)
-        for f in feats:
-            for i in f:
-                count[q, i] += 1
+        return Field(PRIOR, PRIOR_START, PRIOR_STAY)
+    count, lines = np.ones((2, len(FEATURES))), np.full(2, 2.0)
+    for m, q in parts:
+        lines[q] += len(m)
+        count[q] += m.sum(0)
     p = count / lines[:, None]
     odds, rest = np.log(p[1] / p[0]), np.log((1 - p[1]) / (1 - p[0]))
-    tell = lambda f: float(sum(odds[i] if i in f else rest[i] for i in range(len(FEATURES))))
-    marked = [(feats, [1 if q or tell(f) > 0 else 0 for f in feats]) for feats, q in parts]
+    batch = Batch([(m, np.ones(len(m)) if q else (m @ (odds - rest) + rest.sum() > 0).astype(float)) for m, q in parts])
+    weight = 1.0 / np.array([len(m) for m, _ in parts])
     field = Field(np.zeros(len(FEATURES)), 0.0, 0.0)
     seen = np.zeros(len(FEATURES) + 3)
     for _ in range(rounds):
-        g = np.zeros(len(FEATURES) + 3)
-        for feats, labels in marked:
-            d, s, t, lean = field.gradient(feats, labels)
-            k = 1.0 / len(feats)
-            g += np.concatenate([d, [s, t, lean]]) * k
         x = np.concatenate([field.weights, [field.start, field.stay, field.lean]])
-        g = g / len(marked) - ridge * x
+        g = weight @ batch.gradient(field) / len(parts) - ridge * x
         seen += g * g
         x = x + rate * g / np.sqrt(seen + 1e-12)
         field = Field(x[:-3], x[-3], min(x[-2], 2.0), x[-1])  # a longer memory would judge texts, not lines
     return field
 
 
-def fitted(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> Field:
+def fitted(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, most_lines: int = SAMPLE_LINES) -> Field:
     """The field for these documents: fitted on at most `sample` of them that carry a quality label."""
     if labels is None:
         return fit([])
-    few = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).collect()
-    quality = {r["doc_id"]: int(r["quality"]) for r in few}
-    if not quality:
-        return fit([])
-    rows = docs.where(F.col("doc_id").isin(list(quality)) & F.col("text").isNotNull()).select("doc_id", "text").limit(sample).collect()
-    return fit([(r["text"], quality[r["doc_id"]]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
+    few = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.md5(F.col("text").cast("binary"))]
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(order[2]))).where("n = 1")  # of repeated ids one text
+    rows = rows.withColumn("lines", F.size(F.split("text", "\n"))).select("doc_id", "quality", "text", "lines", order[0].alias("place"))
+
+    def features(batches):
+        for b in batches:
+            found = [lines_of(t)[0] for t in b.column("text").to_pylist()]
+            bits = [np.array([sum(1 << i for i in f) for f in fs], "<u4").tobytes() for fs in found]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("place", "doc_id", "quality")), pa.array(bits, pa.binary())], ["place", "doc_id", "quality", "bits"])
+
+    # Whole texts as long as the lines of all before them keep to the bound: at most `sample` rows in one window.
+    before = F.sum("lines").over(Window.orderBy("place", "doc_id"))
+    kept = rows.withColumn("so_far", before).where(F.col("so_far") <= most_lines)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = kept.mapInArrow(features, f"place long, doc_id {kind}, quality int, bits binary").collect()
+    unpack = lambda bits: [tuple(i for i in range(len(FEATURES)) if x >> i & 1) for x in np.frombuffer(bits, "<u4").tolist()]
+    return fit_lines([(unpack(r["bits"]), r["quality"]) for r in sorted(got, key=lambda r: (r["place"], r["doc_id"]))])
 
 
 KINDS = (("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("content_share", pa.float64()))
@@ -233,7 +280,7 @@ def verdict(field: Field, text: str) -> tuple:
 
 def judge_documents(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and content_share of every document."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     field = fitted(docs, labels)
     rows = docs.select("doc_id", text_of().alias("text"))
 
@@ -247,7 +294,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def keep_documents(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The rows of docs that the rules keep, all columns."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     field = fitted(docs, labels)
 
     def keep(batches):

@@ -79,6 +79,31 @@ def test_fit_reads_long_texts_to_their_end():
     assert field.content_share(junk) < 0.5 < field.content_share(body(9))
 
 
+def test_kept_against_all_labellings(spark):
+    """The verdict of every document against the best of all labellings of its lines, with the field that was fitted."""
+    r = random.Random(4)
+    line = lambda good: f"It was the {prose(r.random(), 8)} of the time and that is it." if good else r.choice(["SALE!! $$$ ### NOW", "* * * # # |", "licensed under the terms of it, all rights reserved"])
+    rows = [(i, "\n".join(line(r.random() < i % 5 / 4) for _ in range(r.randint(5, 9)))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 5 > 2), 0) for i in range(0, 80, 2)], "doc_id long, quality int, toxic int")
+    field = quality.fitted(docs, labels)
+    assert abs(field.weights).sum() > 0.5 and not np.allclose(field.weights, quality.PRIOR)
+    again = quality.fitted(docs.repartition(5), labels)
+    assert np.allclose(field.weights, again.weights) and field.stay == again.stay
+    few = quality.fitted(docs, labels, most_lines=40)
+    assert not np.allclose(field.weights, few.weights)
+    for x in quality.judge_documents(docs, labels).collect():
+        text = rows[x.doc_id][1]
+        feats, sizes = quality.lines_of(text)
+        s = field.scores(feats)
+        value = lambda y: sum((1 if a else -1) * v / 2 for a, v in zip(y, s, strict=True)) + (1 if y[0] else -1) * field.start / 2 + field.stay * sum(a == b for a, b in zip(y, y[1:], strict=False))  # noqa: E731, B023
+        best = max(([k >> i & 1 for i in range(len(s))] for k in range(1 << len(s))), key=lambda y: (round(value(y), 9), sum(y)))
+        share = sum(n for n, y in zip(sizes, best, strict=True) if y) / sum(sizes)
+        base = quality.base_counts(text)
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        assert (x.base_failed, x.kept) == (failed, not failed and share >= quality.CONTENT_SHARE) and abs(x.content_share - share) < 1e-9
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (None, prose(1)), (4, prose(2)), (4, prose(2)), (5, "x y z " * 100), (6, "SALE!! $$$ ### " * 40)]
     docs = spark.createDataFrame([(*r, True) for r in rows], "doc_id long, text string, kept boolean")
