@@ -43,9 +43,9 @@ from siltstone.llm import elias_fano
 from siltstone.llm.shared import atomic_write, materialize, posix_path, small_batches, text_of, work_dir
 
 #: Tokens of a part of levels two and three, on average, and words of a part of level one.
-PART_TOKENS, PART_WORDS = 3_000_000, 500_000
+PART_TOKENS, PART_WORDS = 2_000_000, 500_000
 #: Characters that are counted or scored at once; triples that a building task holds before it adds them up.
-AT_ONCE, HELD = 1 << 22, 4_000_000
+AT_ONCE, HELD = 1 << 22, 3_000_000
 #: Parts of each level that a worker keeps open.
 MOST_OPEN = 2_000
 #: What no word hashes from: it holds a blank.
