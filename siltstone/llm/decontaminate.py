@@ -8,9 +8,10 @@ reach the score is passed over. A long item is also judged by its parts of LONG
 half: a passage of LONG / 2 words is a leak however long its item is. The score is the largest share, of the item or of a
 part.
 
-Defined cases: null and empty texts and items match nothing; items of fewer than three words have one seed of all their
+Defined cases: null and empty texts and items match nothing; very long texts are searched whole; between alignments of equal
+score the first counts; an empty table gives no rows, and an empty benchmark keeps all; items of fewer than three words have one seed of all their
 words, those of three have their single words; repeated rows and items give a row each; a null doc_id or item_id stays
-null; extra columns are ignored or kept.
+null; extra columns are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.75
 #: Words of the parts of longer items.
 LONG = 100
-#: Items that are held in memory at once; more are worked through in blocks.
-BLOCK = 20_000
+#: Words of the items that are held in memory at once; more are worked through in blocks, each in a pass over the texts.
+BLOCK_WORDS = 2_000_000
 #: Pairs of a seed's place and an item that are held at once; longer texts are worked through in overlapping parts.
 PAIRS = 2_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -174,11 +175,13 @@ def _blocks(benchmark: DataFrame):
     """The items in blocks of bounded size, in order of their id and text."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("text != ''")
     block: list[tuple[int | None, str]] = []
+    words = 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
         block.append((r["item_id"], r["text"]))
-        if len(block) == BLOCK:
+        words += len(WORD.findall(r["text"]))
+        if words >= BLOCK_WORDS:
             yield Items(block)
-            block = []
+            block, words = [], 0
     if block:
         yield Items(block)
 
@@ -186,7 +189,7 @@ def _blocks(benchmark: DataFrame):
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word: a row for each text and item that it leaks."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     out = None
@@ -210,7 +213,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text leaks an item, all columns. Each row is judged where it is read."""
     out = docs
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     for items in _blocks(benchmark):
         if not items.words:
             continue
