@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-# Letters with marks and what they fold to, for the closed alphabet of the supported languages.
+Segmenter = Callable[[Sequence[str]], list[list[str]]]
+
+# Letters with marks and what they fold to, for the closed alphabet of the supported languages; tokens.
 MARKED = "àáảãạăằắẳẵặâầấẩẫậäåçèéẻẽẹêềếểễệëìíỉĩịïîñòóỏõọôồốổỗộơờớởỡợöùúủũụưừứửữựüûỳýỷỹỵÿđ"
 PLAIN = "aaaaaaaaaaaaaaaaaaaceeeeeeeeeeeeiiiiiiinoooooooooooooooooouuuuuuuuuuuuuyyyyyyd"
 WORD = r"[\p{L}\p{N}]+(?:_[\p{L}\p{N}]+)*"
@@ -38,6 +42,20 @@ def paragraphs_normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
 
 
+def pdf_text(text: Column) -> Column:
+    """Text of a page description in one line: soft hyphens and hyphens at a line's end go, lines that are page numbers too;
+    lower case, one kind of dash, one blank. Composed letters (nfc) are put together before."""
+    out = F.regexp_replace(F.regexp_replace(text, "\u00ad", ""), r"(?<=[\p{L}\p{N}_])-\s*\n\s*(?=[\p{L}\p{N}_])", "")
+    out = F.regexp_replace(out, r"(?im)^\s*(?:trang\s*)?\d{1,4}\s*$", " ")
+    return F.trim(F.regexp_replace(F.translate(F.lower(out), "–—", "--"), r"[\s\u00a0]+", " "))
+
+
+def utc(text: Column) -> Column:
+    """A time in ISO form, with an offset or Z, or without one, which is then UTC; or a date like 31/12/2020."""
+    stamp = F.try_to_timestamp(F.when(text.rlike(r"(?i)(Z|[+-]\d\d:?\d\d)$"), text).otherwise(F.concat(text, F.lit("Z"))))
+    return F.coalesce(F.when(text.rlike(r"^\d{4}-\d\d-\d\d[T ]"), stamp), F.try_to_timestamp(F.concat(text, F.lit(" 00:00:00 +00:00")), F.lit("d/M/yyyy HH:mm:ss xxx")), F.when(text.rlike(r"^\d{4}-\d\d-\d\d$"), F.try_to_timestamp(F.concat(text, F.lit("T00:00:00Z")))))
+
+
 def document_number_key(text: Column) -> Column:
     """Upper-case letters and digits alone."""
     return F.upper(F.regexp_replace(fold(text), "[^a-z0-9]", ""))
@@ -118,3 +136,32 @@ def fold_any(text: pd.Series) -> pd.Series:
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+
+
+class LongestMatch:
+    """A segmenter of compounds from a dictionary: the longest known run of syllables is one word, joined by _."""
+
+    def __init__(self, compounds: Sequence[str]):
+        self.known = {tuple(unicodedata.normalize("NFC", c).lower().replace("_", " ").split()) for c in compounds}
+        self.longest = max(map(len, self.known), default=1)
+
+    def __call__(self, texts: Sequence[str]) -> list[list[str]]:
+        return [self._cut(re.findall(r"\w+|[^\w\s]", unicodedata.normalize("NFC", t))) for t in texts]
+
+    def _cut(self, parts: list[str]) -> list[str]:
+        low, out, i = [p.lower() for p in parts], [], 0
+        while i < len(parts):
+            n = next((n for n in range(min(self.longest, len(parts) - i), 1, -1) if tuple(low[i : i + n]) in self.known), 1)
+            out.append("_".join(parts[i : i + n]))
+            i += n
+        return out
+
+
+def segmented(text: Column, segmenter: Segmenter) -> Column:
+    """Words of a text by a segmenter that the caller gives, batch by batch."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series(segmenter([t or "" for t in texts]))
+
+    return cut(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from bisect import bisect_left
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import materialize
+
 
 def insert_after(units: DataFrame, inserted: DataFrame, key: str = "doc_id") -> DataFrame:
     """Units with others put behind their anchors, numbered anew. units: key, unit_id, pos, text; inserted: key, anchor,
@@ -112,19 +115,17 @@ def column_code_row(cells: list[str]) -> bool:
 
 
 def connected(edges: DataFrame, where: str, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of an undirected graph; each round is written below `where`, so lineage stays short."""
-    spark = edges.sparkSession
+    """(node, root) of an undirected graph: labels fall to the least neighbour's and then to their label's label, so that
+    the rounds are as many as the logarithm of the longest path. Each round is written below `where`."""
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    both.write.mode("overwrite").parquet(f"{where}/edges")
-    both = spark.read.parquet(f"{where}/edges")
+    both = materialize(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), f"{where}/edges")
     labels = both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("root"))
-    for i in range(64):
+    for i in itertools.count():
+        labels = materialize(labels, f"{where}/{i}")
         near = both.join(labels.select(F.col("node").alias("y"), "root"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
-        nxt = labels.withColumnRenamed("root", "old").join(near, "node").select("node", "old", F.least("old", "near").alias("root"))
-        nxt.write.mode("overwrite").parquet(f"{where}/{i}")
-        nxt = spark.read.parquet(f"{where}/{i}")
-        if not nxt.where("old != root").limit(1).count():
-            return nxt.select("node", "root")
-        labels = nxt.select("node", "root")
-    raise RuntimeError("labels didn't settle")
+        own = labels.join(near, "node").withColumn("least", F.least("root", "near"))
+        jump = labels.select(F.col("node").alias("least"), F.col("root").alias("far"))
+        moved = materialize(own.join(jump, "least", "left").select("node", "root", F.least("least", F.coalesce("far", "least")).alias("next")), f"{where}/{i}-next")
+        if not moved.where("root != next").limit(1).count():
+            return labels
+        labels = moved.select("node", F.col("next").alias("root"))

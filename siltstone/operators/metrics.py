@@ -105,3 +105,50 @@ def consensus(claims: DataFrame, models: int) -> DataFrame:
     claims: case_id, model, claim, failed."""
     own = claims.groupBy("case_id", "model").agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.lower(F.trim("claim")))), "\n"), 256).alias("print"), F.max(F.col("failed").cast("int")).alias("failed"))
     return own.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_models"), ((F.count(F.lit(1)) >= models) & (F.count_distinct("print") == 1) & (F.max("failed") == 0)).alias("agreed"))
+
+
+def answer_summary(cases: DataFrame) -> DataFrame:
+    """One row over answer_case(): means that leave undefined cases out, and how many cases there are. No case is an error."""
+    means = [F.avg(c).alias(c) for c in ("status_accuracy", "citation_validity", "inline_match", "citation_precision", "citation_completeness", "claim_recall")]
+    n = F.count(F.lit(1))
+    return cases.agg(F.when(n == 0, F.raise_error(F.lit("at least one case is needed")).cast("long")).otherwise(n).alias("cases"), *means)
+
+
+def runtime_case(df: DataFrame) -> DataFrame:
+    """Of observed answers (case_id, http_status, answer, fallback, cited_chunks, cited_articles, n_sources, expected_chunks,
+    expected_articles, answerable, unknown_chunks): which tests each case passes. Validity of cited chunks is null where
+    nothing is cited; precision and completeness count chunks where the case names any, else articles."""
+    size, both = F.size, lambda a, b: F.size(F.array_intersect(a, b))
+    ok = F.col("http_status") == 200
+    generated = ok & ~F.col("fallback") & (F.trim("answer") != "")
+    cited = F.col("n_sources") > 0
+    valid = F.when(cited, (size("cited_chunks") > 0) & (F.col("unknown_chunks") == 0))
+    hit = (both("cited_articles", "expected_articles") > 0) | (both("cited_chunks", "expected_chunks") > 0)
+    by_chunk = size("expected_chunks") > 0
+    got, want = F.when(by_chunk, F.col("cited_chunks")).otherwise(F.col("cited_articles")), F.when(by_chunk, F.col("expected_chunks")).otherwise(F.col("expected_articles"))
+    scored = F.col("answerable") & ~F.col("fallback") & cited & F.coalesce(valid, F.lit(True))
+    precision = F.when(scored & (size(got) > 0), both(got, want) / size(got)).otherwise(0.0)
+    complete = F.when(~scored, 0.0).when(size(want) == 0, 1.0).otherwise(both(got, want) / size(want))
+    return df.select("case_id", ok.alias("transport"), generated.alias("generated"), cited.alias("cited"), valid.alias("valid"), hit.alias("hit"), (ok & generated & cited & F.coalesce(valid, F.lit(False)) & hit).alias("grounded"), F.round(precision, 4).alias("precision"), F.round(complete, 4).alias("completeness"))
+
+
+def runtime_summary(cases: DataFrame) -> DataFrame:
+    """Rates over runtime_case(): of all cases, validity of those that cite; 0 (validity 1) where there are none."""
+    rate = lambda c: F.coalesce(F.round(F.avg(F.col(c).cast("int")), 4), F.lit(0.0))
+    return cases.agg(
+        F.count(F.lit(1)).alias("cases"), rate("transport").alias("transport_rate"), rate("generated").alias("generated_rate"), rate("cited").alias("citation_rate"), rate("hit").alias("evidence_rate"), rate("grounded").alias("grounded_rate"),
+        F.count_if("grounded").alias("grounded"), F.coalesce(F.round(F.avg(F.col("valid").cast("int")), 4), F.lit(1.0)).alias("validity_rate"), F.count("valid").alias("applicable"), F.count_if(F.col("valid").isNull()).alias("not_applicable"),
+        F.coalesce(F.round(F.avg("precision"), 4), F.lit(0.0)).alias("mean_precision"), F.coalesce(F.round(F.avg("completeness"), 4), F.lit(0.0)).alias("mean_completeness"),
+    )
+
+
+def token_audit(chunks: DataFrame, limit: int, margin: int = 32, group: str = "chunk_type", tokens: str = "tokens", proxy: str = "proxy") -> DataFrame:
+    """Of each group and of all: token statistics, how many chunks are over the limit or within the margin below it, how a
+    cheaper count stands to that (both over, only one of them, neither), and the correlation of the two counts."""
+    t, p = F.col(tokens), F.col(proxy)
+    over, guess = t > limit, p > limit
+    disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {tokens})").cast("long").alias(f"p{int(q * 100)}")
+    return chunks.groupingSets([[], [group]], group).agg(
+        F.count(F.lit(1)).alias("chunks"), F.min(t).alias("least"), F.max(t).alias("most"), F.round(F.avg(t), 6).alias("mean"), disc(0.95), disc(0.99), F.count_if(over).alias("truncated"), F.count_if(~over & (t > limit - margin)).alias("near_limit"),
+        F.count_if(over & guess).alias("both_over"), F.count_if(over & ~guess).alias("missed"), F.count_if(~over & guess).alias("false_alarms"), F.count_if(~over & ~guess).alias("both_under"), F.round(F.corr(t, p), 6).alias("pearson"),
+    )

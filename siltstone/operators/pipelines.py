@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Protocol
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.text import inline_citations, json_object
+from siltstone.operators.metrics import guardrail
+from siltstone.operators.ranking import checked_pool
+
 Embed = Callable[[Sequence[str]], list[list[float]]]
 Score = Callable[[Sequence[tuple[str, str]]], list[float]]
 
 
+class Retriever(Protocol):
+    """Ranked hits of all questions: item_id, chunk_id, text, source, place (from 1), at most k of each question."""
+
+    def __call__(self, questions: DataFrame, k: int) -> DataFrame: ...
+
+
 def embed(df: DataFrame, model: Embed, text: str = "text", prefix: str = "passage: ", vector: str = "embedding") -> DataFrame:
     """All columns and the model's vector of each text, batch by batch. A prefix is put on once."""
 
@@ -91,3 +102,50 @@ def rebind_evidence(golden: DataFrame, chunks: DataFrame) -> DataFrame:
     kept = golden.select("item_id", F.explode("evidence_ids").alias("chunk_id")).join(chunks.select("chunk_id"), "chunk_id", "left_semi").groupBy("item_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("kept"))
     by_article = golden.select("item_id", F.explode("articles").alias("article")).join(chunks, "article").groupBy("item_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("all"))
     return golden.select("item_id").join(kept, "item_id", "left").join(by_article, "item_id", "left").select("item_id", F.coalesce("kept", "all", F.array().cast("array<string>")).alias("evidence"))
+
+
+def sanitized(text: Column, most: int = 6000) -> Column:
+    """A source's text for a prompt: no control characters, no marks that look like a source's label or a fence, bounded."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " "), r"\[S(\d+)\]|```", "($1)")
+    return F.substring(plain, 1, most)
+
+
+def ask(questions: DataFrame, retrieve: Retriever, generate: Callable[[str, str], str], k: int = 5, tries: int = 2) -> DataFrame:
+    """Questions (item_id, question) answered from their sources: item_id, answer, status, rejected (why an answer isn't
+    shown: it failed, or the guardrail says so), sources (the ids that were given). A question without a hit isn't sent to
+    the model. Answers are JSON objects with status, answer and sources."""
+    checked_pool(k, k)
+    hits = retrieve(questions, k).withColumn("text", sanitized(F.col("text")))
+    given = hits.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list("place")), lambda p: F.concat(F.lit("S"), p.cast("string"))).alias("given"))
+    asked = questions.select("item_id", "question").join(context(hits), "item_id").join(given, "item_id")
+    raw = answer(asked, generate, tries=tries).withColumn("o", F.from_json(json_object(F.col("answer")), "status string, answer string, sources array<string>"))
+    declared, text = F.coalesce("o.sources", F.array().cast("array<string>")), F.coalesce("o.answer", F.lit(""))
+    why = F.when(F.col("answer").isNull(), "generation_failed").when(F.col("o.status").isNull(), "invalid_schema").otherwise(guardrail(F.col("o.status"), declared, inline_citations(text), F.col("given"), text))
+    out = raw.select("item_id", why.alias("rejected"), F.col("o.status").alias("status"), text.alias("text"), F.col("given").alias("sources"))
+    shown = out.select("item_id", F.when(F.col("rejected").isNull(), F.col("text")).alias("answer"), F.when(F.col("rejected").isNull(), F.col("status")).otherwise("rejected").alias("status"), "rejected", "sources")
+    without = questions.select("item_id").join(given.select("item_id"), "item_id", "left_anti").select("item_id", F.lit(None).cast("string").alias("answer"), F.lit("insufficient_evidence").alias("status"), F.lit(None).cast("string").alias("rejected"), F.array().cast("array<string>").alias("sources"))
+    return shown.unionByName(without)
+
+
+def usable_models(models: DataFrame, least_context: int) -> DataFrame:
+    """Models of a catalogue (id, prompt_price, completion_price, context_length) that cost nothing and read enough, the
+    longest context first."""
+    free = (F.col("prompt_price").cast("double") == 0) & (F.col("completion_price").cast("double") == 0)
+    return models.where(free & (F.col("context_length") >= least_context)).orderBy(F.desc("context_length"), "id")
+
+
+#: What may follow a state of an annotated case.
+STEPS = {"draft": ("panel_reviewed",), "panel_reviewed": ("adjudicated", "human_review"), "human_review": ("adjudicated",), "adjudicated": ("locked",), "locked": ()}
+
+
+def advance(cases: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cases (case_id, status) after moves (case_id, status), and the moves that aren't allowed (case_id, problem): to a
+    state that may not follow, of a case that isn't there, or twice."""
+    twice = moves.groupBy("case_id").agg(F.count(F.lit(1)).alias("moves"), F.min("status").alias("to"))
+    both = cases.join(twice, "case_id", "full")
+    allowed = F.lit(False)
+    for a, steps in STEPS.items():
+        allowed = allowed | ((F.col("status") == a) & F.col("to").isin(*steps))
+    problem = F.when(F.col("status").isNull(), "unknown_case").when(F.col("moves") > 1, "moved_twice").when(F.col("to").isNotNull() & ~allowed, "not_allowed")
+    out = both.withColumn("problem", problem)
+    return out.where("status is not null").select("case_id", F.when(F.col("to").isNotNull() & F.col("problem").isNull(), F.col("to")).otherwise(F.col("status")).alias("status")), out.where("problem is not null").select("case_id", "problem")

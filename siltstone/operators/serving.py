@@ -15,6 +15,14 @@ def page(df: DataFrame, number: int, size: int, *order: Column | str) -> DataFra
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def pages_of(df: DataFrame, owner: str, number: int, size: int, *order: Column) -> DataFrame:
+    """One page of every owner's rows, in a total order."""
+    if number < 1 or not 1 <= size <= 100:
+        raise ValueError("pages count from 1 and hold 1 to 100 rows")
+    w = Window.partitionBy(owner).orderBy(*order)
+    return df.withColumn("_row", F.row_number().over(w)).where(F.col("_row").between((number - 1) * size + 1, number * size)).drop("_row")
+
+
 def page_count(total: Column, size: int) -> Column:
     """Pages of a result; 0 where it is empty."""
     return F.ceil(total / size).cast("long")

@@ -13,7 +13,10 @@ from siltstone.session import spread
 from siltstone.sources import html as H
 
 
-@query("html_links", r"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) SELECT page_id, href, count(*) AS mentions FROM m GROUP BY ALL""")
+LINK_SQL = H.LINK.replace("'", "''")
+
+
+@query("html_links", rf"""WITH m AS (SELECT page_id, trim(unnest(regexp_extract_all(html, '{LINK_SQL}', 1)), chr(34) || chr(39)) AS href FROM pages) SELECT page_id, href, count(*) AS mentions FROM m GROUP BY ALL""")
 def html_links(spark: SparkSession, sf: str) -> DataFrame:
     """Links of a page with how often they are mentioned."""
     return H.links(table(spark, sf, "pages")).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("mentions"))
@@ -30,7 +33,7 @@ def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return H.blocks(table(spark, sf, "pages"))
 
 
-@query("relation_dedup", r"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+@query("relation_dedup", rf"""WITH m AS (SELECT page_id, trim(unnest(regexp_extract_all(html, '{LINK_SQL}', 1)), chr(34) || chr(39)) AS href FROM pages)
 SELECT href, count(*) AS mention_count, min(page_id) AS first_page, CASE WHEN href LIKE 'http%' THEN 'EXTERNAL_REFERENCE' WHEN href LIKE '/%' THEN 'RELATED_TO' ELSE 'UNKNOWN' END AS kind FROM m GROUP BY href""")
 def relation_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Relations by target: first source, mentions, type."""
@@ -104,12 +107,13 @@ def own_chunks_hold(spark: SparkSession, sf: str) -> DataFrame:
     return C.violations(C.chunk_documents(docs), docs, 400)
 
 
-@query("chunking_summary")
+@query("chunking_summary", r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT CASE WHEN length(line) < 80 THEN 'short' WHEN length(line) < 400 THEN 'middle' ELSE 'long' END AS chunk_type, CAST(floor(len(regexp_extract_all(line, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) * 1.3) AS BIGINT) AS n FROM l WHERE trim(line) <> '')
+SELECT chunk_type, count(*) AS chunks, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, median(n) AS median, quantile_disc(n, 0.95) AS p95, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY GROUPING SETS ((), (chunk_type))""")
 def chunking_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts and token statistics by chunk type, and of all."""
-    c = C.chunk_documents(spread(table(spark, sf, "documents").select("doc_id", "text")))
-    stats = [F.count(F.lit(1)).alias("chunks"), F.min("token_count").alias("least"), F.max("token_count").alias("most"), F.round(F.avg("token_count"), 6).alias("mean"), F.median("token_count").alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY token_count)").alias("p95"), F.sum("token_count").alias("total")]
-    return c.groupingSets([[], ["chunk_type"]], "chunk_type").agg(*stats)
+    """Counts and token statistics of texts' lines as chunks, by type of length, and of all."""
+    lines = spread(table(spark, sf, "documents").select("text")).select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
+    kind = F.when(F.length("line") < 80, "short").when(F.length("line") < 400, "middle").otherwise("long")
+    return C.summary(lines.select(kind.alias("chunk_type"), T.estimated_tokens(F.col("line")).alias("token_count")))
 
 
 @query("estimated_tokens", r"SELECT doc_id, CAST(floor(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) * 1.3) AS BIGINT) AS tokens FROM documents")

@@ -190,13 +190,18 @@ def answer_case_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "consensus",
-    """WITH own AS (SELECT source AS case_id, lang AS model, list_sort(list_distinct(list(lower(trim(substr(text, 1, 3)))))) AS p FROM documents GROUP BY ALL)
-SELECT case_id, count(*) AS n_models, count(*) >= 3 AND count(DISTINCT array_to_string(p, chr(10))) = 1 AS agreed FROM own GROUP BY case_id""",
+    """WITH w AS (SELECT source, lang, unnest(regexp_extract_all(text, '[^ \t\n\r]{14,}')) AS w FROM documents), own AS (SELECT source, lang, list_sort(list_distinct(list(lower(w)))) AS p FROM w GROUP BY ALL),
+twice AS (SELECT source, lang || k AS model, CASE WHEN k = 'b' AND source = 'src3' THEN list_append(p, 'other') ELSE p END AS p, k = 'c' AND source = 'src5' AS failed FROM own, (SELECT unnest(['a', 'b', 'c']) AS k) WHERE lang = 'en')
+SELECT source AS case_id, count(*) AS n_models, count(*) >= 3 AND count(DISTINCT array_to_string(p, chr(10))) = 1 AND NOT bool_or(failed) AS agreed FROM twice GROUP BY source""",
 )
 def consensus(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources as cases, languages as models, the texts' first letters as claims."""
-    claims = table(spark, sf, "documents").select(F.col("source").alias("case_id"), F.col("lang").alias("model"), F.substring("text", 1, 3).alias("claim"), F.lit(False).alias("failed"))
-    return M.consensus(claims, 3)
+    """Sources as cases; the long words of their English texts are the claims of three models, of which one differs in src3
+    and one failed in src5."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]{14,}"), F.lit(0)))
+    claims = table(spark, sf, "documents").where("lang = 'en'").select("source", words.alias("claim")).withColumn("model", F.explode(F.array(F.lit("ena"), F.lit("enb"), F.lit("enc"))))
+    other = claims.where("source = 'src3' and model = 'enb'").select("source", F.lit("other").alias("claim"), "model").distinct()
+    rows = claims.unionByName(other).withColumn("failed", (F.col("source") == "src5") & (F.col("model") == "enc"))
+    return M.consensus(rows.withColumnRenamed("source", "case_id"), 3)
 
 
 @query("threshold_gate", f"WITH {METRICS_SQL}, mm AS (SELECT method, avg(article_recall) AS r, avg(article_mrr) AS m FROM metrics GROUP BY method) SELECT method, CAST(CASE WHEN r < 0.9 THEN 1 ELSE 0 END + CASE WHEN m < 0.3 THEN 1 ELSE 0 END AS BIGINT) AS failures FROM mm")

@@ -81,10 +81,10 @@ def review_counters(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("findings"), F.count_if(~missing & (F.col("value") >= 50)).alias("warnings"), F.count_if(~missing & (F.col("value") >= 20) & (F.col("value") < 50)).alias("attention"), F.count_if(missing).alias("missing"))
 
 
-@query("review_page", "SELECT event_id, user_id, event_type, value FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 10 OFFSET 10")
+@query("review_page", "SELECT event_id, user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) BETWEEN 11 AND 20")
 def review_page(spark: SparkSession, sf: str) -> DataFrame:
-    """One owner's rows, newest first, second page."""
-    return S.page(table(spark, sf, "events").where("user_id = 7"), 2, 10, F.desc("ts"), F.desc("event_id")).select("event_id", "user_id", "event_type", "value")
+    """The second page of every owner's rows, newest first."""
+    return S.pages_of(table(spark, sf, "events"), "user_id", 2, 10, F.desc("ts"), F.desc("event_id")).select("event_id", "user_id", "event_type", "value")
 
 
 @query(

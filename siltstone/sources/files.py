@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import re
+import time
 import zipfile
+from collections.abc import Callable
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,5 +196,87 @@ def write_sorted_json(df: DataFrame, path: str, *order: str) -> None:
 
 
 def manifest(df: DataFrame, name: str, *key: str) -> DataFrame:
-    """(name, rows, digest): a table's size and a digest of its keys that doesn't depend on their order."""
-    return df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.hex(F.bit_xor(F.xxhash64(*key))).alias("digest"))
+    """(name, rows, digest): a table's size and a digest of its keys that doesn't depend on their order but on how often each
+    occurs: sums of two hashes of every row."""
+    text = F.to_json(F.struct(*key))
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), text).cast("decimal(38,0)")), F.lit(0)).cast("string") for seed in (1, 2)]
+    return df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws("|", *sums), 256).alias("digest"))
+
+
+def registry(documents: DataFrame, files: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A registry of sources and its faults: one row for each document (document_id, number) with its file's digest and its
+    official address; (document_id, problem) where a document has no file or more than one, its digest isn't the stated one,
+    or no source or more than one names its number. documents: document_id, number, sha256; files: document_id, sha256;
+    sources: number, url."""
+    own = files.groupBy("document_id").agg(F.count(F.lit(1)).alias("files"), F.first("sha256").alias("found"))
+    named = sources.groupBy(F.lower("number").alias("_number")).agg(F.count(F.lit(1)).alias("sources"), F.min("url").alias("url"))
+    rows = documents.join(own, "document_id", "left").join(named, F.lower("number") == F.col("_number"), "left")
+    tests = {"no_file": F.col("files").isNull(), "many_files": F.col("files") > 1, "changed": F.col("found") != F.col("sha256"), "no_source": F.col("sources").isNull(), "many_sources": F.col("sources") > 1}
+    problems = rows.select("document_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in tests.items())))).alias("problem"))
+    return rows.select("document_id", "number", F.col("found").alias("sha256"), "url"), problems
+
+
+def sitemap_urls(fetch: Callable[[str], bytes], start: str, most: int = 200) -> list[str]:
+    """Page addresses of a site's maps, which may name further maps, in order of first mention; gzipped maps are unpacked,
+    no map is fetched twice, and more than `most` maps are an error."""
+    todo, seen, out = [start], set(), {}
+    while todo:
+        url = todo.pop(0)
+        if url in seen:
+            continue
+        if len(seen) == most:
+            raise CorpusError(f"more than {most} maps")
+        seen.add(url)
+        raw = fetch(url)
+        tree = ElementTree.fromstring(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+        found = [e.text.strip() for e in tree.iter() if e.tag.rpartition("}")[2] == "loc" and e.text]
+        if tree.tag.rpartition("}")[2] == "sitemapindex":
+            todo += found
+        else:
+            out.update(dict.fromkeys(found))
+    return list(out)
+
+
+def with_retry(fetch: Callable[[str], tuple[int, dict, bytes]], url: str, tries: int = 4, most_bytes: int = 50 << 20, kinds: tuple[str, ...] = (), sleep: Callable[[float], None] = time.sleep) -> bytes:
+    """A response's body: tries again after 429 and 5xx, doubling the wait or as long as Retry-After says; other failures,
+    a body over the bound or of another type are errors at once. fetch gives status, headers and body."""
+    for n in range(tries):
+        status, headers, body = fetch(url)
+        low = {k.lower(): v for k, v in headers.items()}
+        if status == 200:
+            if len(body) > most_bytes or kinds and low.get("content-type", "").split(";")[0].strip().lower() not in kinds:
+                raise CorpusError(f"{url}: too large or of the wrong type")
+            return body
+        if status != 429 and status < 500:
+            break
+        if n + 1 < tries:
+            sleep(float(low["retry-after"]) if low.get("retry-after", "").isdigit() else 0.5 * 2**n)
+    raise CorpusError(f"{url}: status {status}")
+
+
+def numbered(paragraphs: DataFrame, levels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Paragraphs (key, pos, num_id, level, text) with `label`, the number that an office program shows. A level counts on
+    until a paragraph of a lower level of the same list comes, then from its start. levels: num_id, level, start, format,
+    pattern (like %1.%2)."""
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts: dict[tuple, int] = {}
+        out = []
+        for r in pdf.sort_values("pos").itertuples():
+            text = None
+            if r.format is not None and r.format == r.format:
+                level = int(r.level)
+                for k in [k for k in counts if k[0] == r.num_id and k[1] > level]:
+                    del counts[k]
+                counts[r.num_id, level] = counts.get((r.num_id, level), int(r.start) - 1) + 1
+                text = r.pattern
+                for k in range(level + 1):
+                    fmt = formats.get((r.num_id, k), ("decimal", 1))
+                    text = text.replace(f"%{k + 1}", number_text(counts.get((r.num_id, k), fmt[1]), fmt[0]))
+            out.append((getattr(r, key), r.pos, text, r.text))
+        return pd.DataFrame(out, columns=[key, "pos", "label", "text"])
+
+    formats = {(r["num_id"], r["level"]): (r["format"], r["start"]) for r in levels.limit(10_000).collect()}  # the levels of a template's lists
+    kind = dict(paragraphs.dtypes)
+    rows = paragraphs.join(F.broadcast(levels), ["num_id", "level"], "left")
+    return rows.groupBy(key).applyInPandas(label, f"{key} {kind[key]}, pos {kind['pos']}, label string, text string")

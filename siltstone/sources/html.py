@@ -12,9 +12,13 @@ HIDDEN = frozenset(("script", "style", "template", "noscript"))
 BLOCKS = {"p": "paragraph", "li": "item", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "title": "title", "td": "cell", "th": "cell", "div": "block"}
 
 
+#: A link's address with its quotes: any order of attributes, either quote or none, any case.
+LINK = r"""(?is)<a(?:\s(?:[^>"']|"[^"]*"|'[^']*')*?)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+
+
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, href) of every link, in the JVM."""
-    return pages.select(key, F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+    return pages.select(key, F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("href")).withColumn("href", F.trim("href", F.lit("\"'")))
 
 
 class _Reader(HTMLParser):

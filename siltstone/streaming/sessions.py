@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +30,45 @@ def last_seen(events: DataFrame, every: str = "1 hour") -> DataFrame:
     return timed(events).withWatermark("ts", every).withColumn("slot", F.window("ts", every)["start"]).dropDuplicatesWithinWatermark(["user_id", "slot"]).drop("slot")
 
 
-def upsert(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Idempotent upsert by a stable id: each micro-batch is written to its own version, named by its number, of which the
-    newest row of a key counts. A batch that runs again replaces its version."""
+def newest_rows(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """Of each key the row that is newest by a column; of equal ones the last in order of its other values."""
+    rest = [c for c in rows.columns if c not in (key, by)]
+    order = F.struct(by, F.to_json(F.struct(*rest)) if rest else F.lit(0))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("x")).select(key, "x.*").select(rows.columns)
+
+
+def upsert(stream: DataFrame, path: str, key: str, checkpoint: str, by: str = "ts"):
+    """Idempotent upsert by a stable id: each micro-batch is written to its own version, named by its number, with the row
+    of each key that is newest by a column. A batch that runs again replaces its version."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/version={number}")
+        newest_rows(batch, key, by).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_log(stream: DataFrame, path: str, checkpoint: str):
+    """An append-only log: what has been written is never changed; a batch that runs again is written once."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+class Readiness:
+    """The result of a check, kept for a time that depends on it: a success longer than a failure."""
+
+    def __init__(self, check: Callable[[], bool], good_for: float = 60.0, bad_for: float = 5.0, clock: Callable[[], float] = time.monotonic):
+        self.check, self.good_for, self.bad_for, self.clock = check, good_for, bad_for, clock
+        self.until, self.result = float("-inf"), False
+
+    def ready(self) -> bool:
+        if self.clock() >= self.until:
+            try:
+                self.result = bool(self.check())
+            except Exception:  # noqa: BLE001 - a check that fails says that nothing is ready
+                self.result = False
+            self.until = self.clock() + (self.good_for if self.result else self.bad_for)
+        return self.result
+
+
 def newest(versions: DataFrame, key: str) -> DataFrame:
     """Of an upserted table the newest row of each key."""
     rest = [c for c in versions.columns if c not in (key, "version")]
