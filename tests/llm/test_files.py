@@ -195,6 +195,20 @@ def test_archives(spark):
     assert len(warc.look_up(parts, where, rows[1][1])) == 2 and warc.look_up(parts, where, "http://nowhere/") == []
 
 
+def test_archives_against_sql(spark):
+    import duckdb
+
+    small = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{small}/pages.parquet' UNION ALL SELECT page_id + 1000, url, html FROM '{small}/pages.parquet' WHERE page_id % 3 = 0 UNION ALL SELECT 5000, NULL, NULL UNION ALL SELECT 5001, 'x', ''")
+    want = sorted(map(str, con.sql(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({queries.WARC_SQL})").fetchall()))
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    pages = pages.unionByName(pages.where("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + 1000)).unionByName(spark.createDataFrame([(5000, None, None), (5001, "x", "")], pages.schema))
+    where = work_dir(spark, "test-warc")
+    got = warc.read_archives(spark, where, warc.write_archives(pages, where), pages)
+    assert sorted(str(tuple(r)) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == want
+
+
 def test_one_response_of_repeated_pages(spark):
     """Rows of one page_id and payload under several urls, equal rows, and many captures of one key in many parts."""
     pages = [(1, "http://b/", "x"), (1, "http://a/", "x"), (2, "http://a/", "x"), (7, "u", "y"), (7, "u", "y"), (7, "u", "z"), (None, "v", "n"), (None, "v", "n")]
