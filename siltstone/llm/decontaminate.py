@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import small_batches, text_of
+from siltstone.llm.shared import hold, map_rows, small_batches, text_of
 
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.75
@@ -219,11 +219,11 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             continue
         seeded = spark.sparkContext.broadcast(items)
 
-        def clean(batches, seeded=seeded):
+        def clean(batches, at, seeded=seeded):
+            hold("decontaminate")
             items = seeded.value
             for b in batches:
-                texts = b.column(b.schema.names.index("text")).to_pylist()
-                yield b.filter(pa.array([not leaks_in(items, t or "") for t in texts], pa.bool_()))
+                yield b.filter(pa.array([not leaks_in(items, t or "") for t in b.column(at).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(clean, docs.schema)
+        out = map_rows(out, clean)
     return out

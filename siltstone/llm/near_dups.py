@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import columns_of, free_name, materialize, small_batches, text_of, work_dir
+from siltstone.llm.shared import columns_of, free_name, hold, materialize, small_batches, text_of, work_dir
 from siltstone.llm.shingles import Frequencies, count_frequencies, mix, shingle_rows, weighted_jaccard
 
 SIMILARITY, BANDS, ROWS = 0.8, 14, 4
@@ -140,6 +140,7 @@ def signatures(texts: DataFrame, df: Frequencies) -> DataFrame:
     small_batches(texts.sparkSession)
 
     def sign(batches):
+        hold("near-dups")
         for b in batches:
             begin, h, tf = shingle_rows(b.column("text").to_pylist())
             some = np.flatnonzero(np.diff(begin))
@@ -169,6 +170,7 @@ def vectors(texts: DataFrame, df: Frequencies) -> DataFrame:
     small_batches(texts.sparkSession)
 
     def pack(batches):
+        hold("near-dups")
         for b in batches:
             begin, h, tf = shingle_rows(b.column("text").to_pylist())
             w = df.weights(h, tf)
@@ -195,6 +197,7 @@ def similar(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     both = pairs.join(packed.withColumnsRenamed({"rep": "b", "vector": "vector_b"}), "b").join(packed.withColumnsRenamed({"rep": "a", "vector": "vector_a"}), "a")
 
     def judge(batches):
+        hold("near-dups")
         kept: tuple = (None, None)
         for x in batches:
             out = []
@@ -249,6 +252,7 @@ def across(members: DataFrame, roots: DataFrame, packed: DataFrame, where: str)
     rows = x.unionByName(y).join(packed, "rep").repartition(*key).sortWithinPartitions(*key, "side", "rep")
 
     def compare(batches):
+        hold("near-dups")
         at, left, right = None, [], []
         for b in batches:
             out: list[tuple[int, int]] = []

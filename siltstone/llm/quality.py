@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import small_batches, text_of
+from siltstone.llm.shared import hold, map_rows, small_batches, text_of
 from siltstone.llm.stopwords import ALL
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -285,6 +285,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text"))
 
     def judge(batches):
+        hold("quality")
         for b in batches:
             got = [verdict(field, t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([g[i] for g in got], t) for i, (_, t) in enumerate(KINDS))], ["doc_id", *(n for n, _ in KINDS)])
@@ -297,9 +298,9 @@ def keep_documents(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     small_batches(docs.sparkSession)
     field = fitted(docs, labels)
 
-    def keep(batches):
+    def keep(batches, at):
+        hold("quality")
         for b in batches:
-            col = b.column(b.schema.names.index("text"))
-            yield b.filter(pa.array([verdict(field, t or "")[6] for t in col.to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([verdict(field, t or "")[6] for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_rows(docs, keep)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.bpe import UNKNOWN, Transducer
-from siltstone.llm.shared import Memo, columns_of, free_name, small_batches
+from siltstone.llm.shared import columns_of, free_name, hold, map_rows, Memo, small_batches
 
 SPACE = "▁"
 UNIT = re.compile(" *[^ ]+| +")
@@ -310,6 +310,7 @@ _LOADED: dict[str, PieceModel] = {}
 
 
 def loaded(path: str) -> PieceModel:
+    hold("sentencepiece", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = PieceModel(path)
     return _LOADED[path]
@@ -324,17 +325,15 @@ def encode_documents(docs: DataFrame, model: str, into: str = "pieces", giant: i
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop(into)
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.BinaryType())])
 
-    def whole(batches):
+    def whole(batches, at):
         m = loaded(model)
         for b in batches:
-            col = b.schema.names.index("text")
-            packed = [m.encode_packed(t or "") for t in b.column(col).to_pylist()]
+            packed = [m.encode_packed(t or "") for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packed, pa.binary())], [*b.schema.names, into])
 
     length = F.coalesce(F.length("text"), F.lit(0))
-    short = docs.where(length <= giant).mapInArrow(whole, schema)
+    short = map_rows(docs.where(length <= giant), whole, T.StructField(into, T.BinaryType()))
     key = free_name(docs, "digest")
     big = docs.where(length > giant).withColumn(key, F.md5(F.col("text").cast("binary")))
     traced = _encode_giant(big.select(F.col(key).alias("digest"), "text"), model, chunk).withColumnsRenamed({"digest": key, "ids": into})

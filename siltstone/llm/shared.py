@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import re
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.session import materialize, prepare, spread, work_dir
 
-__all__ = ["atomic_write", "columns_of", "free_name", "materialize", "Memo", "posix_path", "prepare", "small_batches", "spread", "text_of", "work_dir", "written_whole"]
+__all__ = ["atomic_write", "columns_of", "free_name", "hold", "map_rows", "materialize", "Memo", "posix_path", "prepare", "small_batches", "spread", "text_of", "work_dir", "written_whole"]
 
 
 def posix_path(uri: str) -> str:
@@ -42,6 +46,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return out
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]], *more: T.StructField) -> DataFrame:
+    """mapInArrow over all columns, whatever their names, and further ones behind them: run gets the batches and the place
+    of the column `text`; columns go by place."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    at = df.columns.index("text")
+    schema = T.StructType([*(T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, df.schema.fields, strict=True)), *more])
+    return df.toDF(*names).mapInArrow(lambda batches: run(batches, at), schema).toDF(*df.columns, *(f.name for f in more))
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of bounded size, for texts are long. Frames are lazy, so the session keeps the setting; smaller bounds
     of its own stay."""
@@ -84,6 +97,20 @@ def written_whole(*paths: str):
                 os.remove(p)
 
 
+#: Of a worker: the operator whose tables it holds, and what lets go of them.
+_HOLDER: list[tuple[str, Callable[[], None]]] = []
+
+
+def hold(operator: str, release: Callable[[], None] = lambda: None) -> None:
+    """Called where a worker's task begins: tables of another operator, kept for its next task, are let go, so that a worker
+    that serves several operators in turn holds those of one."""
+    if not _HOLDER or _HOLDER[0][0] != operator:
+        for _, other in _HOLDER:
+            other()
+        _HOLDER[:] = [(operator, release)]
+        gc.collect()
+
+
 class Memo(dict):
     """A dictionary of bounded size in two generations: what is asked for again outlives the turn of a generation."""
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from siltstone.llm import elias_fano
-from siltstone.llm.shared import materialize, posix_path, small_batches
+from siltstone.llm.shared import hold, materialize, posix_path, small_batches
 
 WORDS = 5
 #: Bytes of text for each part of the document frequencies; bytes that are counted at once; parts that stay open.
@@ -130,6 +130,7 @@ def count_frequencies(texts: DataFrame, folder: str, n_texts: int, n_bytes: int)
     out = Frequencies(path, max(1, -(-n_bytes // PART_BYTES)), n_texts)
 
     def count(batches):
+        hold("near-dups")
         held, size = [], 0
 
         def sums():

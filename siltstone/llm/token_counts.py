@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.bpe import Transducer
-from siltstone.llm.shared import Memo, small_batches, text_of
+from siltstone.llm.shared import hold, Memo, small_batches, text_of
 
 #: White space other than blank and line feed, where a chunk isn't cut and units aren't told apart.
 ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
@@ -170,6 +170,7 @@ _LOADED: dict[str, CountingTokenizer] = {}
 
 
 def compiled(path: str) -> CountingTokenizer:
+    hold("token_counts", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = CountingTokenizer(path)
     return _LOADED[path]

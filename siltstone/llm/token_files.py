@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import Memo, materialize, posix_path, small_batches, text_of, written_whole
+from siltstone.llm.shared import hold, materialize, Memo, posix_path, small_batches, text_of, written_whole
 
 #: White space other than blank and line feed.
 ODD = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
@@ -92,6 +92,7 @@ _LOADED: dict[str, IdEncoder] = {}
 
 
 def encoder(path: str) -> IdEncoder:
+    hold("token_files", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = IdEncoder(path)
     return _LOADED[path]

@@ -263,3 +263,24 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Every stage alone and the whole over nulls, repeats, long texts, awkward columns, and nothing."""
+    import corpus_pipeline
+
+    good = lambda s: "\n".join(f"It was the {prose(5000 + s * 100 + k, 9)} and that is what it was for the {prose(9000 + s * 100 + k, 6)}." for k in range(8))
+    rows = [(1, good(1)), (1, good(1)), (None, good(2)), (None, good(2)), (3, None), (4, ""), (5, "\n".join(f"It was the {' '.join(f'x{k}y{i}' for i in range(9))} of the time." for k in range(700))), (6, "solid" * 9000), (7, good(1))]
+    schema = "doc_id long, text string, pieces string, n_pieces string, digest string, __key long, rep int, `a.b` double"
+    docs = spark.createDataFrame([(*r, "p", "n", "d", 1, 2, 3.0) for r in rows], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sf = str(tmp_path)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert set(out.columns) >= set(docs.columns), name
+        assert stage(spark, docs.where(F.lit(False)), sf).count() == 0
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == sorted(["1", "None", "None", "3", "4", "5", "6"])
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "5", "None", "None"] and all(r.n_pieces == len(r.pieces) // 4 > 0 and r["a.b"] == 3.0 for r in got)
