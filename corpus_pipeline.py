@@ -1,4 +1,10 @@
-"""A training corpus from documents: quality rules, near-duplicates, decontamination, SentencePiece encoding."""
+"""A training corpus from documents: quality rules, near-duplicates, decontamination, SentencePiece encoding.
+
+Defined cases, in every stage: a null or empty text fails the quality rules, so none comes further (the other stages by
+themselves keep it); very long texts are worked through whole; of rows that repeat a doc_id and a text one is kept, a null
+doc_id is never a copy of anything; ties go as each operator states; an empty table gives an empty table of the same
+columns; extra columns, whatever their names, come through (`pieces` and `n_pieces` are replaced by the last stage).
+"""
 
 from __future__ import annotations
 
