@@ -34,7 +34,7 @@ SPACE = "▁"
 UNIT = re.compile(" *[^ ]+| +")
 #: A character before which no cut is made, and a blank behind it.
 BLANK = re.compile(f"[^{SPACE}]{SPACE}")
-MEMO = 600_000
+MEMO = 250_000
 BYTE, NORMAL = 6, 1
 #: Characters of a text that is dealt out, of its chunks, and within which a blank is sought for a cut.
 GIANT, CHUNK, NEAR = 1 << 15, 1 << 14, 1 << 12

@@ -21,7 +21,7 @@ from siltstone.llm.shared import hold, materialize, posix_path, small_batches
 
 WORDS = 5
 #: Bytes of text for each part of the document frequencies; bytes that are counted at once; parts that stay open.
-PART_BYTES, AT_ONCE, MOST_OPEN = 24 << 20, 4 << 20, 5_000
+PART_BYTES, AT_ONCE, MOST_OPEN = 8 << 20, 4 << 20, 5_000
 _ROTATE = np.uint64(0x9E3779B97F4A7C15)
 
 
