@@ -57,11 +57,11 @@ def category_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "split_leakage",
-    "WITH s AS (SELECT source, lang, doc_id % 5 = 0 AS held FROM documents) SELECT source, lang, count(CASE WHEN held THEN 1 END) AS held, count(CASE WHEN NOT held THEN 1 END) AS kept FROM s GROUP BY ALL HAVING count(CASE WHEN held THEN 1 END) > 0 AND count(CASE WHEN NOT held THEN 1 END) > 0",
+    "WITH s AS (SELECT source, lang, doc_id // 70 % 5 = 0 AS held FROM documents) SELECT source, lang, count(CASE WHEN held THEN 1 END) AS held, count(CASE WHEN NOT held THEN 1 END) AS kept FROM s GROUP BY ALL HAVING count(CASE WHEN held THEN 1 END) > 0 AND count(CASE WHEN NOT held THEN 1 END) > 0",
 )
 def split_leakage(spark: SparkSession, sf: str) -> DataFrame:
     """Groups that lie on both sides of a split."""
-    held = F.col("doc_id") % 5 == 0
+    held = F.expr("doc_id div 70") % 5 == 0
     return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count_if(held).alias("held"), F.count_if(~held).alias("kept")).where("held > 0 and kept > 0")
 
 

@@ -100,11 +100,29 @@ def chunk_violations(spark: SparkSession, sf: str) -> DataFrame:
     return C.violations(chunks, docs, 400)
 
 
-@query("own_chunks_hold", "SELECT doc_id, 'x' AS problem FROM documents WHERE text IS NULL AND doc_id IS NULL")
-def own_chunks_hold(spark: SparkSession, sf: str) -> DataFrame:
-    """The rules over the chunker's own chunks, which break none of them."""
+REBUILT_SQL = r"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) AS digest, true AS fits, CAST(0 AS BIGINT) AS problems FROM documents WHERE regexp_matches(text, '\S')"
+
+
+def _rebuilt(parts: DataFrame, order: str, content: str, most: int) -> DataFrame:
+    """(doc_id, digest, fits): the texts that parts make up, without white space, and whether each part keeps to the bound."""
+    bare = F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, content))), lambda x: x[content]), ""), r"\s+", "")
+    return parts.groupBy("doc_id").agg(F.md5(bare.cast("binary")).alias("digest"), (F.max(T.estimated_tokens(F.col(content))) <= most).alias("fits"))
+
+
+@query("chunks_rebuild", REBUILT_SQL)
+def chunks_rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunker's own chunks make up every text, fit, and break none of the chunk rules."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return C.violations(C.chunk_documents(docs), docs, 400)
+    chunks = C.chunk_documents(docs)
+    found = C.violations(chunks, docs, 400).groupBy("doc_id").agg(F.count(F.lit(1)).alias("problems"))
+    return _rebuilt(chunks, "chunk_no", "content", 400).join(found, "doc_id", "left").withColumn("problems", F.coalesce("problems", F.lit(0)))
+
+
+@query("parts_rebuild", REBUILT_SQL)
+def parts_rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    """The recursive splitter's parts without overlap make up every text and fit."""
+    parts = C.split_documents(spread(table(spark, sf, "documents").select("doc_id", "text")), 200, 0)
+    return _rebuilt(parts, "part_no", "part", 200).withColumn("problems", F.lit(0).cast("long"))
 
 
 @query("chunking_summary", r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT CASE WHEN length(line) < 80 THEN 'short' WHEN length(line) < 400 THEN 'middle' ELSE 'long' END AS chunk_type, CAST(floor(len(regexp_extract_all(line, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) * 1.3) AS BIGINT) AS n FROM l WHERE trim(line) <> '')
