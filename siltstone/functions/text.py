@@ -109,6 +109,27 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2.0 * common / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))))
 
 
+def first_difference(a: Column, b: Column) -> Column:
+    """Place of the first character (from 1) in which two texts differ; null where they are equal."""
+    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+    return F.when(~a.eqNullSafe(b), F.nullif(F.array_position(differ, True), F.lit(0)).cast("long"))
+
+
+def window_at(text: Column, place: Column, width: int) -> Column:
+    """What stands around a place."""
+    return F.substring(text, F.greatest(place - width, F.lit(1)).cast("int"), F.lit(2 * width + 1))
+
+
+def fingerprint(*columns: Column) -> Column:
+    """SHA-256 of a row as JSON, its fields in order of their names, nulls left out; columns are named."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def number_or_last(text: Column, last: int = 99_999) -> Column:
+    """The number that a text begins with, to sort by; texts without one come last."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"^\s*(\d{1,9})", 1), F.lit("")).cast("long"), F.lit(last))
+
+
 def safe_url(url: Column) -> Column:
     """The url if it is http(s) with a host."""
     return F.when(F.trim(url).rlike(r"^(?i)https?://[^/\s?#]+"), F.trim(url))

@@ -235,3 +235,39 @@ def newest_of_each(spark: SparkSession, sf: str) -> DataFrame:
     """The newest two rows of every owner and kind: an append-only log is read so."""
     w = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
     return table(spark, sf, "events").withColumn("n", F.row_number().over(w)).where("n <= 2").select("user_id", "event_type", "event_id", "value")
+
+
+@query(
+    "first_differences",
+    r"""WITH d AS (SELECT doc_id, text, length(text) AS n, doc_id * 37 % greatest(length(text), 1) + 1 AS p FROM documents WHERE length(text) > 0 AND NOT contains(text, '¤'))
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN n + 1 ELSE p END AS place, md5(CASE WHEN doc_id % 4 > 1 THEN text[greatest(p - 20, 1) : greatest(p - 20, 1) + 40] END) AS around FROM d""",
+)
+def first_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts against copies: equal, longer by a character, or with one character changed at a place that follows from the id."""
+    d = table(spark, sf, "documents").where((F.length("text") > 0) & ~F.col("text").contains("¤"))
+    p = (F.col("doc_id") * 37 % F.greatest(F.length("text"), F.lit(1)) + 1).cast("int")
+    k = F.col("doc_id") % 4
+    copy = F.when(k == 0, F.col("text")).when(k == 1, F.concat("text", F.lit("¤"))).otherwise(F.concat(F.substring("text", F.lit(1), p - 1), F.lit("¤"), F.substring("text", p + 1, F.length("text"))))
+    out = d.select("doc_id", "text", k.alias("k"), T.first_difference(F.col("text"), copy).alias("place"))
+    return out.select("doc_id", "place", F.md5(F.when(F.col("k") > 1, T.window_at(F.col("text"), F.col("place"), 20)).cast("binary")).alias("around"))
+
+
+@query("fingerprints", """SELECT event_id, sha256(concat('{"event_type":"', event_type, CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('","props_length":', length(props), ',"user_id":') END, CASE WHEN event_id % 3 = 0 THEN '","user_id":' ELSE '' END, user_id, '}')) AS fingerprint FROM events""")
+def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows by the digest of their canonical JSON."""
+    length = F.when(F.col("event_id") % 3 != 0, F.length("props")).alias("props_length")
+    return table(spark, sf, "events").select("event_id", T.fingerprint(F.col("event_type"), length, F.col("user_id")).alias("fingerprint"))
+
+
+@query(
+    "article_order",
+    """WITH a AS (SELECT o_orderkey AS n, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'x' ELSE concat(o_orderkey % 50, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE '' END) END AS number, o_custkey AS c FROM orders)
+SELECT n AS order_id, c AS customer_id, number, row_number() OVER (PARTITION BY c ORDER BY CASE WHEN n % 5 = 0 OR n % 7 = 0 THEN 99999 ELSE n % 50 END, number NULLS FIRST, n) AS place FROM a""",
+)
+def article_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles of each document in order of their number, those without one last."""
+    n = _number()
+    number = F.when(n % 5 == 0, None).when(n % 7 == 0, "x").otherwise(F.concat((n % 50).cast("string"), F.when(n % 2 == 0, "a").otherwise("")))
+    rows = table(spark, sf, "orders").select(n.alias("order_id"), F.col("o_custkey").alias("customer_id"), number.alias("number"))
+    w = Window.partitionBy("customer_id").orderBy(T.number_or_last(F.col("number")), F.asc_nulls_first("number"), "order_id")
+    return rows.withColumn("place", F.row_number().over(w).cast("long"))
