@@ -5,8 +5,9 @@ and one text that holds a third of all rows can still be cut. Each round counts
 boundaries, over all rows, in the cells that still hold a wanted boundary; a cell is then narrowed 4,096-fold. When every
 boundary is within tolerance, rows are exchanged once, into their shards.
 
-Defined cases: a null text has size 1; repeated rows keep a slot each; an empty table gives no rows; extra columns are
-ignored unless named in `carry`.
+Defined cases: a null text has size 1; a very long text is one row, which is never cut; repeated rows keep a slot each, and
+rows that tie on the line lie in an order of their own numbers; an empty table gives no rows; extra columns are ignored
+unless named in `carry`.
 """
 
 from __future__ import annotations
@@ -51,15 +52,15 @@ def splitters(keys: DataFrame, total: int, shards: int, tolerance: float) -> lis
     while open_:
         cells = list(dict.fromkeys(c for c, _ in open_.values()))
         cell, bucket = _cell_of(cells)
-        found = keys.select(cell.alias("cell"), bucket.alias("bucket"), "size").where("cell is not null").groupBy("cell", "bucket").agg(F.sum("size").alias("bytes")).collect()
-        bars: dict[int, list[tuple[int, int]]] = {}
+        found = keys.select(cell.alias("cell"), bucket.alias("bucket"), "size").where("cell is not null").groupBy("cell", "bucket").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
+        bars: dict[int, list[tuple[int, int, int]]] = {}
         for r in sorted(found, key=lambda r: (r["cell"], r["bucket"])):
-            bars.setdefault(r["cell"], []).append((r["bucket"], r["bytes"]))
+            bars.setdefault(r["cell"], []).append((r["bucket"], r["bytes"], r["rows"]))
         still = {}
         for j, (c, before) in open_.items():
             (whole, shift, *_), want, at = c, total * j / shards, before
             mine = bars[cells.index(c)]
-            for k, (b, size) in enumerate(mine):
+            for k, (b, size, rows) in enumerate(mine):
                 if at + size > want or k == len(mine) - 1:
                     break
                 at += size
@@ -70,6 +71,8 @@ def splitters(keys: DataFrame, total: int, shards: int, tolerance: float) -> lis
                 done[j] = edge(b)
             elif after is not None and high <= slack:
                 done[j] = edge(after)
+            elif rows == 1 and (low <= high or after is not None or b + 1 < 1 << 63 - shift):  # no finer cut can part it
+                done[j] = edge(b) if low <= high else edge(after if after is not None else b + 1)
             elif shift > 0:
                 still[j] = ((whole, max(0, shift - BITS), shift, b), at)
             elif len(whole) < 2:
