@@ -29,7 +29,6 @@ extra columns are ignored.
 from __future__ import annotations
 
 import itertools
-import math
 import zlib
 from collections import defaultdict
 
