@@ -4,9 +4,9 @@ Equal texts are one text from the start. Each text's five-word shingles are weig
 frequencies of all shingles; samples of them agree for two texts with probability equal to their weighted Jaccard
 similarity, and are banded. A text whose mean inverse frequency is under COMMON is sampled by its term counts too, into
 the same buckets: what many texts share weighs little, and copies that many texts share must meet nevertheless. In each
-bucket of each band all texts are held against the most central one, and each against its successor in the order of the
-signatures, so a bucket costs a number of pairs in proportion to its texts. Where a bucket's texts then lie in different
-components, those outside its largest one are held against all others, in blocks of bounded size, by a matrix product
+bucket of each band all texts are held against the most central one, and then each against its successor in the order of
+the signatures if these two aren't connected yet, so a bucket costs a number of pairs in proportion to its texts. Where a
+bucket's texts then lie in different components, those outside its largest one are held against all others, in blocks of bounded size, by a matrix product
 that bounds the similarity from above; only links come out. So every pair with a bucket in common is tested or already
 connected. A pair is a link if its weighted Jaccard similarity is 0.8 or more, with TF-IDF or with term counts. Classes
 are connected components.
@@ -210,8 +210,8 @@ def similar(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     return both.mapInArrow(judge, "a long, b long, linked boolean")
 
 
-def links(texts: DataFrame, where: str) -> DataFrame:
-    """(a, b) of texts (rep, text, bytes) found similar: enough of them to connect all that belong together."""
+def connected(texts: DataFrame, where: str) -> DataFrame:
+    """(node, root) of the texts (rep, text, bytes) that are similar to others: the smallest that each is connected with."""
     n, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     df = count_frequencies(texts, f"{where}/df", n, size)
     signed = materialize(signatures(texts, df), f"{where}/bands")
@@ -228,17 +228,26 @@ def links(texts: DataFrame, where: str) -> DataFrame:
     packed = materialize(vectors(some, df), f"{where}/vectors")
     leads = materialize(members.groupBy(*bucket).agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("lead"), F.count(F.lit(1)).alias("rows")), f"{where}/leads")
     star = joined(members, leads, bucket, "rows").where("rep != lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
-    pairs = star.unionByName(successors(members)).distinct()
-    found = materialize(similar(pairs, packed).where("linked").select("a", "b"), f"{where}/found")
+    star = materialize(star.distinct(), f"{where}/star")
+    found = materialize(similar(star, packed).where("linked").select("a", "b"), f"{where}/found")
     roots = components(found, f"{where}/first")
+    # What the stars have connected isn't tested again, nor are their pairs.
+    line = materialize(successors(rooted(members, roots)).distinct().join(star, ["a", "b"], "left_anti"), f"{where}/line")
+    found = materialize(similar(line, packed).where("linked").select("a", "b"), f"{where}/found-line")
+    roots = merged(roots, found, f"{where}/second")
     rest = across(members.where("n > 2").select(*bucket, "rep"), roots, packed, f"{where}/across")
-    return materialize(found.unionByName(rest.distinct()), f"{where}/links")
+    return merged(roots, materialize(rest.distinct(), f"{where}/found-across"), f"{where}/last")
+
+
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members with their root, which is the text itself where it has no link."""
+    return members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
 
 def across(members: DataFrame, roots: DataFrame, packed: DataFrame, where: str) -> DataFrame:
     """(a, b) of similar texts that share a bucket and lie in different components."""
     bucket = ["band", "bucket"]
-    placed = materialize(members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), f"{where}/placed")
+    placed = materialize(rooted(members, roots), f"{where}/placed")
     parts = placed.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy(*bucket).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -310,17 +319,17 @@ def _roots(texts: list[tuple], columns: np.ndarray, k: int) -> np.ndarray:
 
 
 def successors(members: DataFrame) -> DataFrame:
-    """(a, b) of members next to each other in their bucket by signature. The order is dealt out by range, so a large
-    bucket lies in many tasks; where a range ends, the star holds the pair together."""
-    line = members.select("band", "bucket", "sig", "rep").repartitionByRange("band", "bucket", "sig", "rep").sortWithinPartitions("band", "bucket", "sig", "rep")
+    """(a, b) of members of different roots next to each other in their bucket by signature. The order is dealt out by
+    range, so a large bucket lies in many tasks; where a range ends, across() has the pair."""
+    line = members.select("band", "bucket", "sig", "rep", "root").repartitionByRange("band", "bucket", "sig", "rep").sortWithinPartitions("band", "bucket", "sig", "rep")
 
     def next_to(batches):
         last = None
         for x in batches:
-            keys = np.stack([x.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "bucket", "rep")], 1)
+            keys = np.stack([x.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "bucket", "rep", "root")], 1)
             if last is not None:
                 keys = np.concatenate([last, keys])
-            same = (keys[1:, 0] == keys[:-1, 0]) & (keys[1:, 1] == keys[:-1, 1]) & (keys[1:, 2] != keys[:-1, 2])
+            same = (keys[1:, 0] == keys[:-1, 0]) & (keys[1:, 1] == keys[:-1, 1]) & (keys[1:, 3] != keys[:-1, 3])
             a, b = keys[:-1, 2][same], keys[1:, 2][same]
             last = keys[-1:]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -329,28 +338,62 @@ def successors(members: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, where: str) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges is connected with. Labels fall to the least neighbour's
-    label and then to their label's label, so paths halve; each round is written to the shared folder."""
-    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{where}/edges")
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), f"{where}/labels-0")
-    for i in range(1, 100):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        own = labels.withColumnRenamed("root", "old").join(near, "node").withColumn("root", F.least("old", "near"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        nxt = materialize(own.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")), f"{where}/labels-{i}")
-        if not nxt.where("old != root").limit(1).count():
-            return nxt.select("node", "root")
-        labels = nxt.select("node", "root")
+    """(node, root): the smallest node that each node of the edges is connected with. In a round each node turns to its least
+    neighbour if that is smaller; such paths are followed to their ends, and the edges go on between the ends, without
+    those that have become loops. Of the ends of two rounds half the nodes at most are left. All is written to the shared
+    folder."""
+    left = materialize(_undirected(edges), f"{where}/edges-0")
+    labels = None
+    for i in range(100):
+        if labels is not None and not left.limit(1).count():
+            return labels
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).withColumn("root", F.least("node", "root"))
+        up = _followed(materialize(up, f"{where}/up-{i}"), f"{where}/up-{i}")
+        labels = up if labels is None else _relabelled(labels, up, f"{where}/labels-{i}")
+        ends = left.join(up.withColumnsRenamed({"node": "a", "root": "of_a"}), "a").join(up.withColumnsRenamed({"node": "b", "root": "of_b"}), "b")
+        left = materialize(_undirected(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))), f"{where}/edges-{i + 1}")
     raise RuntimeError("components didn't settle")
 
 
+def _undirected(edges: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b."""
+    return edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _followed(up: DataFrame, where: str) -> DataFrame:
+    """(node, root) with the ends of the paths that (node, root) makes, which fall; their lengths halve each time."""
+    for i in range(100):
+        far = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        nxt = materialize(up.join(far, "root").select("node", F.col("root").alias("old"), F.col("far").alias("root")), f"{where}-{i}")
+        up = nxt.select("node", "root")
+        if not nxt.where("old != root").limit(1).count():
+            return up
+    raise RuntimeError("paths didn't end")
+
+
+def _relabelled(labels: DataFrame, up: DataFrame, where: str) -> DataFrame:
+    """labels with the roots that their roots have in up, where they are there."""
+    far = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
+    return materialize(labels.join(far, "root", "left").select("node", F.coalesce("far", "root").alias("root")), where)
+
+
+def merged(roots: DataFrame, more: DataFrame, where: str) -> DataFrame:
+    """(node, root) after further edges (a, b): only the roots that these join are worked on."""
+    if not more.limit(1).count():
+        return roots
+    ends = rooted(rooted(more.withColumnRenamed("a", "rep"), roots).select(F.col("root").alias("a"), F.col("b").alias("rep")), roots)
+    new = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct().join(roots, "node", "left_anti")
+    every = roots.unionByName(new.select("node", F.col("node").alias("root")))
+    return _relabelled(every, components(ends.select("a", F.col("root").alias("b")), where), f"{where}/merged")
+
+
 def _classes(docs: DataFrame, where: str) -> DataFrame:
     """(digest, n, class_id, chosen, alone) of every distinct text of rows that have a doc_id and words: chosen says that it
     stands for its class, as the text of the smallest doc_id (of its texts the one of smallest digest) does; alone that one
     row has it and it has no near copy."""
     _, texts = exact_classes(docs, where)
-    found = links(texts.select("rep", "bytes", "text"), where)
-    roots = components(found, where).withColumnRenamed("node", "rep")
+    roots = connected(texts.select("rep", "bytes", "text"), where).withColumnRenamed("node", "rep")
     own = texts.select("rep", "digest", "first", "n").join(roots, "rep", "left")
     near = materialize(own.where("root is not null"), f"{where}/near")
     chosen = near.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("c"), F.count(F.lit(1)).alias("texts"))

@@ -427,6 +427,42 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 50: 50, 100: 50, 101: 50, 200: 200, 201: 200}
 
 
+def test_components_of_graphs_against_a_plain_search(spark):
+    r = random.Random(4)
+    first = [(900, i) for i in range(30)] + [(r.randrange(1000, 1300), r.randrange(1000, 1300)) for _ in range(150)] + [(2000 + 7 * i % 50, 2000 + 7 * (i + 1) % 50) for i in range(49)]
+    more = [(900, 1001), (1500, 1501), (2003, 1500), (3000, 3001), (1001, 900)]
+
+    def plain(edges):
+        root = {}
+
+        def top(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                root[max(top(a), top(b))] = min(top(a), top(b))
+        return {x: top(x) for x in list(root)}
+
+    where = near_dups.work_dir(spark, "test-graphs")
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    roots = near_dups.components(frame(first), f"{where}/first")
+    assert {x.node: x.root for x in roots.collect()} == plain(first)
+    assert {x.node: x.root for x in near_dups.merged(roots, frame(more), f"{where}/more").collect()} == plain(first + more)
+    assert near_dups.components(frame([]), f"{where}/none").count() == 0
+
+
+def test_a_large_group_costs_few_pairs_for_each_text(spark, monkeypatch):
+    tested, plain = [], near_dups.similar
+    monkeypatch.setattr(near_dups, "similar", lambda pairs, packed: tested.append(pairs.count()) or plain(pairs, packed))
+    for n in (150, 300):
+        tested.clear()
+        df = spark.createDataFrame([(i, changed(prose(1, 120), [i % 120]) + f" x{i}") for i in range(n)], "doc_id long, text string")
+        assert {x.class_id for x in near_dups.duplicate_classes(df).collect()} == {0}
+        assert n - 1 <= sum(tested) <= 4 * n
+
+
 def test_blocks_against_all_pairs():
     texts = [changed(prose(1, 100), random.Random(i).sample(range(100), i % 7)) for i in range(60)]
     vectors = []
