@@ -2,7 +2,8 @@
 
 A path's score is 0 if every two neighbouring pieces may stand together in the model's byte-pair encoding, else minus
 infinity; exactly one path has score 0, and it is the library's encoding. A word's forward pass runs on a transducer
-whose states are the live lattice nodes. A text of over GIANT characters is dealt out in chunks, each of which gives a
+whose states are the live lattice nodes. Between two characters that no piece has beside each other nothing reaches across
+and nothing is joined, so there a word falls into parts whose matrices are single numbers, too. A text of over GIANT characters is dealt out in chunks, each of which gives a
 matrix over boundary states, which are the pieces that reach across or end at a cut: (piece, characters before the cut).
 Matrices combine by the max-plus product; then the boundary states are known and every chunk is backtraced on its own.
 A cut is made before a blank where one is near: no piece reaches across, so there is one state, and a chunk between two
@@ -16,6 +17,7 @@ is replaced); ties don't arise, for one path has score 0; an empty table gives n
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from array import array
@@ -57,13 +59,13 @@ class PieceModel:
         self.prefix = m.normalizer_spec.add_dummy_prefix
         self.bytes = {int(p.piece[3:-1], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.piece_of = {i: p.piece for i, p in enumerate(m.pieces) if p.type == NORMAL}
         self.lattice = Transducer({p.piece: i for i, p in enumerate(m.pieces) if p.type == NORMAL}, lambda a, b: -s if (s := score.get(a + b)) is not None else None)
         self.crosses = any(SPACE in p.lstrip(SPACE) for p in score)
         self.memo = Memo(MEMO)
-        #: Texts by id, where no byte piece is among them.
-        self.texts = [p.piece.replace(SPACE, " ") if p.type == NORMAL else "" for p in m.pieces]
-        self.is_byte = np.array([p.type == BYTE for p in m.pieces])
+        #: Pairs of characters that stand beside each other in a piece; blanks for space marks.
+        self.beside = {pair for t in (p.replace(SPACE, " ") for p in score) for pair in zip(t, t[1:])}
+        #: UTF-8 bytes by id.
+        self.raw = [p.piece.encode() if p.type == NORMAL else bytes([self.byte_of[i]]) if p.type == BYTE else b"" for i, p in enumerate(m.pieces)]
 
     def normalize(self, text: str) -> str:
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
@@ -92,6 +94,28 @@ class PieceModel:
         out.reverse()
         return array("I", out).tobytes()
 
+    def _parts(self, unit: str) -> list[str]:
+        """What lies between the places of a unit where no piece reaches across."""
+        inside = [*map(self.beside.__contains__, zip(unit, unit[1:]))]
+        out, at = [], 0
+        for _ in range(inside.count(False)):
+            cut = inside.index(False, at) + 1
+            out.append(unit[at:cut])
+            at = cut
+        out.append(unit[at:])
+        return out
+
+    def _unit(self, unit: str) -> bytes:
+        """Packed ids of a unit that isn't memoized; its parts are."""
+        memo, out = self.memo, []
+        for p in self._parts(unit):
+            if (got := memo.get(p) or memo.recall(p)) is None:
+                got = self._word(p.replace(" ", SPACE))
+                if len(p) < 64:
+                    memo[p] = got
+            out.append(got)
+        return b"".join(out)
+
     def encode_packed(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         return self.encode_part(" " + text if self.prefix and text else text)
@@ -112,7 +136,7 @@ class PieceModel:
                 if got is None:
                     u = units[i]
                     if (got := memo.get(u) or memo.recall(u)) is None:
-                        got = self._word(u.replace(" ", SPACE))
+                        got = self._unit(u)
                         if len(u) < 64:
                             memo[u] = got
                     out[i] = got
@@ -123,25 +147,12 @@ class PieceModel:
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """Pieces joined, byte runs read as UTF-8, the dummy prefix taken off."""
-        ids = np.asarray(ids, np.int64)
-        bytes_in = self.is_byte[ids].any()
-        ids = ids.tolist()
-        if not bytes_in:
-            text = "".join(map(self.texts.__getitem__, ids))
-            return text[1:] if self.prefix and text.startswith(" ") else text
-        out, run = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            out.append(self.piece_of.get(i, ""))
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
+        raw = self.raw
+        runs = [raw[i] for i in np.asarray(ids).tolist()]
+        if b"" in runs:  # a control piece parts the bytes around it
+            text = "".join(b"".join(r).decode("utf-8", "replace") for _, r in itertools.groupby(runs, bool))
+        else:
+            text = b"".join(runs).decode("utf-8", "replace")
         if self.prefix and text.startswith(SPACE):
             text = text[1:]
         return text.replace(SPACE, " ")

@@ -131,3 +131,20 @@ def test_giant_texts_in_production(spark, library):
     where = work_dir(spark, "test-files")
     n = {x.doc_id: x.n_tokens for x in token_files.read_token_files(spark, where, token_files.write_token_files(docs, BYTE_BPE, where)).collect()}
     assert n == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_words_fall_into_parts_that_are_known(monkeypatch):
+    m, own = pieces.PieceModel(PIECE_BPE), sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    read, plain = [], m.lattice.last_tokens
+    monkeypatch.setattr(m.lattice, "last_tokens", lambda word: read.append(len(word)) or plain(word))
+    some = ["as", "rbo", "cion", "eau", "lich", "ment", "Or", "x9", "que", "tion"]
+    text = " ".join(f"{a}{odd}{b}" for a in some for b in some for odd in ("ж", "\U0001f600", "\x01", "中é"))
+    for t in (text, "  ж a\x02b  \x02", "é\x01\x01 ▁x\x01▁", "\ud800a b\ud800"):
+        if "\ud800" not in t:
+            assert m.encode(t) == own.encode(t) and m.decode(m.encode(t)) == own.decode(own.encode(t))
+        assert all("".join(m._parts(u)) == u for u in pieces.UNIT.findall(t))
+    # Each part is read once, however many words it is in.
+    assert sum(read) < len(text) / 4
+    odd = [m.bytes[b] for b in b"\xe2\x82"] + own.encode("a") + [m.bytes[b] for b in b"\x96\xe2\x96\x81 "] + own.encode("b")
+    assert m.decode(odd) == "\ufffd a\ufffd   b"  # each run of bytes is read by itself
+    assert m.decode([m.bytes[0xEF], 0, m.bytes[0x9E]]) == "\ufffd\ufffd"
