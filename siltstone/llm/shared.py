@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from siltstone.session import materialize, prepare, spread, work_dir
 
-__all__ = ["atomic_write", "columns_of", "free_name", "hold", "map_rows", "materialize", "Memo", "posix_path", "prepare", "small_batches", "spread", "text_of", "work_dir", "written_whole"]
+__all__ = ["atomic_write", "columns_of", "distinct", "free_name", "gathered", "hold", "joined", "map_rows", "materialize", "Memo", "posix_path", "prepare", "small_batches", "spread", "text_of", "work_dir", "written_whole"]
 
 
 def posix_path(uri: str) -> str:
@@ -131,3 +132,29 @@ class Memo(dict):
             self[key] = got
         return got
 
+
+def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of texts in a row, and where each begins, with the end behind the last. No text is null."""
+    a = texts.cast(pa.large_string())
+    at = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
+    held = a.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[at[0] : at[-1]] if held else np.empty(0, np.uint8)
+    return data, at - at[0]
+
+
+def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Distinct units of bytes that are cut at `starts`, from 0 on; and of each unit its place among them."""
+    line = np.append(starts, len(data)).astype(np.int64) if len(starts) else np.zeros(1, np.int64)
+    got = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(line), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return got.dictionary.to_pylist(), got.indices.to_numpy(zero_copy_only=False)
+
+
+def gathered(values: list[bytes], codes: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Packed numbers of the values that codes name, in a row, and how many each has."""
+    kind = np.dtype(kind)
+    size = np.fromiter(map(len, values), np.int64, len(values)) // kind.itemsize
+    first = np.cumsum(size) - size
+    n = size[codes]
+    ends = np.cumsum(n)
+    flat = np.frombuffer(b"".join(values), kind)
+    return flat[np.repeat(first[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n

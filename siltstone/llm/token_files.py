@@ -13,7 +13,6 @@ extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
@@ -21,23 +20,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import hold, materialize, Memo, posix_path, small_batches, text_of, written_whole
+from siltstone.llm.shared import distinct, gathered, hold, joined, materialize, Memo, posix_path, small_batches, text_of, written_whole
 
 #: White space other than blank and line feed.
 ODD = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
-#: A word of Latin letters before a blank or a mark ends there whatever follows; else a unit reaches to the next blank.
-UNIT = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n,.;:!?|$%#&*]|\Z)|[ \n]*[^ \n]+|[ \n]+")
+#: Blank and line feed; what a word of letters or digits may end before, whatever follows.
+WHITE, MARKS = b" \n", b",.;:!?|$%#&*"
 MEMO = 600_000
+#: Bytes that are encoded at once, about.
+AT_ONCE = 1 << 22
 #: Documents of a block that is read back at once; ids that a task reads back, about.
 BLOCK, TASK_IDS = 50_000, 8_000_000
 
 
 class IdEncoder:
-    """The tokenizers library, asked once for each distinct unit: blanks and line feeds with the word behind them.
-
-    Byte-level pre-tokens never reach from a character that isn't white space to a blank, so units are encoded alone.
-    Units that are new in a batch are encoded in one call and told apart by their first token, or, where they don't
-    begin with one blank or line feed, parted by the end string, which is a special token.
+    """The tokenizers library, asked once for each distinct unit: blanks and line feeds with the word behind them, which
+    ends before a mark, too, where a Latin letter or a digit stands there.
+
+    Byte-level pre-tokens never reach from a character that isn't white space to a blank, nor from a letter or a digit to
+    a mark, so units are encoded alone. A text with other white space or a special string is one unit.
+    Units are cut and told apart as arrays of bytes, many texts at once. Those that are new are encoded in one call and
+    told apart by their first token, or, where they don't begin with one blank or line feed, parted by the end string,
+    which is a special token.
     """
 
     def __init__(self, path: str):
@@ -54,38 +58,99 @@ class IdEncoder:
         first = (self.tok.id_to_token(i) or "?" for i in range(self.tok.get_vocab_size()))
         self.begins = np.array([t[0] in "ĠĊ" for t in first])
 
+        self.white, self.mark_byte = _table(WHITE), _table(MARKS)
+        self.word = _table(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        odd = [c.encode() for c in ODD]
+        self.odd_byte, self.odd_lead = _table(b"".join(c for c in odd if len(c) == 1)), _table(bytes({c[0] for c in odd if len(c) > 1}))
+        #: Other white space of two and of three bytes as numbers.
+        self.odd_two, self.odd_three = (np.array([int.from_bytes(c) for c in odd if len(c) == n]) for n in (2, 3))
+
     def _raw(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as packed little-endian integers."""
-        plain = self.mark is not None
-        self.memo.turn()
+    def _whole(self, data: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Places of the texts that are encoded whole."""
+        if self.mark is None:
+            return np.flatnonzero(np.diff(line))
+        at = [np.flatnonzero(self.odd_byte[data])]
+        lead = np.flatnonzero(self.odd_lead[data])
+        if len(lead):
+            end = len(data) - 1
+            two = data[lead].astype(np.int64) << 8 | data[np.minimum(lead + 1, end)]
+            at.append(lead[np.isin(two, self.odd_two) | np.isin(two << 8 | data[np.minimum(lead + 2, end)], self.odd_three)])
+        held = data.tobytes()
+        for s in map(str.encode, self.special):
+            i = held.find(s)
+            while i >= 0:
+                at.append(np.array([i]))
+                i = held.find(s, i + 1)
+        return np.unique(np.searchsorted(line, np.concatenate(at), "right") - 1)
+
+    def _cuts(self, data: np.ndarray) -> np.ndarray:
+        """Whether a unit begins at each byte."""
+        white = self.white[data]
+        word = self.word[data]
+        # À to ÿ but for the two signs among them, by their second byte.
+        latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+        word[latin] = (data[latin] != 0x97) & (data[latin] != 0xB7)
+        out = np.empty(len(data), bool)
+        out[:1] = True
+        out[1:] = (white[1:] & ~white[:-1]) | (self.mark_byte[data[1:]] & word[:-1])
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Put units into the memo."""
         memo = self.memo
-        never = (*ODD, *self.special)
-        units = [None if not plain or any([c in t for c in never]) else UNIT.findall(t) for t in texts]
-        known = [us if us is None else list(map(memo.get, us)) for us in units]
-        new = {u for us, ks in zip(units, known, strict=True) if us and None in ks for u, k in zip(us, ks, strict=True) if k is None and memo.recall(u) is None}
         # A word behind one blank or line feed needs no mark: its first token alone begins with white space.
-        led = [u for u in new if u[0] in " \n" and u[1:2] not in ("", " ", "\n")]
+        led = [u for u in new if u[0] in WHITE and u[1:2] not in (b"", b" ", b"\n")]
         for at in range(0, len(led), 512):
             some = led[at : at + 512]
-            ids = self._raw("".join(some))
+            ids = self._raw(b"".join(some).decode())
             starts = np.flatnonzero(self.begins[ids])
             if len(starts) != len(some):
                 raise AssertionError("a unit didn't begin with one white space token")
-            for u, a, z in zip(some, starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
-                memo[u] = ids[a:z].tobytes()
-        new = list(new.difference(led))
+            packed, w = ids.tobytes(), self.width.itemsize
+            for u, a, z in zip(some, (starts * w).tolist(), [*(starts[1:] * w).tolist(), len(packed)], strict=True):
+                memo[u] = packed[a:z]
+        new = list(set(new).difference(led))
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            ids = self._raw(self.mark.join(some))
+            ids = self._raw(self.mark.join(u.decode() for u in some))
             ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
             start = 0
             for u, end in zip(some, ends, strict=True):
                 memo[u] = ids[start:end].tobytes()
                 start = end + 1
-        return [self._raw(t).tobytes() if us is None else b"".join(map(memo.__getitem__, us) if None in ks else ks) for t, us, ks in zip(texts, units, known, strict=True)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, and how many each text has."""
+        data, line = joined(texts)
+        cut = self._cuts(data)
+        whole = self._whole(data, line)
+        for k in whole.tolist():
+            cut[line[k] : line[k + 1]] = False
+        cut[line[:-1][np.diff(line) > 0]] = True
+        starts = np.flatnonzero(cut)
+        units, codes = distinct(data, starts)
+        bounds = np.searchsorted(starts, line)
+        memo = self.memo
+        memo.turn()
+        got = list(map(memo.get, units))
+        for c in set(codes[bounds[whole]].tolist()):
+            got[c] = self._raw(units[c].decode()).tobytes()
+        if missing := [i for i, g in enumerate(got) if g is None]:
+            self._learn([units[i] for i in missing if memo.recall(units[i]) is None])
+            for i in missing:
+                got[i] = memo[units[i]]
+        ids, n = gathered(got, codes, self.width)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[bounds])
+
+
+def _table(of: bytes) -> np.ndarray:
+    """Whether each byte is among some."""
+    out = np.zeros(256, bool)
+    out[list(of)] = True
+    return out
 
 
 _LOADED: dict[str, IdEncoder] = {}
@@ -98,6 +163,19 @@ def encoder(path: str) -> IdEncoder:
     return _LOADED[path]
 
 
+def _runs_of(batches):
+    """Tables of batches in a row that hold up to AT_ONCE bytes together, or of one that holds more."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > AT_ONCE:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
     """Encode all texts, append end_id, write the files into `folder` (a URI on a shared mount); return the manifest:
     part, base (ids of all parts before), n_ids, n_docs, n_null (documents without an id, which come first), width.
@@ -115,21 +193,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         from pyspark import TaskContext
 
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.width).tobytes()
         part, n_ids, n_docs, nulls = TaskContext.get().partitionId(), 0, 0, 0
         with written_whole(*(f"{path}/{part:06d}.{kind}" for kind in ("ids", "offsets", "docs"))) as (ids, offsets, names):
             offsets.write(bytes(8))
-            for b in batches:
+            for b in _runs_of(batches):
                 nulls += b.column("doc_id").null_count
-                names.write(b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                texts = b.column("text").to_pylist()
-                n_docs += len(texts)
-                for i in range(0, len(texts), 200):
-                    got = enc.encode(texts[i : i + 200])
-                    ends = n_ids + np.cumsum([len(g) // enc.width.itemsize + 1 for g in got])
-                    offsets.write(ends.astype("<u8").tobytes())
-                    ids.write(end.join(got) + end)
-                    n_ids = int(ends[-1])
+                names.write(b.column("doc_id").fill_null(0).to_numpy().astype("<i8").tobytes())
+                got, n = enc.encode(b.column("text").combine_chunks())
+                n_docs += len(n)
+                ends = np.cumsum(n)
+                offsets.write((n_ids + ends + np.arange(1, len(n) + 1)).astype("<u8").tobytes())
+                ids.write(np.insert(got, ends, end_id).tobytes())
+                n_ids += len(got) + len(n)
         if n_docs:
             yield pa.RecordBatch.from_pydict({"part": [part], "n_ids": [n_ids], "n_docs": [n_docs], "n_null": [nulls], "width": [enc.width.itemsize]})
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -77,6 +78,23 @@ def test_token_files(spark, library):
     assert token_files.read_ids(where, part.part, 0, part.width).tolist() == ids[0][1]
 
 
+def test_units_of_many_texts_are_looked_up_once(library):
+    class Counting(token_files.Memo):
+        asked = 0
+
+        def get(self, key):
+            Counting.asked += 1
+            return super().get(key)
+
+    enc = token_files.IdEncoder(BYTE_BPE)
+    enc.memo = Counting(1000)
+    texts = [*["it's a word, 12,5 é.× ×,y a×, don't!'s  \n two"] * 500, "", "a\tb c, d", " \n", "ö\u3000x,", "a<|endoftext|>b", "<|endoftext|x <|endoftext"]
+    for _ in range(2):
+        ids, n = enc.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert Counting.asked <= 2 * 40
+
+
 def test_token_files_of_nothing(spark):
     where = work_dir(spark, "test-files")
     manifest = token_files.write_token_files(spark.createDataFrame([], "doc_id long, text string"), BYTE_BPE, where)
