@@ -3,7 +3,8 @@
 A path's score is 0 if every two neighbouring pieces may stand together in the model's byte-pair encoding, else minus
 infinity; exactly one path has score 0, and it is the library's encoding. A word's forward pass runs on a transducer
 whose states are the live lattice nodes. Between two characters that no piece has beside each other nothing reaches across
-and nothing is joined, so there a word falls into parts whose matrices are single numbers, too. A text of over GIANT characters is dealt out in chunks, each of which gives a
+and nothing is joined, so there a word falls into parts whose matrices are single numbers, too: texts are cut into these parts
+as arrays, many at once, and each distinct part is read once for a bounded memo. A text of over GIANT characters is dealt out in chunks, each of which gives a
 matrix over boundary states, which are the pieces that reach across or end at a cut: (piece, characters before the cut).
 Matrices combine by the max-plus product; then the boundary states are known and every chunk is backtraced on its own.
 A cut is made before a blank where one is near: no piece reaches across, so there is one state, and a chunk between two
@@ -25,18 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.bpe import UNKNOWN, Transducer
-from siltstone.llm.shared import columns_of, free_name, hold, map_rows, Memo, small_batches
+from siltstone.llm.shared import columns_of, distinct, free_name, gathered, hold, joined, map_rows, Memo, runs_of, small_batches
 
 SPACE = "▁"
 UNIT = re.compile(" *[^ ]+| +")
 #: A character before which no cut is made, and a blank behind it.
 BLANK = re.compile(f"[^{SPACE}]{SPACE}")
-MEMO = 250_000
+MEMO = 400_000
 BYTE, NORMAL = 6, 1
 #: Characters of a text that is dealt out, of its chunks, and within which a blank is sought for a cut.
 GIANT, CHUNK, NEAR = 1 << 15, 1 << 14, 1 << 12
@@ -64,6 +66,13 @@ class PieceModel:
         self.memo = Memo(MEMO)
         #: Pairs of characters that stand beside each other in a piece; blanks for space marks.
         self.beside = {pair for t in (p.replace(SPACE, " ") for p in score) for pair in zip(t, t[1:])}
+        #: The same by number of the characters, which is 0 for all that stand in no such pair.
+        some = sorted({c for pair in self.beside for c in pair})
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[*map(ord, some)]] = np.arange(1, len(some) + 1)
+        self.cut = np.ones((len(some) + 1, len(some) + 1), bool)
+        for a, b in self.beside:
+            self.cut[self.number[ord(a)], self.number[ord(b)]] = False
         #: UTF-8 bytes by id.
         self.raw = [p.piece.encode() if p.type == NORMAL else bytes([self.byte_of[i]]) if p.type == BYTE else b"" for i, p in enumerate(m.pieces)]
 
@@ -142,6 +151,35 @@ class PieceModel:
                     out[i] = got
         return b"".join(out)
 
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts in a row, and how many each text has."""
+        if self.crosses:
+            packed = [self.encode_packed(t) for t in texts.to_pylist()]
+            return gathered(packed, np.arange(len(packed)), "<u4")
+        data, line = joined(pc.replace_substring(texts, SPACE, " "))
+        some = np.diff(line) > 0
+        if self.prefix:
+            data, line = np.insert(data, line[:-1][some], 32), line + np.append(0, np.cumsum(some))
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+        number = self.number[points]
+        begins = (data & 0xC0) != 0x80  # a character
+        begins[begins] = np.append(True, self.cut[number[:-1], number[1:]])[: len(number)]
+        begins[line[:-1][some]] = True
+        starts = np.flatnonzero(begins)
+        parts, codes = distinct(data, starts)
+        memo = self.memo
+        memo.turn()
+        got = list(map(memo.get, parts))
+        for i in [i for i, g in enumerate(got) if g is None]:
+            p = parts[i]
+            if (ids := memo.recall(p)) is None:
+                ids = self._word(p.decode().replace(" ", SPACE))
+                if len(p) < 64:
+                    memo[p] = ids
+            got[i] = ids
+        ids, n = gathered(got, codes, "<u4")
+        return ids, np.diff(np.append(0, np.cumsum(n))[np.searchsorted(starts, line)])
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
@@ -153,6 +191,19 @@ class PieceModel:
             text = "".join(b"".join(r).decode("utf-8", "replace") for _, r in itertools.groupby(runs, bool))
         else:
             text = b"".join(runs).decode("utf-8", "replace")
+        return self._plain(text)
+
+    def decode_many(self, ids: np.ndarray, n: np.ndarray) -> list[str]:
+        """The texts of ids in a row, of which each text has n."""
+        data, size = gathered(self.raw, ids, np.uint8)
+        line = np.append(0, np.cumsum(n))
+        if not size.all():  # control pieces
+            return [self.decode(ids[a:z]) for a, z in itertools.pairwise(line.tolist())]
+        held = data.tobytes()
+        return [self._plain(held[a:z].decode("utf-8", "replace")) for a, z in itertools.pairwise(np.append(0, np.cumsum(size))[line].tolist())]
+
+    def _plain(self, text: str) -> str:
+        """The dummy prefix taken off, blanks for space marks."""
         if self.prefix and text.startswith(SPACE):
             text = text[1:]
         return text.replace(SPACE, " ")
@@ -339,9 +390,14 @@ def encode_documents(docs: DataFrame, model: str, into: str = "pieces", giant: i
 
     def whole(batches, at):
         m = loaded(model)
-        for b in batches:
-            packed = [m.encode_packed(t or "") for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packed, pa.binary())], [*b.schema.names, into])
+        for run in runs_of(batches):
+            columns = [c.combine_chunks() for c in run.columns]
+            ids, n = m.encode_many(columns[at].fill_null(""))
+            ends = np.append(0, 4 * np.cumsum(n))
+            if ends[-1] >= 1 << 31:
+                raise ValueError("ids of a run of texts don't fit a batch")
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([*columns, packed], [*run.schema.names, into])
 
     length = F.coalesce(F.length("text"), F.lit(0))
     short = map_rows(docs.where(length <= giant), whole, T.StructField(into, T.BinaryType()))
@@ -410,9 +466,8 @@ def _encode_giant(big: DataFrame, model: str, chunk: int) -> DataFrame:
     return whole.select("digest", F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
 
 
-def _digest(m: PieceModel, text: str | None, packed: bytes) -> tuple:
-    back = m.decode(np.frombuffer(packed, "<u4"))
-    return len(packed) // 4, zlib.crc32(packed), zlib.crc32(back.encode("utf-8", "replace")), back == (text or "")
+def _digest(text: str | None, packed: bytes | np.ndarray, back: str) -> tuple:
+    return memoryview(packed).nbytes // 4, zlib.crc32(packed), zlib.crc32(back.encode("utf-8", "replace")), back == (text or "")
 
 
 def round_trip(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
@@ -427,14 +482,17 @@ def round_trip(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHU
 
     def both(batches):
         m = loaded(model)
-        for b in batches:
-            got = [_digest(m, t, m.encode_packed(t or "")) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], names)
+        for run in runs_of(batches):
+            texts = run.column("text").combine_chunks().fill_null("")
+            ids, n = m.encode_many(texts)
+            own = np.split(ids, np.cumsum(n)[:-1])
+            got = [*map(_digest, texts.to_pylist(), own, m.decode_many(ids, n))]
+            yield pa.RecordBatch.from_arrays([run.column("doc_id").combine_chunks(), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], names)
 
     def decoded(batches):
         m = loaded(model)
         for b in batches:
-            got = [_digest(m, t, p) for t, p in zip(b.column("text").to_pylist(), b.column("ids").to_pylist(), strict=True)]
+            got = [_digest(t, p, m.decode(np.frombuffer(p, "<u4"))) for t, p in zip(b.column("text").to_pylist(), b.column("ids").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], names)
 
     length = F.coalesce(F.length("text"), F.lit(0))

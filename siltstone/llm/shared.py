@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from siltstone.session import materialize, prepare, spread, work_dir
 
-__all__ = ["atomic_write", "columns_of", "distinct", "free_name", "gathered", "hold", "joined", "map_rows", "materialize", "Memo", "posix_path", "prepare", "small_batches", "spread", "text_of", "work_dir", "written_whole"]
+__all__ = ["atomic_write", "columns_of", "distinct", "free_name", "gathered", "hold", "joined", "map_rows", "materialize", "Memo", "posix_path", "prepare", "runs_of", "small_batches", "spread", "text_of", "work_dir", "written_whole"]
 
 
 def posix_path(uri: str) -> str:
@@ -133,6 +133,23 @@ class Memo(dict):
         return got
 
 
+#: Bytes of batches that are worked on at once, about.
+AT_ONCE = 1 << 22
+
+
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of batches in a row that hold up to AT_ONCE bytes together, or of one that holds more."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > AT_ONCE:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of texts in a row, and where each begins, with the end behind the last. No text is null."""
     a = texts.cast(pa.large_string())

@@ -20,15 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import distinct, gathered, hold, joined, materialize, Memo, posix_path, small_batches, text_of, written_whole
+from siltstone.llm.shared import distinct, gathered, hold, joined, materialize, Memo, posix_path, runs_of, small_batches, text_of, written_whole
 
 #: White space other than blank and line feed.
 ODD = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Blank and line feed; what a word of letters or digits may end before, whatever follows.
 WHITE, MARKS = b" \n", b",.;:!?|$%#&*"
 MEMO = 600_000
-#: Bytes that are encoded at once, about.
-AT_ONCE = 1 << 22
 #: Documents of a block that is read back at once; ids that a task reads back, about.
 BLOCK, TASK_IDS = 50_000, 8_000_000
 
@@ -163,19 +161,6 @@ def encoder(path: str) -> IdEncoder:
     return _LOADED[path]
 
 
-def _runs_of(batches):
-    """Tables of batches in a row that hold up to AT_ONCE bytes together, or of one that holds more."""
-    held, size = [], 0
-    for b in batches:
-        if held and size + b.nbytes > AT_ONCE:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-        held.append(b)
-        size += b.nbytes
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
     """Encode all texts, append end_id, write the files into `folder` (a URI on a shared mount); return the manifest:
     part, base (ids of all parts before), n_ids, n_docs, n_null (documents without an id, which come first), width.
@@ -196,7 +181,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         part, n_ids, n_docs, nulls = TaskContext.get().partitionId(), 0, 0, 0
         with written_whole(*(f"{path}/{part:06d}.{kind}" for kind in ("ids", "offsets", "docs"))) as (ids, offsets, names):
             offsets.write(bytes(8))
-            for b in _runs_of(batches):
+            for b in runs_of(batches):
                 nulls += b.column("doc_id").null_count
                 names.write(b.column("doc_id").fill_null(0).to_numpy().astype("<i8").tobytes())
                 got, n = enc.encode(b.column("text").combine_chunks())

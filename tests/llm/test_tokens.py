@@ -166,3 +166,21 @@ def test_words_fall_into_parts_that_are_known(monkeypatch):
     odd = [m.bytes[b] for b in b"\xe2\x82"] + own.encode("a") + [m.bytes[b] for b in b"\x96\xe2\x96\x81 "] + own.encode("b")
     assert m.decode(odd) == "\ufffd a\ufffd   b"  # each run of bytes is read by itself
     assert m.decode([m.bytes[0xEF], 0, m.bytes[0x9E]]) == "\ufffd\ufffd"
+
+
+def test_parts_of_many_texts_are_looked_up_once():
+    class Counting(pieces.Memo):
+        asked = 0
+
+        def get(self, key):
+            Counting.asked += 1
+            return super().get(key)
+
+    m, own = pieces.PieceModel(PIECE_BPE), sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    m.memo = Counting(1000)
+    texts = [*["The words, 12,5 of  \U0001f600 ж a▁text\n"] * 500, "", " ", "▁", "é\x01\x01 ▁x\x01▁", "a" * 100]
+    for _ in range(2):
+        ids, n = m.encode_many(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [own.encode(t) for t in texts]
+    assert m.decode_many(ids, n) == [own.decode(own.encode(t)) for t in texts]
+    assert Counting.asked <= 2 * 40
