@@ -29,7 +29,6 @@ extra columns are ignored.
 from __future__ import annotations
 
 import itertools
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -120,6 +119,12 @@ def _starts(*line: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in line])]))
 
 
+def _find(seq: elias_fano.Sequence, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in order, of which each is searched once, however often it stands there."""
+    first = _starts(keys)
+    return np.repeat(seq.find(keys[first]), np.diff(first, append=len(keys)))
+
+
 def _runs(of: np.ndarray):
     """(value, begin, end) of the runs of equal values."""
     if len(of):
@@ -258,7 +263,7 @@ class Trie:
         probability."""
         rank, p = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
         for k, (firsts, level, code, _), a, z, b, c in self._parts(keys, "pairs"):
-            of = firsts.find(b)
+            of = _find(firsts, b)
             some = np.flatnonzero(of >= 0)
             at, begin = level.search(of[some], c[some])
             hit = at >= 0
@@ -285,7 +290,7 @@ class Trie:
         probability, and the mass that its context leaves to level two (1 where the context wasn't seen)."""
         p, mass = np.zeros(len(of)), np.ones(len(of))
         for k, (firsts, level, *_), a, z, b, other in self._parts(keys, "contexts"):
-            word = firsts.find(b)
+            word = _find(firsts, b)
             some = np.flatnonzero(word >= 0)
             at, _ = level.search(word[some], other[some])
             place = np.full(z - a, -1, np.int64)
@@ -335,7 +340,7 @@ def _write_words(counted: DataFrame, folder: str) -> tuple[Words, int, int]:
 def _blobs(part: np.ndarray, borders: np.ndarray, keys: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
     """A row for each part that keys in order fall into: differences of its keys, then the further numbers, packed."""
     got = list(_runs(part))
-    packed = [zlib.compress(_varints(np.concatenate([np.diff(keys[a:z], prepend=borders[k]), *(x[a:z].astype(np.uint64) for x in more)])), 1) for k, a, z in got]
+    packed = [_packed(np.concatenate([np.diff(keys[a:z], prepend=borders[k]), *(x[a:z].astype(np.uint64) for x in more)])) for k, a, z in got]
     return pa.RecordBatch.from_arrays([pa.array([k for k, *_ in got], pa.int32()), pa.array([z - a for _, a, z in got], pa.int64()), pa.array(packed, pa.binary())], ["part", "n", "blob"])
 
 
@@ -343,7 +348,7 @@ def _by_part(batches, borders: np.ndarray, width: int):
     """(part, its packed rows' arrays: keys and further numbers, one row at a time) of rows that come in order of part."""
     rows = ((k, n, blob) for b in batches for k, n, blob in zip(b.column("part").to_pylist(), b.column("n").to_pylist(), b.column("blob").to_pylist(), strict=True))
     for k, own in itertools.groupby(rows, key=lambda r: r[0]):
-        yield k, ((np.cumsum(x[0], dtype=np.uint64) + borders[k], *x[1:]) for _, n, blob in own for x in [_read_varints(np.frombuffer(zlib.decompress(blob), np.uint8)).reshape(width, n)])
+        yield k, ((np.cumsum(x[0], dtype=np.uint64) + borders[k], *x[1:]) for _, n, blob in own for x in [_unpacked(blob).reshape(width, n)])
 
 
 def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
@@ -405,7 +410,7 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
             first = _starts(b)
             elias_fano.save(f"{path}/{k:06d}.contexts", [*elias_fano.encode(b[first], int(b[-1]) + 1), *_level(first, a)])
             raw = np.concatenate([np.diff(starts, append=len(c)).astype(np.uint64), c.astype(np.uint64), count.astype(np.uint64)])
-            atomic_write(f"{path}/{k:06d}.raw", [np.array([len(starts), len(c)], "<u8").tobytes(), zlib.compress(_varints(raw), 1)])
+            atomic_write(f"{path}/{k:06d}.raw", [np.array([len(starts), len(c)], "<u8").tobytes(), _packed(raw)])
             word = keys // _U(width)
             pair, before = np.unique(word * _U(width) + c, return_counts=True)
             out = _blobs(np.searchsorted(borders, pair, "right") - 1, borders, pair, before)
@@ -441,7 +446,7 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
                 firsts, level = trie.part(k, "contexts")
                 with open(f"{path}/{k:06d}.raw", "rb") as f:
                     n_contexts, n = np.frombuffer(f.read(16), "<u8").astype(int).tolist()
-                    raw = _read_varints(np.frombuffer(zlib.decompress(f.read()), np.uint8))
+                    raw = _unpacked(f.read())
                 size, c, count = raw[:n_contexts].astype(np.int64), raw[n_contexts : n_contexts + n], raw[n_contexts + n :].astype(np.float64)
                 starts = np.cumsum(size) - size
                 b = np.repeat(firsts.get(np.arange(firsts.n)), np.diff(level.begin(np.arange(firsts.n + 1))))
@@ -497,33 +502,34 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
 
 
 def _varints(x: np.ndarray) -> bytes:
-    """Seven bits a byte, the top bit where more follow."""
-    x = x.astype(np.uint64)
-    size = np.ones(len(x), np.int64)
-    top = int(x.max()) if len(x) else 0
-    for k in range(1, -(-top.bit_length() // 7)):
-        size += x >= _U(1 << 7 * k)
-    ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]) if len(x) else 0, np.uint8)
-    start = ends - size
-    for k in range(int(size.max()) if len(x) else 0):
-        if k:
-            some = np.flatnonzero(size > k)
-            start, size, x = start[some], size[some], x[some]
-        out[start + k] = (x >> _U(7 * k) & _U(127)).astype(np.uint8) | (size > k + 1).astype(np.uint8) << 7
-    return out.tobytes()
+    """How many numbers, of each how many bytes it has without its leading zeros, and these bytes, the lowest first."""
+    x = np.ascontiguousarray(x, "<u8")
+    size = np.zeros(len(x), np.uint8)
+    for k in range((int(x.max()) if len(x) else 0).bit_length() + 7 >> 3):
+        size += x >= _U(1 << 8 * k)
+    return len(x).to_bytes(8, "little") + size.tobytes() + x.view(np.uint8).reshape(-1, 8)[_HELD[size]].tobytes()
+
+
+#: Of each size of a number, which of its eight bytes are held.
+_HELD = np.arange(8) < np.arange(9)[:, None]
 
 
 def _read_varints(data: np.ndarray) -> np.ndarray:
-    ends = np.flatnonzero(data < 128)
-    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
-    size = ends - starts + 1
-    out = (data[starts] & 127).astype(np.uint64)
-    some = np.arange(len(ends))
-    for k in range(1, int(size.max()) if len(ends) else 0):
-        some = some[size[some] > k]
-        out[some] |= (data[starts[some] + k] & 127).astype(np.uint64) << _U(7 * k)
-    return out
+    n = int(data[:8].view("<u8")[0])
+    out = np.zeros((n, 8), np.uint8)
+    out[_HELD[data[8 : 8 + n]]] = data[8 + n :]
+    return out.view("<u8").ravel()
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers, compressed, behind the size of what they decompress to."""
+    raw = _varints(x)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    raw = pa.Codec("zstd").decompress(pa.py_buffer(blob).slice(8), int.from_bytes(blob[:8], "little"))
+    return _read_varints(np.frombuffer(raw, np.uint8))
 
 
 class Scorer:

@@ -174,4 +174,6 @@ def gathered(values: list[bytes], codes: np.ndarray, kind: np.dtype) -> tuple[np
     n = size[codes]
     ends = np.cumsum(n)
     flat = np.frombuffer(b"".join(values), kind)
-    return flat[np.repeat(first[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
+    at = np.repeat(first[codes] - ends + n, n)
+    at += np.arange(len(at))
+    return flat[at], n

@@ -159,6 +159,17 @@ def test_probabilities_sum_to_one(spark):
         assert abs(own.sum() + left[0] - 1) < 1e-3 and (left < 1 if a == b"x" else left == 1).all()
 
 
+def test_numbers_are_packed_and_repeated_keys_sought_once(monkeypatch):
+    for v in ([], [0], [0, 255, 256, (1 << 56) - 1, 1 << 56, (1 << 64) - 1], list(range(70_000))):
+        x = np.array(v, np.uint64)
+        assert (lm._unpacked(lm._packed(x)) == x).all() and len(lm._read_varints(np.frombuffer(lm._varints(x), np.uint8))) == len(v)
+    asked, plain = [], elias_fano.Sequence.find
+    monkeypatch.setattr(elias_fano.Sequence, "find", lambda self, keys: asked.append(len(keys)) or plain(self, keys))
+    s = elias_fano.Sequence(*elias_fano.encode(np.array([2, 5, 9], np.uint64), 10))
+    assert lm._find(s, np.array([1] * 300 + [2] * 500 + [9] * 200, np.uint64)).tolist() == [-1] * 300 + [0] * 500 + [2] * 200
+    assert asked == [3]
+
+
 def test_model_of_nothing(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     r = lm.score_documents(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
