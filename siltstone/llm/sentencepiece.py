@@ -38,7 +38,9 @@ SPACE = "▁"
 UNIT = re.compile(" *[^ ]+| +")
 #: A character before which no cut is made, and a blank behind it.
 BLANK = re.compile(f"[^{SPACE}]{SPACE}")
-MEMO = 400_000
+#: Parts that a worker knows, about; and where it does nothing but the round trip. The pipeline's last stage has a full heap
+#: beside it, so there texts are encoded one at a time.
+MEMO, MEMO_ALONE = 250_000, 400_000
 BYTE, NORMAL = 6, 1
 #: Characters of a text that is dealt out, of its chunks, and within which a blank is sought for a cut.
 GIANT, CHUNK, NEAR = 1 << 15, 1 << 14, 1 << 12
@@ -371,10 +373,11 @@ class PieceModel:
 _LOADED: dict[str, PieceModel] = {}
 
 
-def loaded(path: str) -> PieceModel:
+def loaded(path: str, most: int = MEMO) -> PieceModel:
     hold("sentencepiece", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = PieceModel(path)
+    _LOADED[path].memo.most = most
     return _LOADED[path]
 
 
@@ -390,14 +393,9 @@ def encode_documents(docs: DataFrame, model: str, into: str = "pieces", giant: i
 
     def whole(batches, at):
         m = loaded(model)
-        for run in runs_of(batches):
-            columns = [c.combine_chunks() for c in run.columns]
-            ids, n = m.encode_many(columns[at].fill_null(""))
-            ends = np.append(0, 4 * np.cumsum(n))
-            if ends[-1] >= 1 << 31:
-                raise ValueError("ids of a run of texts don't fit a batch")
-            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([*columns, packed], [*run.schema.names, into])
+        for b in batches:
+            packed = [m.encode_packed(t or "") for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packed, pa.binary())], [*b.schema.names, into])
 
     length = F.coalesce(F.length("text"), F.lit(0))
     short = map_rows(docs.where(length <= giant), whole, T.StructField(into, T.BinaryType()))
@@ -481,7 +479,7 @@ def round_trip(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHU
     schema = f"doc_id {id_type}, n_pieces bigint, ids_crc32 bigint, decoded_crc32 bigint, exact boolean"
 
     def both(batches):
-        m = loaded(model)
+        m = loaded(model, MEMO_ALONE)
         for run in runs_of(batches):
             texts = run.column("text").combine_chunks().fill_null("")
             ids, n = m.encode_many(texts)
