@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("retrieval", "evaluation", "serving", "audits", "corpus", "streams", "sources", "parsing")
+MODULES = ("retrieval", "evaluation", "serving", "audits", "corpus", "streams", "sources", "parsing", "lists")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

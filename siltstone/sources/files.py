@@ -10,12 +10,13 @@ import zipfile
 from collections.abc import Callable
 from xml.etree import ElementTree
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.operators import numbering
+
 CHUNK = T.StructType([T.StructField(n, T.StringType()) for n in ("chunk_id", "chunk_key", "chunk_type", "content", "article_code", "article_title", "document_id", "source_document_id")])
 MOST_BYTES, MOST_UNPACKED = 10 << 20, 50 << 20
 KINDS = {".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".txt": "text/plain", ".pdf": "application/pdf"}
@@ -75,16 +76,16 @@ def docx_lines(content: bytes) -> list[str]:
 
 
 def number_text(n: int, form: str) -> str:
-    """A list number in a form of the word processor: decimal, letters, roman."""
+    """A list number in a form of the word processor: decimal, letters (A to Z, AA, AB), roman."""
     if form in ("lowerLetter", "upperLetter"):
-        s = chr(ord("a") + (n - 1) % 26) * ((n - 1) // 26 + 1)
-    elif form in ("lowerRoman", "upperRoman"):
         s = ""
-        for v, r in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
-            s += r * (n // v)
-            n %= v
+        while n:
+            n, last = divmod(n - 1, 26)
+            s = chr(ord("a") + last) + s
+    elif form in ("lowerRoman", "upperRoman") and 0 < n < 4000:
+        s = "".join(row[n // 10**place % 10] for row, place in zip(numbering.ROMAN, (3, 2, 1, 0), strict=True)).lower()
     else:
-        return str(n)
+        return f"{n:02d}" if form == "decimalZero" else str(n)
     return s.upper() if form.startswith("upper") else s
 
 
@@ -255,28 +256,6 @@ def with_retry(fetch: Callable[[str], tuple[int, dict, bytes]], url: str, tries:
 
 
 def numbered(paragraphs: DataFrame, levels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Paragraphs (key, pos, num_id, level, text) with `label`, the number that an office program shows. A level counts on
-    until a paragraph of a lower level of the same list comes, then from its start. levels: num_id, level, start, format,
-    pattern (like %1.%2)."""
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts: dict[tuple, int] = {}
-        out = []
-        for r in pdf.sort_values("pos").itertuples():
-            text = None
-            if r.format is not None and r.format == r.format:
-                level = int(r.level)
-                for k in [k for k in counts if k[0] == r.num_id and k[1] > level]:
-                    del counts[k]
-                counts[r.num_id, level] = counts.get((r.num_id, level), int(r.start) - 1) + 1
-                text = r.pattern
-                for k in range(level + 1):
-                    fmt = formats.get((r.num_id, k), ("decimal", 1))
-                    text = text.replace(f"%{k + 1}", number_text(counts.get((r.num_id, k), fmt[1]), fmt[0]))
-            out.append((getattr(r, key), r.pos, text, r.text))
-        return pd.DataFrame(out, columns=[key, "pos", "label", "text"])
-
-    formats = {(r["num_id"], r["level"]): (r["format"], r["start"]) for r in levels.limit(10_000).collect()}  # the levels of a template's lists
-    kind = dict(paragraphs.dtypes)
-    rows = paragraphs.join(F.broadcast(levels), ["num_id", "level"], "left")
-    return rows.groupBy(key).applyInPandas(label, f"{key} {kind[key]}, pos {kind['pos']}, label string, text string")
+    """Paragraphs (key, pos, num_id, level, text) with `label`, the number that an office program shows. levels: num_id,
+    level, start, format, pattern (like %1.%2), and restart, if there are rules; see operators.numbering."""
+    return numbering.numbered(paragraphs, levels, key)
