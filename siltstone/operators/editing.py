@@ -66,25 +66,29 @@ def unique_title_paths(titles: DataFrame, paragraphs: DataFrame, key: str = "doc
     return found.groupBy(key).applyInPandas(count, f"{key} {titles.schema[key].dataType.simpleString()}, paths long")
 
 
-def match_without_reuse(scores: DataFrame, least: float, question: str = "item_id", left: str = "old_id", right: str = "new_id", score: str = "score") -> DataFrame:
+def match_without_reuse(scores: DataFrame, least: float, where: str, question: str = "item_id", left: str = "old_id", right: str = "new_id", score: str = "score", turn: str | None = None) -> DataFrame:
     """Greedy matches inside each question: the best pair first, no id twice, none under `least`; the runner-up's score
-    of each left id is kept. Ties go by ids."""
+    of each left id is kept. Ties go by ids. With a column `turn`, left ids choose in its order instead, each the best that
+    is left.
+
+    Pairs that are best for both of their sides are what the greedy way would take sooner or later, so each round takes all
+    of them at once and strikes out what they use up. A question's pairs needn't meet in one task; rounds are as many as the
+    longest line of pairs that wait for one another, and each is written below `where`.
+    """
     best_two = scores.withColumn("_n", F.row_number().over(Window.partitionBy(question, left).orderBy(F.desc(score), right)))
     second = best_two.where("_n = 2").select(question, left, F.col(score).alias("runner_up"))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, left, right], ascending=[False, True, True])
-        a, b, rows = set(), set(), []
-        for r in pdf.to_dict("records"):
-            if r[score] >= least and r[left] not in a and r[right] not in b:
-                a.add(r[left])
-                b.add(r[right])
-                rows.append(r)
-        return pd.DataFrame(rows, columns=[question, left, right, score])
-
-    cols = [question, left, right, score]
-    schema = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in cols)
-    return scores.select(cols).groupBy(question).applyInPandas(match, schema).join(second, [question, left], "left")
+    lefts = Window.partitionBy(question, left).orderBy(F.desc(score), right)
+    rights = Window.partitionBy(question, right).orderBy(*([turn] if turn else []), F.desc(score), left)
+    open_pairs = scores.where(F.col(score) >= least).select(question, left, right, score, *([turn] if turn else []))
+    found: DataFrame | None = None
+    for i in itertools.count():
+        ranked = open_pairs.withColumn("_l", F.row_number().over(lefts)).withColumn("_r", F.row_number().over(rights))
+        ranked = materialize(ranked.withColumn("_took", (F.col("_l") == 1) & (F.col("_r") == 1)), f"{where}/{i}")
+        took = ranked.where("_took").select(question, left, right, score)
+        found = took if found is None else found.unionByName(took)
+        if ranked.where("not _took").isEmpty():
+            return found.join(second, [question, left], "left")
+        open_pairs = ranked.drop("_l", "_r", "_took").join(took.select(question, left), [question, left], "left_anti").join(took.select(question, right), [question, right], "left_anti")
 
 
 def formula_links(units: DataFrame, key: str = "doc_id") -> DataFrame:

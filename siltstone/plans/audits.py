@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import sequence_ratio, squeeze, token_f1, words
+from siltstone.operators.editing import match_without_reuse
 from siltstone.plans.registry import query, table
+from siltstone.session import materialize, work_dir
 
 
 @query(
@@ -105,8 +107,8 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fuzzy_rebind")
 def fuzzy_rebind(spark: SparkSession, sf: str) -> DataFrame:
-    """Best match inside one article: to each benchmark item, over documents that hold its first five words, by token F1 and
-    sequence ratio of the item with the line it stands in."""
+    """Best matches inside one source, no document twice: of benchmark items with documents that hold their first five
+    words, by token F1 and sequence ratio of the item with the line it stands in."""
     from siltstone.plans.evaluation import gold
 
     hit = gold(spark, sf).join(table(spark, sf, "benchmark").withColumnRenamed("text", "item"), "item_id").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
@@ -114,4 +116,6 @@ def fuzzy_rebind(spark: SparkSession, sf: str) -> DataFrame:
     f1 = line.withColumn("f1", token_f1(words(F.col("item")), words(F.col("line"))))
     best = f1.withColumn("n", F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy(F.desc("f1"), "line"))).where("n = 1")
     scored = best.withColumn("score", F.round(0.5 * F.col("f1") + 0.5 * sequence_ratio("item", "line"), 6))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("place <= 2").select("item_id", "doc_id", "source", "score", "place")
+    where = work_dir(spark, "rebind")
+    scored = materialize(scored.select("item_id", "doc_id", "source", "score"), f"{where}/scores")
+    return match_without_reuse(scored, 0.2, f"{where}/rounds", "source", "item_id", "doc_id").select("item_id", "doc_id", "source", "score", "runner_up")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import numbering as N
+from siltstone.operators.editing import match_without_reuse
+from siltstone.operators.splits import split_without_leaks
 from siltstone.plans.registry import query, table
 from siltstone.session import work_dir
 
@@ -58,3 +60,43 @@ def word_numbering(spark: SparkSession, sf: str) -> DataFrame:
         own.cast("int").alias("num_id"), F.when(F.col("l_quantity") % 3 == 0, F.col("l_partkey") % 4).cast("int").alias("level"), F.lit("").alias("text"),
     )
     return N.numbered(N.listed(rows, lists), defined).select("doc_id", "pos", "label")
+
+
+@query(
+    "greedy_matches",
+    """WITH RECURSIVE s AS (SELECT l_suppkey AS q, l_orderkey AS a, l_partkey AS b, max(round(l_quantity + l_linenumber / 10, 1)) AS s FROM lineitem GROUP BY ALL),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, a, b) AS i FROM s WHERE s >= 10),
+g AS (SELECT DISTINCT q, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, false AS took, CAST([] AS BIGINT[]) AS la, CAST([] AS BIGINT[]) AS lb FROM r
+  UNION ALL SELECT g.q, r.i, r.a, r.b, f.free, CASE WHEN f.free THEN list_append(la, r.a) ELSE la END, CASE WHEN f.free THEN list_append(lb, r.b) ELSE lb END FROM g JOIN r ON r.q = g.q AND r.i = g.i + 1, LATERAL (SELECT NOT list_contains(la, r.a) AND NOT list_contains(lb, r.b) AS free) f),
+u AS (SELECT q, a, s AS runner_up FROM s QUALIFY row_number() OVER (PARTITION BY q, a ORDER BY s DESC, b) = 2)
+SELECT g.q AS supplier, g.a AS order_id, g.b AS part, CAST(r.s AS DOUBLE) AS score, CAST(u.runner_up AS DOUBLE) AS runner_up FROM g JOIN r USING (q, i) LEFT JOIN u ON u.q = g.q AND u.a = g.a WHERE took""",
+)
+def greedy_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders and parts of each supplier, matched by score, none twice."""
+    score = F.max(F.round(F.col("l_quantity") + F.col("l_linenumber") / 10, 1)).cast("double")
+    scores = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("supplier"), F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("part")).agg(score.alias("score"))
+    return match_without_reuse(scores, 10, work_dir(spark, "matches"), "supplier", "order_id", "part")
+
+
+SHARES = {"dev": 0.6, "test": 0.25, "held": 0.15}
+
+
+@query(
+    "leak_free_split",
+    """WITH RECURSIVE i AS (SELECT o_orderkey AS item_id, o_orderpriority AS category FROM orders),
+k AS MATERIALIZED (SELECT o_orderkey AS item_id, concat('a:c', o_custkey) AS x FROM orders UNION SELECT o_orderkey, concat('a:d', o_orderkey // 512) FROM orders WHERE o_orderkey % 64 = 0),
+e AS MATERIALIZED (SELECT DISTINCT a.x, b.x AS y FROM k a JOIN k b USING (item_id)),
+r AS (SELECT x, x AS y FROM k UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+c AS MATERIALIZED (SELECT x, min(y) AS component FROM r GROUP BY x),
+n AS MATERIALIZED (SELECT item_id, category, min(component) AS component FROM i JOIN k USING (item_id) JOIN c USING (x) GROUP BY ALL),
+z AS (SELECT component, sum(m) AS size, arg_min(category, (-m, category)) AS kind FROM (SELECT component, category, count(*) AS m FROM n GROUP BY ALL) GROUP BY component),
+p AS (SELECT *, (sum(size) OVER (PARTITION BY kind ORDER BY md5(component), component ROWS UNBOUNDED PRECEDING) - size / 2) / sum(size) OVER (PARTITION BY kind) AS middle FROM z)
+SELECT item_id, category, component, CAST(size AS BIGINT) AS size, CASE WHEN middle < 0.6 THEN 'dev' WHEN middle < 0.85 THEN 'test' ELSE 'held' END AS split FROM n JOIN p USING (component)""",
+)
+def leak_free_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders in three sides; those of one customer, or of some neighbouring numbers, stay together."""
+    orders = table(spark, sf, "orders")
+    n = F.col("o_orderkey")
+    links = orders.select(n.alias("item_id"), F.explode(F.array(F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.when(n % 64 == 0, F.concat(F.lit("d"), F.floor(n / 512).cast("string"))))).alias("article"))
+    items = orders.select(n.alias("item_id"), F.col("o_orderpriority").alias("category"))
+    return split_without_leaks(items, links, SHARES, work_dir(spark, "split")).select("item_id", "category", "component", "size", "split")

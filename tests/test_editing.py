@@ -1,5 +1,7 @@
+import random
 from itertools import product
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -27,15 +29,34 @@ def test_paths_by_enumeration(places):
     assert E.increasing_paths(places) == min(2, n)
 
 
-def test_title_paths_and_matches(spark):
+def test_title_paths_and_matches(spark, tmp_path):
     t = spark.createDataFrame([(1, 1, "One"), (1, 2, "Two"), (2, 1, "One")], "doc_id long, no int, title string")
     p = spark.createDataFrame([(1, 0, "one"), (1, 3, "two "), (1, 5, "x"), (2, 0, "one"), (2, 4, "ONE")], "doc_id long, pos int, text string")
     assert {r.doc_id: r.paths for r in E.unique_title_paths(t, p).collect()} == {1: 1, 2: 2}
     s = spark.createDataFrame([(1, "a", "x", 0.9), (1, "b", "x", 0.8), (1, "b", "y", 0.7), (1, "c", "z", 0.1)], "item_id long, old_id string, new_id string, score double")
-    got = {r.old_id: (r.new_id, r.runner_up) for r in E.match_without_reuse(s, 0.5).collect()}
+    got = {r.old_id: (r.new_id, r.runner_up) for r in E.match_without_reuse(s, 0.5, str(tmp_path)).collect()}
     assert got == {"a": ("x", None), "b": ("y", 0.7)}
 
 
+@pytest.mark.parametrize("turn", [None, "turn"])
+def test_matches_are_those_of_going_in_order(spark, tmp_path, turn):
+    """Few distinct scores, so that many pairs tie; and one line of pairs that wait for one another."""
+    r = random.Random(1)
+    rows = [(q, a, b, r.randint(0, 8) / 8, a * 7 % 11) for q in range(12) for a in range(9) for b in range(20, 28) if r.random() < 0.6]
+    rows += [(99, a, b, 1 - (a + b) / 100, a) for a in range(12) for b in (a, a + 1)]
+    got = E.match_without_reuse(spark.createDataFrame(rows, "item_id long, old_id long, new_id long, score double, turn int").repartition(4), 0.25, str(tmp_path), turn=turn)
+    want = {}
+    for q in {x[0] for x in rows}:
+        used = set()
+        for _, a, b, s, _ in sorted((x for x in rows if x[0] == q and x[3] >= 0.25), key=lambda x: ((x[4],) if turn else ()) + (-x[3], x[1], x[2])):
+            if ("l", a) not in used and ("r", b) not in used:
+                used |= {("l", a), ("r", b)}
+                every = sorted((x[3] for x in rows if x[:2] == (q, a)), reverse=True)
+                want[q, a] = (b, s, every[1] if len(every) > 1 else None)
+    assert {(x.item_id, x.old_id): (x.new_id, x.score, x.runner_up) for x in got.collect()} == want
+    assert E.match_without_reuse(spark.createDataFrame([], "item_id long, old_id long, new_id long, score double, turn int"), 0.1, str(tmp_path / "none")).count() == 0
+
+
 def test_formulas(spark):
     assert E.linear_formula([["X =", "a  b", "x 100%"], ["c"]]) == "X = (a b / c) x 100%" and E.linear_formula([["a"]]) is None
     assert E.column_code_row(["(1)", "(2)"]) and not E.column_code_row(["Name", "1"])
