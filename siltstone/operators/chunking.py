@@ -26,6 +26,9 @@ SENTENCE = r"[.!?]+[\"'”’)]*(?=\s|$)"
 SEMICOLON = r";(?=\s|$)"
 COMMA = r",(?=\s|$)"
 LEADING_MARK = re.compile(r"\s*(?:\d+[a-zA-ZđĐ]?|[a-zA-ZđĐ]\d*)[.)]\s+")
+OPENING_END = re.compile(r"[:;]|[.!?](?=\s|$)")
+#: Marks that open a part belong to the end of the one before.
+STRAY = re.compile(r"[\s:;.,]*")
 BLANKS, WORD = re.compile(r"\s*"), re.compile(r"\S+")
 CLAUSE, POINT = re.compile(r"(\d+[a-zA-ZđĐ]?)\.\s+\S"), re.compile(r"([a-zđ])\)\s+\S")
 SUBPOINT = re.compile(r"(?:^|(?<=[\n;:]))\s*(?=[a-zđĐ]\d+\))")
@@ -120,7 +123,7 @@ def split_recursive(text: str, size: int, overlap: int = 0, count: Counter = est
 def split_to_fit(text: str, budget: int, count: Counter = estimated) -> list[str]:
     """Parts without overlap, cut at the last sentence end within the budget, else semicolon, comma, blank; a word that
     alone is too long is cut by characters, or kept whole where the budget covers none. A mark like `1.` that opens a part
-    is no sentence."""
+    is no sentence; stray marks that a cut leaves in front of a part end the part before."""
     body = text.strip()
     ruler = ruler_for(count)(body)
     marks = [[m.end() for m in re.finditer(p, body)] for p in (SENTENCE, SEMICOLON, COMMA)] + [[m.start() for m in re.finditer(r"\s+", body)]]
@@ -128,45 +131,32 @@ def split_to_fit(text: str, budget: int, count: Counter = estimated) -> list[str
     begin = 0
     while begin < len(body):
         end = ruler.reach(begin, budget)
-        if end == len(body):
-            parts.append(body[begin:])
-            break
         opened = LEADING_MARK.match(body, begin)
         least = [opened.end() + 1 if opened else begin + 1, begin + 1, begin + 1, begin + 1]
-        cut = next((c for m, low in zip(marks, least, strict=True) if (c := last_mark(m, low, end)) is not None), None)
+        cut = end if end == len(body) else next((c for m, low in zip(marks, least, strict=True) if (c := last_mark(m, low, end)) is not None), None)
         if cut is None:
             word = WORD.match(body, begin).end()
             cut = min(end, word) if end > begin else word
-        parts.append(body[begin:cut].rstrip())
+        shown = STRAY.match(body, begin, cut).end() if parts else begin
+        if shown > begin:
+            parts[-1] += body[begin:shown].rstrip()
+        if shown < cut:
+            parts.append(body[shown:cut].rstrip())
         begin = BLANKS.match(body, cut).end()
-    return tidy(parts)
-
-
-def tidy(parts: list[str]) -> list[str]:
-    """Marks that open a part go to the end of the one before."""
-    out: list[str] = []
-    for part in map(str.strip, parts):
-        lead = re.match(r"[\s:;.,]+", part) if out else None
-        if lead:
-            out[-1] += lead[0].rstrip()
-            part = part[lead.end() :].strip()
-        if part:
-            out.append(part)
-    return out
+    return parts
 
 
 def point_context(text: str, most: int = CONTEXT) -> str:
-    """What leads the parts of a split point: up to the first colon, semicolon or sentence end behind its mark, if that is
-    near; else the text, or its words within the bound and a sign that it goes on."""
+    """What leads the parts of a split point: its opening, up to the first colon, semicolon or sentence end behind its mark,
+    or all of it where there is none. Of one longer than the bound the words within it, and a sign that it goes on."""
     text = text.strip()
-    opened = LEADING_MARK.match(text)
-    found = re.compile(r"[:;]|[.!?](?=\s|$)").search(text, opened.end() if opened else 0)
-    if found and found.end() <= most:
-        return text[: found.end()].strip()
-    if len(text) <= most:
-        return text
-    head = text[:most].rstrip()
-    return head[: head.rfind(" ") if " " in head else len(head)].rstrip(" ,;:") + " …"
+    mark = LEADING_MARK.match(text)
+    ends = [m.end() for m in OPENING_END.finditer(text, mark.end() if mark else 0)]
+    opening = text[: ends[0]] if ends else text
+    if len(opening) <= most:
+        return opening
+    kept, _, rest = text[:most].rstrip().rpartition(" ")
+    return f"{(kept or rest).rstrip(' ,;:')} …"
 
 
 def breadcrumb(parts: Sequence[tuple[str, str | None]]) -> str:

@@ -95,7 +95,7 @@ def test_marks_lead_their_text():
     """A mark that opens a part isn't cut off as a sentence, and marks don't open a part."""
     assert C.split_to_fit("1. alpha beta gamma delta", 4) == ["1. alpha", "beta gamma delta"]
     assert C.split_to_fit("One two three. Four five six; seven eight", 6) == ["One two three.", "Four five six;", "seven eight"]
-    assert C.split_to_fit("abc", 0) == ["abc"] and C.tidy(["a", ", b"]) == ["a,", "b"]
+    assert C.split_to_fit("abc", 0) == ["abc"] and C.split_to_fit("a , b", 1) == ["a,", "b"] and C.split_to_fit("a ; . b", 1) == ["a;.", "b"]
     assert C.point_context("a) Các trường hợp sau: x y") == "a) Các trường hợp sau:" and C.point_context("w " * 300).endswith("w …")
 
 
