@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.plans.registry import query, table
+from siltstone.session import work_dir
+from siltstone.streaming import expiry as E
 from siltstone.streaming import sessions as S
 
 
@@ -20,3 +22,19 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 )
 def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return S.sessions(table(spark, sf, "events"))
+
+
+@query(
+    "expired_sessions",
+    """WITH e AS (SELECT user_id, ts, event_type = 'error' AS revoke, lag(ts) OVER w AS before, coalesce(lag(event_type) OVER w = 'error', true) AS was_revoked, lead(ts) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)), m AS (SELECT max(ts) AS now FROM events),
+c AS (SELECT user_id, CASE WHEN revoke THEN 'revoked' ELSE 'active' END AS state, ts AS since FROM e WHERE before IS NULL OR revoke <> was_revoked OR NOT revoke AND NOT was_revoked AND ts >= before + INTERVAL 7 DAY
+  UNION ALL SELECT user_id, 'expired', ts + INTERVAL 7 DAY FROM e, m WHERE NOT revoke AND ts + INTERVAL 7 DAY <= coalesce(next, now))
+SELECT user_id, state, since FROM c""",
+)
+def expired_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every change of a session in a stream of all events: begun, revoked, expired after 7 days."""
+    events = table(spark, sf, "events")
+    where = work_dir(spark, "sessions")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")  # a pattern, for a stream's folder may not be a file
+    E.record_changes(E.session_changes(stream), f"{where}/changes", f"{where}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{where}/changes").selectExpr("user_id", "state", "cast(since as timestamp_ntz) as since")
