@@ -1,4 +1,4 @@
-"""Queries of list numbers, matches, splits: inputs follow from the tables' numbers."""
+"""Queries of list numbers, matches, splits and index versions: inputs follow from the tables' numbers."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from siltstone.operators.editing import match_without_reuse
 from siltstone.operators.splits import split_without_leaks
 from siltstone.plans.registry import query, table
 from siltstone.session import work_dir
+from siltstone.sources import versions as V
 
 #: Lists of a template: definitions, lists, what lists override, and styles with their ancestors.
 LEVELS = [("A", 0, 1, "upperRoman", "Chương %1", None), ("A", 1, 1, "decimal", "%1.%2.", None), ("A", 2, 1, "lowerLetter", "%3)", None), ("A", 3, 1, "decimalZero", "%3-%4", 0),
@@ -100,3 +101,26 @@ def leak_free_split(spark: SparkSession, sf: str) -> DataFrame:
     links = orders.select(n.alias("item_id"), F.explode(F.array(F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.when(n % 64 == 0, F.concat(F.lit("d"), F.floor(n / 512).cast("string"))))).alias("article"))
     items = orders.select(n.alias("item_id"), F.col("o_orderpriority").alias("category"))
     return split_without_leaks(items, links, SHARES, work_dir(spark, "split")).select("item_id", "category", "component", "size", "split")
+
+
+@query(
+    "index_versions",
+    """WITH r(reader, later) AS (VALUES ('pinned', 0), ('current', 1), ('rolled back', 0), ('first commit', 0))
+SELECT reader, doc_id, CAST(n_chars + later AS BIGINT) AS n_chars, CASE WHEN later = 1 THEN 'b' ELSE 'a' END AS version FROM documents, r""",
+)
+def index_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as readers see them: one that began before a switch, one after it, one after going back, one of a commit."""
+    docs, root = table(spark, sf, "documents").select("doc_id", "n_chars"), work_dir(spark, "index")
+    n = V.write_version(docs, root, "a", "fa")
+    first = V.commit(spark, root, "a", "fa", n, after=0)
+    readers = {"pinned": V.read_index(spark, root)}
+    V.write_version(docs.withColumn("n_chars", F.col("n_chars") + 1), root, "b", "fb")
+    V.commit(spark, root, "b", "fb", n, after=first.number)
+    readers["current"] = V.read_index(spark, root)
+    V.roll_back(spark, root)
+    readers |= {"rolled back": V.read_index(spark, root), "first commit": V.read_index(spark, root, first.number)}
+    out = None
+    for name, df in readers.items():
+        rows = df.select(F.lit(name).alias("reader"), "doc_id", "n_chars", F.col("_index_version").alias("version"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

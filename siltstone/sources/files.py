@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.operators import numbering
+from siltstone.sources import versions
 
 CHUNK = T.StructType([T.StructField(n, T.StringType()) for n in ("chunk_id", "chunk_key", "chunk_type", "content", "article_code", "article_title", "document_id", "source_document_id")])
 MOST_BYTES, MOST_UNPACKED = 10 << 20, 50 << 20
@@ -176,19 +177,18 @@ def write_index(chunks: DataFrame, root: str, version: str, fingerprint: str, ke
 
 
 def activate(spark: SparkSession, root: str, version: str, fingerprint: str, expected: int, view: str, verify_only: bool = False) -> str:
-    """Point a view at a version whose rows all bear the fingerprint and are as many as expected. Returns verified,
-    created, switched or already_active."""
-    df = spark.read.parquet(f"{root}/{version}")
-    n, ours = df.agg(F.count(F.lit(1)), F.count_if(F.col("_index_fingerprint") == fingerprint)).first()
-    if not n == ours == expected:
-        raise CorpusError(f"index {version}: {n} rows, {ours} of the fingerprint, {expected} expected")
+    """Make a version count whose rows all bear the fingerprint and are as many as expected, for every session that reads
+    the index (see versions), and point this session's view at it. Returns verified, created, switched or already_active."""
+    try:
+        versions.verify(spark, root, version, fingerprint, expected)
+    except versions.VersionError as e:
+        raise CorpusError(str(e)) from e
     if verify_only:
         return "verified"
-    before = spark.table(view).select("_index_version").first()[0] if spark.catalog.tableExists(view) else None
-    if before == version:
-        return "already_active"
-    df.createOrReplaceTempView(view)
-    return "switched" if before else "created"
+    before = versions.commit_of(spark, root)
+    versions.commit(spark, root, version, fingerprint, expected, before.number if before else 0)
+    versions.read_index(spark, root).createOrReplaceTempView(view)
+    return "created" if before is None else "already_active" if before.version == version else "switched"
 
 
 def write_sorted_json(df: DataFrame, path: str, *order: str) -> None:
