@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.plans.registry import query, table
 from siltstone.session import work_dir
 from siltstone.streaming import expiry as E
+from siltstone.streaming import panel as A
 from siltstone.streaming import sessions as S
 
 
@@ -38,3 +40,25 @@ def expired_sessions(spark: SparkSession, sf: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]")  # a pattern, for a stream's folder may not be a file
     E.record_changes(E.session_changes(stream), f"{where}/changes", f"{where}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{where}/changes").selectExpr("user_id", "state", "cast(since as timestamp_ntz) as since")
+
+
+@query(
+    "panel_records",
+    """SELECT item_id, model, CASE WHEN (item_id + length(model)) % 7 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN (item_id + length(model)) % 7 <> 0 THEN concat(model, ':', length(text)) END AS answer
+FROM benchmark, (VALUES ('small'), ('large-one'), ('other')) AS m(model)""",
+)
+def panel_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark item put to three models by a stand-in that fails for some; the panel is stopped and begun anew, with
+    a new checkpoint, and asks nothing again."""
+    items = table(spark, sf, "benchmark")
+    where = work_dir(spark, "panel")
+    leases = A.Leases(spark, f"{where}/leases", "one")
+    fails = (F.col("item_id") + F.length("model")) % 7 == 0
+
+    def answer(tasks: DataFrame) -> DataFrame:
+        return tasks.select("item_id", "model", F.when(fails, "error").otherwise("success").alias("status"), F.when(~fails, F.concat_ws(":", "model", F.length("text").cast("string"))).alias("answer"))
+
+    for attempt in (1, 2):
+        stream = spark.readStream.schema(items.schema).parquet(f"{sf}/benchmark.parque[t]")
+        A.panel(stream, ["small", "large-one", "other"], answer, f"{where}/records", f"{where}/checkpoint-{attempt}", leases).awaitTermination()
+    return A.read_records(spark, f"{where}/records")

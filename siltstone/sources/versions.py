@@ -35,7 +35,7 @@ class Commit:
     rows: int
 
 
-def _files(spark: SparkSession, path: str):
+def files_of(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -46,7 +46,7 @@ def _place(root: str, number: int) -> str:
 
 def commits(spark: SparkSession, root: str) -> list[int]:
     """Numbers of the entries, in order."""
-    p, fs = _files(spark, f"{root}/{LOG}")
+    p, fs = files_of(spark, f"{root}/{LOG}")
     if not fs.exists(p):
         return []
     names = (s.getPath().getName() for s in fs.listStatus(p))
@@ -64,7 +64,7 @@ def commit_of(spark: SparkSession, root: str, number: int | None = None) -> Comm
     return Commit(**json.loads(text))
 
 
-def _put_once(spark: SparkSession, path: str, text: str) -> bool:
+def put_once(spark: SparkSession, path: str, text: str) -> bool:
     """Put a whole file in place, unless one is there."""
     parts = urlparse(path)
     own = f"{path}.{uuid.uuid4().hex}.tmp"
@@ -80,7 +80,7 @@ def _put_once(spark: SparkSession, path: str, text: str) -> bool:
         finally:
             os.remove(own)
         return True
-    p, fs = _files(spark, own)
+    p, fs = files_of(spark, own)
     out = fs.create(p, False)
     out.write(bytearray(text.encode()))
     out.close()
@@ -119,7 +119,7 @@ def commit(spark: SparkSession, root: str, version: str, fingerprint: str, expec
     if last and last.number == seen and last.version == version:
         return last
     new = Commit(seen + 1, version, fingerprint, rows)
-    if seen != (last.number if last else 0) or not _put_once(spark, _place(root, new.number), json.dumps(new.__dict__)):
+    if seen != (last.number if last else 0) or not put_once(spark, _place(root, new.number), json.dumps(new.__dict__)):
         raise CommitConflict(f"commit {new.number} of {root} is another writer's")
     return new
 

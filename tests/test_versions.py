@@ -62,7 +62,7 @@ def test_one_of_two_writers_wins(spark, root):
     assert won in "bc" and results.count(won) == 1 and results.count("lost") == 5
     with pytest.raises(V.CommitConflict):
         V.commit(spark, root, "c" if won == "b" else "b", "fc" if won == "b" else "fb", 5, after=1)
-    assert V._put_once(spark, f"{root}/once", "x") and not V._put_once(spark, f"{root}/once", "y")
+    assert V.put_once(spark, f"{root}/once", "x") and not V.put_once(spark, f"{root}/once", "y")
 
 
 def test_activation_is_seen_by_other_sessions(spark, root):
