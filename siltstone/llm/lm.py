@@ -22,8 +22,9 @@ counted in each part, where a word in several parts counts once in each. The con
 a text; a context that wasn't seen gives way to the next lower level.
 
 Defined cases: a null or empty text is one end token; a null doc_id counts as held out; repeated rows count each; where
-nothing is trained on, all scores are 0; very long texts are scored whole; an empty table gives no rows; ties don't arise;
-extra columns are ignored.
+nothing is trained on, all scores are 0; very long texts are scored whole, of any number of distinct words; an empty table
+gives no rows; ties don't arise; extra columns are ignored. Words are told apart by 64-bit hashes, and keys of two words are
+one 64-bit number, so more than 2^32 - 2 distinct words in all are an error.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ PART_TOKENS, PART_WORDS = 3_000_000, 500_000
 AT_ONCE, HELD = 1 << 22, 4_000_000
 #: Parts of each level that a worker keeps open.
 MOST_OPEN = 2_000
+#: Distinct words from which a triple of their places doesn't fit 63 bits.
+ONE_KEY = 1 << 21
 #: What no word hashes from: it holds a blank.
 END = b" "
 #: Codes of probabilities: 0 is none, each further one a step down from 1 in powers of ten.
@@ -86,18 +89,22 @@ def index(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _END_HASH = np.array([xxhash.xxh64_intdigest(END)], np.uint64)
 
 
-def triples(hashes: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct triples of a run of texts as numbers (b * n + a) * n + c of places among its words, in order, where n - 1
+def triples(hashes: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct triples of a run of texts as contexts (b * n + a) and words c, places among its words, in order, where n - 1
     stands for what is before the end before a text; and of each token its triple."""
     n = len(hashes) + 1
-    if n >= 1 << 21:
-        raise ValueError("too many distinct words in a run of texts")
     starts = np.cumsum(sizes) - sizes
     b = np.roll(at, 1)
     b[starts] = np.searchsorted(hashes, _END_HASH)[0]
     a = np.roll(b, 1)
     a[starts] = n - 1
-    return np.unique((b * n + a) * n + at, return_inverse=True)
+    if n < ONE_KEY:
+        key, token = np.unique((b * n + a) * n + at, return_inverse=True)
+        return *np.divmod(key, n), token
+    # Three places don't fit one number: contexts are numbered first, and there are no more of them than tokens.
+    context, of = np.unique(b * n + a, return_inverse=True)
+    key, token = np.unique(of * n + at, return_inverse=True)
+    return context[key // n], key % n, token
 
 
 def _groups(batches, columns, at_once):
@@ -385,9 +392,8 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
         words, borders = shared.value
         for (group,) in _groups(batches, ["text"], AT_ONCE):
             h, at, sizes = index(group)
-            key, place = triples(h, at, sizes)
+            context, c, place = triples(h, at, sizes)
             n = len(h) + 1
-            context, c = np.divmod(key, n)
             b, a = np.divmod(context, n)
             ids = np.append(words.find(h)[0], v).astype(np.uint64)
             keys = ids[b] * _U(width) + ids[a]
@@ -547,8 +553,7 @@ class Scorer:
         base = np.add.reduceat(np.log10(uni)[at], starts)
         known = np.add.reduceat((counts > 0).astype(np.int64)[at], starts)
         n = len(h) + 1
-        key, token = triples(h, at, sizes)
-        context, c = np.divmod(key, n)
+        context, c, token = triples(h, at, sizes)
         ids = np.append(ids, trie.v)
         # Level two, of the distinct pairs.
         pair, of_pair = np.unique(context // n * n + c, return_inverse=True)

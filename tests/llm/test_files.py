@@ -110,6 +110,22 @@ def plain_model(rows, discounts):
     return held, total, score, tri
 
 
+def test_triples_of_many_words(monkeypatch):
+    """Contexts numbered first give what one number for each triple gives, and any number of words fits."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 90, 50)) for _ in range(20)]
+    h, at, sizes = lm.index(texts)
+    one = lm.triples(h, at, sizes)
+    monkeypatch.setattr(lm, "ONE_KEY", 2)
+    assert all((x == y).all() for x, y in zip(one, lm.triples(h, at, sizes), strict=True))
+    monkeypatch.undo()
+    n = lm.ONE_KEY + 10
+    hashes = np.sort(np.append(np.arange(1, n, dtype=np.uint64), lm._END_HASH))
+    at = np.append(rng.permutation(n - 1), np.searchsorted(hashes, lm._END_HASH))
+    context, c, token = lm.triples(hashes, at, np.array([len(at)]))
+    assert (c[token] == at).all() and (context[token][2:] == at[1:-1] * (n + 1) + at[:-2]).all()
+
+
 @pytest.mark.parametrize("part", [300, 3_000_000])
 def test_scores_against_plain_counts(spark, monkeypatch, part):
     """Several parts, a frequent word and a frequent second word in more than one of them; and one part."""
