@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +30,7 @@ from siltstone.llm.stopwords import ALL
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-SKIPPED = frozenset("head script style noscript template iframe noframes noembed object applet svg canvas audio video map select datalist button textarea form fieldset input nav footer aside dialog menu search title".split())
+SKIPPED = frozenset("head script style noscript template iframe noframes noembed object applet svg canvas audio video map select datalist button textarea fieldset input nav footer aside dialog menu search title".split())
 ARTICLE = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NAMES = frozenset(
@@ -45,6 +45,8 @@ PLAIN = frozenset(
     "area articles article bar block body bottom box btn button buttons center col column container content count desktop element elements entry fixed float full global group head heading holder icon icons inline inner item items js label layout left "
     "link links list main mini mobile module news outer page panel part placement post posts primary region right row secondary section side site slot small sticky stories story tertiary text tile title tool tools top unit view wide wrap wrapper zone".split()
 )
+#: What may stand in a head; anything else ends it.
+HEAD_ONLY = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Whose end tags don't reach across a scope.
 SCOPED = frozenset("li dt dd td th tr p".split())
@@ -68,6 +70,7 @@ class Block:
     skipped: bool
     article: bool
     heading: bool
+    form: bool = False
 
 
 class _Open:
@@ -75,7 +78,7 @@ class _Open:
 
     __slots__ = ("name", "block", "adds", "ended")
 
-    def __init__(self, name: str, adds: tuple[bool, bool, bool, bool]):
+    def __init__(self, name: str, adds: tuple[bool, ...]):
         self.name, self.block, self.adds, self.ended = name, name in BLOCKS, adds, False
 
 
@@ -89,8 +92,8 @@ class _Parser:
         self.places: dict[str, list[int]] = {}
         self.scopes: list[int] = []
         self.block_places: list[int] = []
-        #: Open elements that are skipped, an article, a link, a heading.
-        self.depth = [0, 0, 0, 0]
+        #: Open elements that are skipped, an article, a link, a heading, a form.
+        self.depth = [0, 0, 0, 0, 0]
 
     def text(self, raw: str) -> None:
         if raw:
@@ -102,13 +105,16 @@ class _Parser:
             text = " ".join("".join(t for t, _ in self.run).split())
             if text:
                 links = sum(len("".join(t.split())) for t, linked in self.run if linked)
-                self.blocks.append(Block(text, links, self.depth[0] > 0, self.depth[1] > 0, self.depth[3] > 0))
+                self.blocks.append(Block(text, links, self.depth[0] > 0, self.depth[1] > 0, self.depth[3] > 0, self.depth[4] > 0))
             self.run = []
 
     def start(self, name: str, raw: str) -> None:
         if name == "br":
             self.run.append((" ", False))
             return
+        if name not in HEAD_ONLY and self.stack and self.stack[-1].name == "head":
+            self.end_block()
+            self._cut(len(self.stack) - 1)  # its end tag may be left out
         if name in BLOCKS:
             self.end_block()
             self._close_implied(name)
@@ -118,7 +124,7 @@ class _Parser:
             return
         attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
         article = name in ARTICLE or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
-        adds = (_skips(name, attributes, self.depth[1] > 0), article, name == "a", name in HEADINGS)
+        adds = (_skips(name, attributes, self.depth[1] > 0), article, name == "a", name in HEADINGS, name == "form")
         if name not in BLOCKS and not any(adds) and not self.places.get(name):
             return  # an inline element that changes nothing
         at = len(self.stack)
@@ -265,28 +271,43 @@ def density(text: str) -> float:
 def classify(blocks: list[Block]) -> list[bool]:
     """Whether each block is content.
 
-    First pass: boilerplate in an element that says so, or where most characters are links (but for an article's heading);
-    content where it is dense in function words, or long and not sparse in them; boilerplate where it is long and sparse
-    outside an article; else open. Second pass: an open block takes the label of the nearest decided blocks before and
-    behind it: content if both are, or if one is and it is a heading, or stands in an article, or isn't short.
-
-    An article element frames the text where at least half of the dense characters stand in one; then blocks outside are
-    boilerplate. Where no block of such a frame is dense, the language has no function words here: its blocks without
-    links are content.
+    First pass: boilerplate in an element that says so, or where most characters are links (but for an article's heading,
+    and for a whole paragraph of an article that is dense in function words); content where it is dense in function words,
+    or long and not sparse in them; boilerplate where it is long and sparse outside an article; else open. Second pass: an
+    open block takes the label of the nearest decided blocks before and behind it: content if both are, or if one is and it
+    is a heading, or stands in an article, or isn't short.
+
+    A form is boilerplate, but where more than half of the dense characters stand in forms: then the page is one. An article
+    element frames the text where at least half of the dense characters stand in one; then blocks outside are boilerplate.
+    Where no block of such a frame is dense, the language has no function words here: its blocks without links are content.
+    Where no block of the page is dense and nothing frames it, blocks without links are content if they are long in bytes,
+    and open if they aren't short.
     """
-    free = [not b.skipped and b.link_chars <= LINKS * len(b.text.replace(" ", "")) for b in blocks]
-    dense = [density(b.text) if x and len(b.text) >= SHORT else 0.0 for b, x in zip(blocks, free, strict=True)]
+    linked = [b.link_chars > LINKS * len(b.text.replace(" ", "")) for b in blocks]
+    found = [density(b.text) if not b.skipped and len(b.text) >= SHORT else 0.0 for b in blocks]
+    dense = [0.0 if x else d for d, x in zip(found, linked, strict=True)]
+    if any(b.form for b in blocks):
+        in_forms, others = (sum(len(b.text) for b, d in zip(blocks, dense, strict=True) if d >= SPARSE and b.form == side) for side in (True, False))
+        if in_forms <= others:
+            blocks = [replace(b, skipped=b.skipped or b.form) for b in blocks]
+            found, dense = ([0.0 if b.form else d for b, d in zip(blocks, line, strict=True)] for line in (found, dense))
+    free = [not b.skipped and not x for b, x in zip(blocks, linked, strict=True)]
     inside, outside = (sum(len(b.text) for b, d in zip(blocks, dense, strict=True) if d >= SPARSE and b.article == side) for side in (True, False))
     framed = any(b.article and not b.skipped for b in blocks) and inside >= outside
+    foreign = not framed and not any(d >= SPARSE for d in dense)
     labels: list[bool | None] = []
-    for b, x, d in zip(blocks, free, dense, strict=True):
+    for b, x, d, own in zip(blocks, free, dense, found, strict=True):
         size = len(b.text)
         if b.skipped or framed and not b.article:
             labels.append(False)
         elif not x:
-            labels.append(None if b.heading and b.article else False)
+            prose = b.article and size >= SHORT and (own >= DENSE and b.text[-1] in ".!?…" or own >= SPARSE and size >= LONG)
+            labels.append(True if prose else None if b.heading and b.article else False)
         elif "©" in b.text and size < LONG and not b.article:
             labels.append(False)
+        elif foreign:
+            width = len(b.text.encode("utf-8", "surrogatepass"))
+            labels.append(True if width >= LONG else None)
         elif size < SHORT:
             labels.append(None)
         elif d >= DENSE or size >= LONG and d >= SPARSE or b.article and d >= SPARSE:

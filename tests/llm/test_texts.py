@@ -134,6 +134,34 @@ def test_any_page_is_read(page):
     html_text.main_text(page)
 
 
+PROSE = "It was the best of times and it was the worst of times for all of them who had been there in the house of the old man, and that is what we had to say of it."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><meta charset=utf-8><title>x</title><body><p>{0}</p><p>{0}</p>", "{0} {0}"),  # no end of the head
+        ("<html><head><title>x</title><link rel=a><script>var a</script><p>{0}<p>{0}", "{0} {0}"),  # nor a body
+        ("<head><title>x</title><style>p{{}}</style><div><a href=/>Home</a></div><article><p>{0}</article>", "{0}"),
+        ("<head><noscript><meta></noscript><template><p>no</template></head><body><p>{0}</p>", "{0}"),
+        ("<body><form id=aspnetForm><div class=menu><a href=x>Home</a></div><article><h1>Of it</h1><p>{0}</p></article></form>", "Of it {0}"),  # the page is one form
+        ("<body><form id=f><p>{0}</p><p>{0}</p></form>", "{0} {0}"),
+        ("<body><p>{0}</p><form><p>Sign up for the best of our news and it is all for you and for them of the house.</p></form>", "{0}"),
+        ("<article><h1>Of it</h1><a href=/x><p>{0}</p></a></article>", "Of it {0}"),  # a link around a paragraph
+        ("<article><p>{0}</p><ul><li><a href=/x>Read of the old house and the man</a></ul></article>", "{0}"),
+    ],
+)
+def test_pages_that_came_out_empty(page, want):
+    assert html_text.main_text(page.format(PROSE)) == want.format(PROSE)
+
+
+def test_languages_without_function_words():
+    text = "春天的山谷里下了很久的雪" * 12
+    page = f"<body><div><a href=/>首页</a> <a href=/n>新闻</a></div><h1>山谷</h1><p>{text}</p><p>{text}</p><div><a href=x>{text}</a></div><p>© 公司</p>"
+    assert html_text.main_text(page) == f"山谷 {text} {text}"
+    assert html_text.main_text(f"<article><p>{text}</p></article>") == text
+
+
 SENTENCES = [
     "It was a long winter for the people of the valley, and the snow lay on the roofs until the end of March.", "The council said that it would look at the plans again, but there was no date for the vote.",
     "In the old days the ferry had crossed the river twice a day, and it was the only way to the market.", "Most of them had never been to the coast, so the first sight of the sea was a surprise to all.",
