@@ -5,7 +5,8 @@ if the lines labelled content hold enough of its characters. The field's weights
 labelled documents, or are the ones below where no labels of both kinds are there.
 
 The sample: SAMPLE documents at most, and SAMPLE_LINES lines of whole texts at most, both by order of a hash of the id and
-the text, so that a rerun takes the same ones. Only the features of their lines reach the driver.
+the text, so that a rerun takes the same ones; a text of more than TEXT_LINES lines, or of more than are left, is left out
+alone. Only the features of their lines reach the driver, of SAMPLE * TEXT_LINES lines at most.
 
 Defined cases: null and empty texts have no words and fail the base rules; very long texts are judged whole; repeated rows
 are judged each; ties between labels go to content; an empty table gives no rows, and no labels leave the prior weights;
@@ -29,7 +30,7 @@ SYMBOLS = "#*$%&|<>"
 NOTICE = re.compile(r"licen[sc]ed|copyright|©|all rights reserved|cookie|subscribe|sign up|log in|click here|terms of|privacy policy", re.IGNORECASE)
 LEAST_WORDS, MOST_REPEATED, CONTENT_SHARE = 50, 50, 0.5
 #: Most labelled documents, and lines of them, that the field is fitted on.
-SAMPLE, SAMPLE_LINES = 2000, 400_000
+SAMPLE, SAMPLE_LINES, TEXT_LINES = 2000, 400_000, 4000
 
 FEATURES = (
     "symbols over 2 %", "symbols over 8 %", "upper case over half", "upper case over 90 %", "few distinct words", "very few distinct words", "lone symbols among words", "exclamation marks", "no function word", "function words under 8 %",
@@ -250,7 +251,8 @@ def fitted(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, most
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.md5(F.col("text").cast("binary"))]
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(order[2]))).where("n = 1")  # of repeated ids one text
-    rows = rows.withColumn("lines", F.size(F.split("text", "\n"))).select("doc_id", "quality", "text", "lines", order[0].alias("place"))
+    few_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) < min(TEXT_LINES, most_lines)
+    rows = rows.where(few_lines).select("doc_id", "quality", "text", order[0].alias("place"))
 
     def features(batches):
         for b in batches:
@@ -258,13 +260,15 @@ def fitted(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, most
             bits = [np.array([sum(1 << i for i in f) for f in fs], "<u4").tobytes() for fs in found]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("place", "doc_id", "quality")), pa.array(bits, pa.binary())], ["place", "doc_id", "quality", "bits"])
 
-    # Whole texts as long as the lines of all before them keep to the bound: at most `sample` rows in one window.
-    before = F.sum("lines").over(Window.orderBy("place", "doc_id"))
-    kept = rows.withColumn("so_far", before).where(F.col("so_far") <= most_lines)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = kept.mapInArrow(features, f"place long, doc_id {kind}, quality int, bits binary").collect()
+    got = rows.mapInArrow(features, f"place long, doc_id {kind}, quality int, bits binary").collect()
     unpack = lambda bits: [tuple(i for i in range(len(FEATURES)) if x >> i & 1) for x in np.frombuffer(bits, "<u4").tolist()]
-    return fit_lines([(unpack(r["bits"]), r["quality"]) for r in sorted(got, key=lambda r: (r["place"], r["doc_id"]))])
+    taken, left = [], most_lines
+    for r in sorted(got, key=lambda r: (r["place"], r["doc_id"])):
+        if len(r["bits"]) // 4 <= left:
+            left -= len(r["bits"]) // 4
+            taken.append((unpack(r["bits"]), r["quality"]))
+    return fit_lines(taken)
 
 
 KINDS = (("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("content_share", pa.float64()))

@@ -104,6 +104,17 @@ def test_kept_against_all_labellings(spark):
         assert (x.base_failed, x.kept) == (failed, not failed and share >= quality.CONTENT_SHARE) and abs(x.content_share - share) < 1e-9
 
 
+def test_a_long_text_is_left_out_of_the_sample_alone(spark):
+    """Whichever text has more lines than the bounds allow, the others are fitted on."""
+    line = lambda i, good: "It was the best of times for all of them and that is it." if good else f"SALE!! $$$ ### {i}"
+    rows = [(i, "\n".join(line(i, i % 2) for _ in range(6))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    for longest in (0, 1, 17, 30):
+        docs = spark.createDataFrame([(i, "\n".join([t] * 100) if i == longest else t) for i, t in rows], "doc_id long, text string")
+        field = quality.fitted(docs, labels, most_lines=400)
+        assert not np.allclose(field.weights, quality.PRIOR) and np.allclose(field.weights, quality.fitted(docs.where(f"doc_id != {longest}"), labels, most_lines=400).weights)
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (None, prose(1)), (4, prose(2)), (4, prose(2)), (5, "x y z " * 100), (6, "SALE!! $$$ ### " * 40)]
     docs = spark.createDataFrame([(*r, True) for r in rows], "doc_id long, text string, kept boolean")
