@@ -289,7 +289,7 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline_of_odd_rows(spark, tmp_path):
