@@ -1,125 +1,115 @@
-"""Benchmark decontamination: n-gram seeds with a lossless count filter, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds join texts to items, then Smith-Waterman alignment.
 
-Words are runs of letters and digits in lower case. A text leaks an item if their local alignment scores at least half of
-what the whole item would. Every two-word sequence of an item is a seed, however frequent. With these scores an alignment
-of half of an item's L words keeps at least L / 3 - 1 of its two-word sequences unbroken and covers at most 5 / 3 L words
-of the text; so a text is aligned with an item wherever so many seeds stand within so many words, and nothing that would
-reach the score is passed over. A long item is also judged by its parts of LONG words, each of which overlaps the next by
-half: a passage of LONG / 2 words is a leak however long its item is. The score is the largest share, of the item or of a
-part.
+Words are runs of letters and digits in lower case, told apart by a 64-bit hash. A text leaks an item if their local
+alignment scores at least half of what the whole item would. With these scores an alignment of half of an item's L words
+keeps at least L / 3 - 1 of its two-word sequences unbroken and covers at most 5 / 3 L words of the text. So of the L - 1
+sequences those that are most frequent in the texts may be left out: whichever all but L / 3 - 3 are taken, a leak holds
+two of them (one, where an item is so short that no more need stay). The rarest are taken, by counts over all texts, and
+written as a table from seed to item; the texts' seeds join it by hash, pairs with two seeds close enough together are
+candidates, and what would reach the score is never passed over. A long item is also judged by its parts of LONG words,
+each of which overlaps the next by half: a passage of LONG / 2 words is a leak however long its item is. The score is the
+largest share, of the item or of a part.
+
+What is broadcast is a bit for each hash of a seed, of at most MOST_BITS; it spares seeds that no item has the shuffle.
+Beyond that size it lets more through, and the join decides. Equal texts meet the items once.
 
 Defined cases: null and empty texts and items match nothing; very long texts are searched whole; between alignments of equal
-score the first counts; an empty table gives no rows, and an empty benchmark keeps all; items of fewer than three words have one seed of all their
-words, those of three have their single words; repeated rows and items give a row each; a null doc_id or item_id stays
-null; extra columns are ignored or kept, whatever their names.
+score the first counts; an empty table gives no rows, and an empty benchmark keeps all; items of fewer than three words have
+one seed of all their words, those of three have their single words; repeated rows and items give a row each; a null doc_id
+or item_id stays null; extra columns are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import hold, map_rows, small_batches, text_of
+from siltstone.llm.shared import columns_of, free_name, hold, materialize, runs_of, small_batches, text_of, work_dir
 
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.75
 #: Words of the parts of longer items.
 LONG = 100
-#: Words of the items that are held in memory at once; more are worked through in blocks, each in a pass over the texts.
-BLOCK_WORDS = 2_000_000
-#: Pairs of a seed's place and an item that are held at once; longer texts are worked through in overlapping parts.
-PAIRS = 2_000_000
+#: Seeds of an item that a candidate has close together, where a leak keeps as many.
+TOGETHER = 2
+#: Items that one row holds against a text; a text of more candidates has several rows.
+ITEMS_A_ROW = 200
+#: Bits of the broadcast table of hashes: at least, for each seed, and at most (16 MB).
+LEAST_BITS, BITS_A_SEED, MOST_BITS = 1 << 16, 64, 1 << 27
+#: Distinct words whose hashes a worker remembers.
+MEMO = 300_000
 WORD = re.compile(r"[^\W_]+")
 
 
-class Items:
-    """The test items of a block: word ids of their own vocabulary, and the items of every seed."""
-
-    def __init__(self, rows: list[tuple[int | None, str]]):
-        self.vocabulary: dict[str, int] = {}
-        put = self.vocabulary.setdefault
-        #: Ids of the items; words of the items and of long ones' parts, and which item each is of.
-        self.ids, self.words, self.of = [], [], []
-        for i, text in rows:
-            ws = np.array([put(w, len(self.vocabulary)) for w in WORD.findall((text or "").lower())], np.int64)
-            if len(ws):
-                parts = [*range(0, len(ws) - LONG, LONG // 2), len(ws) - LONG] if len(ws) > LONG else []
-                self.words += [ws, *(ws[a : a + LONG] for a in parts)]
-                self.of += [len(self.ids)] * (1 + len(parts))
-                self.ids.append(i)
-        size = np.array([len(ws) for ws in self.words], np.int64)
-        #: Words of a seed; seeds that a leak keeps at least; words of the text that it covers at most.
-        self.gram = np.where((size == 1) | (size == 3), 1, 2)
-        self.need = np.where(size == 3, 2, np.maximum(1, -((3 - size) // 3)))
-        self.span = np.where(size < 3, size, 5 * size // 3)
-        self.grams = sorted(set(self.gram.tolist()))
-        keys = [np.unique(self._keys(ws, np.arange(len(ws) - g + 1), g)) for ws, g in zip(self.words, self.gram.tolist(), strict=True)]
-        every = np.concatenate([*keys, np.empty(0, np.int64)])
-        order = np.argsort(every, kind="stable")
-        self.keys, first = np.unique(every[order], return_index=True)
-        self.begin = np.append(first, len(every))
-        self.items = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order]
-
-    def _keys(self, ws: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
-        """A number for each seed at these places: pairs of words come first, single words behind them."""
-        v = len(self.vocabulary)
-        return ws[at] * v + ws[at + 1] if gram == 2 else v * v + ws[at]
-
-    def encode(self, text: str) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int64)
-
-    def candidates(self, ws: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Ranges of a text that hold every leak, by item: where enough seeds of it stand close enough together."""
-        places, seeds = [], []
-        for g in self.grams:
-            if len(ws) < g:
-                continue
-            at = np.flatnonzero(ws >= 0) if g == 1 else np.flatnonzero((ws[:-1] >= 0) & (ws[1:] >= 0))
-            keys = self._keys(ws, at, g)
-            pos = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[pos] == keys
-            places.append(at[hit])
-            seeds.append(pos[hit])
-        out: dict[int, list[tuple[int, int]]] = {}
-        if not places:
-            return out
-        at, seed = np.concatenate(places), np.concatenate(seeds)
-        if len(places) > 1:
-            order = np.argsort(at, kind="stable")
-            at, seed = at[order], seed[order]
-        todo = [(at, seed)]
-        while todo:
-            at, seed = todo.pop()
-            begin = self.begin[seed]
-            count = self.begin[seed + 1] - begin
-            total = int(count.sum())
-            if not total:
-                continue
-            if total > PAIRS:
-                middle = at[len(at) // 2]
-                left, right = int(np.searchsorted(at, middle + self.span.max())), int(np.searchsorted(at, middle))
-                if left < len(at) and right:
-                    todo += [(at[right:], seed[right:]), (at[:left], seed[:left])]
-                    continue
-            n = self.items[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(total)]
-            line = np.sort(n * len(ws) + np.repeat(at, count))
-            n, p = np.divmod(line, len(ws))
-            last = np.arange(total) + self.need[n] - 1
-            first = np.flatnonzero(last < total)
-            last = last[first]
-            near = (n[first] == n[last]) & (p[last] - p[first] <= self.span[n[first]] - self.gram[n[first]])
-            first, last = first[near], last[near]
-            n, a, z = n[first], np.maximum(p[last] + self.gram[n[first]] - self.span[n[first]], 0), np.minimum(p[first] + self.span[n[first]], len(ws))
-            for k, x, y in zip(n.tolist(), a.tolist(), z.tolist(), strict=True):
-                out.setdefault(k, []).append((x, y))
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
 
 
+_HASHES = _Hashes()
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts in a row, and where each text ends."""
+    if len(_HASHES) > MEMO:
+        _HASHES.clear()
+    found = [WORD.findall(t.lower()) for t in texts]
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+    return np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(found)), np.uint64, int(ends[-1]) if len(ends) else 0), ends
+
+
+def seeds_of(ws: np.ndarray, gram: int) -> np.ndarray:
+    """A hash for each sequence of `gram` words, 1 or 2."""
+    x = ws[:-1] * np.uint64(0x9E3779B97F4A7C15) + ws[1:] if gram == 2 else ws ^ np.uint64(0xD1B54A32D192ED03)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def shape(size: int) -> tuple[int, int, int]:
+    """Of an item of `size` words: words of a seed; seeds that a leak keeps at least; words of the text that it covers at most."""
+    gram = 1 if size in (1, 3) else 2
+    need = 2 if size == 3 else max(1, -((3 - size) // 3))
+    return gram, need, size if size < 3 else 5 * size // 3
+
+
+class Seen:
+    """Which seeds are sought: a bit for each hash, and the lengths of seeds."""
+
+    def __init__(self, cells: np.ndarray, grams: list[int]):
+        self.cells, self.grams = cells, grams
+
+    def places(self, ws: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words in texts in a row where a sought seed may stand, in order, and the seeds."""
+        at, seeds = [], []
+        for gram in self.grams:
+            if len(ws) < gram:
+                continue
+            keys = seeds_of(ws, gram)
+            slot = keys & np.uint64(64 * len(self.cells) - 1)
+            hit = (self.cells[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+            if gram == 2:
+                borders = ends[:-1] - 1
+                hit[borders[(borders >= 0) & (borders < len(hit))]] = False
+            place = np.flatnonzero(hit)
+            at.append(place)
+            seeds.append(keys[place])
+        if len(at) == 1:
+            return at[0], seeds[0]
+        if not at:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        place, key = np.concatenate(at), np.concatenate(seeds)
+        order = np.argsort(place, kind="stable")
+        return place[order], key[order]
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment of two word sequences: score, begin and end in the text. Row by row over the item; gaps in
     the text by a running maximum."""
@@ -149,81 +139,182 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best, *where
 
 
-def leaks_in(items: Items, text: str) -> list[tuple[int | None, float, int, int]]:
-    """(item_id, score, first word, last word + 1) of each item that a whole text leaks."""
-    ws = items.encode(text)
-    out: dict[int, tuple[float, int, int]] = {}
-    for n, ranges in items.candidates(ws).items():
-        item, best = items.words[n], (0.0, 0, 0)
-        merged: list[list[int]] = []
-        for a, z in sorted(ranges):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], z)
-            else:
-                merged.append([a, z])
-        for a, z in merged:
-            score, b, e = align(item, ws[a:z])
+def merged(ranges: Iterator[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, z in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return out
+
+
+def best_leak(item: np.ndarray, text: np.ndarray, ranges: Iterator[tuple[int, int]]) -> tuple[float, int, int]:
+    """(share, first word, last word + 1) of an item's best alignment within ranges of a text. Before it, all seeds of the
+    item are counted there."""
+    gram, need, span = shape(len(item))
+    own = np.unique(seeds_of(item, gram))
+    best = (0.0, 0, 0)
+    for a, z in merged(ranges):
+        part = text[a:z]
+        p = np.flatnonzero(np.isin(seeds_of(part, gram), own))
+        if len(p) < need:
+            continue
+        first, last = p[: len(p) - need + 1], p[need - 1 :]
+        near = last - first <= span - gram
+        for x, y in merged(zip(np.maximum(last[near] + gram - span, 0).tolist(), np.minimum(first[near] + span, len(part)).tolist(), strict=True)):
+            score, b, e = align(item, part[x:y])
             if score > best[0]:
-                best = (score, a + b, a + e)
-        share = best[0] / (MATCH * len(item))
-        if share >= THRESHOLD and share > out.get(items.of[n], (0.0,))[0]:
-            out[items.of[n]] = (share, best[1], best[2])
-    return [(items.ids[i], *x) for i, x in out.items()]
-
-
-def _blocks(benchmark: DataFrame):
-    """The items in blocks of bounded size, in order of their id and text."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("text != ''")
-    block: list[tuple[int | None, str]] = []
-    words = 0
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        words += len(WORD.findall(r["text"]))
-        if words >= BLOCK_WORDS:
-            yield Items(block)
-            block, words = [], 0
-    if block:
-        yield Items(block)
+                best = (score, a + x + b, a + x + e)
+    return best[0] / (MATCH * len(item)), best[1], best[2]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, score, first_word, end_word: a row for each text and item that it leaks."""
+def _digest() -> Column:
+    return F.md5(text_of().cast("binary"))
+
+
+def _parts(benchmark: DataFrame, where: str) -> DataFrame:
+    """item (its text's digest), part, words (packed hashes), seeds (one for each place), n_take (how many of the rarest are
+    taken), together, gram, span: of each distinct item, whole, and of each part of a long one."""
+    texts = benchmark.select(_digest().alias("item"), text_of().alias("text")).where("text != ''").dropDuplicates(["item"])
+    names = ("item", "part", "words", "seeds", "n_take", "together", "gram", "span")
+
+    def cut(batches):
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ws, _ = words_of([text])
+                begins = [*range(0, len(ws) - LONG, LONG // 2), len(ws) - LONG] if len(ws) > LONG else []
+                for part, own in enumerate([ws, *(ws[a : a + LONG] for a in begins)] if len(ws) else []):
+                    gram, need, span = shape(len(own))
+                    together = min(TOGETHER, need)
+                    seeds = seeds_of(own, gram)
+                    rows.append((item, part, own.tobytes(), seeds.view(np.int64), len(seeds) - need + together, together, gram, span))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    schema = "item string, part int, words binary, seeds array<bigint>, n_take int, together int, gram int, span int"
+    return materialize(texts.mapInArrow(cut, schema), f"{where}/parts")
+
+
+def _seen(seeds: DataFrame) -> Seen | None:
+    """The table of bits of the column `seed`; None where there are none. What comes to the driver has a fixed bound."""
+    n, grams = seeds.agg(F.approx_count_distinct("seed"), F.array_sort(F.collect_set("gram"))).first()
+    if not n:
+        return None
+    bits = max(LEAST_BITS, min(MOST_BITS, 1 << (BITS_A_SEED * n - 1).bit_length()))
+    slot = F.col("seed").bitwiseAND(F.lit(bits - 1))
+    cells = seeds.select(F.shiftright(slot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast((seed & {bits - 1}L) & 63 as int))").alias("bit"))
+    got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[got.column("cell").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return Seen(out, grams)
+
+
+def _rare_seeds(texts: DataFrame, parts: DataFrame, where: str) -> DataFrame:
+    """seed, item, part, together, gram, span: of each item and part the seeds that are rarest in the texts, as many as a
+    leak can't do without."""
+    spark = texts.sparkSession
+    every = parts.select("item", "part", "n_take", "together", "gram", "span", F.explode("seeds").alias("seed"))
+    seen = _seen(every)
+    if seen is not None:
+        sought = spark.sparkContext.broadcast(seen)
+
+        def counted(batches):
+            hold("decontaminate", _HASHES.clear)
+            for run in runs_of(batches):
+                seeds, n = np.unique(sought.value.places(*words_of(run.column("text").to_pylist()))[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(n, pa.int64())], ["seed", "n"])
+
+        counts = texts.select("text").mapInArrow(counted, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
+        items = every.groupBy("seed").agg(F.count(F.lit(1)).alias("m"))
+        cost = items.join(counts, "seed").select("seed", (F.col("n").cast("double") * F.col("m")).alias("cost"))
+        every = every.join(cost, "seed", "left")
+    else:
+        every = every.withColumn("cost", F.lit(0.0))
+    rarest = F.row_number().over(Window.partitionBy("item", "part").orderBy(F.coalesce("cost", F.lit(0.0)), "seed"))
+    rare = every.withColumn("place", rarest).where("place <= n_take").select("seed", "item", "part", "together", "gram", "span").distinct()
+    return materialize(rare, f"{where}/seeds")
+
+
+def _candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """digest of a text, and some of the items whose seeds stand in it close together: for each its parts, with their words
+    and the ranges that hold every leak. None where nothing is sought."""
     spark = docs.sparkSession
-    small_batches(spark)
-    schema = "doc_id long, item_id long, score double, first_word long, end_word long"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    out = None
-    for items in _blocks(benchmark):
-        if not items.words:
-            continue
-        seeded = spark.sparkContext.broadcast(items)
+    where = work_dir(spark, "leaks")
+    texts = docs.select(text_of().alias("text")).where("text != ''")
+    parts = _parts(benchmark, where)
+    rare = _rare_seeds(texts, parts, where)
+    seen = _seen(rare)
+    if seen is None:
+        return None
+    sought = spark.sparkContext.broadcast(seen)
 
-        def find(batches, seeded=seeded):
-            items = seeded.value
-            for b in batches:
-                got = [(i, *x) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for x in leaks_in(items, t)]
-                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "first_word", "end_word"])
+    def found(batches):
+        hold("decontaminate", _HASHES.clear)
+        for run in runs_of(batches):
+            ws, ends = words_of(run.column("text").to_pylist())
+            at, seeds = sought.value.places(ws, ends)
+            text = np.searchsorted(ends, at, side="right")
+            some, begin = np.unique(text, return_index=True)
+            offsets = pa.array(np.append(begin, len(at)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((at - np.append(0, ends)[text]).astype(np.int32), seeds.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([run.column("digest").combine_chunks().take(pa.array(some)), *lists], ["digest", "places", "seeds"])
 
-        part = rows.mapInArrow(find, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    hits = texts.select(_digest().alias("digest"), "text").mapInArrow(found, "digest string, places array<int>, seeds array<bigint>").dropDuplicates(["digest"])
+    hits = hits.select("digest", F.explode(F.arrays_zip("places", "seeds")).alias("x")).select("digest", F.col("x.places").alias("place"), F.col("x.seeds").alias("seed"))
+    before = F.lag("place").over(Window.partitionBy("digest", "item", "part").orderBy("place"))
+    pairs = hits.join(rare, "seed").withColumn("before", F.when(F.col("together") == 1, F.col("place")).otherwise(before))
+    near = pairs.where("place - before <= span - gram").select("digest", "item", "part", F.struct(F.expr("greatest(place + gram - span, 0)").alias("a"), F.expr("before + span").alias("z")).alias("range"))
+    ranges = near.groupBy("digest", "item", "part").agg(F.collect_list("range").alias("ranges")).join(parts.select("item", "part", "words"), ["item", "part"])
+    items = ranges.groupBy("digest", "item").agg(F.array_sort(F.collect_list(F.struct("part", "words", "ranges"))).alias("parts"))
+    row = F.floor((F.row_number().over(Window.partitionBy("digest").orderBy("item")) - 1) / ITEMS_A_ROW).alias("row")
+    some = items.select("digest", row, F.struct("item", "parts").alias("x")).groupBy("digest", "row").agg(F.collect_list("x").alias("items")).drop("row")
+    return materialize(some, f"{where}/candidates")
+
+
+def _judged(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """key, item, score, first_word, end_word: what the texts of rows (key, digest, text) leak. Each row is judged where it is
+    read, unless the candidates are too many for a broadcast of Spark's own measure."""
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def judge(batches):
+        hold("decontaminate", _HASHES.clear)
+        kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
+        for b in batches:
+            of, got = [], []
+            for i, (text, items) in enumerate(zip(b.column("text").to_pylist(), b.column("items").to_pylist(), strict=True)):
+                ws, _ = words_of([text])
+                for x in items:
+                    tries = [best_leak(np.frombuffer(p["words"], np.uint64), ws, ((r["a"], r["z"]) for r in p["ranges"])) for p in x["parts"]]
+                    best = max(tries, key=lambda t: t[0])
+                    if best[0] >= THRESHOLD:
+                        of.append(i)
+                        got.append((x["item"], *best))
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(of, pa.int64())), *(pa.array([g[k] for g in got], t) for k, t in enumerate(kinds))], ["key", "item", "score", "first_word", "end_word"])
+
+    return rows.join(candidates, "digest").select("key", "text", "items").mapInArrow(judge, f"key {kind}, item string, score double, first_word bigint, end_word bigint")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, score, first_word, end_word: a row for each text and item that it leaks."""
+    small_batches(docs.sparkSession)
+    candidates = _candidates(docs, benchmark)
+    if candidates is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), _digest().alias("digest"), text_of().alias("text"))
+    ids = benchmark.select(_digest().alias("item"), F.col("item_id").cast("long").alias("item_id"))
+    return _judged(rows, candidates).join(ids, "item").select(F.col("key").alias("doc_id"), "item_id", "score", "first_word", "end_word")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose text leaks an item, all columns. Each row is judged where it is read."""
-    out = docs
+    """docs without the rows whose text leaks an item, all columns."""
     spark = docs.sparkSession
     small_batches(spark)
-    for items in _blocks(benchmark):
-        if not items.words:
-            continue
-        seeded = spark.sparkContext.broadcast(items)
-
-        def clean(batches, at, seeded=seeded):
-            hold("decontaminate")
-            items = seeded.value
-            for b in batches:
-                yield b.filter(pa.array([not leaks_in(items, t or "") for t in b.column(at).to_pylist()], pa.bool_()))
-
-        out = map_rows(out, clean)
-    return out
+    candidates = _candidates(docs, benchmark)
+    if candidates is None:
+        return docs
+    rows = docs.select(_digest().alias("key"), _digest().alias("digest"), text_of().alias("text"))
+    leaky = materialize(_judged(rows, candidates).select("key").distinct(), work_dir(spark, "leaky"))
+    key = free_name(docs, "digest")
+    return docs.withColumn(key, _digest()).join(leaky.withColumnRenamed("key", key), key, "left_anti").select(*columns_of(docs))

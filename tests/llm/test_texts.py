@@ -331,25 +331,42 @@ def test_leaks_against_the_alignment_of_all_pairs(spark):
     df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
     bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
     assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(df, bench).collect()} == want
-    one = decontaminate.Items([(j, " ".join(x)) for j, x in enumerate(items)])
-    text = one.encode(" ".join(w for d in docs for w in d))
-    whole, decontaminate.PAIRS = one.candidates(text), 500
-    try:
-        assert {n: set(x) for n, x in one.candidates(text).items()} == {n: set(x) for n, x in whole.items()}
-    finally:
-        decontaminate.PAIRS = 2_000_000
-
-
-def test_passages_of_long_items_are_leaks():
-    items = decontaminate.Items([(7, prose(70, 500)), (8, prose(71, 130)), (8, prose(71, 130))])
-    for k, n in ((7, 500), (8, 130)):
-        words = prose(63 + k, n).split()
-        for a in range(0, n - 49, 7):
-            got = decontaminate.leaks_in(items, f"{prose(1, 90)} {' '.join(words[a : a + 50])} {prose(2, 90)}")
-            assert [x[0] for x in got] == [k] * (k - 6) and all(x[1] >= 0.5 and x[2] <= 90 and x[3] >= 140 for x in got)
-        assert not decontaminate.leaks_in(items, f"{prose(1, 90)} {' '.join(words[:30])} {prose(2, 90)}")
-    whole = decontaminate.leaks_in(items, prose(70, 500))
-    assert whole == [(7, 1.0, 0, 500)]
+
+
+def test_seeds_are_the_rarest_that_a_leak_needs(spark, tmp_path):
+    texts = spark.createDataFrame([(" ".join(["the", "of"] * 500),), (prose(5, 400),)], "text string")
+    words = prose(40, 30).split()
+    bench = spark.createDataFrame([(1, " ".join([*words[:10], "the", "of", *words[10:20], "the", "of", *words[20:]]))], "item_id long, text string")
+    parts = decontaminate._parts(bench, f"{tmp_path}")
+    rare = {r.seed for r in decontaminate._rare_seeds(texts, parts, f"{tmp_path}").collect()}
+    gram, need, _ = decontaminate.shape(34)
+    frequent = int(decontaminate.seeds_of(decontaminate.words_of(["the of"])[0], gram).view(np.int64)[0])
+    every = parts.first().seeds
+    assert frequent in every and frequent not in rare and rare < set(every) and len(rare) == len(every) - need + decontaminate.TOGETHER
+
+
+def test_a_text_of_many_candidates_and_a_full_table_of_bits(spark, monkeypatch):
+    """Candidates in several rows, and a table of bits that lets nearly all through: the same leaks."""
+    items = [prose(500 + i, 20) for i in range(40)]
+    df = spark.createDataFrame([(1, " ".join(items)), (2, prose(3, 500)), (1, " ".join(items))], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = sorted((1, i, 1.0) for i in range(40) for _ in range(2))
+    for name, value in (("ITEMS_A_ROW", 3), ("LEAST_BITS", 64), ("MOST_BITS", 64)):
+        monkeypatch.setattr(decontaminate, name, value)
+        assert sorted((r.doc_id, r.item_id, r.score) for r in decontaminate.leaks(df, bench).collect()) == want
+
+
+def test_passages_of_long_items_are_leaks(spark):
+    bench = spark.createDataFrame([(7, prose(70, 500)), (8, prose(71, 130)), (8, prose(71, 130))], "item_id long, text string")
+    docs = [(k, f"{prose(1, 90)} {' '.join(prose(63 + k, n).split()[a : a + 50])} {prose(2, 90)}") for k, n in ((7, 500), (8, 130)) for a in range(0, n - 49, 7)]
+    docs += [(-k, f"{prose(1, 90)} {' '.join(prose(63 + k, n).split()[:30])} {prose(2, 90)}") for k, n in ((7, 500), (8, 130))]
+    docs += [(0, prose(70, 500))]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    of = Counter((r.doc_id, r.item_id) for r in got)
+    assert of == {(7, 7): sum(k == 7 for k, _ in docs), (8, 8): 2 * sum(k == 8 for k, _ in docs), (0, 7): 1}
+    assert all(r.score >= 0.5 and r.first_word <= 90 and r.end_word >= 140 for r in got if r.doc_id)
+    whole = next(r for r in got if r.doc_id == 0)
+    assert (whole.score, whole.first_word, whole.end_word) == (1.0, 0, 500)
 
 
 def test_samples_collide_by_weighted_jaccard():
