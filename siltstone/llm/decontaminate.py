@@ -23,11 +23,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,34 +41,78 @@ TOGETHER = 2
 ITEMS_A_ROW = 200
 #: Bits of the broadcast table of hashes: at least, for each seed, and at most (16 MB).
 LEAST_BITS, BITS_A_SEED, MOST_BITS = 1 << 16, 64, 1 << 27
-#: Distinct words whose hashes a worker remembers.
-MEMO = 300_000
+#: Bytes of texts that are cut into words at once, about; a longer word is taken whole.
+BLOCK = 1 << 18
 WORD = re.compile(r"[^\W_]+")
+OTHER = re.compile(r"[^\x00-\x7f]+")
+#: Which bytes of lower-case UTF-8 stand in words, once other characters are blanked; a number for each; the base of the hash.
+_IN_WORD = np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
+_VALUE = np.where(_IN_WORD, np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64), np.uint64(0))
+_BASE = 0x5851F42D4C957F2D
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
+    size = max(BLOCK, 1 << (n - 1).bit_length())
+    if size not in _POWERS:
+        got = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            got.append(np.cumprod(steps))
+        if size > BLOCK:
+            return got[0], got[1]
+        _POWERS[size] = (got[0], got[1])
+    return _POWERS[size]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_HASHES = _Hashes()
+def _plain(text: str) -> bytes:
+    """Lower-case UTF-8 in which no byte over 127 stands outside a word."""
+    text = text.lower()
+    if not text.isascii():
+        for c in {c for run in OTHER.findall(text) for c in run if not c.isalnum()}:
+            text = text.replace(c, " ")
+    return text.encode()
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts in a row, and where each text ends."""
-    if len(_HASHES) > MEMO:
-        _HASHES.clear()
-    found = [WORD.findall(t.lower()) for t in texts]
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-    return np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(found)), np.uint64, int(ends[-1]) if len(ends) else 0), ends
+    """Hashes of the words of texts in a row, and where each text ends. A word's hash is the sum of its bytes' numbers times
+    powers of a base: running sums over a block give those of all its words."""
+    plain = [_plain(t) for t in texts]
+    data = np.frombuffer(b"\n".join([*plain, b""]), np.uint8)
+    borders = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
+    hashes, begins, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(data):
+        inside = _IN_WORD[data[at : at + BLOCK]]
+        if inside[-1]:
+            last = np.flatnonzero(~inside)
+            if len(last):
+                inside = inside[: last[-1] + 1]
+            else:
+                n = BLOCK
+                while (inside := _IN_WORD[data[at : at + n]])[-1]:
+                    n *= 2
+        n = len(inside)
+        power, inverse = _powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_VALUE[data[at : at + n]] * power[:n], out=sums[1:])
+        edge = np.flatnonzero(np.diff(inside, prepend=False))
+        begin, end = edge[::2], edge[1::2]
+        hashes.append(_mixed((sums[end] - sums[begin]) * inverse[begin]))
+        begins.append(begin + at)
+        at += n
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), borders)
 
 
 def seeds_of(ws: np.ndarray, gram: int) -> np.ndarray:
     """A hash for each sequence of `gram` words, 1 or 2."""
-    x = ws[:-1] * np.uint64(0x9E3779B97F4A7C15) + ws[1:] if gram == 2 else ws ^ np.uint64(0xD1B54A32D192ED03)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+    return _mixed(ws[:-1] * np.uint64(0x9E3779B97F4A7C15) + ws[1:] if gram == 2 else ws ^ np.uint64(0xD1B54A32D192ED03))
 
 
 def shape(size: int) -> tuple[int, int, int]:
@@ -221,7 +263,7 @@ def _rare_seeds(texts: DataFrame, parts: DataFrame, where: str) -> DataFrame:
         sought = spark.sparkContext.broadcast(seen)
 
         def counted(batches):
-            hold("decontaminate", _HASHES.clear)
+            hold("decontaminate")
             for run in runs_of(batches):
                 seeds, n = np.unique(sought.value.places(*words_of(run.column("text").to_pylist()))[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(n, pa.int64())], ["seed", "n"])
@@ -251,7 +293,7 @@ def _candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
     sought = spark.sparkContext.broadcast(seen)
 
     def found(batches):
-        hold("decontaminate", _HASHES.clear)
+        hold("decontaminate")
         for run in runs_of(batches):
             ws, ends = words_of(run.column("text").to_pylist())
             at, seeds = sought.value.places(ws, ends)
@@ -275,11 +317,11 @@ def _candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
 
 def _judged(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     """key, item, score, first_word, end_word: what the texts of rows (key, digest, text) leak. Each row is judged where it is
-    read, unless the candidates are too many for a broadcast of Spark's own measure."""
+    read, unless the candidates' digests, which thin the texts first, are too many for a broadcast of Spark's own measure."""
     kind = rows.schema["key"].dataType.simpleString()
 
     def judge(batches):
-        hold("decontaminate", _HASHES.clear)
+        hold("decontaminate")
         kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
         for b in batches:
             of, got = [], []
@@ -293,7 +335,9 @@ def _judged(rows: DataFrame, candidates: DataFrame) -> DataFrame:
                         got.append((x["item"], *best))
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(of, pa.int64())), *(pa.array([g[k] for g in got], t) for k, t in enumerate(kinds))], ["key", "item", "score", "first_word", "end_word"])
 
-    return rows.join(candidates, "digest").select("key", "text", "items").mapInArrow(judge, f"key {kind}, item string, score double, first_word bigint, end_word bigint")
+    digests = materialize(candidates.select("digest").distinct(), work_dir(rows.sparkSession, "digests"))
+    some = rows.join(digests, "digest", "left_semi")
+    return some.join(candidates, "digest").select("key", "text", "items").mapInArrow(judge, f"key {kind}, item string, score double, first_word bigint, end_word bigint")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -333,6 +333,19 @@ def test_leaks_against_the_alignment_of_all_pairs(spark):
     assert {(x.doc_id, x.item_id) for x in decontaminate.leaks(df, bench).collect()} == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abAZ09_ .\n\u00c0\u00df\u0130\u2019\u4e2d\u00b2\u0301\U0001f600"), max_size=30), max_size=5), st.sampled_from([4, 64, 1 << 18]))
+def test_words_are_told_apart_as_the_pattern_cuts_them(texts, block):
+    want = [w for t in texts for w in decontaminate.WORD.findall(t.lower())]
+    whole, decontaminate.BLOCK = decontaminate.BLOCK, block
+    try:
+        got, ends = decontaminate.words_of(texts)
+    finally:
+        decontaminate.BLOCK = whole
+    assert len(got) == len(want) and len({*zip(got.tolist(), want, strict=True)}) == len({*want}) == len({*got.tolist()})
+    assert ends.tolist() == [sum(len(decontaminate.WORD.findall(t.lower())) for t in texts[: i + 1]) for i in range(len(texts))]
+
+
 def test_seeds_are_the_rarest_that_a_leak_needs(spark, tmp_path):
     texts = spark.createDataFrame([(" ".join(["the", "of"] * 500),), (prose(5, 400),)], "text string")
     words = prose(40, 30).split()
