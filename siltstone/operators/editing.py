@@ -119,17 +119,22 @@ def column_code_row(cells: list[str]) -> bool:
 
 
 def connected(edges: DataFrame, where: str, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) of an undirected graph: labels fall to the least neighbour's and then to their label's label, so that
-    the rounds are as many as the logarithm of the longest path. Each round is written below `where`."""
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = materialize(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), f"{where}/edges")
-    labels = both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("root"))
+    """(node, root) of an undirected graph, root the least node of a component.
+
+    Large and small stars in turn: a node's greater neighbours are tied to the least of its neighbours and itself, then its
+    lesser ones are. Edges never grow in number, and as whole neighbourhoods move at once, a path of any length takes rounds
+    as its logarithm. When each edge ties a node to its root, it ends. Each round is written below `where`.
+    """
+    given = materialize(edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct(), f"{where}/edges")
+    now = given.where("x != y")
     for i in itertools.count():
-        labels = materialize(labels, f"{where}/{i}")
-        near = both.join(labels.select(F.col("node").alias("y"), "root"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
-        own = labels.join(near, "node").withColumn("least", F.least("root", "near"))
-        jump = labels.select(F.col("node").alias("least"), F.col("root").alias("far"))
-        moved = materialize(own.join(jump, "least", "left").select("node", "root", F.least("least", F.coalesce("far", "least")).alias("next")), f"{where}/{i}-next")
-        if not moved.where("root != next").limit(1).count():
-            return labels
-        labels = moved.select("node", F.col("next").alias("root"))
+        flat = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        least = flat.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("m"))
+        large = flat.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        lowest = large.groupBy("x").agg(F.min("y").alias("m"))
+        small = large.join(lowest, "x").where("y != m").select(F.col("y").alias("x"), F.col("m").alias("y"))
+        now = materialize(small.unionByName(lowest.withColumnRenamed("m", "y")).distinct(), f"{where}/{i}")
+        ends = now.select(F.col("x").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("y").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
+            nodes = given.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+            return nodes.join(now.select(F.col("x").alias("node"), F.col("y").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -15,12 +15,20 @@ DIGITS = 3
 
 
 def components(items: DataFrame, links: DataFrame, where: str, item: str = "item_id", article: str = "article") -> DataFrame:
-    """Items with `component`, the least name among those that hang together. links: item, article. Items meet through
-    their articles' nodes, so an article of many items has as many edges as items."""
+    """Items with `component`, the least name among those that hang together. links: item, article.
+
+    Each item hangs on the least of its articles, whose names come before all items'. So only articles that an item joins to
+    its least one are edges: items of one article, mostly nearly all, have none, and take no part in the rounds. An article of
+    many items has as many edges as those that join it to others.
+    """
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    edges = links.where(F.col(item).isNotNull() & F.col(article).isNotNull()).select(node("i", item).alias("a"), node("a", article).alias("b"))
-    found = connected(edges, where)
-    return items.withColumn("_node", node("i", item)).join(found.select(F.col("node").alias("_node"), "root"), "_node", "left").withColumn("component", F.coalesce("root", "_node")).drop("_node", "root")
+    own = links.where(F.col(item).isNotNull() & F.col(article).isNotNull()).select(item, node("a", article).alias("_article"))
+    hung = materialize(own.groupBy(item).agg(F.min("_article").alias("_least"), F.max("_article").alias("_last")), f"{where}/hung")
+    joining = hung.where("_least < _last").select(item, "_least")
+    edges = own.join(joining, item).where("_article != _least").select(F.col("_least").alias("a"), F.col("_article").alias("b")).distinct()
+    found = connected(edges, where).select(F.col("node").alias("_least"), "root")
+    named = items.join(hung.select(item, "_least"), item, "left").join(found, "_least", "left")
+    return named.withColumn("component", F.coalesce("root", "_least", node("i", item))).drop("_least", "root")
 
 
 def split_without_leaks(items: DataFrame, links: DataFrame, shares: Mapping[str, float], where: str, item: str = "item_id", article: str = "article", category: str = "category") -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 from siltstone.operators import splits as S
+from siltstone.operators.editing import connected
 
 SHARES = {"dev": 0.7, "test": 0.2, "held": 0.1}
 
@@ -43,3 +44,20 @@ def test_no_component_on_two_sides(spark, tmp_path):
 def test_no_items(spark, tmp_path):
     none = S.split_without_leaks(spark.createDataFrame([], "item_id long, category string"), spark.createDataFrame([], "item_id long, article string"), SHARES, str(tmp_path))
     assert none.count() == 0
+
+
+def test_items_of_one_article_have_no_edges(spark, tmp_path):
+    items = spark.createDataFrame([(i, "x") for i in range(60)] + [(60, "x")], "item_id long, category string")
+    links = spark.createDataFrame([(i, f"art{i % 5}") for i in range(60)] + [(0, "art1"), (99, "art2"), (99, "art3")], "item_id long, article string")
+    got = {r.item_id: r.component for r in S.components(items, links, str(tmp_path)).collect()}
+    assert got == {i: ("a:art0", "a:art0", "a:art2", "a:art2", "a:art4")[i % 5] for i in range(60)} | {60: "i:60"}
+    assert spark.read.parquet(f"{tmp_path}/edges").count() == 2
+
+
+def test_a_long_path_takes_few_rounds(spark, tmp_path):
+    names = list(range(256))
+    random.Random(5).shuffle(names)
+    edges = spark.createDataFrame([*zip(names, names[1:], strict=False), (1000, 1001), (2000, 2000)], "a long, b long")
+    got = {r.node: r.root for r in connected(edges, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(names, 0) | {1000: 1000, 1001: 1000, 2000: 2000}
+    assert len([x for x in tmp_path.iterdir() if x.name.isdigit()]) <= 10
