@@ -136,10 +136,13 @@ def keys(words: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def near_pairs(words: DataFrame, counts: DataFrame) -> DataFrame:
-    """word, n, near, near_n: pairs of words one edit apart, each once."""
+    """word, n, near, near_n: pairs of words one edit apart, each once.
+
+    A word has up to two dozen keys, but Spark judges their size by that of the words' file: without the hint it would send
+    all keys of one side through the driver."""
     every = keys(words, counts)
     a, b = every.where("not longer").drop("longer"), every.select("key", "longer", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    met = a.join(b, "key").where("longer or word < near").where(F.levenshtein("word", "near", 1) == 1)
+    met = a.hint("merge").join(b.hint("merge"), "key").where("longer or word < near").where(F.levenshtein("word", "near", 1) == 1)
     return met.select("word", "n", "near", "near_n").dropDuplicates(["word", "near"])
 
 
@@ -158,7 +161,7 @@ def roots(linked: DataFrame, where: str) -> DataFrame:
     now, step = linked.where("form is not null").select("word", F.col("form").alias("root")), 0
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        now = materialize(now.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), f"{where}/{step}")
+        now = materialize(now.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), f"{where}/{step}")
         if now.where("moved").isEmpty():
             return now.select("word", "root")
         now, step = now.select("word", "root"), step + 1
@@ -170,4 +173,4 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     words = materialize(vocabulary(docs), f"{where}/words")
     counts = materialize(bigram_counts(words), f"{where}/counts")
     linked = materialize(forms(words, near_pairs(words, counts)), f"{where}/forms")
-    return linked.join(roots(linked, f"{where}/roots"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return linked.join(roots(linked, f"{where}/roots").hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -249,3 +249,12 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     whole = sum(spelling.runs_of_text(text), Counter())
     monkeypatch.setattr(spelling, "PIECE", 7)
     assert sum(spelling.runs_of_text(text), Counter()) == whole
+
+
+def test_keys_of_words_stay_off_the_driver(spark, tmp_path):
+    words = spark.createDataFrame([("letter", 9), ("leter", 3), ("lotter", 4), ("other", 5)], "word string, n long")
+    words.write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    pairs = spelling.near_pairs(words, spelling.bigram_counts(words))
+    assert "Broadcast" not in pairs._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.word, r.near) for r in pairs.collect()) == [("leter", "letter"), ("letter", "lotter")]
