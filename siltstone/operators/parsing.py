@@ -47,16 +47,19 @@ def headings(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     by_pos = Window.partitionBy(key).orderBy("pos")
     so_far, upto = by_pos.rowsBetween(Window.unboundedPreceding, -1), by_pos.rowsBetween(Window.unboundedPreceding, 0)
     full = F.regexp_replace("line", r"^\s+|\s+$", "") != ""
-    rows = lines.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(so_far), F.lit(0)))
-    rows = rows.withColumns({
-        "clauses": F.col("line").rlike(CLAUSE).cast("int"), "dots": ((F.length("line") - F.length(F.replace("line", F.lit(DOTS)))) / len(DOTS)).cast("int"),
-        "first": F.when(full, F.col("at") + F.length("line") - F.length(F.regexp_replace("line", r"^\s+", ""))), "last": F.when(full, F.col("at") + F.length(F.regexp_replace("line", r"\s+$", ""))),
-    })
+    # What is asked of a line is short; its text isn't dealt out or sorted.
+    rows = lines.select(
+        key, "pos", F.length("line").alias("length"), F.col("line").rlike(CLAUSE).cast("int").alias("clauses"), ((F.length("line") - F.length(F.replace("line", F.lit(DOTS)))) / len(DOTS)).cast("int").alias("dots"),
+        F.when(full, F.length("line") - F.length(F.regexp_replace("line", r"^\s+", ""))).alias("blanks"), F.when(full, F.length(F.regexp_replace("line", r"\s+$", ""))).alias("filled"),
+        F.when(F.col("line").rlike(ARTICLE), F.struct(F.regexp_extract("line", ARTICLE, 1).cast("bigint").alias("no"), F.trim(F.regexp_extract("line", ARTICLE, 2)).alias("title"))).alias("head"),
+    )
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.col("length") + 1).over(so_far), F.lit(0)))
+    rows = rows.withColumns({"first": F.col("at") + F.col("blanks"), "last": F.col("at") + F.col("filled")}).drop("length", "blanks", "filled")
     passed = lambda w, first: F.struct(F.coalesce(F.sum("clauses").over(w), F.lit(0)).alias("clauses"), F.coalesce(F.sum("dots").over(w), F.lit(0)).alias("dots"), first.alias("first"), F.last("last", ignorenulls=True).over(w).alias("last"))
     rows = rows.withColumns({"before": passed(so_far, F.lit(None).cast("bigint")), "after": passed(upto, _ahead(F.col("first"), key))})
-    rows = rows.withColumns({"head": F.col("line").rlike(ARTICLE), "whole": F.max(F.struct("pos", "after")).over(Window.partitionBy(key))["after"]})
-    rows = rows.where("head").withColumn("end", F.coalesce(_ahead(F.struct("at", "before"), key), F.struct(F.lit(None).cast("bigint").alias("at"), F.col("whole").alias("before"))))
-    return rows.select(key, F.regexp_extract("line", ARTICLE, 1).cast("bigint").alias("no"), F.trim(F.regexp_extract("line", ARTICLE, 2)).alias("title"), "pos", "at", "after", "before", "end")
+    rows = rows.withColumn("whole", F.max(F.struct("pos", "after")).over(Window.partitionBy(key))["after"])
+    rows = rows.where("head is not null").withColumn("end", F.coalesce(_ahead(F.struct("at", "before"), key), F.struct(F.lit(None).cast("bigint").alias("at"), F.col("whole").alias("before"))))
+    return rows.select(key, "head.no", "head.title", "pos", "at", "after", "before", "end")
 
 
 def _body(after: Column, at: Column, before: Column) -> list[Column]:
@@ -108,12 +111,16 @@ def main_sequence(docs: DataFrame, needed: DataFrame, where: str, key: str = "do
 
 
 def _kinds(lines: DataFrame, main: DataFrame, key: str) -> DataFrame:
-    """Lines with the container that they open, if any: up to the last article of the main sequence only chapters and its
-    articles; behind it attachments and the tail, forms in attachments, and what stands in those."""
+    """Lines that aren't blank with the container that they open, if any: up to the last article of the main sequence only
+    chapters and its articles; behind it attachments and the tail, forms in attachments, and what stands in those. Lines are
+    dealt out and sorted once: the main sequence's places come as rows of their own, each before its line."""
     by_pos = Window.partitionBy(key).orderBy("pos")
-    own = main.select(key, "pos", F.lit(True).alias("main"))
-    rows = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).join(own, [key, "pos"], "left")
-    rows = rows.withColumn("behind", F.col("pos") > F.coalesce(F.max(F.when(F.col("main"), F.col("pos"))).over(Window.partitionBy(key)), F.lit(-1)))
+    bare = lines.select(key, "pos", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line")).where("line != ''")
+    own = main.select(key, "pos", F.lit(None).cast("string").alias("line"), F.lit(0).alias("is_line"))
+    rows = bare.withColumn("is_line", F.lit(1)).unionByName(own)
+    marked = F.lag("is_line").over(Window.partitionBy(key).orderBy("pos", "is_line"))
+    behind = F.col("pos") > F.coalesce(F.max(F.when(F.col("is_line") == 0, F.col("pos"))).over(Window.partitionBy(key)), F.lit(-1))
+    rows = rows.withColumns({"main": F.when(marked == 0, True), "behind": behind}).where("is_line = 1").drop("is_line")
     found = F.when(F.col("main"), "article").when(F.col("behind") & F.col("line").rlike(ATTACHMENT), "attachment").when(F.col("behind") & F.col("line").rlike(TAIL), "tail").when(F.col("behind") & F.col("line").rlike(FORM), "form").when(F.col("line").rlike(CHAPTER), "chapter").when(F.col("behind") & F.col("line").rlike(ARTICLE), "article")
     rows = rows.withColumn("kind", found).withColumn("top", F.last(F.when(F.col("kind").isin("attachment", "tail"), F.col("kind")), ignorenulls=True).over(by_pos))
     fits = F.col("kind").isin("attachment", "tail") | F.col("top").isNull() & (F.col("kind") != "form") | (F.col("top") == "attachment")
@@ -134,10 +141,10 @@ def containers(lines: DataFrame, main: DataFrame, key: str = "doc_id") -> DataFr
     rows = _kinds(lines, main, key)
     by_pos = Window.partitionBy(key).orderBy("pos")
     before = by_pos.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("n_lines", F.max("pos").over(Window.partitionBy(key)) + 1)
-    following = _ahead(F.when(F.col("line") != "", F.struct(F.col("line"), F.col("kind"))), key)
+    following = F.lead(F.struct("line", "kind")).over(by_pos)
     rows = rows.withColumn("subtitle", F.when((F.col("kind") == "attachment") & ~F.coalesce(following["kind"].isin("attachment", "tail"), F.lit(False)), following["line"]))
-    rows = rows.where("kind is not null")
+    sizes = lines.groupBy(key).agg((F.max("pos") + 1).alias("n_lines"))
+    rows = rows.where("kind is not null").join(sizes, key)
     deepest = max(LEVELS.values())
     of_level = lambda pick, value: F.coalesce(*(F.when(F.col("level") == n, pick(value(n))) for n in range(1, deepest + 1)))
     end = of_level(lambda v: _ahead(v, key), lambda n: F.when(F.col("level") <= n, F.col("pos")))
@@ -148,13 +155,13 @@ def containers(lines: DataFrame, main: DataFrame, key: str = "doc_id") -> DataFr
     label = F.when(F.col("kind") == "attachment", place.cast("string")).otherwise(F.coalesce("number", place.cast("string")))
     again = F.row_number().over(Window.partitionBy(key, "parent_pos", "kind", "label").orderBy("pos"))
     rows = rows.withColumn("label", label).withColumn("label", F.concat("kind", F.lit("="), "label", F.when(again > 1, F.concat(F.lit("~"), again.cast("string"))).otherwise("")))
-    ids = rows.select(key, "pos", "parent_pos", F.col("label").alias("path"))
-    up = ids.select(key, F.col("pos").alias("parent_pos"), F.col("parent_pos").alias("next"), F.col("path").alias("over"))
-    for _ in range(deepest - 2):
-        ids = ids.join(up, [key, "parent_pos"], "left").select(key, "pos", F.col("next").alias("parent_pos"), F.concat_ws("|", "over", "path").alias("path"))
-    ids = ids.join(up, [key, "parent_pos"], "left").select(key, "pos", F.concat_ws("|", F.col(key).cast("string"), "over", "path").alias("container_id"))
-    named = rows.join(ids, [key, "pos"]).join(ids.select(key, F.col("pos").alias("parent_pos"), F.col("container_id").alias("parent_id")), [key, "parent_pos"], "left")
-    return named.select(key, "container_id", "kind", "number", F.col("line").alias("title"), "subtitle", F.col("pos").alias("first_pos"), "end_pos", "parent_id", (F.size(F.split("container_id", r"\|")) - 1).alias("depth"))
+    # A container's parent is the last outer one before it, so ids of a level follow from those of the outer levels.
+    rows = rows.withColumns({"container_id": F.lit(None).cast("string"), "parent_id": F.lit(None).cast("string")})
+    for n in range(1, deepest + 1):
+        over = F.last(F.when(F.col("level") < n, F.col("container_id")), ignorenulls=True).over(before)
+        rows = rows.withColumn("parent_id", F.when(F.col("level") == n, over).otherwise(F.col("parent_id")))
+        rows = rows.withColumn("container_id", F.when(F.col("level") == n, F.concat_ws("|", F.coalesce("parent_id", F.col(key).cast("string")), "label")).otherwise(F.col("container_id")))
+    return rows.select(key, "container_id", "kind", "number", F.col("line").alias("title"), "subtitle", F.col("pos").alias("first_pos"), "end_pos", "parent_id", (F.size(F.split("container_id", r"\|")) - 1).alias("depth"))
 
 
 def contained_lines(lines: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -106,3 +106,10 @@ def test_patterns(spark):
         for name, texts in lines.items():
             got = spark.createDataFrame([(t,) for t in texts], "t string").where(F.col("t").rlike(getattr(P, name)) != F.lit(want)).collect()
             assert got == [], (name, got)
+
+
+def test_lines_are_dealt_out_once(spark):
+    lines = spark.createDataFrame([(1, 0, "Điều 1. A"), (1, 1, ""), (1, 2, "PHỤ LỤC"), (1, 3, " "), (1, 4, " Tên ")], "doc_id long, pos int, line string")
+    found = P.containers(lines, spark.createDataFrame([(1, 1, "A", 0)], "doc_id long, no long, title string, pos int"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3  # lines, their number, the join of both
+    assert sorted((x.container_id, x.title, x.subtitle, x.first_pos, x.end_pos) for x in found.collect()) == [("1|article=1", "Điều 1. A", None, 0, 2), ("1|attachment=1", "PHỤ LỤC", "Tên", 2, 5)]
