@@ -83,7 +83,8 @@ def main_sequence(docs: DataFrame, needed: DataFrame, where: str, key: str = "do
     """
     ranks = needed.select(key, F.col("no").cast("bigint").alias("no")).distinct()
     ranks = ranks.withColumns({"rank": F.row_number().over(Window.partitionBy(key).orderBy("no")), "total": F.count(F.lit(1)).over(Window.partitionBy(key))})
-    nodes = materialize(headings(text_lines(docs, key, text), key).join(ranks, [key, "no"]), f"{where}/nodes")
+    # Spark takes the size of the headings for that of the texts' file; without the hint it may send all through the driver.
+    nodes = materialize(headings(text_lines(docs, key, text), key).hint("merge").join(ranks, [key, "no"]), f"{where}/nodes")
     # A heading of one rank meets those of the next one among the rows of a level.
     asks = nodes.select("*", F.col("rank").alias("level"), F.lit(None).cast("struct<pos:int,at:bigint,before:struct<clauses:bigint,dots:bigint,first:bigint,last:bigint>>").alias("here"))
     answers = nodes.select("*", (F.col("rank") - 1).alias("level"), F.struct("pos", "at", "before").alias("here"))
