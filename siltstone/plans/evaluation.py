@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +25,38 @@ want AS (SELECT b.item_id, count(DISTINCT gold.source) AS es, count(DISTINCT gol
 MOST_ITEMS = 5_000
 
 
+def _grams(docs: DataFrame, items: list[list[str]]) -> DataFrame:
+    """(doc_id, source, g): five-word sequences of the words (l) of documents, of which each word stands in its place in
+    some item's. Words go past once; a filter would be computed before they are dealt out and again after."""
+    shared = docs.sparkSession.sparkContext.broadcast([sorted({w[j] for w in items}) for j in range(5)])
+
+    def look_up(batches):
+        known = [pa.array(w, pa.string()) for w in shared.value]
+        for b in batches:
+            each, n = b.column("l").flatten(), b.column("l").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), n)
+            at = np.flatnonzero(pc.is_in(each, value_set=known[0]).to_numpy(zero_copy_only=False))
+            at = at[at + 4 < np.cumsum(n)[row[at]]]
+            for j in range(1, 5):
+                at = at[pc.is_in(each.take(pa.array(at + j)), value_set=known[j]).to_numpy(zero_copy_only=False)]
+            g = pc.binary_join_element_wise(*(each.take(pa.array(at + j)) for j in range(5)), " ")
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row[at])) for c in ("doc_id", "source")), g], ["doc_id", "source", "g"])
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "source"))
+    return docs.mapInArrow(look_up, f"{kinds}, g string")
+
+
 def gold(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, doc_id, source): five-word sequences of all documents meet the first one of each item in an equi-join.
-    Only sequences that begin as an item does are cut out."""
+    Only sequences of words that items begin with are cut out."""
     split = lambda c: F.regexp_extract_all(c, F.lit(r"[^ \t\n\r]+"), F.lit(0))
     items = table(spark, sf, "benchmark").select("item_id", F.slice(split(F.col("text")), 1, 5).alias("w"))
-    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "source", split(F.col("text")).alias("l")).where(F.size("l") >= 5)
-    starts = F.sequence(F.lit(1), F.size("l") - 4)
-    first = sorted({r[0][0] for r in items.select("w").limit(MOST_ITEMS + 1).collect() if r[0]}) if items.count() <= MOST_ITEMS else []
-    if first:
-        starts = F.filter(starts, lambda i: F.get("l", i - 1).isin(first))
-    grams = docs.select("doc_id", "source", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("l", i, 5), " "))).alias("g"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "source", split(F.col("text")).alias("l"))
+    if items.count() <= MOST_ITEMS:
+        grams = _grams(docs, [r.w for r in items.select("w").collect() if len(r.w or []) == 5])
+    else:
+        starts = F.sequence(F.lit(1), F.size("l") - 4)
+        grams = docs.where(F.size("l") >= 5).select("doc_id", "source", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("l", i, 5), " "))).alias("g"))
     return grams.join(items.select("item_id", F.array_join("w", " ").alias("g")), "g").select("item_id", "doc_id", "source").distinct()
 
 
