@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import elias_fano
-from siltstone.llm.shared import atomic_write, materialize, posix_path, small_batches, text_of, work_dir
+from siltstone.llm.shared import atomic_write, distinct, materialize, posix_path, small_batches, text_of, work_dir
 
 #: Tokens of a part of levels two and three, on average, and words of a part of level one.
 PART_TOKENS, PART_WORDS = 3_000_000, 500_000
@@ -51,6 +51,8 @@ MOST_OPEN = 2_000
 ONE_KEY = 1 << 21
 #: What no word hashes from: it holds a blank.
 END = b" "
+#: Whether a byte parts words.
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\f"))
 #: Codes of probabilities: 0 is none, each further one a step down from 1 in powers of ten.
 STEP = 0.0002
 _U = np.uint64
@@ -71,19 +73,27 @@ _DECODED = np.concatenate([[0.0], 10.0 ** (-STEP * np.arange(65535))])
 
 
 def index(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts: distinct word hashes in order; of each token its place among them; tokens of each text."""
-    local: dict[bytes, int] = defaultdict(itertools.count().__next__)
-    at: list[int] = []
-    sizes = []
-    for t in texts:
-        ws = tokens(t)
-        at.extend(map(local.__getitem__, ws))
-        sizes.append(len(ws))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, local), np.uint64, len(local))
+    """Of texts: distinct word hashes in order; of each token its place among them; tokens of each text. They are those of
+    tokens(), cut in one array of bytes for all texts."""
+    lines = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    data = np.frombuffer(b"".join(x for line in lines for x in (line, END)), np.uint8)
+    blank = _BLANK[data]
+    edges = np.flatnonzero(np.diff(blank, prepend=True))
+    starts, ends = edges[::2], edges[1::2]
+    size = ends - starts
+    words, codes = distinct(data[~blank], np.cumsum(size) - size)
+    before = np.searchsorted(starts, np.cumsum([len(line) + 1 for line in lines], dtype=np.int64))
+    sizes = np.diff(before, prepend=0) + 1
+    at = np.full(len(codes) + len(lines), len(words), np.int64)
+    own = np.ones(len(at), bool)
+    own[np.cumsum(sizes) - 1] = False
+    at[own] = codes
+    words = [*words, END] if lines else words
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     order = np.argsort(hashes)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return hashes[order], rank[np.array(at, np.int64)], np.array(sizes, np.int64)
+    return hashes[order], rank[at], sizes
 
 
 _END_HASH = np.array([xxhash.xxh64_intdigest(END)], np.uint64)

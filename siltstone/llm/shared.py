@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import itertools
 import os
 import re
 import uuid
@@ -151,8 +152,9 @@ def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of texts in a row, and where each begins, with the end behind the last. No text is null."""
-    a = texts.cast(pa.large_string())
+    """The UTF-8 bytes of texts in a row (or bytes as they are), and where each begins, with the end behind the last. No text
+    is null."""
+    a = texts if pa.types.is_large_binary(texts.type) else texts.cast(pa.large_string())
     at = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
     held = a.buffers()[2]
     data = np.frombuffer(held, np.uint8)[at[0] : at[-1]] if held else np.empty(0, np.uint8)
@@ -163,7 +165,9 @@ def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndar
     """Distinct units of bytes that are cut at `starts`, from 0 on; and of each unit its place among them."""
     line = np.append(starts, len(data)).astype(np.int64) if len(starts) else np.zeros(1, np.int64)
     got = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(line), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-    return got.dictionary.to_pylist(), got.indices.to_numpy(zero_copy_only=False)
+    units, ends = joined(got.dictionary)
+    whole, ends = units.tobytes(), ends.tolist()
+    return [whole[a:z] for a, z in itertools.pairwise(ends)], got.indices.to_numpy(zero_copy_only=False)
 
 
 def gathered(values: list[bytes], codes: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:

@@ -110,6 +110,16 @@ def plain_model(rows, discounts):
     return held, total, score, tri
 
 
+@pytest.mark.parametrize("texts", [[""], ["", " "], ["A b", " a", "a ", "\t\n\x0b\f\r"], ["a\x00 a", "a\x1c\x1d\x85b", "\u00c4\u00e4 \u2003 \U0001f600"], ["x" * 9 + " X" * 9, "xxxxxxxx"]])
+def test_words_of_many_texts_are_cut_at_once(texts, monkeypatch):
+    want = [lm.tokens(t) for t in texts]
+    monkeypatch.setattr(lm, "tokens", None)  # no text is cut by itself
+    h, at, sizes = lm.index(texts)
+    assert sizes.tolist() == [len(w) for w in want]
+    assert h[at].tolist() == [lm.xxhash.xxh64_intdigest(x) for w in want for x in w]
+    assert h.tolist() == sorted(set(h[at].tolist()))
+
+
 def test_triples_of_many_words(monkeypatch):
     """Contexts numbered first give what one number for each triple gives, and any number of words fits."""
     rng = np.random.default_rng(4)
