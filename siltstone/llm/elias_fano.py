@@ -11,6 +11,8 @@ import numpy as np
 from siltstone.llm.shared import atomic_write
 
 _U = np.uint64
+#: Values that are encoded at once.
+_AT_ONCE = 1 << 16
 _STEP, _TOP = _U(0x0101010101010101), _U(0x8080808080808080)
 _PAIRS, _NIBBLES, _BYTES = _U(0x5555555555555555), _U(0x3333333333333333), _U(0x0F0F0F0F0F0F0F0F)
 
@@ -41,20 +43,21 @@ def encode(values: np.ndarray, universe: int) -> list[np.ndarray]:
     """Four uint64 arrays for values in order below `universe`: head (count, low bits, universe, low words), low words,
     high words, and zeros before each high word."""
     n = len(values)
-    values = values.astype(np.uint64)
+    values = values.astype(np.uint64, copy=False)
     bits = max(0, (max(1, universe) // max(1, n)).bit_length() - 1)
     low = np.zeros((n * bits + 63) // 64 + 1, np.uint64)
-    if bits and n:
-        part = values & _U((1 << bits) - 1)
-        at = np.arange(n, dtype=np.uint64) * _U(bits)
-        word, shift = (at >> _U(6)).astype(np.int64), at & _U(63)
-        np.bitwise_or.at(low, word, part << shift)
-        over = shift + _U(bits) > _U(64)
-        np.bitwise_or.at(low, word[over] + 1, part[over] >> (_U(64) - shift[over]))
-    top = (values >> _U(bits)).astype(np.int64)
-    size = (int(top[-1]) if n else 0) + n + 2
+    size = (int(values[-1] >> _U(bits)) if n else 0) + n + 2
     marks = np.zeros((size + 63) // 64 * 64, np.uint8)
-    marks[top + np.arange(n)] = 1
+    for a in range(0, n, _AT_ONCE):
+        own = values[a : a + _AT_ONCE]
+        if bits:
+            part = own & _U((1 << bits) - 1)
+            at = np.arange(a, a + len(own), dtype=np.uint64) * _U(bits)
+            word, shift = (at >> _U(6)).astype(np.int64), at & _U(63)
+            np.bitwise_or.at(low, word, part << shift)
+            over = shift + _U(bits) > _U(64)
+            np.bitwise_or.at(low, word[over] + 1, part[over] >> (_U(64) - shift[over]))
+        marks[(own >> _U(bits)).astype(np.int64) + np.arange(a, a + len(own))] = 1
     high = np.packbits(marks, bitorder="little").view(np.uint64)
     zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))]).astype(np.uint64)
     return [np.array([n, bits, universe & (1 << 64) - 1, len(low)], np.uint64), low, high, zeros]

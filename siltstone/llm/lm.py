@@ -12,7 +12,8 @@ All files are memory-mapped and cut into parts of equal token mass, as many as t
 (b, a) in level three. A frequent word lies in several parts; what belongs to it as a whole (its backoff mass, how many of
 its successors lie in earlier parts) is a number for each part, held beside the borders of the parts. What a task builds
 is bounded by a part and, beyond it, by the words that follow one pair. Counting tasks add up what they hold before they
-pass it on, and a building task adds up what it has received whenever that grows large.
+pass it on, and a building task adds up what it has received whenever that grows large. Triples are added up, and put on
+level three, in pieces by range of the context, so that what a task holds beside a part is a piece's.
 
 Probability: interpolated Kneser-Ney with discounts for counts of 1, 2 and more. Level three: the count of a b c less its
 discount over the count of a b, and the mass taken off times level two. Level two: how many words a were seen before b c,
@@ -39,12 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import elias_fano
-from siltstone.llm.shared import atomic_write, distinct, materialize, posix_path, small_batches, text_of, work_dir
+from siltstone.llm.shared import distinct, materialize, posix_path, small_batches, text_of, work_dir, written_whole
 
 #: Tokens of a part of levels two and three, on average, and words of a part of level one.
 PART_TOKENS, PART_WORDS = 3_000_000, 500_000
 #: Characters that are counted or scored at once; triples that a building task holds before it adds them up.
 AT_ONCE, HELD = 1 << 22, 4_000_000
+#: Triples that are added up or put on level three at once, about; a context's are never parted.
+PIECE = 1 << 18
 #: Parts of each level that a worker keeps open.
 MOST_OPEN = 2_000
 #: Distinct words from which a triple of their places doesn't fit 63 bits.
@@ -159,11 +162,32 @@ def _add_up(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return known[(key >> _U(32)).astype(np.int64)], (key & _U(0xFFFFFFFF)).astype(np.uint32), counts
 
 
+def _pieces(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """What _add_up() makes of runs of which each is in order, in pieces by range of the context."""
+    # Of every run a context in `step`: those that part the pieces are off by `step` rows of each run, an eighth of a piece.
+    step = max(1, PIECE // (8 * len(held)))
+    borders = np.unique(np.sort(np.concatenate([r[0][::step] for r in held]))[PIECE // step :: PIECE // step])
+    cuts = [[0, *np.searchsorted(r[0], borders).tolist(), len(r[0])] for r in held]
+    for i in range(len(borders) + 1):
+        if own := [tuple(x[c[i] : c[i + 1]] for x in r) for r, c in zip(held, cuts, strict=True) if c[i] < c[i + 1]]:
+            yield _add_up(own)
+
+
+def _read_raw(path: str):
+    """(sizes of contexts, successors, counts) of the pieces of a part's raw triples."""
+    with open(path, "rb") as f:
+        while head := f.read(24):
+            n_contexts, n, size = np.frombuffer(head, "<u8").astype(int).tolist()
+            raw = _unpacked(f.read(size))
+            yield raw[:n_contexts].astype(np.int64), raw[n_contexts : n_contexts + n], raw[n_contexts + n :].astype(np.float64)
+
+
 def _level(starts: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
     """Pointers to the ranges that begin at `starts`, and the ranges' numbers, rising in each, as one monotone sequence."""
     ends = np.append(starts[1:], len(numbers))
     took = np.cumsum(numbers[ends - 1].astype(np.uint64) + _U(1))
-    raised = numbers.astype(np.uint64) + np.repeat(np.append(_U(0), took[:-1]), ends - starts)
+    raised = np.repeat(np.append(_U(0), took[:-1]), ends - starts)
+    raised += numbers.astype(np.uint64, copy=False)
     return [*elias_fano.encode(np.append(starts, len(numbers)), len(numbers) + 1), *elias_fano.encode(raised, int(took[-1]))]
 
 
@@ -418,20 +442,30 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
                 held.append((keys, c.astype(np.uint32), count.astype(np.int64)))
                 n += len(keys)
                 if n > HELD:
-                    held = [_add_up(held)]
+                    pieces = list(zip(*_pieces(held), strict=True))
+                    held.clear()  # one column at a time is held twice
+                    held.append(tuple(np.concatenate(pieces.pop(0)) for _ in range(3)))
                     n = 0 if len(held[0][0]) > HELD // 2 else len(held[0][0])
-            keys, c, count = _add_up(held)
-            starts = _starts(keys)
-            b, a = np.divmod(keys[starts], _U(width))
+            contexts, sizes, pairs, ones = [], [], [], np.zeros(4, np.int64)
+            with written_whole(f"{path}/{k:06d}.raw") as (raw,):
+                for keys, c, count in _pieces(held):
+                    starts = _starts(keys)
+                    size = np.diff(starts, append=len(c))
+                    packed = _packed(np.concatenate([size.astype(np.uint64), c.astype(np.uint64), count.astype(np.uint64)]))
+                    raw.write(np.array([len(size), len(c), len(packed)], "<u8").tobytes() + packed)
+                    contexts.append(keys[starts])
+                    sizes.append(size)
+                    pairs.append(np.unique(keys // _U(width) * _U(width) + c, return_counts=True))
+                    ones += [(count == i).sum() for i in (1, 2, 3, 4)]
+            held.clear()
+            b, a = np.divmod(np.concatenate(contexts), _U(width))
+            size = np.concatenate(sizes)
             first = _starts(b)
             elias_fano.save(f"{path}/{k:06d}.contexts", [*elias_fano.encode(b[first], int(b[-1]) + 1), *_level(first, a)])
-            raw = np.concatenate([np.diff(starts, append=len(c)).astype(np.uint64), c.astype(np.uint64), count.astype(np.uint64)])
-            atomic_write(f"{path}/{k:06d}.raw", [np.array([len(starts), len(c)], "<u8").tobytes(), _packed(raw)])
-            word = keys // _U(width)
-            pair, before = np.unique(word * _U(width) + c, return_counts=True)
+            pair, before = elias_fano.sums(*map(np.concatenate, zip(*pairs, strict=True)))
             out = _blobs(np.searchsorted(borders, pair, "right") - 1, borders, pair, before)
-            edge = (int(word[0]), int((word == word[0]).sum()), int(word[-1]), int((word == word[-1]).sum()))
-            stats = [*edge, *(int((count == i).sum()) for i in (1, 2, 3, 4)), *(int((before == i).sum()) for i in (1, 2, 3, 4))]
+            edge = (int(b[0]), int(size[b == b[0]].sum()), int(b[-1]), int(size[b == b[-1]].sum()))
+            stats = [*edge, *ones.tolist(), *(int((before == i).sum()) for i in (1, 2, 3, 4))]
             only_first = lambda x: pa.array([x] + [None] * (out.num_rows - 1), pa.int64())  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([*out.columns, *map(only_first, [k, int(shares(k)), *stats])], [*out.schema.names, *MADE])
 
@@ -460,19 +494,23 @@ def train(texts: DataFrame, folder: str) -> tuple[Trie, int, int]:
         for batch in batches:
             for k in batch.column("k").to_pylist():
                 firsts, level = trie.part(k, "contexts")
-                with open(f"{path}/{k:06d}.raw", "rb") as f:
-                    n_contexts, n = np.frombuffer(f.read(16), "<u8").astype(int).tolist()
-                    raw = _unpacked(f.read())
-                size, c, count = raw[:n_contexts].astype(np.int64), raw[n_contexts : n_contexts + n], raw[n_contexts + n :].astype(np.float64)
-                starts = np.cumsum(size) - size
                 b = np.repeat(firsts.get(np.arange(firsts.n)), np.diff(level.begin(np.arange(firsts.n + 1))))
-                pair, place = np.unique(np.repeat(b, size) * _U(width) + c, return_inverse=True)
-                rank = trie.pairs(pair)[0]
-                if (rank < 0).any():
-                    raise AssertionError("a pair of a triple isn't in level two")
-                given = d[np.minimum(count, 3).astype(np.int64)]
-                whole = np.add.reduceat(count, starts)
-                elias_fano.save(f"{path}/{k:06d}.triples", [*_level(starts, rank[place]), codes((count - given) / np.repeat(whole, size)), codes(np.minimum(np.add.reduceat(given, starts) / whole, 1.0))])
+                done, sizes, ranks, own, left = 0, [], [], [], []
+                for size, c, count in _read_raw(f"{path}/{k:06d}.raw"):
+                    pair, place = np.unique(np.repeat(b[done : done + len(size)], size) * _U(width) + c, return_inverse=True)
+                    rank = trie.pairs(pair)[0]
+                    if (rank < 0).any():
+                        raise AssertionError("a pair of a triple isn't in level two")
+                    given = d[np.minimum(count, 3).astype(np.int64)]
+                    starts = np.cumsum(size) - size
+                    whole = np.add.reduceat(count, starts)
+                    done += len(size)
+                    sizes.append(size)
+                    ranks.append(rank.astype(np.uint32)[place])
+                    own.append(codes((count - given) / np.repeat(whole, size)))
+                    left.append(codes(np.minimum(np.add.reduceat(given, starts) / whole, 1.0)))
+                size, rank, own, left = map(np.concatenate, (sizes, ranks, own, left))
+                elias_fano.save(f"{path}/{k:06d}.triples", [*_level(np.cumsum(size) - size, rank), own, left])
                 trie.open.clear()
                 yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64())})
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -196,6 +197,38 @@ def test_numbers_are_packed_and_repeated_keys_sought_once(monkeypatch):
     assert asked == [3]
 
 
+def test_triples_go_in_pieces(spark, monkeypatch):
+    """Pieces are bounded, part no context and add up to the whole; files of the trie and scores stay the same."""
+    rng = np.random.default_rng(9)
+    runs = []
+    for n in (5000, 1, 300, 20_000):
+        key = np.unique(rng.integers(0, 900, n).astype(np.uint64) << np.uint64(32) | rng.integers(0, 40, n).astype(np.uint64))
+        runs.append((key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), rng.integers(1, 9, len(key))))
+    whole = lm._add_up(list(runs))
+    docs = spark.createDataFrame([(i, prose(i % 9, 60)) for i in range(50)], "doc_id long, text string").repartition(2)
+    scores = lambda: {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    want = scores()
+    monkeypatch.setattr(lm, "PIECE", 64)
+    got = list(lm._pieces(list(runs)))
+    assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*got, strict=True), whole, strict=True))
+    assert len(got) > 100 and max(len(x[0]) for x in got) <= 64 + 64 // 8 + 40  # and the rest of one context
+    assert all(x[0][-1] < y[0][0] for x, y in zip(got, got[1:]))
+    assert scores() == want
+
+
+def test_a_level_is_made_in_little_memory():
+    """At most three and a half numbers for each value, of what is made too (4.8 before values were encoded in blocks)."""
+    n = 1 << 20
+    starts, numbers = np.arange(0, n, 4), np.tile(np.arange(4, dtype=np.uint32), n // 4)
+    tracemalloc.start()
+    level = lm._level(starts, numbers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * 8 * n
+    seq = elias_fano.Sequence(*level[4:8])
+    assert (seq.get(np.arange(n)) == np.arange(n)).all()
+
+
 def test_model_of_nothing(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     r = lm.score_documents(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
