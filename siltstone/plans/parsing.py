@@ -5,12 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import parsing as P
 from siltstone.plans.registry import query, table
-from siltstone.session import materialize, work_dir
 
 From = Callable[[str, str, str], str]
 
@@ -53,13 +52,45 @@ def _spark(rows: str, most: str, name: str) -> str:
     return f"{rows} AS r LATERAL VIEW explode(filter(sequence(0, cast({most} AS int)), x -> x > 0)) g AS {name}"
 
 
+def planted_text(n: Column, copies: Column) -> Column:
+    """The text that planted() deals out in lines, of an order whose number comes so many times."""
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    upto = lambda most: F.filter(F.sequence(F.lit(0), most.cast("int")), lambda x: x > 0)
+    m = n % 4 + 2
+    final = lambda when: F.when(when & (n % 5 == 0) & (m != 2), F.lit("điều khoản cuối./. TM. CHÍNH PHỦ ký"))
+
+    def article(i: Column) -> Column:
+        lines = F.concat_ws(
+            "\n", say("Điều ", i, ". Tên ", i), say("1. Khoản một của ", i, "  "), F.when((n + i) % 3 > 0, F.lit("2. Khoản")), F.when((n + i) % 3 > 1, F.lit("3. Khoản")), F.when((n + i) % 4 == 0, F.lit("")),
+            F.when((n + i) % 5 == 0, say("Điều ", i + 1, ". Trích dẫn\nnội dung trích")), F.when((n + i) % 7 == 0, F.lit("Số 5 + 6 Ngày 1 tháng 2 năm 2020")), F.when(i == 2, F.lit("Chương II TIẾP")), final(i == m),
+        )
+        return F.when(~((n % 11 == 0) & (i == 2)), lines)
+
+    def attachment(a: Column) -> Column:
+        forms = F.transform(upto(n % 2 + a % 2), lambda f: say("Mẫu số 0", f, "\nĐiều 1. .....\nghi chú"))
+        return F.concat_ws("\n", say("PHỤ LỤC ", a), say("Danh mục ", a), forms)
+
+    # Of a number below zero the line that stands behind the last article comes before them.
+    text = F.concat_ws(
+        "\n", final(m < 0), F.lit("CỘNG HÒA"), F.when(n % 3 == 0, F.transform(upto(m), lambda i: say("Điều ", i, ". Tên ", i, " ....."))), final(m == 0), F.lit("Chương I QUY ĐỊNH"), F.transform(upto(m), article),
+        F.when(n % 2 == 0, F.lit("Nơi nhận:\n- Như trên")), F.transform(upto(n % 3), attachment),
+    )
+    again = F.array_join(F.flatten(F.transform(F.split(text, "\n", -1), lambda x: F.array_repeat(x, copies.cast("int")))), "\n")
+    return F.when(copies > 1, again).otherwise(text)
+
+
+#: Orders of a task: what their documents' lines take stays in memory.
+AT_ONCE = 50_000
+
+
 def planted_docs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, text) and the articles that they need (doc_id, no)."""
-    orders = table(spark, sf, "orders")
-    lines = spark.sql(planted(_spark, "{orders}"), orders=orders.select("o_orderkey"))
-    docs = lines.groupBy(F.col("n").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    docs = materialize(docs, work_dir(spark, "planted"))
-    return docs, orders.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.expr("sequence(1, cast(o_orderkey % 4 + 2 as int))")).alias("no"))
+    """Documents (doc_id, text) and the articles that they need (doc_id, no). Only orders' numbers are dealt out; texts are
+    made of them where they are asked for."""
+    numbers = table(spark, sf, "orders").where("o_orderkey is not null").select(F.col("o_orderkey").alias("doc_id"))
+    # As many as other shuffles have at least, or Spark deals lines out anew to join them with what those make.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-numbers.count() // AT_ONCE))
+    dealt = numbers.repartition(tasks, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    return dealt.select("doc_id", planted_text(F.col("doc_id"), F.col("copies")).alias("text")), dealt.select("doc_id", F.explode(F.expr("sequence(1, cast(doc_id % 4 + 2 as int))")).alias("no"))
 
 
 LINES_SQL = f"""l AS MATERIALIZED (SELECT n, p, line, CAST(row_number() OVER (PARTITION BY n ORDER BY p) - 1 AS INTEGER) AS pos FROM ({planted(_duck, "orders")})),
@@ -77,7 +108,7 @@ main AS MATERIALIZED (SELECT n, unnest(path) AS pos FROM best UNION ALL SELECT n
 def main_sequence(spark: SparkSession, sf: str) -> DataFrame:
     """The articles' own headings among tables of contents, quotations and forms."""
     docs, needed = planted_docs(spark, sf)
-    return P.main_sequence(docs, needed, work_dir(spark, "main-sequence"))
+    return P.main_sequence(docs, needed)
 
 
 @query(
@@ -96,8 +127,7 @@ SELECT j.n AS doc_id, t.id AS container_id, kind, number, line AS title, CASE WH
 def appendix_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Attachments, forms, chapters and articles, one within the other."""
     docs, needed = planted_docs(spark, sf)
-    where = work_dir(spark, "containers")
-    return P.containers(P.text_lines(docs), P.main_sequence(docs, needed, where))
+    return P.text_containers(docs, P.main_sequence(docs, needed))
 
 
 @query(
@@ -112,4 +142,4 @@ SELECT r.n AS doc_id, no, title, concat('Điều ', no, '. ', title) AS heading,
 def built_articles(spark: SparkSession, sf: str) -> DataFrame:
     """Articles with their bodies, cut clear of chapters, page lines and the administrative tail."""
     docs, needed = planted_docs(spark, sf)
-    return P.built_articles(docs, needed, work_dir(spark, "articles"))
+    return P.built_articles(docs, needed)

@@ -113,3 +113,31 @@ def test_lines_are_dealt_out_once(spark):
     found = P.containers(lines, spark.createDataFrame([(1, 1, "A", 0)], "doc_id long, no long, title string, pos int"))
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3  # lines, their number, the join of both
     assert sorted((x.container_id, x.title, x.subtitle, x.first_pos, x.end_pos) for x in found.collect()) == [("1|article=1", "Điều 1. A", None, 0, 2), ("1|attachment=1", "PHỤ LỤC", "Tên", 2, 5)]
+
+
+def test_planted_texts_are_their_lines(spark):
+    from siltstone.plans import parsing as plans
+
+    keys = [*range(-13, 60), 5, 5, 330]
+    orders = spark.createDataFrame([(k,) for k in keys], "o_orderkey long")
+    lines = {}
+    for x in spark.sql(plans.planted(plans._spark, "{orders}"), orders=orders).collect():
+        lines.setdefault(x.n, []).append((x.p, x.line))
+    got = orders.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("c")).select("o_orderkey", plans.planted_text(F.col("o_orderkey"), F.col("c")).alias("t")).collect()
+    assert {x.o_orderkey: x.t for x in got} == {n: "\n".join(line for _, line in sorted(ls)) for n, ls in lines.items()}
+
+
+def test_numbers_beyond_64_bits(spark):
+    docs, need = frames(spark, ["Điều 1. A\nmột\nĐiều 99999999999999999999. B\nhai"], [[1]])
+    assert [(x.no, x.pos) for x in P.main_sequence(docs, need).collect()] == [(1, 0)]
+    assert [(x.no, x.body) for x in P.built_articles(docs, need).collect()] == [(1, "một")]
+
+
+def test_texts_are_not_dealt_out(spark, small):
+    from siltstone.plans import registry
+
+    for name, most in (("main_sequence", 1), ("built_articles", 1), ("appendix_containers", 3)):
+        plan = registry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+        assert 0 < len(dealt) <= 2 * most, (name, dealt)  # both sides begin with the orders' numbers
+        assert "Scan ExistingRDD" not in plan and plan.count("orders.parquet") >= 1, name
