@@ -9,7 +9,7 @@ from siltstone.functions import text as T
 from siltstone.operators import chunking as C
 from siltstone.operators import review, units
 from siltstone.plans.registry import query, table
-from siltstone.session import spread
+from siltstone.session import materialize, spread, work_dir
 from siltstone.sources import html as H
 
 
@@ -112,8 +112,9 @@ def _rebuilt(parts: DataFrame, order: str, content: str, most: int) -> DataFrame
 @query("chunks_rebuild", REBUILT_SQL)
 def chunks_rebuild(spark: SparkSession, sf: str) -> DataFrame:
     """The chunker's own chunks make up every text, fit, and break none of the chunk rules."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    chunks = C.chunk_documents(docs)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    # Read many times; the chunker runs once.
+    chunks = materialize(C.chunk_documents(spread(docs)), work_dir(spark, "chunks"))
     found = C.violations(chunks, docs, 400).groupBy("doc_id").agg(F.count(F.lit(1)).alias("problems"))
     return _rebuilt(chunks, "chunk_no", "content", 400).join(found, "doc_id", "left").withColumn("problems", F.coalesce("problems", F.lit(0)))
 

@@ -272,3 +272,10 @@ def test_url_scores(spark):
     twice = spark.createDataFrame([("https://x/12-2020a",), ("https://x/12-2020b",)], "url string")
     with pytest.raises(files.CorpusError):
         files.score_urls(twice, "12/2020")
+
+
+def test_chunks_rebuild_cuts_once(spark, small):
+    from siltstone.plans import registry
+
+    plan = registry.queries()["chunks_rebuild"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # all rules read the chunks that were written
